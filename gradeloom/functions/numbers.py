@@ -2,8 +2,8 @@
 
 Spark's ``round``/``bround``/``format_number`` work on the shortest decimal form
 of a double, so 0.35 counts as a tie although the stored value is below it. The
-columns here split off the exact binary fraction instead; all arithmetic stays in
-``decimal(38,0)`` or ``double`` and inside code generation.
+columns here decide on the exact binary value; all of it is double arithmetic
+inside code generation.
 """
 
 from __future__ import annotations
@@ -11,46 +11,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_FRACTION_BITS = 2**53
-
-
-def _scaled_units(value: Column, digits: int, ties: str) -> Column:
-    """round(|value| * 10**digits) as a whole ``decimal(38,0)``."""
-    size = F.abs(value.cast("double"))
-    whole = F.floor(size).cast("decimal(20,0)")
-    fraction = (size - F.floor(size)) * F.lit(float(_FRACTION_BITS))
-    bits = F.floor(fraction).cast("decimal(17,0)")
-    beyond = fraction > F.floor(fraction)  # bits below 2**-53: never an exact tie
-    tens = F.lit(10**digits).cast("decimal(9,0)")
-    one = F.lit(_FRACTION_BITS).cast("decimal(17,0)")
-    half = F.lit(_FRACTION_BITS // 2).cast("decimal(17,0)")
-    parts = (bits * tens).cast("decimal(27,0)")
-    remainder = (parts % one).cast("decimal(17,0)")
-    quotient = ((parts - remainder) / one).cast("decimal(20,0)")
-    if ties == "even":
-        up = (remainder > half) | ((remainder == half) & (beyond | (quotient % 2 == 1)))
-    else:
-        up = remainder >= half
-    unit = F.when(up, F.lit(1)).otherwise(F.lit(0)).cast("decimal(1,0)")
-    return (whole * tens + quotient + unit).cast("decimal(38,0)")
-
 
 def exact_round(value: Column, digits: int, *, ties: str = "even") -> Column:
-    """Nearest double with ``digits`` decimals, decided on the exact binary value."""
-    units = _scaled_units(value, digits, ties).cast("double") / F.lit(float(10**digits))
-    return F.when(value < 0, -units).otherwise(units)
+    """Nearest double with ``digits`` decimals, decided without rounding error.
+
+    With k = floor(|value| * 10**digits) the question is on which side of
+    k + 1/2 the exact product lies. Splitting the value into two halves of the
+    mantissa makes both partial products exact, so the sign of the sum is right.
+    ``value`` appears often in the expression: pass a column, not a formula.
+    """
+    value = value.cast("double")
+    size = F.abs(value)
+    lower = F.floor(size * F.lit(float(10**digits)))
+    doubled = F.lit(float(2 * 10**digits))
+    spread = size * F.lit(134217729.0)  # 2**27 + 1 separates the mantissa halves
+    high = spread - (spread - size)
+    side = (high * doubled - (lower.cast("double") * 2.0 + 1.0)) + (size - high) * doubled
+    # On an exact tie (side = 0) a tiny nudge decides: odd numbers go up, or all do.
+    nudge = (lower % 2) * F.lit(1e-300) if ties == "even" else F.lit(1e-300)
+    units = lower.cast("double") + (side + nudge > 0).cast("double")
+    rounded = F.signum(value) * units / F.lit(float(10**digits))
+    return F.when(size < 1e14, rounded).otherwise(value)
 
 
 def fixed_text(value: Column, digits: int, *, ties: str = "even") -> Column:
     """Text with exactly ``digits`` (at least one) decimals."""
-    units = _scaled_units(value, digits, ties).cast("string")
-    # lpad would cut long numbers, so pad only what is short.
-    padded = F.when(F.length(units) > digits, units).otherwise(F.lpad(units, digits + 1, "0"))
-    size = F.length(padded)
-    text = F.concat(
-        F.substr(padded, F.lit(1), size - digits), F.lit("."), F.substr(padded, size - digits + 1)
-    )
-    return F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)
+    text = F.format_string(f"%.{digits}f", exact_round(value, digits, ties=ties))
+    return F.when(value.isNotNull(), text)
 
 
 def float_text(value: Column) -> Column:
@@ -66,7 +53,8 @@ def float_text(value: Column) -> Column:
         mantissa,
         F.lit("e"),
         F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
+        F.when(F.abs(exponent) < 10, "0").otherwise(""),
+        F.abs(exponent).cast("string"),
     )
     size = F.abs(value.cast("double"))
     return (

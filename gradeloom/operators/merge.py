@@ -48,5 +48,14 @@ def first_seen(df: DataFrame, text: str, position: str) -> DataFrame:
 
 def append_rows(existing: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
     """Union in dataset column order; absent cells become empty text."""
-    both = existing.unionByName(rows, allowMissingColumns=True)
-    return both.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
+
+    def as_text(df: DataFrame) -> DataFrame:
+        present = set(df.columns)
+        return df.select(
+            *[
+                (F.coalesce(F.col(c).cast("string"), F.lit("")) if c in present else F.lit("")).alias(c)
+                for c in columns
+            ]
+        )
+
+    return as_text(existing).unionByName(as_text(rows))

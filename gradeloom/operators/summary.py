@@ -28,6 +28,11 @@ def mean_tokens(column: str) -> Column:
     return F.coalesce(_whole_mean(F.sum(column), F.count(column)), F.lit(0))
 
 
+def _stored_score() -> Column:
+    """Mean score as stored: four decimals, 0 when nothing was scored."""
+    return F.coalesce(exact_round(F.col("avg_score"), 4), F.lit(0.0))
+
+
 def run_summary(results: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One row per run; a single partially aggregated shuffle."""
     keys = keys or ["eval_run_id"]
@@ -42,11 +47,11 @@ def run_summary(results: DataFrame, keys: list[str] | None = None) -> DataFrame:
         F.count_if(F.col("passed").isNull() & ~has_error()).alias("unjudged"),
         errors.alias("errors"),
         (passed / F.greatest(passed + failed + errors, F.lit(1))).alias("accuracy"),
-        F.coalesce(exact_round(F.avg("score"), 4), F.lit(0.0)).alias("avg_score"),
+        F.avg("score").alias("avg_score"),
         mean_latency().alias("avg_latency_ms"),
         mean_tokens("input_tokens").alias("avg_input_tokens"),
         mean_tokens("output_tokens").alias("avg_output_tokens"),
-    )
+    ).withColumn("avg_score", _stored_score())
 
 
 SUMMARY_ZEROS = {
@@ -85,8 +90,8 @@ def grader_stats(verdicts: DataFrame, keys: list[str] | None = None) -> DataFram
         F.count_if(F.col("passed").isNull()).alias("unjudged"),
         (passed + failed).alias("judged"),
         (passed / F.greatest(passed + failed, F.lit(1))).alias("accuracy"),
-        F.coalesce(exact_round(F.avg("score"), 4), F.lit(0.0)).alias("avg_score"),
-    )
+        F.avg("score").alias("avg_score"),
+    ).withColumn("avg_score", _stored_score())
 
 
 def stats_as_map(stats: DataFrame, keys: list[str] | None = None) -> DataFrame:

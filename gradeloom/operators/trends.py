@@ -75,14 +75,15 @@ def _with_delta(text: Column, delta: Column) -> Column:
 
 def trend(pairs: DataFrame) -> DataFrame:
     """Deltas and display text for rows with ``previous`` (accuracy, score, latency)."""
-    accuracy = F.col("accuracy") - F.col("previous.accuracy")
-    score = F.col("avg_score") - F.col("previous.avg_score")
-    latency = F.col("avg_latency_ms") - F.col("previous.avg_latency_ms")
-    return pairs.select(
+    deltas = pairs.select(
+        "*",
+        (F.col("accuracy") - F.col("previous.accuracy")).alias("accuracy_delta"),
+        (F.col("avg_score") - F.col("previous.avg_score")).alias("score_delta"),
+        (F.col("avg_latency_ms") - F.col("previous.avg_latency_ms")).alias("latency_delta"),
+    )
+    accuracy, score, latency = (F.col(c) for c in ("accuracy_delta", "score_delta", "latency_delta"))
+    return deltas.select(
         "*",
-        accuracy.alias("accuracy_delta"),
-        score.alias("score_delta"),
-        latency.alias("latency_delta"),
         delta_direction(accuracy, scale=100, decimals=1).alias("accuracy_trend"),
         delta_direction(score, scale=1, decimals=3).alias("score_trend"),
         delta_direction(latency, scale=1, decimals=1).alias("latency_trend"),
