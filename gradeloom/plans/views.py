@@ -201,7 +201,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("input"),
         F.col("next.text").alias("expected_output"),
         F.when(F.col("turn") % 4 == 0, F.col("next.text"))
-        .otherwise(F.upper("next.text"))
+        .otherwise(F.lower("next.text"))
         .alias("actual_output"),
     )
 
@@ -286,7 +286,7 @@ v_runs AS (
 SQL_SAMPLES = """
 v_samples AS (
   SELECT conv_id, turn, text AS input, next_text AS expected_output,
-    CASE WHEN turn % 4 = 0 THEN next_text ELSE upper(next_text) END AS actual_output
+    CASE WHEN turn % 4 = 0 THEN next_text ELSE lower(next_text) END AS actual_output
   FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
         FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
   WHERE role = 'user' AND next_role = 'assistant')"""
