@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("aggregates", "entities", "grading", "mappings")
+_MODULES = ("aggregates", "entities", "grading", "mappings", "flows")
 
 
 def load_all() -> None:

@@ -18,7 +18,13 @@ def _k() -> Column:
 
 def results(spark: SparkSession, sf_dir: str, *, indexed: bool = False, details: bool = False) -> DataFrame:
     """Events as evaluation results; 20 runs."""
-    events = table(spark, sf_dir, "events").withColumn("k", _k())
+    df = shape_results(table(spark, sf_dir, "events"), details=details)
+    return with_ordinal(df, ["eval_run_id"], "event_id", "row_index") if indexed else df
+
+
+def shape_results(events: DataFrame, *, details: bool = False) -> DataFrame:
+    """The result columns of (batch or streaming) events."""
+    events = events.withColumn("k", _k())
     ok = F.col("event_type") != "error"
     columns = [
         F.col("event_id"),
@@ -36,8 +42,7 @@ def results(spark: SparkSession, sf_dir: str, *, indexed: bool = False, details:
     ]
     if details:
         columns.append(F.map_from_entries(_verdict_entries()).alias("details"))
-    df = events.select(*columns)
-    return with_ordinal(df, ["eval_run_id"], "event_id", "row_index") if indexed else df
+    return events.select(*columns)
 
 
 def _verdict_entries() -> Column:

@@ -136,7 +136,12 @@ def planned_pages(sources: DataFrame, first: str, step: str, pages: str) -> Data
 
 
 def cut_tail(pages: DataFrame, keys: list[str], more: Column) -> DataFrame:
-    """Landed pages up to and including the first that says it is the last."""
+    """Landed pages up to and including the first that says it is the last.
+
+    Without ``keys`` all pages belong to one source.
+    """
+    if not keys:
+        return cut_tail(pages.withColumn("_all", F.lit(1)), ["_all"], more).drop("_all")
     stops = pages.filter(~more).groupBy(*keys).agg(F.min("page_index").alias("_last"))
     return pages.join(stops, keys, "left").filter(
         F.col("_last").isNull() | (F.col("page_index") <= F.col("_last"))
