@@ -139,6 +139,15 @@ def verdict_struct(
     )
 
 
+def once(udf):  # noqa: ANN001, ANN201
+    """Keep a Python function from being evaluated again for a filter on its result.
+
+    Catalyst copies deterministic expressions into pushed-down filters; it leaves
+    non-deterministic ones in place.
+    """
+    return udf.asNondeterministic()
+
+
 def _points(matched: Column) -> Column:
     return F.when(matched, 1.0).otherwise(0.0)
 
@@ -305,7 +314,7 @@ def json_field(definition: dict, context: Context, slot: str) -> Grader:
                 value.alias("value"),
             )
         else:
-            found = _field_search(name)(output)
+            found = once(_field_search(name))(output)
         return df.withColumn(slot, found)
 
     found = F.col(slot)
@@ -404,7 +413,7 @@ def python_grader(definition: dict, context: Context, slot: str) -> Grader:
         F.struct(*[c.alias(n) for n, c in fields.items()]) if fields else None
     )
     as_json = F.lit("{}") if item is None else F.to_json(item, {"ignoreNullFields": "false"})
-    call = _user_scores(definition.get("source_code") or "")
+    call = once(_user_scores(definition.get("source_code") or ""))
     return Grader(
         definition.get("name", "python_grader"),
         float(definition.get("weight", 1.0)),

@@ -216,6 +216,8 @@ def embed_columns(
     out = df
     for column, name in columns.items():
         side = vectors.select(F.col("text_key").alias("_key"), F.col("vector").alias(name))
-        keyed = out.withColumn("_key", F.sha2(F.col(column), 256))
-        out = lookup_join(keyed, side, ["_key"], spread_by=spread_by).drop("_key")
+        key = F.sha2(F.col(column), 256).alias("_key")
+        out = lookup_join(
+            out.select("*", key), side, ["_key"], spread_by=spread_by, keys_from=df.select(key)
+        ).drop("_key")
     return out

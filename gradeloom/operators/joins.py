@@ -18,27 +18,32 @@ def lookup_join(
     how: str = "left",
     *,
     spread_by: list[str],
+    keys_from: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Equi-join a large table to a lookup table although one key may dominate.
 
     Keys above ``hot_rows`` are found with one partially aggregated pass over
-    the key column. Their fact rows spread over ``salts`` sub-keys, chosen by a
+    the key column of ``keys_from``: the table the facts come from, so that
+    chained lookups do not repeat the joins before them (default: the facts). Their fact rows spread over ``salts`` sub-keys, chosen by a
     hash of ``spread_by`` (repeatable when a task runs again); only the lookup
     rows of those keys are copied. All other keys join as usual, and Spark still
     broadcasts the lookup table when its statistics say it is small.
     """
     hot = (
-        facts.groupBy(*on)
+        (facts if keys_from is None else keys_from)
+        .groupBy(*on)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > hot_rows)
         .select(*on, F.lit(True).alias("_hot"))
     )
     small_hot = F.broadcast(hot)
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    # Rows without a key match nothing, so they may go anywhere as well.
+    spread = F.col("_hot") | F.greatest(*[F.col(c).isNull() for c in on], F.lit(False))
     left = facts.join(small_hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))
+        "_salt", F.when(spread, salt).otherwise(F.lit(0))
     )
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
         F.array(F.lit(0))
@@ -56,7 +61,9 @@ def run_view(
     )
     sets = datasets.select(F.col("id").alias("dataset_id"), F.col("name").alias("dataset_name"))
     named = lookup_join(runs, names, ["eval_config_id"], how, spread_by=["id"], **spread)
-    return lookup_join(named, sets, ["dataset_id"], how, spread_by=["id"], **spread)
+    return lookup_join(
+        named, sets, ["dataset_id"], how, spread_by=["id"], keys_from=runs, **spread
+    )
 
 
 def evaluation_rows(

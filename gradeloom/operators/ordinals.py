@@ -45,8 +45,7 @@ def with_ordinal(
     return (
         celled.withColumn("_inside", inside)
         .join(offsets, group)
-        .withColumn(name, (F.col("_before") + F.col("_inside") - 1).cast("long"))
-        .drop("_cell", "_inside", "_before")
+        .select(*df.columns, (F.col("_before") + F.col("_inside") - 1).cast("long").alias(name))
     )
 
 
@@ -78,8 +77,7 @@ def with_neighbour(
     return (
         celled.withColumn("_inside", inside)
         .join(across, group)
-        .withColumn(name, F.coalesce("_inside", "_outside"))
-        .drop("_cell", "_inside", "_outside")
+        .select(*df.columns, F.coalesce("_inside", "_outside").alias(name))
     )
 
 

@@ -218,7 +218,9 @@ def validate(df: DataFrame, column: str, schema: dict, out: str) -> DataFrame:
     doc, broken, found = f"_{out}_doc", f"_{out}_broken", f"_{out}_found"
     text = F.coalesce(F.col(column), F.lit(""))
     df = df.withColumn(doc, F.try_parse_json(text))
-    df = df.withColumn(broken, explain_unparsed(F.when(F.col(doc).isNull(), text)))
+    # Declared non-deterministic only to keep later filters from repeating the calls.
+    explain = explain_unparsed.asNondeterministic()
+    df = df.withColumn(broken, explain(F.when(F.col(doc).isNull(), text)))
     df = df.withColumn(doc, F.coalesce(F.col(doc), F.try_parse_json(F.col(broken)["document"])))
     df = df.withColumn(found, F.array_min(violations(schema, F.col(doc))))
     unparsed = F.col(doc).isNull()

@@ -121,9 +121,12 @@ def apply_translations(
     order = df.columns
     for name in fields:
         text = F.coalesce(F.col(name), F.lit(""))
+        key = cache_key(F.lit(language_key(language)), text).alias("cache_key")
         side = known.select("cache_key", F.col("translated_text").alias("_translated"))
-        keyed = out.withColumn("cache_key", cache_key(F.lit(language_key(language)), text))
-        out = lookup_join(keyed, side, ["cache_key"], "left", spread_by=spread_by)
+        out = lookup_join(
+            out.select("*", key), side, ["cache_key"], "left",
+            spread_by=spread_by, keys_from=df.select(key),
+        )
         out = out.withColumn(
             name, F.when(text == "", F.lit("")).otherwise(F.col("_translated"))
         ).drop("_translated", "cache_key")

@@ -119,9 +119,10 @@ def alert_table(
     )
     names = configs.select(F.col("id").alias("eval_config_id"), F.col("name").alias("config_name"))
     sets = datasets.select(F.col("id").alias("dataset_id"), F.col("name").alias("dataset_name"))
-    joined = lookup_join(pairs, plans, ["scheduled_by_id"], "inner", spread_by=["id"])
-    joined = lookup_join(joined, names, ["eval_config_id"], spread_by=["id"])
-    joined = lookup_join(joined, sets, ["dataset_id"], spread_by=["id"])
+    skew = {"spread_by": ["id"], "keys_from": runs}
+    joined = lookup_join(pairs, plans, ["scheduled_by_id"], "inner", **skew)
+    joined = lookup_join(joined, names, ["eval_config_id"], **skew)
+    joined = lookup_join(joined, sets, ["dataset_id"], **skew)
     low = below_threshold(F.col("accuracy"), F.col("min_accuracy"))
     counts = F.concat_ws(
         " / ", *[F.coalesce(F.col(c), F.lit(0)).cast("string") for c in ("passed", "failed", "errors")]

@@ -17,6 +17,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "5000",
     "spark.ui.enabled": "false",
+    # Call sites for error messages cost several JVM calls per column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
