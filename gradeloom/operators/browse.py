@@ -80,9 +80,9 @@ def page(df: DataFrame, number: int = 1, size: int = DEFAULT_PAGE_SIZE) -> DataF
     start = (number - 1) * size
     if start + size <= 10_000:
         return newest_first(df).offset(start).limit(size)
-    hour = -F.floor(F.unix_micros(F.col("created_at").cast("timestamp")) / 3_600_000_000)
+    hour = F.unix_date(F.to_date("created_at")) * 24 + F.hour("created_at")
     placed = with_ordinal(
-        df, [], [F.desc("created_at"), F.desc("id")], "_position", cell=hour.cast("long")
+        df, [], [F.desc("created_at"), F.desc("id")], "_position", cell=-hour.cast("long")
     )
     return newest_first(
         placed.filter((F.col("_position") >= start) & (F.col("_position") < start + size))

@@ -318,9 +318,10 @@ def t3(spark, sf):
     beats = _event_stream(spark, sf).select(
         F.col("user_id").alias("eval_run_id"), "ts", F.lit(False).alias("ended"))
     target = fresh_dir(spark, "silent")
-    heartbeat.failed_runs(beats).writeStream.format("parquet").option("path", target).option(
+    silent = heartbeat.failed_runs(beats)
+    silent.writeStream.format("parquet").option("path", target).option(
         "checkpointLocation", fresh_dir(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    failed = spark.read.schema(heartbeat.FAILED).parquet(target)
+    failed = spark.read.schema(silent.schema).parquet(target)
     return failed.select(
         "eval_run_id", "status", F.col("last_heartbeat").cast("timestamp_ntz").alias("last_heartbeat"),
         F.col("failed_at").cast("timestamp_ntz").alias("failed_at"))

@@ -2,32 +2,30 @@
 
 The watermark plays the part of the clock. A run fails at its last heartbeat plus
 the timeout, once; heartbeats after that are ignored, as is everything after the
-run has ended by itself.
+run has ended by itself. Python sees times as microseconds, so no session time
+zone gets in between.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gradeloom.operators.browse import STALE_MESSAGE, STALE_MINUTES
 
-TIMEOUT = pd.Timedelta(minutes=STALE_MINUTES)
+TIMEOUT = STALE_MINUTES * 60 * 1_000_000
+STATE = "closed boolean, starts array<long>, ends array<long>, ended_at long"
 
-SPANS = "eval_run_id long, span_start timestamp, span_end timestamp, ended boolean"
-FAILED = "eval_run_id long, status string, last_heartbeat timestamp, failed_at timestamp, error_message string"
-STATE = "closed boolean, starts array<timestamp>, ends array<timestamp>, ended_at timestamp"
+Span = tuple[int, int]
 
 
-def _merge(spans: list[tuple[pd.Timestamp, pd.Timestamp]]) -> list[tuple[pd.Timestamp, pd.Timestamp]]:
+def _merge(spans: list[Span]) -> list[Span]:
     """Join spans whose gap is within the timeout."""
-    merged: list[tuple[pd.Timestamp, pd.Timestamp]] = []
+    merged: list[Span] = []
     for start, end in sorted(spans):
         if merged and start <= merged[-1][1] + TIMEOUT:
             merged[-1] = (merged[-1][0], max(merged[-1][1], end))
@@ -43,61 +41,42 @@ def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     them all to one task.
     """
     for batch in batches:
-        beats = batch.sort_values(["eval_run_id", "ts"])
-        gap = beats["ts"].diff() > TIMEOUT
-        other = beats["eval_run_id"].diff() != 0
-        beats = beats.assign(span=(gap | other).cumsum())
-        yield beats.groupby("span", as_index=False).agg(
+        beats = batch.sort_values(["eval_run_id", "at"])
+        late = beats["at"].diff() > TIMEOUT
+        other = beats["eval_run_id"] != beats["eval_run_id"].shift()
+        beats = beats.assign(span=(late | other).cumsum())
+        beats["stop"] = beats["at"].where(beats["ended"])
+        yield beats.groupby("span").agg(
             eval_run_id=("eval_run_id", "first"),
-            span_start=("ts", "min"),
-            span_end=("ts", "max"),
-            ended=("ended", "any"),
-        )[["eval_run_id", "span_start", "span_end", "ended"]]
-
-
-def _naive(value: datetime | pd.Timestamp) -> pd.Timestamp:
-    stamp = pd.Timestamp(value)
-    return stamp.tz_convert(None) if stamp.tzinfo else stamp
+            first_at=("at", "min"),
+            last_at=("at", "max"),
+            ended_at=("stop", "min"),
+        ).astype({"ended_at": "Int64"})
 
 
 def _watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     closed, starts, ends, ended_at = state.get if state.exists else (False, [], [], None)
-    spans = [(_naive(a), _naive(b)) for a, b in zip(starts, ends)]
-    finish = _naive(ended_at) if ended_at is not None else None
+    spans = list(zip(starts, ends, strict=True))
     for frame in frames:
-        for row in frame.itertuples():
-            spans.append((_naive(row.span_start), _naive(row.span_end)))
-            if row.ended:
-                end = _naive(row.span_end)
-                finish = end if finish is None else min(finish, end)
+        spans += zip(frame["first_at"].tolist(), frame["last_at"].tolist(), strict=True)
+        stops = frame["ended_at"].dropna()
+        if len(stops):
+            first = int(stops.min())
+            ended_at = first if ended_at is None else min(ended_at, first)
     if closed:
         return
     spans = _merge(spans)
-    now = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+    now = state.getCurrentWatermarkMs() * 1000
     deadline = spans[0][1] + TIMEOUT
     # A run that ended inside its first span never times out.
-    done = finish is not None and finish <= spans[0][1]
-    overdue = not done and deadline <= now
-    if done or overdue:
-        state.update((True, [], [], None))
-        if overdue:
-            yield pd.DataFrame(
-                {
-                    "eval_run_id": [key[0]],
-                    "status": ["failed"],
-                    "last_heartbeat": [spans[0][1]],
-                    "failed_at": [deadline],
-                    "error_message": [STALE_MESSAGE],
-                }
-            )
+    finished = ended_at is not None and ended_at <= spans[0][1]
+    if not finished and deadline > now:
+        state.update((False, [a for a, _ in spans], [b for _, b in spans], ended_at))
+        state.setTimeoutTimestamp(max(deadline // 1000, state.getCurrentWatermarkMs() + 1))
         return
-    keep = [[_aware(a) for a, _ in spans], [_aware(b) for _, b in spans]]
-    state.update((False, *keep, None if finish is None else _aware(finish)))
-    state.setTimeoutTimestamp(max(int(deadline.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-
-
-def _aware(stamp: pd.Timestamp) -> datetime:
-    return stamp.to_pydatetime().replace(tzinfo=timezone.utc)
+    state.update((True, [], [], None))
+    if not finished:
+        yield pd.DataFrame({"eval_run_id": [key[0]], "last_at": [spans[0][1]], "failed_at": [deadline]})
 
 
 def failed_runs(heartbeats: DataFrame, *, watermark: str = "0 seconds") -> DataFrame:
@@ -106,22 +85,24 @@ def failed_runs(heartbeats: DataFrame, *, watermark: str = "0 seconds") -> DataF
     A run whose deadline lies beyond the newest event stays open until newer
     events move the watermark.
     """
+    kind = heartbeats.schema["eval_run_id"].dataType.simpleString()
     beats = heartbeats.select(
-        F.col("eval_run_id").cast("long").alias("eval_run_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        "eval_run_id",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
         F.coalesce("ended", F.lit(False)).alias("ended"),
     )
-    spans = beats.mapInPandas(_spans, SPANS).withWatermark("span_end", watermark)
-    return spans.groupBy("eval_run_id").applyInPandasWithState(
-        _watch, FAILED, STATE, "append", GroupStateTimeout.EventTimeTimeout
+    spans = beats.mapInPandas(
+        _spans, f"eval_run_id {kind}, first_at long, last_at long, ended_at long"
     )
-
-
-def heartbeat_schema() -> T.StructType:
-    return T.StructType(
-        [
-            T.StructField("eval_run_id", T.LongType()),
-            T.StructField("ts", T.TimestampType()),
-            T.StructField("ended", T.BooleanType()),
-        ]
+    timed = spans.withColumn("seen", F.timestamp_micros("last_at")).withWatermark("seen", watermark)
+    failed = timed.groupBy("eval_run_id").applyInPandasWithState(
+        _watch, f"eval_run_id {kind}, last_at long, failed_at long", STATE, "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+    return failed.select(
+        "eval_run_id",
+        F.lit("failed").alias("status"),
+        F.timestamp_micros("last_at").alias("last_heartbeat"),
+        F.timestamp_micros("failed_at").alias("failed_at"),
+        F.lit(STALE_MESSAGE).alias("error_message"),
     )
