@@ -34,7 +34,7 @@ def canonical_json(
                 text = F.coalesce(text, F.lit("null"))
             label = F.lit(f'"{field.name}": ')
             parts.append(F.when(text.isNotNull(), F.concat(label, text)))
-        body = F.array_join(F.array_compact(F.array(*parts)), ", ")
+        body = F.concat_ws(", ", *parts)  # skips NULL
         return F.when(col.isNotNull(), F.concat(F.lit("{"), body, F.lit("}")))
     if isinstance(kind, T.MapType):
         entries = F.transform(

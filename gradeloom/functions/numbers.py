@@ -58,7 +58,8 @@ def float_text(value: Column) -> Column:
     )
     size = F.abs(value.cast("double"))
     return (
-        F.when(F.isnan(value), F.lit("nan"))
+        F.when((size >= 1e-3) & (size < 1e7), java)  # Java agrees here, the usual case
+        .when(F.isnan(value), F.lit("nan"))
         .when(value == float("inf"), F.lit("inf"))
         .when(value == float("-inf"), F.lit("-inf"))
         .when(size == 0, F.when(java.startswith("-"), F.lit("-0.0")).otherwise(F.lit("0.0")))

@@ -26,7 +26,6 @@ from gradeloom.functions.templates import judge_prompt, template_column
 from gradeloom.functions.text import strip
 from gradeloom.operators.browse import DEFAULT_THRESHOLD, DEFAULT_THRESHOLDS
 from gradeloom.operators.schema_check import validate
-from gradeloom.operators.summary import weighted_verdict
 
 ENTRY_POINTS = "gradeloom.graders"
 
@@ -279,6 +278,10 @@ def find_field(document: object, name: str) -> tuple[bool, object]:
     return False, None
 
 
+def _found(parsed: Column, found: Column, value: Column) -> Column:
+    return F.struct(parsed.alias("parsed"), found.alias("found"), value.alias("value"))
+
+
 def _field_search(name: str) -> Callable[[Column], Column]:
     @F.pandas_udf("struct<parsed:boolean,found:boolean,value:string>")
     def search(texts: pd.Series) -> pd.DataFrame:
@@ -308,14 +311,22 @@ def json_field(definition: dict, context: Context, slot: str) -> Grader:
         output = F.col(context.actual)
         if path:
             value = F.get_json_object(output, path)
-            found = F.struct(
-                F.try_parse_json(output).isNotNull().alias("parsed"),
-                value.isNotNull().alias("found"),
-                value.alias("value"),
-            )
-        else:
-            found = once(_field_search(name))(output)
-        return df.withColumn(slot, found)
+            parsed = F.try_parse_json(output).isNotNull()
+            return df.withColumn(slot, _found(parsed, value.isNotNull(), value))
+        # A document's own field comes first; when it is a plain value, the JVM reads it.
+        quoted = name.replace("\\", "\\\\").replace("'", "\\'")
+        own = F.try_variant_get(F.try_parse_json(output), f"$['{quoted}']", "variant")
+        df = df.withColumn(slot, own)
+        kind = F.schema_of_variant(F.col(slot))
+        text = F.try_variant_get(F.col(slot), "$", "string")
+        plain = F.when(kind.isin("STRING", "BIGINT"), text).when(kind == "BOOLEAN", F.initcap(text)).when(
+            kind == "VOID", "None"
+        )
+        searched = f"{slot}_search"
+        df = df.withColumn(slot, plain)
+        df = df.withColumn(searched, once(_field_search(name))(F.when(F.col(slot).isNull(), output)))
+        native = _found(F.lit(True), F.lit(True), F.col(slot))
+        return df.withColumn(slot, F.when(F.col(slot).isNotNull(), native).otherwise(F.col(searched))).drop(searched)
 
     found = F.col(slot)
 
@@ -506,13 +517,27 @@ def grade(df: DataFrame, graders: list[Grader]) -> DataFrame:
     verdicts = [g.verdict.withField("weight", F.lit(weights[g.name])) for g in graders]
     last = {g.name: i for i, g in enumerate(graders)}
     ok = F.col("error").isNull() if "error" in df.columns else F.lit(True)
-    out = out.withColumn("_verdicts", F.when(ok, F.array(*verdicts)))
-    entries = [F.struct(F.lit(n), F.get("_verdicts", i)) for n, i in last.items()]
-    combined = weighted_verdict(F.col("_verdicts"))
-    out = out.withColumn("_combined", F.when(ok, combined))
+    out = out.select(*df.columns, *[v.alias(f"_verdict{i}") for i, v in enumerate(verdicts)])
+    parts = [F.col(f"_verdict{i}") for i in range(len(verdicts))]
+    entries = [part for n, i in last.items() for part in (F.lit(n), parts[i])]
+    score, passed = _combined(parts, [weights[g.name] for g in graders])
     return out.select(
         *df.columns,
-        F.when(ok, F.map_from_entries(F.array(*entries))).alias("details"),
-        F.col("_combined.score").alias("score"),
-        F.col("_combined.passed").alias("passed"),
+        F.when(ok, F.create_map(*entries)).alias("details"),
+        F.when(ok, score).alias("score"),
+        F.when(ok, passed).alias("passed"),
     )
+
+
+def _combined(verdicts: list[Column], weights: list[float]) -> tuple[Column, Column]:
+    """``summary.weighted_verdict`` for graders known while planning: plain arithmetic."""
+    active = [(v, w) for v, w in zip(verdicts, weights, strict=True) if w > 0]
+    if not active:
+        return F.lit(0.0), F.lit(False)
+    total = sum(F.lit(w) * F.coalesce(v["score"], F.lit(0.0)) for v, w in active)
+    # NULL verdicts are left out: all true, and at least one known.
+    known = F.coalesce(*[v["passed"] for v, _ in active])
+    every = F.lit(True)
+    for v, _ in active:
+        every = every & F.coalesce(v["passed"], F.lit(True))
+    return total / F.lit(sum(w for _, w in active)), F.when(known.isNotNull(), every)

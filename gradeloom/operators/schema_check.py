@@ -26,7 +26,7 @@ PARSE_PREFIX = "The model output was not valid JSON, so the JSON schema grader c
 FAILED = "JSON schema validation failed"
 PREVIEW_LIMIT = 160
 
-VIOLATION = "array<struct<path:string,schema_path:string,message:string>>"
+VIOLATION = "struct<path:string,schema_path:string,message:string>"
 
 
 def _py(value: object) -> str:
@@ -77,14 +77,19 @@ class _Node:
         )
 
 
-def violations(schema: dict, value: Column, path: Column | None = None, rule: str = "$") -> Column:
-    """Array of ``struct(path, schema_path, message)`` for a VARIANT column."""
+def _checks(
+    schema: dict, value: Column, path: Column, rule: str, given: Column | None = None
+) -> tuple[list[Column], list[Column]]:
+    """Rules as nullable violation structs, and as arrays of them (for lists).
+
+    ``given`` limits the rules to documents where the place exists.
+    """
     unknown = [k for k in schema if k not in KEYWORDS and k not in ANNOTATIONS]
     if unknown:
         raise ValueError(f"unsupported JSON schema keywords: {', '.join(sorted(unknown))}")
-    node = _Node(value, path if path is not None else F.lit("$"))
-    checks: list[Column] = []
-    nested: list[Column] = []
+    node = _Node(value, path)
+    single: list[Column] = []
+    listed: list[Column] = []
 
     def check(keyword: str, broken: Column, message: Column) -> None:
         entry = F.struct(
@@ -92,47 +97,44 @@ def violations(schema: dict, value: Column, path: Column | None = None, rule: st
             F.lit(f"{rule}.{keyword}").alias("schema_path"),
             message.alias("message"),
         )
-        checks.append(F.when(F.coalesce(broken, F.lit(False)), entry))
+        hit = broken if given is None else given & broken
+        single.append(F.when(F.coalesce(hit, F.lit(False)), entry))
 
     def about(suffix: str) -> Column:
         return F.concat(node.shown(), F.lit(suffix))
 
+    def child(key: str) -> Column:
+        """A key's value; NULL only when the key is absent."""
+        return F.try_variant_get(value, f"${_part(key)}", "variant")
+
     if "type" in schema:
         names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
         hit = node.matches(names[0])
         for name in names[1:]:
             hit = hit | node.matches(name)
         check("type", ~hit, about(f" is not of type {', '.join(map(_py, names))}"))
-    for i, key in enumerate(schema.get("required", [])):
-        lacking = node.object.isNotNull() & ~F.map_contains_key(node.object, key)
+    for key in schema.get("required", []):
+        lacking = node.object.isNotNull() & child(key).isNull()
         check("required", lacking, F.lit(f"{key!r} is a required property"))
     properties = schema.get("properties", {})
     extra_rule = schema.get("additionalProperties", True)
-    extras = F.array_sort(
-        F.array_except(F.map_keys(node.object), F.array(*[F.lit(k) for k in properties]).cast("array<string>"))
-    )
-    if extra_rule is False:
-        listed = F.array_join(F.transform(extras, lambda k: F.concat(F.lit("'"), k, F.lit("'"))), ", ")
-        verb = F.when(F.size(extras) == 1, " was").otherwise(" were")
-        check(
-            "additionalProperties",
-            F.size(extras) > 0,
-            F.concat(
-                F.lit("Additional properties are not allowed ("), listed, verb, F.lit(" unexpected)")
-            ),
-        )
-    elif isinstance(extra_rule, dict):
-        nested.append(
-            F.flatten(
-                F.transform(
-                    extras,
-                    lambda k: violations(
-                        extra_rule, node.object[k], F.concat(node.path, F.lit("."), k),
-                        f"{rule}.additionalProperties",
-                    ),
-                )
-            )
-        )
+    if extra_rule is not True:
+        named = F.array(*[F.lit(k) for k in properties]).cast("array<string>")
+        extras = F.sort_array(F.array_except(F.map_keys(node.object), named))
+        if extra_rule is False:
+            quoted = F.concat(F.lit("'"), F.array_join(extras, "', '"), F.lit("'"))
+            verb = F.when(F.size(extras) == 1, " was").otherwise(" were")
+            words = F.lit("Additional properties are not allowed (")
+            check("additionalProperties", F.size(extras) > 0, F.concat(words, quoted, verb, F.lit(" unexpected)")))
+        else:
+            below = F.transform(
+                extras,
+                lambda k: _every(
+                    extra_rule, node.object[k], F.concat(node.path, F.lit("."), k),
+                    f"{rule}.additionalProperties",
+                ),
+            )
+            listed.append(F.flatten(below))
     if "enum" in schema:
         allowed = [F.to_json(F.parse_json(F.lit(json.dumps(v)))) for v in schema["enum"]]
         check("enum", ~F.to_json(node.value).isin(*allowed), about(f" is not one of {schema['enum']!r}"))
@@ -148,11 +150,8 @@ def violations(schema: dict, value: Column, path: Column | None = None, rule: st
     for keyword, (outside, words) in limits.items():
         if keyword in schema:
             bound = schema[keyword]
-            check(
-                keyword,
-                node.is_number() & outside(node.number, F.lit(float(bound))),
-                about(f"{words}{bound!r}"),
-            )
+            broken = node.is_number() & outside(node.number, F.lit(float(bound)))
+            check(keyword, broken, about(f"{words}{bound!r}"))
     sizes = [("Length", node.is_string(), F.length(node.text)), ("Items", node.array.isNotNull(), F.size(node.array))]
     for suffix, applies, size in sizes:
         if f"min{suffix}" in schema:
@@ -163,23 +162,47 @@ def violations(schema: dict, value: Column, path: Column | None = None, rule: st
         wanted = schema["pattern"]
         check("pattern", node.is_string() & ~node.text.rlike(wanted), about(f" does not match {wanted!r}"))
     for key, inner in properties.items():
-        child = F.try_variant_get(value, f"${_part(key)}", "variant")
-        below = violations(
-            inner, child, F.concat(node.path, F.lit(f".{key}")), f"{rule}.properties.{key}"
+        below = child(key)
+        ones, many = _checks(
+            inner, below, F.concat(node.path, F.lit(f".{key}")), f"{rule}.properties.{key}", below.isNotNull()
         )
-        nested.append(F.when(F.map_contains_key(node.object, key), below))
+        single += ones
+        listed += [F.when(below.isNotNull(), m) for m in many]
     if "items" in schema:
-        below = F.transform(
+        each = F.transform(
             node.array,
-            lambda item, i: violations(
+            lambda item, i: _every(
                 schema["items"], item,
                 F.concat(node.path, F.lit("["), i.cast("string"), F.lit("]")), f"{rule}.items",
             ),
         )
-        nested.append(F.flatten(below))
-    empty = F.array().cast(VIOLATION)
-    own = F.array_compact(F.array(*checks)).cast(VIOLATION) if checks else empty
-    return F.concat(own, *[F.coalesce(n.cast(VIOLATION), empty) for n in nested])
+        listed.append(F.flatten(each))
+    return single, listed
+
+
+def _every(schema: dict, value: Column, path: Column, rule: str) -> Column:
+    """All violations as one array; rules that hold leave a NULL in it."""
+    single, listed = _checks(schema, value, path, rule)
+    empty = F.array().cast(f"array<{VIOLATION}>")
+    own = F.array(*single).cast(f"array<{VIOLATION}>") if single else empty
+    return F.concat(own, *[F.coalesce(m.cast(f"array<{VIOLATION}>"), empty) for m in listed])
+
+
+def violations(schema: dict, value: Column) -> Column:
+    """Array of ``struct(path, schema_path, message)`` for a VARIANT column, with NULLs
+    for rules that hold (drop them after ``explode``)."""
+    return _every(schema, value, F.lit("$"), "$")
+
+
+def first_violation(schema: dict, value: Column) -> Column:
+    """The violation with the smallest path, then rule; NULL for a valid document.
+
+    ``least`` skips NULL, so nothing but the checks themselves is evaluated.
+    """
+    single, listed = _checks(schema, value, F.lit("$"), "$")
+    found = [c.cast(VIOLATION) for c in single]
+    found += [F.array_min(m.cast(f"array<{VIOLATION}>")) for m in listed]
+    return F.least(*found, F.lit(None).cast(VIOLATION), F.lit(None).cast(VIOLATION))
 
 
 _EXPLAINED = T.StructType(
@@ -222,7 +245,7 @@ def validate(df: DataFrame, column: str, schema: dict, out: str) -> DataFrame:
     explain = explain_unparsed.asNondeterministic()
     df = df.withColumn(broken, explain(F.when(F.col(doc).isNull(), text)))
     df = df.withColumn(doc, F.coalesce(F.col(doc), F.try_parse_json(F.col(broken)["document"])))
-    df = df.withColumn(found, F.array_min(violations(schema, F.col(doc))))
+    df = df.withColumn(found, first_violation(schema, F.col(doc)))
     unparsed = F.col(doc).isNull()
     first = F.col(found)
     return df.withColumn(
@@ -240,7 +263,7 @@ def validate(df: DataFrame, column: str, schema: dict, out: str) -> DataFrame:
 def violation_counts(df: DataFrame, column: str, schema: dict) -> DataFrame:
     """How often each rule is broken, over all violations of all rows."""
     parsed = df.select(F.try_parse_json(column).alias("_doc")).filter(F.col("_doc").isNotNull())
-    each = parsed.select(F.explode(violations(schema, F.col("_doc"))).alias("v"))
+    each = parsed.select(F.explode(violations(schema, F.col("_doc"))).alias("v")).filter("v IS NOT NULL")
     general = F.regexp_replace(F.col("v.path"), r"\[\d+\]", "[]")
     return each.groupBy(general.alias("path"), F.col("v.schema_path").alias("schema_path")).agg(
         F.count(F.lit(1)).alias("violations")

@@ -17,6 +17,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "5000",
     "spark.ui.enabled": "false",
+    # HotSpot leaves methods above 8000 bytes of bytecode interpreted; below the
+    # limit Spark splits wide expressions into smaller methods instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Call sites for error messages cost several JVM calls per column expression.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +68,18 @@ def run_export(results: DataFrame, runs: DataFrame, names: list[str] | None = No
     )
     rows = enrich_results(results, run_side)
     style = {"null_keys": ("passed",), "raw_keys": ("details_json",)}
+    # One lookup and one JSON text per grader; the whole map is put together from them.
+    verdicts = {name: f"_verdict{i}" for i, name in enumerate(names)}
+    rows = rows.select("*", *[F.col("details")[n].alias(c) for n, c in verdicts.items()])
+    rows = rows.select(
+        "*", *[canonical_json(F.col(c), verdict_type, **style).alias(f"{c}_json") for c in verdicts.values()]
+    )
+    labelled = [
+        F.concat(F.lit(json.dumps(n, ensure_ascii=False) + ": "), F.col(f"{c}_json")) for n, c in verdicts.items()
+    ]
+    whole = F.when(
+        F.col("details").isNotNull(), F.concat(F.lit("{"), F.concat_ws(", ", *labelled), F.lit("}"))
+    )
     usage = F.when(
         F.col("input_tokens").isNotNull() | F.col("output_tokens").isNotNull(),
         F.to_json(F.struct("input_tokens", "output_tokens")),
@@ -83,26 +98,24 @@ def run_export(results: DataFrame, runs: DataFrame, names: list[str] | None = No
         "input_tokens": F.col("input_tokens").cast("string"),
         "output_tokens": F.col("output_tokens").cast("string"),
         "error": F.col("error"),
-        "comparer_details_json": canonical_json(F.col("details"), details_type, **style),
+        "comparer_details_json": whole,
         "token_usage_json": spaced,
         "result_created_at": datetime_text(F.col("created_at")),
     }
     fields = verdict_type.fieldNames()
     for name in names:
-        verdict = F.col("details")[name]
+        verdict = F.col(verdicts[name])
         prefix = _key(name)
         made[f"{prefix}_score"] = float_text(verdict["score"])
         made[f"{prefix}_passed"] = bool_text(verdict["passed"])
         reasoning = verdict["reasoning"] if "reasoning" in fields else F.lit(None).cast("string")
         made[f"{prefix}_reasoning"] = reasoning
-        made[f"{prefix}_details_json"] = canonical_json(verdict, verdict_type, **style)
+        made[f"{prefix}_details_json"] = F.col(f"{verdicts[name]}_json")
     return rows.select(*[F.coalesce(col, F.lit("")).alias(name) for name, col in made.items()])
 
 
 def _key(name: str) -> str:
     """Driver-side twin of ``grader_key`` for column names."""
-    import re
-
     return "grader_" + (re.sub(r"[^A-Za-z0-9]+", "_", name).strip("_").lower() or "unknown")
 
 
