@@ -59,9 +59,8 @@ def canonical_json(
 
 def datetime_text(col: Column) -> Column:
     """Timestamp as text, with all six fraction digits when there are any."""
-    whole = F.date_format(col, "yyyy-MM-dd HH:mm:ss")
-    exact = F.date_format(col, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    return F.when(F.endswith(exact, F.lit(".000000")), whole).otherwise(exact)
+    text = col.cast("string")  # drops trailing zeros of the fraction
+    return F.when(F.length(text) > 19, F.rpad(text, 26, "0")).otherwise(text)
 
 
 def bool_text(col: Column) -> Column:

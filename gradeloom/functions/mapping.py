@@ -45,6 +45,7 @@ class Value:
     col: Column
     type: T.DataType
     raw: tuple[Column, str] | None = None
+    constant: tuple[object, ...] = ()  # the value itself when the mapping text spells it out
 
     @property
     def is_list(self) -> bool:
@@ -84,20 +85,29 @@ def _outer(text: str) -> str:
 
 def _literal(text: str) -> Value | None:
     if len(text) >= 2 and text[0] == text[-1] and text[0] in "\"'":
-        return Value(F.lit(text[1:-1]), T.StringType())
-    if text in ("true", "false"):
-        return Value(F.lit(text == "true"), T.BooleanType())
+        return Value(F.lit(text[1:-1]), T.StringType(), constant=(_plain(text[1:-1]),))
+    known = {"true": True, "false": False}
+    if text in known:
+        return Value(F.lit(known[text]), T.BooleanType(), constant=(known[text],))
     if text == "null":
-        return _nothing()
+        return Value(F.lit(None).cast("string"), T.NullType(), constant=(None,))
     if NUMBER.fullmatch(text):
         if "." in text:
-            return Value(F.lit(float(text)), T.DoubleType())
-        digits = len(text.lstrip("-"))
-        kind = T.LongType() if digits <= 18 else T.DecimalType(38, 0)
-        return Value(F.lit(text).cast(kind), kind)
+            return Value(F.lit(float(text)), T.DoubleType(), constant=(float(text),))
+        kind = T.LongType() if len(text.lstrip("-")) <= 18 else T.DecimalType(38, 0)
+        return Value(F.lit(text).cast(kind), kind, constant=(int(text),))
     return None
 
 
+def _plain(text: str) -> object:
+    """What a text counts as in a comparison."""
+    inner = _literal(text)
+    if inner is None:
+        return text
+    # The quotes of quoted text come off once.
+    return text[1:-1] if text[0] in "\"'" else inner.constant[0]
+
+
 def _call(text: str) -> tuple[str, list[str], str] | None:
     """Split ``name(a, b).rest`` into name, arguments and trailing path."""
     match = CALL.fullmatch(text)
@@ -178,9 +188,14 @@ def _json_path(steps: list[str | int]) -> str:
 
 
 def _json_value(text: Column, path: str) -> Value:
-    """Part of a JSON text; a text that is no JSON as a whole has no parts."""
-    part = F.when(F.try_parse_json(text).isNotNull(), F.get_json_object(text, path))
-    return Value(part, _JsonText(), (text, path))
+    """Part of a JSON text; a text that is no JSON as a whole has no parts.
+
+    transform() over one element evaluates the text once for both uses.
+    """
+    part = F.transform(
+        F.array(text), lambda t: F.when(F.try_parse_json(t).isNotNull(), F.get_json_object(t, path))
+    )
+    return Value(F.get(part, 0), _JsonText(), (text, path))
 
 
 def _resolve_json(value: Value, steps: list[str | int | None]) -> Value:
@@ -287,6 +302,51 @@ _ORDER: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
+def _may_convert(text: Column) -> Column:
+    """Whether a text could count as a number, boolean, null or quoted text."""
+    return F.coalesce(F.substring(text, 1, 1).isin(*"-0123456789tfn\"'"), F.lit(True))
+
+
+def _equals_constant(value: Value, constant: object) -> Column | None:
+    """A scalar column against a constant, without building comparable forms.
+
+    None when the general way is needed.
+    """
+    kind, col = value.type, value.col
+    if constant is None:
+        if isinstance(kind, T.StringType):
+            return col.isNull() | (col == "null")
+        return col.isNull()
+    number = constant if isinstance(constant, (int, float)) else None
+    if number is not None and abs(number) >= 10**15:
+        return None
+    if isinstance(kind, _NUMERIC):
+        return F.lit(False) if number is None else col == F.lit(float(number))
+    if isinstance(kind, T.BooleanType):
+        return F.lit(False) if number is None else col.cast("int") == F.lit(float(number))
+    if isinstance(kind, T.StringType):
+        if number is None:
+            return col.isin(constant, f'"{constant}"', f"'{constant}'")
+        same = F.when(col.rlike(NUMBER_TEXT), col.try_cast("double") == F.lit(float(number)))
+        word = {0: "false", 1: "true"}.get(number)
+        return same if word is None else (col == word) | F.coalesce(same, F.lit(False))
+    return None
+
+
+def _ordered_by_constant(value: Value, constant: object, sign: str, *, constant_left: bool) -> Column | None:
+    """Order of a numeric column or numeric text against a number."""
+    if isinstance(constant, bool) or not isinstance(constant, (int, float)):
+        return None
+    test, bound = _ORDER[sign], F.lit(float(constant))
+    if isinstance(value.type, _NUMERIC):
+        number = value.col.cast("double")
+    elif isinstance(value.type, T.StringType):
+        number = F.when(value.col.rlike(NUMBER_TEXT), value.col.try_cast("double"))
+    else:
+        return None
+    return test(bound, number) if constant_left else test(number, bound)
+
+
 def _ordered_scalars(left: Column, right: Column, sign: str) -> Column:
     test = _ORDER[sign]
     same = left["k"] == right["k"]
@@ -317,7 +377,18 @@ def _equal(left: Value, right: Value) -> Column:
         return _any_item(left, lambda item: _equal(item, right))
     if right.is_list:
         return _any_item(right, lambda item: _equal(left, item))
-    return _equal_scalars(_scalar(left), _scalar(right))
+    for value, other in ((left, right), (right, left)):
+        if other.constant and not value.constant:
+            quick = _equals_constant(value, other.constant[0])
+            if quick is not None:
+                return quick
+    if isinstance(left.type, _NUMERIC) and isinstance(right.type, _NUMERIC):
+        return left.col.eqNullSafe(right.col)
+    general = _equal_scalars(_scalar(left), _scalar(right))
+    if isinstance(left.type, T.StringType) and isinstance(right.type, T.StringType):
+        plain_words = ~_may_convert(left.col) & ~_may_convert(right.col)
+        return F.when(left.col.eqNullSafe(right.col), True).when(plain_words, False).otherwise(general)
+    return general
 
 
 def _ordered(left: Value, right: Value, sign: str) -> Column:
@@ -325,7 +396,15 @@ def _ordered(left: Value, right: Value, sign: str) -> Column:
         return _any_item(left, lambda item: _ordered(item, right, sign))
     if right.is_list:
         return _any_item(right, lambda item: _ordered(left, item, sign))
-    return _ordered_scalars(_scalar(left), _scalar(right), sign)
+    if right.constant:
+        quick = _ordered_by_constant(left, right.constant[0], sign, constant_left=False)
+    elif left.constant:
+        quick = _ordered_by_constant(right, left.constant[0], sign, constant_left=True)
+    elif isinstance(left.type, _NUMERIC) and isinstance(right.type, _NUMERIC):
+        quick = _ORDER[sign](left.col, right.col)
+    else:
+        quick = None
+    return quick if quick is not None else _ordered_scalars(_scalar(left), _scalar(right), sign)
 
 
 def _truthy(value: Value) -> Column:

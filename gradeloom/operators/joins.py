@@ -76,10 +76,21 @@ def evaluation_rows(
     )
 
 
-def delete_cascade(children: DataFrame, deleted: DataFrame, key: str, parent_key: str = "id") -> DataFrame:
+def _marked(
+    children: DataFrame, deleted: DataFrame, key: str, parent_key: str, spread_by: list[str]
+) -> DataFrame:
+    """Children with ``_gone`` set where their parent is deleted."""
+    gone = deleted.select(F.col(parent_key).alias(key)).distinct().withColumn("_gone", F.lit(True))
+    return lookup_join(children, gone, [key], "left", spread_by=spread_by).select(
+        *children.columns, "_gone"
+    )
+
+
+def delete_cascade(
+    children: DataFrame, deleted: DataFrame, key: str, parent_key: str = "id", *, spread_by: list[str]
+) -> DataFrame:
     """Children that remain after their parents in ``deleted`` are removed."""
-    gone = deleted.select(F.col(parent_key).alias(key)).distinct()
-    return children.join(gone, key, "left_anti")
+    return _marked(children, deleted, key, parent_key, spread_by).filter("_gone IS NULL").drop("_gone")
 
 
 def delete_restricted(parents: DataFrame, children: DataFrame, key: str, parent_key: str = "id") -> DataFrame:
@@ -90,9 +101,9 @@ def delete_restricted(parents: DataFrame, children: DataFrame, key: str, parent_
     ).drop("_used")
 
 
-def delete_set_null(children: DataFrame, deleted: DataFrame, key: str, parent_key: str = "id") -> DataFrame:
+def delete_set_null(
+    children: DataFrame, deleted: DataFrame, key: str, parent_key: str = "id", *, spread_by: list[str]
+) -> DataFrame:
     """Children whose reference to a deleted parent becomes NULL."""
-    gone = deleted.select(F.col(parent_key).alias(key)).distinct().withColumn("_gone", F.lit(True))
-    return children.join(gone, key, "left").withColumn(
-        key, F.when(F.col("_gone"), F.lit(None)).otherwise(F.col(key))
-    ).drop("_gone")
+    marked = _marked(children, deleted, key, parent_key, spread_by)
+    return marked.withColumn(key, F.when(F.col("_gone"), F.lit(None)).otherwise(F.col(key))).drop("_gone")

@@ -325,7 +325,7 @@ SELECT o_orderkey AS id, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_
 def c9(spark, sf):
     gone = views.table(spark, sf, "customer").filter("c_acctbal < 0")
     orders = views.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey")
-    return joins.delete_cascade(orders, gone, "o_custkey", "c_custkey").select("id", "o_custkey")
+    return joins.delete_cascade(orders, gone, "o_custkey", "c_custkey", spread_by=["id"]).select("id", "o_custkey")
 
 
 @query("c9_restricted_delete", """
@@ -341,7 +341,7 @@ FROM v_runs r LEFT JOIN (SELECT id FROM v_schedules WHERE NOT enabled) s ON s.id
 def c9_null(spark, sf):
     gone = views.schedules(spark, sf).filter(~F.col("enabled"))
     runs = views.runs(spark, sf).select("id", "scheduled_by_id")
-    return joins.delete_set_null(runs, gone, "scheduled_by_id").select("id", "scheduled_by_id")
+    return joins.delete_set_null(runs, gone, "scheduled_by_id", spread_by=["id"]).select("id", "scheduled_by_id")
 
 
 # --- sorting and paging ---------------------------------------------------------

@@ -15,8 +15,9 @@ from gradeloom.plans.aggregates import _SUMMARY
 from gradeloom.plans.registry import query
 from gradeloom.plans.views import SQL_ENTITIES, SQL_RESULTS, SQL_VERDICTS, with_ctes
 from gradeloom.session import fresh_dir
-from gradeloom.sources import exports
+from gradeloom.sources import csv_dataset, exports, paging, records
 from gradeloom.sources.keyed_table import KeyedTable
+from gradeloom.sources.paged_json import register_paged_json
 from gradeloom.streaming import grade_stream, heartbeat
 
 # --- fan-out and export -----------------------------------------------------------
@@ -101,6 +102,42 @@ def s4(spark, sf):
     return part.select("p_partkey", canonical_json(F.col("s"), part.schema["s"].dataType).alias("body"))
 
 
+# --- files and pages --------------------------------------------------------------------
+
+
+@query("a1_csv_round_trip", """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, text AS input, lang AS expected_output, '' AS note FROM documents""")
+def a1(spark, sf):
+    docs = views.table(spark, sf, "documents").select(
+        "doc_id", F.col("text").alias("input"), F.col("lang").alias("expected_output"))
+    path = fresh_dir(spark, "dataset")
+    csv_dataset.write_dataset(docs, path, ["doc_id", "input", "expected_output", "note"])
+    return csv_dataset.check_dataset(csv_dataset.read_dataset(spark, path))
+
+
+@query("a5_paged_source", """
+SELECT page_index, c_custkey, c_name FROM (SELECT c_custkey // 100 AS page_index, CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer)""")
+def a5(spark, sf):
+    def fetch(params, body):
+        """One page of the customer table, as a remote service would answer it."""
+        import pyarrow.dataset as ds
+
+        start, size = params["offset"], params["limit"]
+        key = ds.field("c_custkey")
+        page = ds.dataset(f"{sf}/customer.parquet").to_table(
+            columns=["c_custkey", "c_name"], filter=(key >= start) & (key < start + size))
+        return {"items": page.to_pylist(), "meta": {"more": page.num_rows == size}}
+
+    register_paged_json(spark, "customer_pages", fetch)
+    config = json.dumps({"page_size": 100, "has_more_path": "$.meta.more"})
+    pages = spark.read.format("customer_pages").options(mode="offset", config=config, parallel_pages="8").load()
+    kept = paging.cut_tail(pages, [], F.col("has_more"))
+    found = records.extract_json_records(kept, "payload", "$.items", ["page_index"])
+    return found.select(
+        "page_index", F.get_json_object("record", "$.c_custkey").alias("c_custkey"),
+        F.get_json_object("record", "$.c_name").alias("c_name"))
+
+
 # --- upserts ------------------------------------------------------------------------
 
 

@@ -125,6 +125,17 @@ def m12(spark, sf):
                    templated='tag {find(meta, key == "priority").value}!')
 
 
+@query("m13_function_calls", _sql("""'' AS unknown, '' AS too_few, 'p' || l_linenumber AS spaced, CAST(l_linenumber AS VARCHAR) AS chained"""))
+def m13(spark, sf):
+    return _mapped(spark, sf, unknown="upper(status)", too_few="find(meta)", spaced='find( meta , key == "priority" ).value',
+                   chained='parse_json(find(meta, key == "context").value).line')
+
+
+@query("m14_literals", _sql("""'a, b' AS quoted, 'True' AS yes, '' AS nothing, '-12' AS whole, '0.5' AS part, 'x?y:z' AS marks"""))
+def m14(spark, sf):
+    return _mapped(spark, sf, quoted='"a, b"', yes="true", nothing="null", whole="-12", part="0.50", marks="'x?y:z'")
+
+
 _INFERRED = """SELECT CAST(l_orderkey AS VARCHAR) AS id, CAST(l_linenumber AS VARCHAR) AS line,
   l_linestatus AS status, CAST(l_extendedprice AS VARCHAR) AS price FROM lineitem"""
 

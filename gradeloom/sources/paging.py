@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.operators.joins import lookup_join
+
 # Fixed values of the paging rules.
 MODES = ("none", "page", "offset", "next_token")
 OFFSET_PAGE_SIZE = 50
@@ -143,6 +145,6 @@ def cut_tail(pages: DataFrame, keys: list[str], more: Column) -> DataFrame:
     if not keys:
         return cut_tail(pages.withColumn("_all", F.lit(1)), ["_all"], more).drop("_all")
     stops = pages.filter(~more).groupBy(*keys).agg(F.min("page_index").alias("_last"))
-    return pages.join(stops, keys, "left").filter(
+    return lookup_join(pages, stops, keys, "left", spread_by=["page_index"]).filter(
         F.col("_last").isNull() | (F.col("page_index") <= F.col("_last"))
     ).drop("_last")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeloom.functions.mapping import Value, map_records, path_steps, resolve
+from gradeloom.functions.mapping import Value, as_text, map_records, path_steps, resolve
+from gradeloom.operators.joins import lookup_join
 from gradeloom.operators.merge import append_rows
 
 REQUIRED_COLUMNS = ("input", "expected_output")
@@ -93,8 +94,6 @@ def ready_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _as_stored(df: DataFrame, column: str) -> Column:
-    from gradeloom.functions.mapping import as_text
-
     return as_text(Value(F.col(column), df.schema[column].dataType))
 
 
@@ -106,7 +105,7 @@ def explore_settings(requests: DataFrame, presets: DataFrame) -> DataFrame:
         F.col("field_mapping").alias("_mapping"),
     )
     return (
-        requests.join(saved, "preset_id", "left")
+        lookup_join(requests, saved, ["preset_id"], "left", spread_by=["id"])
         .withColumn("records_path", F.coalesce("records_path", "_path"))
         .withColumn("field_mapping", F.coalesce("field_mapping", "_mapping"))
         .drop("_path", "_mapping")

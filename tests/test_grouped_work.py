@@ -77,10 +77,10 @@ def test_delete_rules(spark):
     parents = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     children = spark.createDataFrame([(10, 1), (11, 2), (12, None)], "id long, parent long")
     gone = parents.filter("id = 1")
-    assert sorted(r["id"] for r in joins.delete_cascade(children, gone, "parent").collect()) == [11, 12]
+    assert sorted(r["id"] for r in joins.delete_cascade(children, gone, "parent", spread_by=["id"]).collect()) == [11, 12]
     blocked = {r["id"]: r["blocked"] for r in joins.delete_restricted(parents, children, "parent").collect()}
     assert blocked == {1: True, 2: True, 3: False}
-    left = {r["id"]: r["parent"] for r in joins.delete_set_null(children, gone, "parent").collect()}
+    left = {r["id"]: r["parent"] for r in joins.delete_set_null(children, gone, "parent", spread_by=["id"]).collect()}
     assert left == {10: None, 11: 2, 12: None}
 
 
