@@ -32,8 +32,7 @@ def canonical_json(
             text = value if raw else canonical_json(value, field.dataType, **again)
             if field.name in null_keys:
                 text = F.coalesce(text, F.lit("null"))
-            label = F.lit(f'"{field.name}": ')
-            parts.append(F.when(text.isNotNull(), F.concat(label, text)))
+            parts.append(F.concat(F.lit(f'"{field.name}": '), text))  # NULL without a value
         body = F.concat_ws(", ", *parts)  # skips NULL
         return F.when(col.isNotNull(), F.concat(F.lit("{"), body, F.lit("}")))
     if isinstance(kind, T.MapType):

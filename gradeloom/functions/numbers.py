@@ -58,11 +58,9 @@ def float_text(value: Column) -> Column:
     )
     size = F.abs(value.cast("double"))
     return (
-        F.when((size >= 1e-3) & (size < 1e7), java)  # Java agrees here, the usual case
-        .when(F.isnan(value), F.lit("nan"))
-        .when(value == float("inf"), F.lit("inf"))
-        .when(value == float("-inf"), F.lit("-inf"))
-        .when(size == 0, F.when(java.startswith("-"), F.lit("-0.0")).otherwise(F.lit("0.0")))
+        # Java writes the usual range, and zero, the same way.
+        F.when(((size >= 1e-3) & (size < 1e7)) | (size == 0), java)
+        .when(java.rlike("[NI]"), F.lower(F.replace(java, F.lit("inity"), F.lit(""))))
         .when((size >= 1e16) | (size < 1e-4), science)
         .otherwise(plain)
     )
