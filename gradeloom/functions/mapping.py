@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +55,11 @@ class Value:
     def is_json(self) -> bool:
         return isinstance(self.type, _JsonText)
 
+    @property
+    def is_loose(self) -> bool:
+        """Text read from JSON, which may have been a number or boolean there."""
+        return self.is_json or (isinstance(self.type, T.StringType) and self.raw is not None)
+
 
 
 
@@ -219,7 +224,7 @@ def as_text(value: Value) -> Column:
     kind = value.type
     if isinstance(kind, T.NullType):
         return F.lit("")
-    if value.is_json:
+    if value.is_loose:
         text = F.when(_json_kind(value) == "BOOLEAN", F.initcap(value.col)).otherwise(value.col)
     elif isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
         if value.raw is not None:
@@ -230,6 +235,11 @@ def as_text(value: Value) -> Column:
         text = F.when(value.col, "True").when(~value.col, "False")
     elif isinstance(kind, _FRACTIONAL):
         text = float_text(value.col)
+        if value.raw is not None:
+            # A whole number in the JSON text stays one, whatever the schema says.
+            written = F.regexp_extract(F.get_json_object(*value.raw), "^-?[0-9]+$", 0)
+            whole = F.when(value.col == F.floor(value.col), F.nullif(written, F.lit("")))
+            text = F.coalesce(whole, text)
     else:
         text = value.col.cast("string")
     return F.coalesce(text, F.lit(""))
@@ -411,18 +421,13 @@ def _truthy(value: Value) -> Column:
     kind, col = value.type, value.col
     if isinstance(kind, T.NullType):
         return F.lit(False)
-    if value.is_json:
+    if value.is_loose:
         text, path = value.raw if value.raw is not None else (col, "$")
-        node = F.try_variant_get(F.try_parse_json(text), path, "variant")
-        name = F.schema_of_variant(node)
-        number = F.try_variant_get(node, "$", "double")
-        hit = (
-            F.when(name == "STRING", col != "")
-            .when(name == "BOOLEAN", col == "true")
-            .when(name == "VOID", F.lit(False))
-            .when(name.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), number != 0)
-            .otherwise(~col.isin("[]", "{}"))
-        )
+        node = F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), path, "variant"))
+        # Only these look false; a string of the same letters is true.
+        falsy = col.rlike(r"^(-?0+(\.0+)?|false|null|\[\]|\{\})$")
+        hit = F.when(col == "", False).when(falsy, node == "STRING").otherwise(True)
+        hit = F.when(col.isNotNull(), hit)
     elif isinstance(kind, T.BooleanType):
         hit = col
     elif isinstance(kind, _NUMERIC):
@@ -556,21 +561,30 @@ def infer_record_type(df: DataFrame, column: str) -> T.DataType:
     """Schema of JSON text, merged over all rows in one aggregation.
 
     Only the schema text reaches the driver. A field with mixed types becomes
-    text, so every row keeps its value.
+    text, so every row keeps its value; so do integers of more than 18 digits.
     """
     found = df.agg(F.schema_of_variant_agg(F.try_parse_json(column)).alias("t")).first()["t"]
     ddl = re.sub(r"\bOBJECT<", "STRUCT<", found or "STRING")
-    ddl = re.sub(r"\bDECIMAL\(\d+,0\)", "BIGINT", ddl)
+    # Integers are BIGINT; a DECIMAL comes from a fraction (1.0 too) or a long integer.
+    ddl = re.sub(r"\bDECIMAL\((19|[23]\d),0\)", "STRING", ddl)
     ddl = re.sub(r"\bDECIMAL\(\d+,\d+\)|\bFLOAT\b", "DOUBLE", ddl)
     ddl = re.sub(r"\b(VARIANT|VOID)\b", "STRING", ddl)
     return T.DataType.fromDDL(ddl)
 
 
+def staged(df: DataFrame, record: Value) -> tuple[DataFrame, Value]:
+    """Parse a JSON record once, in a column of its own, before many paths read it."""
+    if record.raw is None:
+        return df, record
+    return df.withColumn("_record", record.col), replace(record, col=F.col("_record"))
+
+
 def map_records(
     df: DataFrame, record: Value, mapping: dict[str, str], columns: list[str] | None = None,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """One text column per target column; a column without a mapping is empty."""
+    df, record = staged(df, record)
     names = columns if columns is not None else list(mapping)
     made = [mapping_column(record, mapping.get(name, "")).alias(name) for name in names]
     return df.select(*(keep or []), *made)

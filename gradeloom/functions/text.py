@@ -114,7 +114,7 @@ def schema_name(description: Column) -> Column:
 def strip_fences(reply: Column) -> Column:
     """Model reply without Markdown fence lines; untouched unless it opens with one."""
     text = strip(reply)
-    lines = F.split(text, r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85  ]")
+    lines = F.split(text, r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]")
     kept = F.filter(lines, lambda line: ~F.startswith(strip(line), F.lit("```")))
     return F.when(F.startswith(text, F.lit("```")), strip(F.array_join(kept, "\n"))).otherwise(text)
 

@@ -23,7 +23,8 @@ def latest_run(runs: DataFrame, key: str = "scheduled_by_id") -> DataFrame:
     """Newest run of each schedule by creation time, then id.
 
     ``max_by`` combines on the map side, so a schedule that owns most runs sends
-    one row per input partition.
+    one row per input partition. All columns of ``runs`` travel with the newest
+    run: select what is needed first.
     """
     newest = F.max_by(F.struct(*runs.columns), F.struct("created_at", "id"))
     return (

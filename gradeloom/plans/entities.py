@@ -227,15 +227,16 @@ _LATEST = """latest AS (SELECT * FROM (SELECT *, row_number() OVER (
 @query("e1_latest_run_per_schedule", _entity(
     "SELECT id, scheduled_by_id, status, created_at FROM latest", _LATEST))
 def e1(spark, sf):
-    return trends.latest_run(views.runs(spark, sf)).select(
-        "id", "scheduled_by_id", "status", "created_at")
+    wanted = views.runs(spark, sf).select("id", "scheduled_by_id", "status", "created_at")
+    return trends.latest_run(wanted)
 
 
 @query("c2_latest_run_rows", _entity(
     "SELECT id, scheduled_by_id, accuracy, avg_score, completed_at FROM latest", _LATEST))
 def c2(spark, sf):
-    return trends.latest_run(views.runs(spark, sf)).select(
-        "id", "scheduled_by_id", "accuracy", "avg_score", "completed_at")
+    wanted = views.runs(spark, sf).select(
+        "id", "scheduled_by_id", "created_at", "accuracy", "avg_score", "completed_at")
+    return trends.latest_run(wanted).drop("created_at")
 
 
 @query("c10_schedule_view", _entity(
@@ -244,7 +245,9 @@ def c2(spark, sf):
 FROM v_schedules s LEFT JOIN latest l ON l.scheduled_by_id = s.id
 LEFT JOIN v_configs c ON c.id = s.eval_config_id LEFT JOIN v_datasets d ON d.id = s.dataset_id""", _LATEST))
 def c10(spark, sf):
-    last = trends.latest_run(views.runs(spark, sf)).select(
+    wanted = views.runs(spark, sf).select(
+        "id", "scheduled_by_id", "created_at", "status", "accuracy", "completed_at")
+    last = trends.latest_run(wanted).select(
         F.col("scheduled_by_id").alias("id"),
         F.col("id").alias("last_run_id"),
         F.col("status").alias("last_status"),

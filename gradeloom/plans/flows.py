@@ -12,11 +12,12 @@ from gradeloom.operators import compare, discover, joins, summary, translate
 from gradeloom.operators import graders as grading
 from gradeloom.plans import views
 from gradeloom.plans.aggregates import _SUMMARY
+from gradeloom.plans.mappings import _ITEMS
 from gradeloom.plans.registry import query
 from gradeloom.plans.views import SQL_ENTITIES, SQL_RESULTS, SQL_VERDICTS, with_ctes
 from gradeloom.session import fresh_dir
 from gradeloom.sources import csv_dataset, exports, paging, records
-from gradeloom.sources.keyed_table import KeyedTable
+from gradeloom.sources.keyed_table import results_table, translation_cache
 from gradeloom.sources.paged_json import register_paged_json
 from gradeloom.streaming import grade_stream, heartbeat
 
@@ -151,7 +152,7 @@ def a8(spark, sf):
         F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("id"), F.col("ts").alias("created_at"),
         F.col("event_type").alias("actual_output"), F.col("value").alias("score"), F.col("event_id").alias("arrival"))
     schema = writes.drop("arrival").schema
-    store = KeyedTable(fresh_dir(spark, "results"), schema, ("eval_run_id", "row_index"), ("id", "created_at"))
+    store = results_table(fresh_dir(spark, "results"), schema)
     half = writes.agg((F.max("arrival") / 2).cast("long")).first()[0]
     for batch, part in enumerate([writes.filter(F.col("arrival") <= half), writes.filter(F.col("arrival") > half)]):
         store.upsert(part, batch, "arrival")
@@ -265,7 +266,7 @@ def k4(spark, sf):
         return translate.cache_rows(fresh, "Dutch", F.lit(f"2024-01-0{number} 00:00:00").cast("timestamp_ntz"))
 
     first = version(1, entries)
-    store = KeyedTable(fresh_dir(spark, "cache"), first.schema, ("cache_key",), ("id", "created_at"))
+    store = translation_cache(fresh_dir(spark, "cache"), first.schema)
     store.upsert(first, 0)
     store.upsert(version(2, entries.filter(F.col("doc_id") % 2 == 0)), 1)
     return store.current(spark).select("cache_key", "source_text", "translated_text", "created_at")
@@ -278,14 +279,19 @@ def _record_texts(spark, sf):
     return views.records(spark, sf).select(F.to_json("record").alias("text"))
 
 
-@query("d10_array_paths", """SELECT unnest(['$.items', '$.meta']) AS path""")
+_TREE = _ITEMS + """,
+tree AS (SELECT DISTINCT regexp_replace(t.fullkey, '\\[\\d+\\]', '[]', 'g') AS path, t.type FROM (
+    SELECT json_object('id', l_orderkey, 'line', l_linenumber, 'status', l_linestatus, 'open', l_linestatus = 'O', 'items', items,
+      'meta', [{'key': 'priority', 'value': 'p' || l_linenumber}], 'shipping', {'price': l_extendedprice, 'rate': l_tax}) AS j FROM items) x,
+  json_tree(x.j) t)"""
+
+
+@query("d10_array_paths", with_ctes("SELECT DISTINCT path FROM tree WHERE type = 'ARRAY'", _TREE))
 def d10(spark, sf):
     return discover.array_paths(_record_texts(spark, sf), "text")
 
 
-@query("d11_field_paths", """
-SELECT unnest(['id', 'items', 'items[].flag', 'items[].partkey', 'items[].qty', 'items[].status', 'line', 'meta', 'meta[].key',
-  'meta[].value', 'open', 'shipping.price', 'shipping.rate', 'status']) AS path""")
+@query("d11_field_paths", with_ctes("SELECT DISTINCT substr(path, 3) AS path FROM tree WHERE type <> 'OBJECT'", _TREE))
 def d11(spark, sf):
     return discover.field_paths(_record_texts(spark, sf), "text")
 
@@ -316,7 +322,7 @@ def _stream_store(spark, sf, progress=None):
         return grading.grade(batch, graders).drop("details")
 
     schema = grade(outputs).schema
-    table = KeyedTable(fresh_dir(spark, "stream"), schema, ("eval_run_id", "row_index"), ("id", "created_at"))
+    table = results_table(fresh_dir(spark, "stream"), schema)
     grade_stream.start_grading(
         outputs, grade, table, fresh_dir(spark, "checkpoint"), progress_path=progress).awaitTermination()
     return table.current(spark)

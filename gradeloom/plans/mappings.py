@@ -233,6 +233,24 @@ def a13(spark, sf):
         "id", "records_path", F.col("field_mapping")["input"].alias("input"))
 
 
+@query("a11_import_settings", """
+SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN p_brand WHEN s_suppkey IS NOT NULL THEN 'n' || s_nationkey END AS data_source_id,
+  CASE WHEN p_size % 4 = 0 THEN '$.own' WHEN s_suppkey IS NOT NULL THEN '$.' || s_name END AS records_path,
+  CASE WHEN p_size % 4 = 0 THEN p_name WHEN s_suppkey IS NOT NULL THEN s_name END AS input
+FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 150""")
+def a11_settings(spark, sf):
+    own = F.col("p_size") % 4 == 0
+    requests = views.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.when(~own, F.col("p_partkey") % 150).alias("preset_id"),
+        F.col("p_brand").alias("data_source_id"), F.lit("$.own").alias("records_path"),
+        F.create_map(F.lit("input"), F.col("p_name")).alias("field_mapping"))
+    presets = views.table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("data_source_id"),
+        F.concat(F.lit("$."), "s_name").alias("records_path"), F.create_map(F.lit("input"), F.col("s_name")).alias("field_mapping"))
+    return records.import_settings(requests, presets).select(
+        "id", "data_source_id", "records_path", F.col("field_mapping")["input"].alias("input"))
+
+
 # --- paging ------------------------------------------------------------------------------
 
 

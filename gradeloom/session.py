@@ -24,6 +24,16 @@ DEFAULT_CONF = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+# On top of the defaults for large tables: start with many shuffle partitions and
+# let AQE merge them, so that a partition fits into executor memory at any size.
+CLUSTER_CONF = {
+    **DEFAULT_CONF,
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+}
+
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     """Build a local session with the library defaults (tests and bench)."""

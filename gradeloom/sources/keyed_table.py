@@ -16,18 +16,6 @@ from pyspark.sql import types as T
 
 from gradeloom.operators.merge import last_write
 
-# What an upsert replaces, and what the first write keeps.
-RESULT_KEY = ("eval_run_id", "row_index")
-RESULT_PAYLOAD = (
-    "input_data", "expected_output", "actual_output", "score", "details", "passed", "latency_ms",
-    "input_tokens", "output_tokens", "error",
-)
-RESULT_FIRST = ("id", "created_at")
-CACHE_KEY = ("cache_key",)
-CACHE_PAYLOAD = ("target_language", "source_text", "translated_text", "updated_at")
-CACHE_FIRST = ("id", "created_at")
-
-
 @dataclass(frozen=True)
 class KeyedTable:
     """A parquet folder with last-write-wins rows per key."""
@@ -64,3 +52,13 @@ class KeyedTable:
         """Write the current rows as batch 0 of a new folder and return that table."""
         self.current(spark).write.mode("errorifexists").parquet(f"{target}/batch=0")
         return KeyedTable(target, self.schema, self.keys, self.first)
+
+
+def results_table(path: str, schema: T.StructType) -> KeyedTable:
+    """Results by run and row; the first write keeps ``id`` and ``created_at``."""
+    return KeyedTable(path, schema, ("eval_run_id", "row_index"), ("id", "created_at"))
+
+
+def translation_cache(path: str, schema: T.StructType) -> KeyedTable:
+    """Translations by cache key; the first write keeps ``id`` and ``created_at``."""
+    return KeyedTable(path, schema, ("cache_key",), ("id", "created_at"))

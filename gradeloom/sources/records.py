@@ -55,6 +55,19 @@ def check_mapping(mapping: dict[str, str]) -> None:
         raise ValueError("Field mapping keys and values must be non-empty")
 
 
+def import_settings(requests: DataFrame, presets: DataFrame) -> DataFrame:
+    """Source, path and mapping of each import: its preset's when it names one, else its own."""
+    fields = ("data_source_id", "records_path", "field_mapping")
+    saved = presets.select(F.col("id").alias("preset_id"), F.struct(*fields).alias("_preset"))
+    joined = lookup_join(requests, saved, ["preset_id"], "left", spread_by=["id"])
+    chosen = [
+        F.when(F.col("preset_id").isNotNull(), F.col("_preset")[f]).otherwise(F.col(f)).alias(f)
+        for f in fields
+    ]
+    rest = [c for c in requests.columns if c not in fields]
+    return joined.select(*rest, *chosen)
+
+
 def import_snapshot(source_id: str, records_path: str, mapping: dict[str, str]) -> dict:
     """What an imported dataset remembers about its source, frozen at import."""
     return {"data_source_id": source_id, "records_path": records_path, "field_mapping": dict(mapping)}

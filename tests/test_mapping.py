@@ -122,6 +122,22 @@ def test_nested_wildcards_splice(spark):
     assert one(spark, item, '{logs[].m[].id = 8 ? "hit" : "miss"}') == "hit"
 
 
+def test_inferred_schemas_keep_number_forms(spark):
+    items = [
+        {"whole": 1.0, "mix": 1, "long": 12345678901234567890, "any": 0, "flag": True, "deep": {"n": 7}},
+        {"whole": 2.0, "mix": 2.5, "long": 3, "any": "0", "flag": "true", "deep": {"n": 0.25}},
+        {"whole": 0.0, "mix": 0, "long": 4, "any": False, "flag": None, "deep": {}},
+    ]
+    mapping = {name: name for name in ("whole", "mix", "long", "any", "flag")}
+    mapping |= {"t": '{any ? "y" : "n"}', "z": '{mix ? "y" : "n"}', "e": '{any == 0 ? "y" : "n"}', "d": "deep.n"}
+    got = mapped(spark, items, mapping)
+    assert got == [
+        {"whole": "1.0", "mix": "1", "long": "12345678901234567890", "any": "0", "flag": "True", "t": "n", "z": "y", "e": "y", "d": "7"},
+        {"whole": "2.0", "mix": "2.5", "long": "3", "any": "0", "flag": "true", "t": "y", "z": "y", "e": "y", "d": "0.25"},
+        {"whole": "0.0", "mix": "0", "long": "4", "any": "False", "flag": "", "t": "n", "z": "n", "e": "y", "d": ""},
+    ]
+
+
 def test_missing_colon_is_an_error(spark):
     with pytest.raises(ValueError, match="':'"):
         one(spark, BOOK, '{new ? "a"}')
