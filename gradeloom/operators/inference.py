@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from gradeloom.functions.text import format_name
 from gradeloom.operators.joins import lookup_join
+from gradeloom.session import cut_lineage
 
 DEFAULT_WORKERS = 5
 
@@ -207,12 +208,17 @@ def embed_texts(texts: DataFrame, column: str, embedder: Embedder) -> DataFrame:
 def embed_columns(
     df: DataFrame, columns: dict[str, str], embedder: Embedder, spread_by: list[str]
 ) -> DataFrame:
-    """Add a vector column per text column; a text that fills most rows is spread."""
+    """Add a vector column per text column; a text that fills most rows is spread.
+
+    Vectors are written once before the joins read them, so each distinct text
+    is embedded once. ``df`` is read twice: cut its lineage first when it holds
+    fresh model replies.
+    """
     texts = None
     for column in columns:
         part = df.select(F.col(column).alias("text"))
         texts = part if texts is None else texts.unionAll(part)
-    vectors = embed_texts(texts, "text", embedder)
+    vectors = cut_lineage(embed_texts(texts, "text", embedder))
     out = df
     for column, name in columns.items():
         side = vectors.select(F.col("text_key").alias("_key"), F.col("vector").alias(name))

@@ -244,17 +244,21 @@ def f6(spark, sf):
 
 
 def _sides(spark, sf, indexed=True):
+    """Even runs against the odd run after them; unindexed rows use the event id, with gaps."""
     rows = views.results(spark, sf, indexed=indexed).withColumn(
         "pair_id", F.floor(F.col("eval_run_id") / 2))
+    if not indexed:
+        rows = rows.withColumn("row_index", F.col("event_id"))
     even = F.col("eval_run_id") % 2 == 0
     return rows.filter(even), rows.filter(~even)
 
 
-_COMPARED = """
+def _compared(row_index: str) -> str:
+    return f"""
 sides AS (SELECT *, eval_run_id // 2 AS pair_id, eval_run_id % 2 AS side,
     row_number() OVER (PARTITION BY eval_run_id ORDER BY row_index) AS pos FROM v_results),
 compared AS (
-  SELECT a.pair_id, a.row_index, a.input_data, a.expected_output, b.pos IS NOT NULL AS in_b,
+  SELECT a.pair_id, a.{row_index} AS row_index, a.input_data, a.expected_output, b.pos IS NOT NULL AS in_b,
     a.actual_output AS actual_output_a, b.actual_output AS actual_output_b, a.score AS score_a, b.score AS score_b,
     a.passed AS passed_a, b.passed AS passed_b, a.error AS error_a, b.error AS error_b,
     CASE WHEN a.score > b.score THEN 'A' WHEN b.score > a.score THEN 'B' WHEN a.score = b.score THEN 'Tie' END AS winner
@@ -262,12 +266,12 @@ compared AS (
   LEFT JOIN (SELECT * FROM sides WHERE side = 1) b ON a.pair_id = b.pair_id AND a.pos = b.pos)"""
 
 
-@query("c3_compare_runs", with_ctes("SELECT * FROM compared", SQL_RESULTS, _COMPARED))
+@query("c3_compare_runs", with_ctes("SELECT * FROM compared", SQL_RESULTS, _compared("event_id")))
 def c3(spark, sf):
-    return compare.compare_runs(*_sides(spark, sf), ["pair_id"], by_position=True)
+    return compare.compare_runs(*_sides(spark, sf, indexed=False), ["pair_id"], by_position=True)
 
 
-@query("c3_compare_runs_by_row_index", with_ctes("SELECT * FROM compared", SQL_RESULTS, _COMPARED))
+@query("c3_compare_runs_by_row_index", with_ctes("SELECT * FROM compared", SQL_RESULTS, _compared("row_index")))
 def c3_keyed(spark, sf):
     return compare.compare_runs(*_sides(spark, sf), ["pair_id"], by_position=False)
 
@@ -275,7 +279,7 @@ def c3_keyed(spark, sf):
 @query("c3a_winner_totals", with_ctes(
     """SELECT pair_id, count(*) FILTER (WHERE winner = 'A') AS a_wins, count(*) FILTER (WHERE winner = 'B') AS b_wins,
   count(*) FILTER (WHERE winner = 'Tie') AS ties, count(*) FILTER (WHERE winner IS NULL) AS undecided
-FROM compared GROUP BY 1""", SQL_RESULTS, _COMPARED))
+FROM compared GROUP BY 1""", SQL_RESULTS, _compared("row_index")))
 def c3a(spark, sf):
     compared = compare.compare_runs(*_sides(spark, sf), ["pair_id"], by_position=False)
     return compare.comparison_totals(compared, ["pair_id"])

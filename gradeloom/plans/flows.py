@@ -19,7 +19,7 @@ from gradeloom.session import fresh_dir
 from gradeloom.sources import csv_dataset, exports, paging, records
 from gradeloom.sources.keyed_table import results_table, translation_cache
 from gradeloom.sources.paged_json import register_paged_json
-from gradeloom.streaming import grade_stream, heartbeat
+from gradeloom.streaming import grade_stream, heartbeat, paged_stream
 
 # --- fan-out and export -----------------------------------------------------------
 
@@ -53,7 +53,7 @@ def c8(spark, sf):
     results = views.results(spark, sf, indexed=True).select(
         "event_id", "row_index", "score", "eval_run_id", F.col("event_id").alias("result_id"))
     side = _run_view(spark, sf).select(F.col("id").alias("eval_run_id"), "status", "config_name", "dataset_name")
-    return exports.enrich_results(results, side).drop("result_id")
+    return exports.enrich_results(results, side, keys_from=views.results(spark, sf)).drop("result_id")
 
 
 _DATE = "strftime({0}, '%Y-%m-%d %H:%M:%S') || CASE WHEN microsecond({0}) % 1000000 = 0 THEN '' ELSE strftime({0}, '.%f') END"
@@ -90,7 +90,7 @@ FROM v_results r JOIN run_view v ON v.id = r.eval_run_id JOIN detail ON row_id =
 @query("a7_run_export", with_ctes(_EXPORT_SQL, SQL_RESULTS, SQL_VERDICTS, SQL_ENTITIES, _RUN_VIEW, _EXPORT_DETAIL))
 def a7(spark, sf):
     results = views.results(spark, sf, indexed=True, details=True).withColumn("result_id", F.col("event_id"))
-    return exports.run_export(results, _run_view(spark, sf))
+    return exports.run_export(results, _run_view(spark, sf), keys_from=views.results(spark, sf, details=True))
 
 
 @query("s4_canonical_json", """
@@ -116,9 +116,7 @@ def a1(spark, sf):
     return csv_dataset.check_dataset(csv_dataset.read_dataset(spark, path))
 
 
-@query("a5_paged_source", """
-SELECT page_index, c_custkey, c_name FROM (SELECT c_custkey // 100 AS page_index, CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer)""")
-def a5(spark, sf):
+def _customer_pages(sf):
     def fetch(params, body):
         """One page of the customer table, as a remote service would answer it."""
         import pyarrow.dataset as ds
@@ -129,9 +127,17 @@ def a5(spark, sf):
             columns=["c_custkey", "c_name"], filter=(key >= start) & (key < start + size))
         return {"items": page.to_pylist(), "meta": {"more": page.num_rows == size}}
 
-    register_paged_json(spark, "customer_pages", fetch)
-    config = json.dumps({"page_size": 100, "has_more_path": "$.meta.more"})
-    pages = spark.read.format("customer_pages").options(mode="offset", config=config, parallel_pages="8").load()
+    return fetch
+
+
+_PAGING = {"mode": "offset", "config": json.dumps({"page_size": 100, "has_more_path": "$.meta.more"})}
+
+
+@query("a5_paged_source", """
+SELECT page_index, c_custkey, c_name FROM (SELECT c_custkey // 100 AS page_index, CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer)""")
+def a5(spark, sf):
+    register_paged_json(spark, "customer_pages", _customer_pages(sf))
+    pages = spark.read.format("customer_pages").options(**_PAGING, parallel_pages="8").load()
     kept = paging.cut_tail(pages, [], F.col("has_more"))
     found = records.extract_json_records(kept, "payload", "$.items", ["page_index"])
     return found.select(
@@ -370,6 +376,27 @@ def t3(spark, sf):
         F.col("failed_at").cast("timestamp_ntz").alias("failed_at"))
 
 
+@query("t4_paged_import", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer")
+def t4(spark, sf):
+    register_paged_json(spark, "customer_feed", _customer_pages(sf))
+    target = fresh_dir(spark, "import")
+
+    def to_rows(pages):
+        found = records.extract_json_records(pages, "payload", "$.items", [])
+        return found.select(
+            F.get_json_object("record", "$.c_custkey").alias("c_custkey"),
+            F.get_json_object("record", "$.c_name").alias("c_name"))
+
+    options = {**_PAGING, "pages_per_trigger": "50"}
+    running = paged_stream.start_import(
+        spark, "customer_feed", options, to_rows, target, fresh_dir(spark, "checkpoint"), interval="0 seconds")
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return spark.read.schema("c_custkey string, c_name string").parquet(target).drop("batch")
+
+
 @query("t5_stream_summary", with_ctes(_SUMMARY, SQL_RESULTS))
 def t5(spark, sf):
     target = fresh_dir(spark, "summary")

@@ -39,17 +39,19 @@ def check_dataset(df: DataFrame) -> DataFrame:
 def profile(df: DataFrame, order: str) -> DataFrame:
     """One row: row count, column list and the first five rows.
 
-    The preview is a top-k; what is collected and joined are five rows and one.
+    The preview is a top-k; only its five rows and the count meet.
     """
     place = F.struct(F.col(order).alias("at"), F.struct(*df.columns).alias("row"))
     first = df.orderBy(order).limit(PREVIEW_ROWS).agg(
         F.transform(F.array_sort(F.collect_list(place)), lambda p: p["row"]).alias("preview")
     )
-    count = df.agg(F.count(F.lit(1)).alias("row_count"))
+    shape = first.schema["preview"].dataType
+    count = df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("preview", F.lit(None).cast(shape))
+    both = count.unionByName(first.withColumn("row_count", F.lit(None).cast("long")))
     names = F.array(*[F.lit(c) for c in df.columns]).alias("columns")
-    return count.withColumn("_one", F.lit(1)).join(first.withColumn("_one", F.lit(1)), "_one").select(
-        "row_count", names, "preview"
-    )
+    return both.agg(
+        F.max("row_count").alias("row_count"), F.any_value("preview", True).alias("preview")
+    ).select("row_count", names, "preview")
 
 
 def write_dataset(df: DataFrame, path: str, columns: list[str]) -> None:

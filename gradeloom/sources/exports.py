@@ -27,9 +27,16 @@ RESULT_COLUMNS = (
 GRADER_COLUMNS = ("score", "passed", "reasoning", "details_json")
 
 
-def enrich_results(results: DataFrame, runs: DataFrame, **spread: int) -> DataFrame:
-    """Results with the columns of their run; a run that owns most rows is spread."""
-    return lookup_join(results, runs, ["eval_run_id"], "inner", spread_by=["result_id"], **spread)
+def enrich_results(
+    results: DataFrame, runs: DataFrame, *, keys_from: DataFrame | None = None
+) -> DataFrame:
+    """Results with the columns of their run; a run that owns most rows is spread.
+
+    ``keys_from`` is the plain results table when ``results`` is already a join.
+    """
+    return lookup_join(
+        results, runs, ["eval_run_id"], "inner", spread_by=["result_id"], keys_from=keys_from
+    )
 
 
 def grader_names(results: DataFrame) -> list[str]:
@@ -44,14 +51,17 @@ def key_collisions(names: DataFrame, column: str = "grader") -> DataFrame:
     ).filter("names > 1")
 
 
-def run_export(results: DataFrame, runs: DataFrame, names: list[str] | None = None) -> DataFrame:
+def run_export(
+    results: DataFrame, runs: DataFrame, names: list[str] | None = None,
+    *, keys_from: DataFrame | None = None,
+) -> DataFrame:
     """One text row per result.
 
     ``runs`` is a run view with a ``summary`` struct; ``results`` carry
     ``result_id`` and the verdict map. Names come from the results unless given.
     Columns come from map lookups, so no pivot shuffles the rows.
     """
-    names = sorted(names) if names is not None else grader_names(results)
+    names = sorted(names) if names is not None else grader_names(results if keys_from is None else keys_from)
     summary_type = runs.schema["summary"].dataType
     details_type = results.schema["details"].dataType
     verdict_type = details_type.valueType
@@ -66,7 +76,7 @@ def run_export(results: DataFrame, runs: DataFrame, names: list[str] | None = No
         datetime_text(F.col("completed_at")).alias("run_completed_at"),
         canonical_json(F.col("summary"), summary_type).alias("run_summary_json"),
     )
-    rows = enrich_results(results, run_side)
+    rows = enrich_results(results, run_side, keys_from=keys_from)
     style = {"null_keys": ("passed",), "raw_keys": ("details_json",)}
     # One lookup and one JSON text per grader; the whole map is put together from them.
     verdicts = {name: f"_verdict{i}" for i, name in enumerate(names)}

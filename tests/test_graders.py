@@ -119,6 +119,7 @@ def test_semantic_grader_embeds_distinct_texts_once(spark):
     got = verdicts(df, definition)
     assert got[0]["score"] == 1.0 and got[1]["score"] == 0.8944 and got[0]["passed"] is True
     assert (got[2]["score"], got[2]["passed"], got[2]["error"]) == (None, False, "no embedding")
+    assert calls.value == 2
 
 
 # --- JSON -------------------------------------------------------------------------
