@@ -387,7 +387,7 @@ def t4(spark, sf):
             F.get_json_object("record", "$.c_custkey").alias("c_custkey"),
             F.get_json_object("record", "$.c_name").alias("c_name"))
 
-    options = {**_PAGING, "pages_per_trigger": "50"}
+    options = {**_PAGING, "records_path": "$.items"}
     running = paged_stream.start_import(
         spark, "customer_feed", options, to_rows, target, fresh_dir(spark, "checkpoint"), interval="0 seconds")
     try:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gradeloom.operators import graders
 from gradeloom.session import cut_lineage, fresh_dir, shared_dir
 from gradeloom.sources.keyed_table import KeyedTable
-from gradeloom.sources.paged_json import register_paged_json
+from gradeloom.sources.paged_json import Pager, _PageStreamReader, register_paged_json
 from gradeloom.sources.records import extract_json_records
 from gradeloom.streaming import grade_stream, heartbeat, paged_stream
 
@@ -114,10 +114,11 @@ def test_spans_from_many_partitions_meet(spark, watcher, tmp_path):
     assert watcher("a", rows) == [(8, 30.0)]
 
 
-def test_paged_import_follows_the_source(spark, tmp_path):
+@pytest.mark.parametrize("mode", ["page", "next_token"])
+def test_paged_import_follows_the_source(spark, tmp_path, mode):
     def fetch(params, body):
-        n = int(params["page"])
-        return {"items": [{"q": f"q{n}"}] if n <= 5 else []}
+        n = int(params.get("page", params.get("page_token", 1)))
+        return {"items": [{"q": f"q{n}"}] if n <= 5 else [], "next_token": str(n + 1) if n < 5 else None}
 
     register_paged_json(spark, "pages_stream", fetch)
     target = str(tmp_path / "rows")
@@ -126,7 +127,7 @@ def test_paged_import_follows_the_source(spark, tmp_path):
         return extract_json_records(pages, "payload", "$.items", []).select(
             F.get_json_object("record", "$.q").alias("input"))
 
-    options = {"mode": "page", "records_path": "$.items", "pages_per_trigger": "2"}
+    options = {"mode": mode, "records_path": "$.items", "pages_per_trigger": "2", "pages_per_task": "2"}
 
     def run(wanted):
         query = paged_stream.start_import(spark, "pages_stream", options, to_rows, target, str(tmp_path / "ck"), interval="100 milliseconds")
@@ -154,3 +155,18 @@ def test_shared_folder_comes_from_the_session(spark):
     df = spark.range(5).withColumn("r", F.rand())
     cut = cut_lineage(df)
     assert cut.collect() == cut.collect() and cut.dtypes == df.dtypes
+
+
+@pytest.mark.parametrize("pages", [0, 1, 2, 3, 7, 8, 9, 100])
+def test_page_count_probes_are_few(pages):
+    asked = []
+
+    def fetch(params, body):
+        asked.append(params["page"])
+        return {"items": [1] if params["page"] <= pages else []}
+
+    reader = _PageStreamReader(Pager({"mode": "page"}), fetch, 10)
+    assert reader.latestOffset() == {"pages": pages}
+    assert len(asked) <= 2 * max(pages, 1).bit_length() + 2
+    parts = reader.partitions({"pages": 0}, {"pages": pages})
+    assert [i for p in parts for i in range(p.first, p.last)] == list(range(pages))
