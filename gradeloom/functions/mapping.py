@@ -131,7 +131,7 @@ def _arguments(body: str) -> list[str]:
     if not body:
         return []
     cuts = [-1, *[i for i, c in enumerate(_outer(body)) if c == ","], len(body)]
-    return [body[a + 1 : b].strip() for a, b in zip(cuts, cuts[1:])]
+    return [body[a + 1 : b].strip() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def path_steps(path: str | None) -> list[str | int | None]:

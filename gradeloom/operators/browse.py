@@ -82,7 +82,8 @@ def page(df: DataFrame, number: int = 1, size: int = DEFAULT_PAGE_SIZE) -> DataF
         return newest_first(df).offset(start).limit(size)
     hour = F.unix_date(F.to_date("created_at")) * 24 + F.hour("created_at")
     placed = with_ordinal(
-        df, [], [F.desc("created_at"), F.desc("id")], "_position", cell=-hour.cast("long")
+        df, [], [F.desc("created_at"), F.desc("id")], "_position",
+        cell=F.coalesce(-hour.cast("long"), F.lit(1 << 62)),  # NULL sorts last here
     )
     return newest_first(
         placed.filter((F.col("_position") >= start) & (F.col("_position") < start + size))

@@ -16,6 +16,13 @@ from pyspark.sql import functions as F
 # sees of one group when (group, order) is unique.
 CELL_WIDTH = 1 << 20
 
+# Rows without an order value come first, as they do in a sort.
+_FIRST_CELL = -(1 << 62)
+
+
+def _with_cell(df: DataFrame, cell: Column) -> DataFrame:
+    return df.withColumn("_cell", F.coalesce(cell.cast("long"), F.lit(_FIRST_CELL)))
+
 
 def id_cell(column: str, width: int = CELL_WIDTH) -> Column:
     """Cell of an integer order column."""
@@ -32,11 +39,13 @@ def with_ordinal(
 ) -> DataFrame:
     """Add the 0-based position of each row in its group, ordered by ``order``.
 
-    ``cell`` must grow along ``order``; the default suits one integer id. Rows
-    shuffle once, by (group, cell).
+    ``cell`` must grow along ``order``; the default suits one integer id that is
+    not too sparse (a cell should hold many rows, as one row per cell is carried
+    across). Rows with a NULL group key stay, without a position. Rows shuffle
+    once, by (group, cell).
     """
     sort = order if isinstance(order, list) else [F.col(order)]
-    celled = df.withColumn("_cell", cell if cell is not None else id_cell(order))
+    celled = _with_cell(df, cell if cell is not None else id_cell(order))
     group = [*keys, "_cell"]
     counts = celled.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -44,7 +53,7 @@ def with_ordinal(
     inside = F.row_number().over(Window.partitionBy(*group).orderBy(*sort))
     return (
         celled.withColumn("_inside", inside)
-        .join(offsets, group)
+        .join(offsets, group, "left")
         .select(*df.columns, (F.col("_before") + F.col("_inside") - 1).cast("long").alias(name))
     )
 
@@ -61,9 +70,10 @@ def with_neighbour(
 ) -> DataFrame:
     """Add struct ``name`` with ``columns`` of the previous (or next) row of the group.
 
-    ``order`` must be unique inside a group and ``cell`` must grow with it.
+    ``order`` must be unique inside a group and ``cell`` must grow with it; group
+    keys must not be NULL.
     """
-    celled = df.withColumn("_cell", cell)
+    celled = _with_cell(df, cell)
     group = [*keys, "_cell"]
     position = F.struct(*order)
     payload = F.struct(*columns)
@@ -76,7 +86,7 @@ def with_neighbour(
     inside = shift(payload).over(Window.partitionBy(*group).orderBy(*order))
     return (
         celled.withColumn("_inside", inside)
-        .join(across, group)
+        .join(across, group, "left")
         .select(*df.columns, F.coalesce("_inside", "_outside").alias(name))
     )
 

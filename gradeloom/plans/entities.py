@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradeloom.functions import text
-from gradeloom.functions.numbers import clamp01, fixed_text
+from gradeloom.functions.numbers import clamp01
 from gradeloom.operators import browse, joins, maintenance, merge, trends
 from gradeloom.plans import views
 from gradeloom.plans.registry import query
-from gradeloom.plans.views import SQL_ENTITIES, SQL_RESULTS, with_ctes
+from gradeloom.plans.views import SQL_ENTITIES, with_ctes
 
 _VIEW = """run_view AS (
   SELECT r.*, c.name AS config_name, d.name AS dataset_name FROM v_runs r

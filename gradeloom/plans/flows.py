@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions.json_text import canonical_json
 from gradeloom.functions.text import cache_key
-from gradeloom.operators import compare, discover, joins, summary, translate
+from gradeloom.operators import compare, discover, joins, translate
 from gradeloom.operators import graders as grading
 from gradeloom.plans import views
 from gradeloom.plans.aggregates import _SUMMARY

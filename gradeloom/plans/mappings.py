@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from gradeloom.functions.mapping import infer_record_type, json_record, map_records, typed_record
 from gradeloom.plans import views
 from gradeloom.plans.registry import query
-from gradeloom.plans.views import RECORD_DDL
 from gradeloom.sources import paging, records
 
 # Each check builds the three items of a record the way the view does.

@@ -150,13 +150,6 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-RECORD_DDL = (
-    "struct<id:bigint,line:int,status:string,open:boolean,"
-    "items:array<struct<partkey:bigint,qty:double,flag:string,status:string>>,"
-    "meta:array<struct<key:string,value:string>>,shipping:struct<price:double,rate:double>>"
-)
-
-
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested record per line item, built from the row itself (no grouping)."""
     line = table(spark, sf_dir, "lineitem")

@@ -27,6 +27,12 @@ def test_ordinals_do_not_depend_on_the_cell_width(skewed, width):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
+def test_no_row_is_lost_without_key_or_order(spark):
+    df = spark.createDataFrame([("a", 5), ("a", None), ("a", 3), (None, 1)], "k string, id long")
+    got = sorted((tuple(r) for r in with_ordinal(df, ["k"], "id", "pos").collect()), key=str)
+    assert got == sorted([("a", 5, 2), ("a", None, 0), ("a", 3, 1), (None, 1, None)], key=str)
+
+
 def test_ordinals_of_the_whole_table(skewed):
     got = with_ordinal(skewed, [], "id", "pos", cell=id_cell("id", 50)).orderBy("id")
     assert [r["pos"] for r in got.collect()] == list(range(3000))
