@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -53,21 +54,28 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     return spark
 
 
+# Fallback folders by application: spark.checkpoint.dir cannot be set on a running session.
+_FALLBACK: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Return the folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    A local session without that setting gets a fresh temporary folder; a
-    cluster session without it is an error, because a machine-local folder
-    would be lost with the machine.
+    A local session without that setting gets one temporary folder for each
+    application, removed when the interpreter ends; a cluster session without it
+    is an error, because a machine-local folder would be lost with the machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="gradeloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _FALLBACK:
+        folder = tempfile.TemporaryDirectory(prefix="gradeloom-", ignore_cleanup_errors=True)
+        atexit.register(folder.cleanup)
+        _FALLBACK[application] = folder.name
+    return _FALLBACK[application]
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from gradeloom.plans.registry import CHECK_SQL, QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -31,19 +32,21 @@ def plain(value):
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(CHECK_SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(CHECK_SQL) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 15  # user ids below 15 make as many runs
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf, con, name):
-    df = entry.queries()[name](spark, sf)
+    df = QUERIES[name](spark, sf)
     columns = sorted(df.columns)
     got = [tuple(plain(v) for v in r) for r in df.select(*columns).collect()]
-    answer = con.execute(entry.oracle_sql()[name])
+    answer = con.execute(CHECK_SQL[name])
     names = [d[0] for d in answer.description]
     assert sorted(names) == columns
     want = [tuple(plain(r[names.index(c)]) for c in columns) for r in answer.fetchall()]
