@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import line_dedup
+from gradeloom.llm import exact_dedup, line_dedup, packing, token_counts
 from gradeloom.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,44 @@ SQL_UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 )
 def op1_line_dedup(spark, sf_dir):
     return line_dedup.kept_digests(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
+
+
+@query(
+    "op2_exact_dedup",
+    f"""
+    WITH rows AS (
+        SELECT doc_id, length(coalesce(text, '')) AS n_chars,
+            sha256(translate(coalesce(text, ''), {SQL_SPACES}, '')) AS text_sha256
+        FROM documents
+    )
+    SELECT doc_id, first_value(doc_id) OVER best AS keep_id,
+        count(*) OVER (PARTITION BY text_sha256) AS group_size,
+        doc_id = first_value(doc_id) OVER best AS kept, text_sha256
+    FROM rows WINDOW best AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id)
+    """,
+)
+def op2_exact_dedup(spark, sf_dir):
+    """Every document, half of them as the snapshot and half as the new batch."""
+    in_snapshot = F.pmod(F.xxhash64("doc"), F.lit(2)) == 0
+    return exact_dedup.resolve(table(spark, sf_dir, "documents"), in_snapshot)
+
+
+def public(name: str) -> str:
+    """Path of a public vocabulary file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op3_packing")
+def op3_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public("word_bpe_49k.json"), size=4096)
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark, sf_dir):
+    """Tokens of source, language and each line of the text of every document."""
+    from public_tokenizers import PATTERN
+
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.count_tokens(docs, public("byte_bpe_50k.tiktoken"), PATTERN, ["source", "lang", "text"])
