@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import exact_dedup, line_dedup, packing, token_counts
+from gradeloom.llm import decontaminate, exact_dedup, html_text, licences, line_dedup, packing, token_counts
 from gradeloom.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,63 @@ def op4_token_counts(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return token_counts.count_tokens(docs, public("byte_bpe_50k.tiktoken"), PATTERN, ["source", "lang", "text"])
+
+
+@query("op7_html_extraction")
+def op7_html_extraction(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+WORDS_SQL = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+')"
+
+
+@query(
+    "op8_decontamination",
+    f"""
+    WITH item AS (
+        SELECT item_id, w, len(w) AS n, least(len(w), 5) AS k
+        FROM (SELECT item_id, {WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0
+    ), item_shingle AS (
+        SELECT item_id, n, k, i, w[i : i + k - 1] AS s
+        FROM (SELECT *, unnest(range(1, n - k + 2)) AS i FROM item)
+    ), doc AS (
+        SELECT doc_id, {WORDS_SQL} AS w FROM documents
+    ), doc_shingle AS (
+        SELECT doc_id, k, i, w[i : i + k - 1] AS s
+        FROM (SELECT d.*, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc d, (SELECT DISTINCT k FROM item))
+    ), aligned AS (
+        SELECT DISTINCT doc_id, item_id, n, k, greatest(0, least(d.i - t.i, len(w) - n)) AS start
+        FROM doc_shingle d JOIN item_shingle t USING (k, s) JOIN doc USING (doc_id)
+    ), pair_shingle AS (
+        SELECT a.doc_id, item_id, n, start, w[j : j + least(k, len(part)) - 1] AS s FROM (
+            SELECT a.*, d.w[start + 1 : start + n] AS part, d.w,
+                unnest(range(start + 1, start + greatest(least(n, len(d.w)) - k, 0) + 2)) AS j
+            FROM aligned a JOIN doc d USING (doc_id)
+        ) a
+    ), weight AS (
+        SELECT doc_id, item_id, n, start, s, count(*) AS c FROM pair_shingle GROUP BY ALL
+    ), item_weight AS (
+        SELECT item_id, s, count(*) AS c FROM item_shingle GROUP BY ALL
+    ), size AS (
+        SELECT doc_id, item_id, n, start, sum(c) AS total FROM weight GROUP BY ALL
+    ), shared AS (
+        SELECT doc_id, item_id, n, start, sum(least(w.c, i.c)) AS common
+        FROM weight w JOIN item_weight i USING (item_id, s) GROUP BY ALL
+    ), scored AS (
+        SELECT doc_id, item_id, n, start, common, total + n - least(n, 5) + 1 - common AS either
+        FROM shared JOIN size USING (doc_id, item_id, n, start)
+    )
+    SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(n AS INTEGER) AS n_words,
+        CAST(common AS DOUBLE) / CAST(either AS DOUBLE) AS similarity
+    FROM scored WHERE common * 5 >= either * 4
+    QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common / either DESC, start) = 1
+    """,
+)
+def op8_decontamination(spark, sf_dir):
+    found = decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", "similarity")
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents"))
