@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import decontaminate, exact_dedup, html_text, licences, line_dedup, packing, token_counts
+from gradeloom.llm import decontaminate, exact_dedup, html_text, licences, line_dedup, packing, quality, token_counts
 from gradeloom.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,11 @@ def op4_token_counts(spark, sf_dir):
     return token_counts.count_tokens(docs, public("byte_bpe_50k.tiktoken"), PATTERN, ["source", "lang", "text"])
 
 
+@query("op6_quality")
+def op6_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 @query("op7_html_extraction")
 def op7_html_extraction(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))

@@ -1,8 +1,10 @@
-"""Token ids of many texts by a tokenizer that drops white space."""
+"""Numbers for the words of many texts, by a table of the words seen so far."""
 
 from __future__ import annotations
 
 import os
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,42 +15,24 @@ SLICE_BYTES = 4_000_000  # text that is encoded at once
 KNOWN_WORDS = 300_000  # words that a worker remembers; beyond it starts anew
 
 
-class WordEncoder:
-    """Encodes texts word by word and remembers the words.
+class WordTable:
+    """Encodes texts word by word (runs without ASCII white space) and remembers the words."""
 
-    The tokenizer cuts at white space before it merges, so the ids of a text are those of
-    its words one after another. A run of full stops or commas after a letter is a token
-    run of its own as well, and letters are lower-cased.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self):
         self.forget()
 
+    def numbers(self, words: list[str]) -> list[np.ndarray]:
+        """Numbers of each word as uint32."""
+        raise NotImplementedError
+
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.pool = np.zeros(0, np.uint32)
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
 
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return [np.array(x.ids, np.uint32) for x in found]
-
     def _learn(self, words: list[str]) -> None:
-        parts, simple = [], {}
-        for word in words:
-            stem = word.rstrip(".,")
-            tail = word[len(stem) :] if stem and stem[-1].isalpha() else ""
-            stem = word[: len(word) - len(tail)]
-            stem = stem.lower() if stem.isascii() and stem.isalpha() else stem
-            parts.append((stem, tail))
-            simple[stem] = simple[tail] = None
-        ids = dict(zip(simple, self._encode(list(simple)), strict=True))
-        new = [np.concatenate((ids[a], ids[b])) if b else ids[a] for a, b in parts]
+        new = self.numbers(words)
         lengths = np.array([len(x) for x in new], np.int64)
         base = len(self.start)
         self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(lengths) - lengths))
@@ -57,7 +41,7 @@ class WordEncoder:
         self.place.update(zip(words, range(base, base + len(words)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and where each text's ids begin (one more than texts)."""
+        """Numbers of all texts in a row, and where each text's begin (one more than texts)."""
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
         names = words.dictionary.to_pylist()
@@ -69,9 +53,53 @@ class WordEncoder:
         codes = entry[words.indices.to_numpy()] if len(names) else np.zeros(0, np.int64)
         lengths = self.length[codes]
         ends = np.cumsum(lengths)
-        ids = self.pool[np.repeat(self.start[codes] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        found = self.pool[np.repeat(self.start[codes] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
         word_ends = split.offsets.to_numpy().astype(np.int64)
-        return ids, np.concatenate(([0], ends))[word_ends - word_ends[0]]
+        return found, np.concatenate(([0], ends))[word_ends - word_ends[0]]
+
+
+class WordEncoder(WordTable):
+    """Token ids by a tokenizer that drops white space.
+
+    The tokenizer cuts at white space before it merges, so the ids of a text are those of
+    its words one after another. A run of full stops or commas after a letter is a token
+    run of its own as well, and letters are lower-cased.
+    """
+
+    def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def numbers(self, words: list[str]) -> list[np.ndarray]:
+        parts, simple = [], {}
+        for word in words:
+            stem = word.rstrip(".,")
+            tail = word[len(stem) :] if stem and stem[-1].isalpha() else ""
+            stem = word[: len(word) - len(tail)]
+            stem = stem.lower() if stem.isascii() and stem.isalpha() else stem
+            parts.append((stem, tail))
+            simple[stem] = simple[tail] = None
+        found = self.tokenizer.encode_batch(list(simple), add_special_tokens=False)
+        ids = {word: np.array(x.ids, np.uint32) for word, x in zip(simple, found, strict=True)}
+        return [np.concatenate((ids[a], ids[b])) if b else ids[a] for a, b in parts]
+
+
+class WordHasher(WordTable):
+    """Hashes of runs of letters and digits and of runs of other characters, below ``buckets``."""
+
+    _PART = re.compile(r"\w+|[^\w\s]+")
+
+    def __init__(self, buckets: int):
+        super().__init__()
+        self.buckets = buckets
+
+    def numbers(self, words: list[str]) -> list[np.ndarray]:
+        return [
+            np.array([zlib.crc32(p.encode()) % self.buckets for p in self._PART.findall(word)], np.uint32) for word in words
+        ]
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
