@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import decontaminate, exact_dedup, html_text, licences, line_dedup, packing, quality, token_counts
+from gradeloom.llm import decontaminate, exact_dedup, html_text, licences, line_dedup, ngram_join, packing, quality, token_counts
 from gradeloom.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,6 +154,38 @@ def op8_decontamination(spark, sf_dir):
     return found.select("doc_id", "item_id", "start", "n_words", "similarity")
 
 
+@query(
+    "op9_ngram_jaccard",
+    f"""
+    WITH RECURSIVE doc AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {SQL_UPPER_LOWER}), '[^\\x20\\x09-\\x0D]+') AS w
+        FROM documents
+    ), shingle AS (
+        SELECT DISTINCT doc_id, hash(w[i : i + 3]) AS s
+        FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM doc WHERE len(w) > 0)
+    ), size AS (
+        SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+    ), shared AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+        FROM shingle a JOIN shingle b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL
+    ), link AS (
+        SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+        WHERE 100 * common >= 85 * (x.n + y.n - common)
+    ), edge AS (
+        SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+    ), reach AS (
+        SELECT doc_id AS a, doc_id AS b FROM doc
+        UNION
+        SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a
+    )
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+    FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN size USING (doc_id)
+    """,
+)
+def op9_ngram_jaccard(spark, sf_dir):
+    return ngram_join.join_components(table(spark, sf_dir, "documents"), width=4, threshold=(85, 100))
+
+
 @query("op10_license_scan")
 def op10_license_scan(spark, sf_dir):
     return licences.scan(table(spark, sf_dir, "documents"))

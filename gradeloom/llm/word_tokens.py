@@ -18,16 +18,18 @@ KNOWN_WORDS = 300_000  # words that a worker remembers; beyond it starts anew
 class WordTable:
     """Encodes texts word by word (runs without ASCII white space) and remembers the words."""
 
+    dtype = np.uint32
+
     def __init__(self):
         self.forget()
 
     def numbers(self, words: list[str]) -> list[np.ndarray]:
-        """Numbers of each word as uint32."""
+        """Numbers of each word as an array of ``dtype``."""
         raise NotImplementedError
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.pool = np.zeros(0, np.uint32)
+        self.pool = np.zeros(0, self.dtype)
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
 
