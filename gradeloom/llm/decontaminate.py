@@ -33,7 +33,16 @@ def word_hashes(text: Column) -> Column:
 def shingles(words: str) -> Column:
     """Hashes of the shingles of an array of word hashes; fewer words than a shingle has are one shingle."""
     last = F.greatest(F.size(words) - SHINGLE, F.lit(0))
-    return F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.slice(F.col(words), i, SHINGLE)))
+    # Places behind the end are null, and nulls do not count in the hash.
+    return F.transform(
+        F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(F.col(words), i + k) for k in range(SHINGLE)])
+    )
+
+
+def short_shingles(words: str, width: int) -> Column:
+    """The same for items of fewer words than a shingle: hashes of all runs of ``width`` words."""
+    last = F.greatest(F.size(words) - width, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(F.col(words), i + k) for k in range(width)]))
 
 
 def counted(found: str) -> Column:
@@ -78,25 +87,30 @@ def item_table(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
 
 def windows(rows: DataFrame, items: DataFrame) -> DataFrame:
     """Aligned windows that share a shingle with an item: ``doc, fp, n_words, start, found``."""
-    lengths = [r.k for r in items.select(F.least("n_words", F.lit(SHINGLE)).alias("k")).distinct().collect()]  # at most 5
+    widths = [r.k for r in items.select(F.least("n_words", F.lit(SHINGLE)).alias("k")).distinct().collect()]  # 5 at most
     keys = items.select("n_words", F.posexplode("found").alias("item_at", "shingle")).distinct()
     if keys.count() <= BROADCAST_SHINGLES:
         keys = F.broadcast(keys)
-    words = rows.select("doc", F.xxhash64("body").alias("fp"), word_hashes(F.col("body")).alias("words"))
-    hits = None
-    for k in lengths:
-        last = F.size("words") - k
-        at = words.where(last >= 0).select("*", F.explode(F.sequence(F.lit(0), last)).alias("at"))
-        shingle = F.xxhash64(*[F.get("words", F.col("at") + i) for i in range(k)])
-        same = keys.where(F.least("n_words", F.lit(SHINGLE)) == k) if len(lengths) > 1 else keys
-        part = at.withColumn("shingle", shingle).join(same, "shingle")
-        hits = part if hits is None else hits.unionByName(part)
-    if hits is None:
-        hits = words.select("*", F.lit(0).alias("at"), F.lit(0).alias("item_at"), F.lit(0).alias("n_words")).where("false")
-    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("item_at"), F.size("words") - F.col("n_words")))
-    found = hits.select("doc", "fp", "n_words", start.alias("start"), "words")
-    found = found.select("doc", "fp", "n_words", "start", F.expr("slice(words, start + 1, n_words)").alias("words"))
-    return found.distinct().select("doc", "fp", "n_words", "start", shingles("words").alias("found"))
+    texts = rows.select("doc", F.xxhash64("body").alias("fp"), "body")
+    words = texts.select("doc", "fp", word_hashes(F.col("body")).alias("words"))
+    hits = texts.select("doc", "fp", F.lit(0).alias("size"), F.lit(0).alias("n_words"), F.lit(0).alias("shift")).where("false")
+    for k in widths:
+        # Only the hash of a shingle and its place go through the join, no text and no array.
+        # The outer form keeps Spark from computing the array a second time to look for empty ones.
+        listed = words.select("doc", "fp", F.size("words").alias("size"), short_shingles("words", k).alias("found"))
+        at = listed.select("doc", "fp", "size", F.posexplode_outer("found").alias("at", "shingle"))
+        same = keys.where(F.least("n_words", F.lit(SHINGLE)) == k) if len(widths) > 1 else keys
+        met = at.join(same, "shingle").select("doc", "fp", "size", "n_words", (F.col("at") - F.col("item_at")).alias("shift"))
+        hits = hits.unionByName(met)
+    start = F.greatest(F.lit(0), F.least("shift", F.col("size") - F.col("n_words")))
+    found = hits.select("doc", "fp", F.struct("n_words", start.alias("start")).alias("window")).distinct()
+    found = found.groupBy("doc", "fp").agg(F.collect_list("window").alias("windows"))
+    # The texts of the few documents with a window, for the words of the windows.
+    cut = texts.join(found.hint("shuffle_hash"), ["doc", "fp"]).distinct()
+    cut = cut.select("doc", "fp", word_hashes(F.col("body")).alias("words"), "windows")
+    cut = cut.select("doc", "fp", "words", F.explode("windows").alias("window"))
+    cut = cut.select("doc", "fp", "window.n_words", "window.start", F.expr("slice(words, window.start + 1, window.n_words)").alias("words"))
+    return cut.select("doc", "fp", "n_words", "start", shingles("words").alias("found"))
 
 
 def find_passages(
