@@ -160,10 +160,10 @@ def op8_decontamination(spark, sf_dir):
     WITH RECURSIVE doc AS (
         SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {SQL_UPPER_LOWER}), '[^\\x20\\x09-\\x0D]+') AS w
         FROM documents
-    ), shingle AS (
+    ), shingle AS MATERIALIZED (
         SELECT DISTINCT doc_id, hash(w[i : i + 3]) AS s
         FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM doc WHERE len(w) > 0)
-    ), size AS (
+    ), size AS MATERIALIZED (
         SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
     ), shared AS (
         SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
@@ -171,7 +171,7 @@ def op8_decontamination(spark, sf_dir):
     ), link AS (
         SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
         WHERE 100 * common >= 85 * (x.n + y.n - common)
-    ), edge AS (
+    ), edge AS MATERIALIZED (
         SELECT a, b FROM link UNION ALL SELECT b, a FROM link
     ), reach AS (
         SELECT doc_id AS a, doc_id AS b FROM doc
