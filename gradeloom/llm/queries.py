@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import decontaminate, exact_dedup, html_text, licences, line_dedup, ngram_join, packing, quality, token_counts
+from gradeloom.llm import decontaminate, exact_dedup, html_text, licences, line_dedup, ngram_join, packing, quality, suffix_dedup, token_counts
 from gradeloom.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,14 @@ def op4_token_counts(spark, sf_dir):
     return token_counts.count_tokens(docs, public("byte_bpe_50k.tiktoken"), PATTERN, ["source", "lang", "text"])
 
 
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    n_spans = F.size("spans").cast("long")
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), n_spans.alias("n_spans"), "kept_sha256")
+
+
 @query("op6_quality")
 def op6_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
