@@ -174,3 +174,9 @@ def find_passages(
         F.col("best.distance").alias("distance"),
         F.col("best.similarity").alias("similarity"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose id is not found by ``find_passages``."""
+    found = find_passages(docs, benchmark, id_col, text_col, **names).select(F.col(id_col).alias("_found")).distinct()
+    return docs.join(found, docs[id_col].cast("long").eqNullSafe(found["_found"]), "left_anti")

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradeloom.llm.common import SPACES, document_columns, documents, key128, lower_ascii, outer_id
 from gradeloom.session import cut_lineage
@@ -145,8 +146,10 @@ def kept_text(text: str, keep_bitmap: bytes, n_lines: int) -> str:
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Join bitmaps to every row of ``docs``: ``row`` (a struct of all its columns), ``body`` and the bitmap's columns."""
-    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")
+    """Join bitmaps to every row of ``docs``: ``row`` (its other columns by place), ``body`` and the bitmap's columns."""
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]
+    was_null = F.when(F.col(f"`{text_col}`").isNull(), True).alias("was_null")
+    others = F.struct(*others, was_null).alias("row")
     rows = docs.select(*document_columns(id_col, text_col), others).withColumn("fp", F.xxhash64("body"))
     return rows.join(bitmaps.hint("shuffle_hash"), ["doc", "fp"])
 
@@ -172,17 +175,14 @@ def kept_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule: int) -> DataFrame:
     """Return ``docs`` with its columns, the text without the dropped lines (a null text stays null)."""
     joined = with_bitmaps(docs, keep_bitmaps(docs, id_col, text_col, **rule), id_col, text_col)
-    schema = joined.schema
+    joined = joined.select("row", F.when(F.col("row.was_null").isNull(), F.col("body")).alias("text"), "n_lines", "n_dropped", "keep_bitmap")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                kept_text(t, b, n) if d else t
-                for t, b, n, d in zip(*(batch[c].to_pylist() for c in ("body", "keep_bitmap", "n_lines", "n_dropped")), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(texts, pa.string()), batch["n_dropped"]], ["row", "body", "n_dropped"])
-
-    wanted = type(schema)([schema[c] for c in ("row", "body", "n_dropped")])
-    return joined.select("row", "body", "n_lines", "n_dropped", "keep_bitmap").mapInArrow(run, wanted).select(
-        *[F.col("body").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    )
+            columns = [batch[c].to_pylist() for c in ("text", "keep_bitmap", "n_lines", "n_dropped")]
+            texts = [kept_text(t, b, n) if d else t for t, b, n, d in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(texts, pa.string())], ["row", "text"])
+
+    cut = joined.mapInArrow(run, T.StructType([joined.schema["row"], joined.schema["text"]]))
+    places = {c: i for i, c in enumerate(docs.columns)}
+    return cut.select(*[F.col("text" if c == text_col else f"row.c{i}").alias(c) for c, i in places.items()])

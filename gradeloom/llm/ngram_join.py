@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm import streams
-from gradeloom.llm.common import documents, outer_id
+from gradeloom.llm.common import document_columns, documents, outer_id
 from gradeloom.llm.components import components
 from gradeloom.llm.shingles import WordHashes, mix, shingle_sets
 from gradeloom.session import cut_lineage
@@ -105,15 +105,16 @@ def _describe(width: int, keys: Keys) -> Callable:
                 s2.append(mix(found, 22).sum(dtype=np.uint64))
                 listed.append(keys.of(found))
             hashes = [pa.array(np.array(s, np.uint64).view(np.int64)) for s in (s1, s2)]
-            columns = [batch["doc"], pa.array(sizes, pa.int32()), *hashes, _list_array(listed)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "n", "s1", "s2", "keys"])
+            columns = [batch["doc"], batch["fp"], pa.array(sizes, pa.int32()), *hashes, _list_array(listed)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "fp", "n", "s1", "s2", "keys"])
 
     return run
 
 
 def describe(rows: DataFrame, width: int, keys: Keys) -> DataFrame:
-    """``doc, n`` (size of the set), ``s1, s2`` (its hash) and ``keys`` for each row."""
-    return rows.mapInArrow(_describe(width, keys), "doc long, n int, s1 long, s2 long, keys array<long>")
+    """``doc, fp`` (hash of the text), ``n`` (size of the set), ``s1, s2`` (its hash), ``keys`` for each row."""
+    schema = "doc long, fp long, n int, s1 long, s2 long, keys array<long>"
+    return rows.select("doc", F.xxhash64("body").alias("fp"), "body").mapInArrow(_describe(width, keys), schema)
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,6 +370,20 @@ def links(rows: DataFrame, reps: DataFrame, width: int, above: int, below: int,
     return units.mapInArrow(_compare(above, below, spanning), "u long, v long, common long, either long")
 
 
+def grouped(rows: DataFrame, width: int, above: int, below: int) -> DataFrame:
+    """``doc, fp, n, root`` for each row: the smallest document that links lead to."""
+    found = cut_lineage(describe(rows, width, Keys(above, below)))
+    same = found.where("n > 0").groupBy("s1", "s2", "n")
+    reps = cut_lineage(same.agg(F.min("doc").alias("doc"), F.first("keys").alias("keys")))
+    linked = cut_lineage(links(rows, reps.where(F.size("keys") > 0), width, above, below).select("u", "v"))
+    roots = components(linked)
+    classes = reps.select("s1", "s2", "doc").join(roots.withColumnRenamed("v", "doc"), "doc", "left")
+    classes = cut_lineage(classes.select("s1", "s2", F.coalesce("root", "doc").alias("root")))
+    joined = found.select("doc", "fp", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
+    root = F.when(F.col("n") > 0, F.coalesce("root", "doc")).otherwise(F.col("doc"))
+    return joined.select("doc", "fp", "n", root.alias("root"))
+
+
 def join_components(
     docs: DataFrame,
     width: int = 5,
@@ -382,24 +397,37 @@ def join_components(
     distinct shingles of ``width`` words; all its words if there are fewer; nothing for a
     null, empty or blank text, which is linked with nothing. Documents are linked when the
     Jaccard coefficient of their sets is at least ``threshold`` (a fraction); repeated texts
-    are linked. Rows that repeat an id are one document with the links of all its texts. A
-    null id is a document with the smallest id. An empty table gives no rows.
+    are linked. Rows that repeat an id with another text are texts of their own, known by
+    the same id. A null id is a document with the smallest id. An empty table gives no rows.
 
     Returns for each row the id, ``n_shingles`` and ``component_id``, the smallest id that
     links lead to, its own included.
     """
-    above, below = threshold
-    rows = documents(docs, id_col, text_col)
-    found = cut_lineage(describe(rows, width, Keys(above, below)))
-    same = found.where("n > 0").groupBy("s1", "s2", "n")
-    reps = cut_lineage(same.agg(F.min("doc").alias("doc"), F.first("keys").alias("keys")))
-    linked = cut_lineage(links(rows, reps.where(F.size("keys") > 0), width, above, below).select("u", "v"))
-    # A document with several texts, or a text with several ids, connects their representatives.
-    roots = components(linked)
-    classes = reps.select("s1", "s2", "doc").join(roots.withColumnRenamed("v", "doc"), "doc", "left")
-    classes = cut_lineage(classes.select("s1", "s2", F.coalesce("root", "doc").alias("root")))
-    joined = found.select("doc", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("root", "doc")).otherwise(F.col("doc"))
-    return joined.select(
-        outer_id().alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("_c")
-    ).select(id_col, "n_shingles", outer_id("_c").alias("component_id"))
+    found = grouped(documents(docs, id_col, text_col), width, *threshold)
+    return found.select(
+        outer_id().alias(id_col), F.col("n").cast("long").alias("n_shingles"), outer_id("root").alias("component_id")
+    )
+
+
+def keep_one(
+    docs: DataFrame,
+    width: int = 5,
+    threshold: tuple[int, int] = (4, 5),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row of ``docs`` of each group, with all its columns: the one with the smallest id.
+
+    Of rows with this id and the same group one stays.
+    """
+    found = grouped(documents(docs, id_col, text_col), width, *threshold)
+    # Two texts with one id and without links are groups of their own.
+    kept = found.groupBy("root", F.when(F.col("n") == 0, F.col("fp")).alias("empty")).agg(F.min(F.struct("doc", "fp")).alias("row"))
+    kept = cut_lineage(kept.select("row.doc", "row.fp").distinct())
+    names = [f"c{i}" for i in range(len(docs.columns))]  # no column of the caller clashes with the keys
+    rows = docs.toDF(*names).select(
+        *document_columns(names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]), *names
+    )
+    rows = rows.withColumn("fp", F.xxhash64("body")).drop("body")
+    rows = rows.join(kept.hint("shuffle_hash"), ["doc", "fp"]).dropDuplicates(["doc", "fp"])
+    return rows.select(*names).toDF(*docs.columns)

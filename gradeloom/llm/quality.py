@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -187,11 +188,8 @@ def held_out(id_: str = "doc") -> Column:
     return F.crc32(F.coalesce(outer_id(id_).cast("string"), F.lit(""))) % 5 == 0
 
 
-def scored(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS
-) -> DataFrame:
-    """``doc, fp, score`` for every row of ``docs`` (see ``classify``)."""
-    rows = documents(docs, id_col, text_col).withColumn("fp", F.xxhash64("body"))
+def train(rows: DataFrame, labels: DataFrame, id_col: str, sample_rows: int) -> tuple[np.ndarray, Network, DataFrame]:
+    """Word vectors, network and pooled vectors (``doc, fp, pooled``) of ``rows`` (``doc, body, fp``)."""
     vectors = word_vectors(rows)
     pooled = cut_lineage(rows.mapInArrow(_pooled(vectors), "doc long, fp long, pooled array<float>"))
     known = labels.select(F.col(id_col).cast("long").alias("doc"), F.col("quality").cast("int").alias("quality"))
@@ -199,8 +197,7 @@ def scored(
     sample = pooled.join(known, "doc").orderBy(F.xxhash64("doc"), "fp", "quality").limit(sample_rows)
     sample = sample.select("quality", "pooled").toArrow()
     x = sample["pooled"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
-    network = fit(x, sample["quality"].to_numpy())
-    return pooled.mapInArrow(_scores(network), "doc long, fp long, score double")
+    return vectors, fit(x, sample["quality"].to_numpy()), pooled
 
 
 def classify(
@@ -223,10 +220,42 @@ def classify(
 
     Returns the id, ``held_out``, ``score`` and ``predicted`` (1 at ``threshold`` or above).
     """
-    found = scored(docs, labels, id_col, text_col, sample_rows)
+    rows = documents(docs, id_col, text_col).withColumn("fp", F.xxhash64("body"))
+    _, network, pooled = train(rows, labels, id_col, sample_rows)
+    found = pooled.mapInArrow(_scores(network), "doc long, fp long, score double")
     return found.select(
         outer_id().alias(id_col),
         held_out().alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def _good(vectors: np.ndarray, network: Network, text_col: str, threshold: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(BUCKETS)
+        for batch in batches:
+            body = pc.fill_null(batch[text_col], "")
+            for begin, end in slices(body, 2_000_000):
+                words, starts = hasher.encode(body.slice(begin, end - begin))
+                good = network.score(pool(words.astype(np.int64), starts, vectors)) >= threshold
+                yield batch.slice(begin, end - begin).filter(pa.array(good))
+
+    return run
+
+
+def keep_good(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    sample_rows: int = SAMPLE_ROWS,
+    threshold: float = 0.3,
+) -> DataFrame:
+    """Rows of ``docs``, with all their columns, that ``classify`` predicts as 1.
+
+    The rows are scored where they are read, so no text is shuffled.
+    """
+    rows = documents(docs, id_col, text_col).withColumn("fp", F.xxhash64("body"))
+    vectors, network, _ = train(rows, labels, id_col, sample_rows)
+    return docs.mapInArrow(_good(vectors, network, text_col, threshold), docs.schema)
