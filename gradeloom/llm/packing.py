@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm.common import documents, outer_id
-from gradeloom.llm.word_tokens import WordEncoder, slices
+from gradeloom.llm.word_tokens import slices, word_encoder
 from gradeloom.session import cut_lineage
 
 WINDOWS = 32  # open windows of a partition
@@ -96,7 +96,7 @@ def _pack(tokenizer: str, size: int, windows: int, with_ids: bool) -> Callable:
     kinds = [pa.int64()] * 7 + [pa.bool_()] + [pa.list_(pa.int32())] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         # A partition's number is the same when it is computed again, and so are its sequences.
         state = Windows(size, windows, TaskContext.get().partitionId() << 32)
 

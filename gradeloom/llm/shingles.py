@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 from gradeloom.llm.word_tokens import WordTable, slices
@@ -14,10 +17,11 @@ class WordHashes(WordTable):
 
     dtype = np.uint64
 
-    def numbers(self, words: list[str]) -> list[np.ndarray]:
-        return [
-            np.array([xxhash.xxh64_intdigest(word.encode().lower())] if word else [], np.uint64) for word in words
-        ]  # bytes.lower() changes A-Z only
+    def parts(self, words: pa.Array) -> list[pa.Array]:
+        return [pc.ascii_lower(words)]
+
+    def numbers(self, parts: list[str]) -> list[Sequence[int]]:
+        return [[xxhash.xxh64_intdigest(word.encode())] if word else [] for word in parts]
 
 
 def mix(h: np.ndarray, seed: int) -> np.ndarray:

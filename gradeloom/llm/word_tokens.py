@@ -5,14 +5,16 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 4_000_000  # text that is encoded at once
-KNOWN_WORDS = 300_000  # words that a worker remembers; beyond it starts anew
+KNOWN_WORDS = 600_000  # parts of words that a worker remembers; beyond it starts anew
 
 
 class WordTable:
@@ -23,8 +25,12 @@ class WordTable:
     def __init__(self):
         self.forget()
 
-    def numbers(self, words: list[str]) -> list[np.ndarray]:
-        """Numbers of each word as an array of ``dtype``."""
+    def parts(self, words: pa.Array) -> list[pa.Array]:
+        """Columns of parts that words are looked up by; a word's numbers are those of its parts."""
+        return [words]
+
+    def numbers(self, parts: list[str]) -> list[Sequence[int]]:
+        """Numbers of each part."""
         raise NotImplementedError
 
     def forget(self) -> None:
@@ -33,31 +39,43 @@ class WordTable:
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        new = self.numbers(words)
-        lengths = np.array([len(x) for x in new], np.int64)
+    def _learn(self, parts: list[str]) -> None:
+        new = self.numbers(parts)
+        lengths = np.fromiter(map(len, new), np.int64, len(new))
         base = len(self.start)
         self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(lengths) - lengths))
         self.length = np.concatenate((self.length, lengths))
-        self.pool = np.concatenate((self.pool, *new))
-        self.place.update(zip(words, range(base, base + len(words)), strict=True))
+        self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(new), self.dtype, int(lengths.sum()))))
+        self.place.update(zip(parts, range(base, base + len(parts)), strict=True))
+
+    def _places(self, parts: pa.Array) -> np.ndarray:
+        coded = parts.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if unknown := [p for p in names if p not in self.place]:
+            self._learn(unknown)
+        return np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all texts in a row, and where each text's begin (one more than texts)."""
+        if len(self.place) > KNOWN_WORDS:
+            self.forget()
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
-        if len(self.place) + len(names) > KNOWN_WORDS:
-            self.forget()
-        if unknown := [w for w in names if w not in self.place]:
-            self._learn(unknown)
-        entry = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))
-        codes = entry[words.indices.to_numpy()] if len(names) else np.zeros(0, np.int64)
-        lengths = self.length[codes]
-        ends = np.cumsum(lengths)
-        found = self.pool[np.repeat(self.start[codes] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        columns = [self._places(part) for part in self.parts(words.dictionary)]
+        places = np.stack(columns, axis=1)
+        lengths = self.length[places]
+        distinct, starts = ragged(self.pool, self.start[places.ravel()], lengths.ravel())
+        starts = starts[:: len(columns)]
+        codes = words.indices.to_numpy()
+        found, ends = ragged(distinct, starts[:-1][codes], np.diff(starts)[codes])
         word_ends = split.offsets.to_numpy().astype(np.int64)
-        return found, np.concatenate(([0], ends))[word_ends - word_ends[0]]
+        return found, ends[word_ends - word_ends[0]]
+
+
+def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``values`` one after another, and where each begins (one more than runs)."""
+    ends = np.concatenate(([0], np.cumsum(lengths)))
+    return values[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])], ends
 
 
 class WordEncoder(WordTable):
@@ -75,18 +93,23 @@ class WordEncoder(WordTable):
 
         self.tokenizer = Tokenizer.from_file(path)
 
-    def numbers(self, words: list[str]) -> list[np.ndarray]:
-        parts, simple = [], {}
-        for word in words:
-            stem = word.rstrip(".,")
-            tail = word[len(stem) :] if stem and stem[-1].isalpha() else ""
-            stem = word[: len(word) - len(tail)]
-            stem = stem.lower() if stem.isascii() and stem.isalpha() else stem
-            parts.append((stem, tail))
-            simple[stem] = simple[tail] = None
-        found = self.tokenizer.encode_batch(list(simple), add_special_tokens=False)
-        ids = {word: np.array(x.ids, np.uint32) for word, x in zip(simple, found, strict=True)}
-        return [np.concatenate((ids[a], ids[b])) if b else ids[a] for a, b in parts]
+    def parts(self, words: pa.Array) -> list[pa.Array]:
+        stems = pc.utf8_rtrim(words, ".,")
+        # In lower case, U+0130 alone of all letters ends in a character that is no letter.
+        apart = pc.match_substring_regex(stems, r"[^\P{L}\x{130}]$")
+        tails = pc.replace_substring_regex(words, r"^(?s:.*?)([.,]*)$", r"\1")
+        stems = pc.if_else(apart, stems, words)
+        plain = pc.and_(pc.string_is_ascii(stems), pc.ascii_is_alpha(stems))
+        return [pc.if_else(plain, pc.ascii_lower(stems), stems), pc.if_else(apart, tails, "")]
+
+    def numbers(self, parts: list[str]) -> list[Sequence[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of this worker, with the words that it knows from earlier partitions."""
+    return WordEncoder(path)
 
 
 class WordHasher(WordTable):
@@ -98,10 +121,8 @@ class WordHasher(WordTable):
         super().__init__()
         self.buckets = buckets
 
-    def numbers(self, words: list[str]) -> list[np.ndarray]:
-        return [
-            np.array([zlib.crc32(p.encode()) % self.buckets for p in self._PART.findall(word)], np.uint32) for word in words
-        ]
+    def numbers(self, parts: list[str]) -> list[Sequence[int]]:
+        return [[zlib.crc32(p.encode()) % self.buckets for p in self._PART.findall(word)] for word in parts]
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
