@@ -128,7 +128,7 @@ def digests(rows: DataFrame) -> DataFrame:
 
 def groups(found: DataFrame) -> DataFrame:
     """Copies as one row: ``sha, h, n`` and ``best``, the row that stays."""
-    rank = F.struct(F.col("n_chars"), (-F.col("doc")).alias("order"), F.col("doc"), F.col("fp"))
+    rank = F.struct(F.col("n_chars"), F.bitwise_not("doc").alias("order"), F.col("doc"), F.col("fp"))
     return found.groupBy("sha", "h").agg(F.count("*").alias("n"), F.max(rank).alias("best"))
 
 
