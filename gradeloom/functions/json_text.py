@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 from gradeloom.functions.numbers import float_text
 
 
-def _quoted(text: Column) -> Column:
+def quoted(text: Column) -> Column:
+    """A text as a JSON string."""
     # to_json escapes the text; what surrounds it is {"v":...}
     wrapped = F.to_json(F.struct(text.alias("v")))
     return F.substr(wrapped, F.lit(6), F.length(wrapped) - 6)
@@ -39,7 +40,7 @@ def canonical_json(
         entries = F.transform(
             F.array_sort(F.map_keys(col)),
             lambda k: F.concat(
-                _quoted(k), F.lit(": "),
+                quoted(k), F.lit(": "),
                 F.coalesce(canonical_json(col[k], kind.valueType, **again), F.lit("null")),
             ),
         )
@@ -50,7 +51,7 @@ def canonical_json(
         )
         return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
     if isinstance(kind, T.StringType):
-        return F.when(col.isNotNull(), _quoted(col))
+        return F.when(col.isNotNull(), quoted(col))
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return float_text(col)
     return col.cast("string")

@@ -9,10 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: list elements (and records) that are looked at.
-SAMPLE = 5
-
-
 def _walk(value: object, path: str, sample: int | None) -> Iterator[tuple[str, str]]:
     """``(kind, path)`` of every place: ``list``, ``empty`` object, or ``leaf``."""
     if isinstance(value, dict):
@@ -36,10 +32,9 @@ def _paths(df: DataFrame, column: str, root: str, kinds: tuple[str, ...], sample
         for batch in batches:
             found = set()
             for text in batch[column]:
-                try:
-                    places = list(_walk(json.loads(text), root, sample))
-                except (TypeError, ValueError):
+                if text is None:
                     continue
+                places = list(_walk(json.loads(text), root, sample))  # text that is no JSON stops the job
                 # A record that is a bare value or list has "$" in place of an empty path.
                 found |= {
                     path if path and not path.startswith("[") else f"${path}"
@@ -54,19 +49,24 @@ def _paths(df: DataFrame, column: str, root: str, kinds: tuple[str, ...], sample
     return df.select(column).mapInPandas(run, "path string").distinct().orderBy("path")
 
 
-def array_paths(payloads: DataFrame, column: str, sample: int | None = SAMPLE) -> DataFrame:
-    """Sorted paths whose value is a list, with ``[]`` for list elements."""
+def array_paths(payloads: DataFrame, column: str, sample: int | None = None) -> DataFrame:
+    """Sorted paths whose value is a list, with ``[]`` for list elements.
+
+    All elements of a list are looked at, or its first ``sample`` ones. NULL has no paths;
+    text that is no JSON is an error.
+    """
     return _paths(payloads, column, "$", ("list",), sample)
 
 
-def field_paths(records: DataFrame, column: str, sample: int | None = SAMPLE) -> DataFrame:
+def field_paths(records: DataFrame, column: str, sample: int | None = None) -> DataFrame:
     """Sorted field paths of records: leaves, lists and empty objects.
 
-    Pass all records, or only the first few in their own order to look at a sample.
+    Pass all records, or only the first few in their own order to look at a sample. Lists,
+    NULL and text that is no JSON are treated as in ``array_paths``.
     """
     return _paths(records, column, "", ("list", "leaf", "empty"), sample)
 
 
-def first_records(records: DataFrame, order: str, count: int = SAMPLE) -> DataFrame:
+def first_records(records: DataFrame, order: str, count: int = 5) -> DataFrame:
     """The first records of a page, as a sample for ``field_paths``."""
     return records.orderBy(F.col(order)).limit(count)

@@ -224,6 +224,6 @@ def embed_columns(
         side = vectors.select(F.col("text_key").alias("_key"), F.col("vector").alias(name))
         key = F.sha2(F.col(column), 256).alias("_key")
         out = lookup_join(
-            out.select("*", key), side, ["_key"], spread_by=spread_by, keys_from=df.select(key)
+            out.select("*", key), side, ["_key"], spread_by=spread_by
         ).drop("_key")
     return out

@@ -1,16 +1,10 @@
-"""Joins: lookups that survive a hot key, run views, referential maintenance."""
+"""Joins: lookups, run views, referential maintenance."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key counts as hot above this many rows; the list of hot keys therefore has
-# at most rows / HOT_ROWS entries, which bounds what is broadcast.
-HOT_ROWS = 2_000_000
-SALTS = 64
-
-
 def lookup_join(
     facts: DataFrame,
     dim: DataFrame,
@@ -18,61 +12,47 @@ def lookup_join(
     how: str = "left",
     *,
     spread_by: list[str],
-    keys_from: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    target_rows: int | None = None,
 ) -> DataFrame:
-    """Equi-join a large table to a lookup table although one key may dominate.
-
-    Keys above ``hot_rows`` are found with one partially aggregated pass over
-    the key column of ``keys_from``: the table the facts come from, so that
-    chained lookups do not repeat the joins before them (default: the facts). Their fact rows spread over ``salts`` sub-keys, chosen by a
-    hash of ``spread_by`` (repeatable when a task runs again); only the lookup
-    rows of those keys are copied. All other keys join as usual, and Spark still
-    broadcasts the lookup table when its statistics say it is small.
+    """Equi-join a large table to a lookup table.
+
+    Spark broadcasts the lookup table when its statistics say that it is small, and
+    AQE splits partitions that a hot key fills. With ``target_rows`` a key with more
+    rows than that is spread in advance over rows / target_rows sub-keys, chosen by a
+    hash of ``spread_by`` (repeatable when a task runs again); only the lookup rows of
+    such keys are copied. That costs a pass over the keys and pays where AQE is off or
+    the join is followed by work on the same partitions.
     """
-    hot = (
-        (facts if keys_from is None else keys_from)
-        .groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .select(*on, F.lit(True).alias("_hot"))
-    )
-    small_hot = F.broadcast(hot)
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    # Rows without a key match nothing, so they may go anywhere as well.
-    spread = F.col("_hot") | F.greatest(*[F.col(c).isNull() for c in on], F.lit(False))
-    left = facts.join(small_hot, on, "left").withColumn(
-        "_salt", F.when(spread, salt).otherwise(F.lit(0))
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    right = dim.join(small_hot, on, "left").withColumn("_salt", F.explode(copies))
-    return left.drop("_hot").join(right.drop("_hot"), [*on, "_salt"], how).drop("_salt")
+    if target_rows is None:
+        return facts.join(dim, on, how)
+    counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > target_rows)
+    hot = counts.select(*on, F.ceil(F.col("_rows") / target_rows).cast("int").alias("_salts"))
+    salt = F.pmod(F.xxhash64(*spread_by), F.coalesce("_salts", F.lit(1))).cast("int")
+    left = facts.join(hot, on, "left").withColumn("_salt", salt)
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    right = dim.join(hot, on, "left").withColumn("_salt", F.explode(copies))
+    return left.drop("_salts").join(right.drop("_salts"), [*on, "_salt"], how).drop("_salt")
 
 
 def run_view(
-    runs: DataFrame, configs: DataFrame, datasets: DataFrame, *, how: str = "left", **spread: int
+    runs: DataFrame, configs: DataFrame, datasets: DataFrame, *, how: str = "left", target_rows: int | None = None
 ) -> DataFrame:
     """Runs with the names of their config and dataset (NULL when dangling)."""
     names = configs.select(
         F.col("id").alias("eval_config_id"), F.col("name").alias("config_name")
     )
     sets = datasets.select(F.col("id").alias("dataset_id"), F.col("name").alias("dataset_name"))
-    named = lookup_join(runs, names, ["eval_config_id"], how, spread_by=["id"], **spread)
-    return lookup_join(
-        named, sets, ["dataset_id"], how, spread_by=["id"], keys_from=runs, **spread
-    )
+    named = lookup_join(runs, names, ["eval_config_id"], how, spread_by=["id"], target_rows=target_rows)
+    return lookup_join(named, sets, ["dataset_id"], how, spread_by=["id"], target_rows=target_rows)
 
 
 def evaluation_rows(
-    runs: DataFrame, dataset_rows: DataFrame, **spread: int
+    runs: DataFrame, dataset_rows: DataFrame, target_rows: int | None = None
 ) -> DataFrame:
     """One row per run and row of the run's dataset (the work list of a run)."""
     wanted = runs.select(F.col("id").alias("eval_run_id"), "dataset_id")
     return lookup_join(
-        dataset_rows, wanted, ["dataset_id"], "inner", spread_by=["row_index"], **spread
+        dataset_rows, wanted, ["dataset_id"], "inner", spread_by=["row_index"], target_rows=target_rows
     )
 
 

@@ -125,7 +125,7 @@ def apply_translations(
         side = known.select("cache_key", F.col("translated_text").alias("_translated"))
         out = lookup_join(
             out.select("*", key), side, ["cache_key"], "left",
-            spread_by=spread_by, keys_from=df.select(key),
+            spread_by=spread_by,
         )
         out = out.withColumn(
             name, F.when(text == "", F.lit("")).otherwise(F.col("_translated"))

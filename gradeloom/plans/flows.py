@@ -17,7 +17,7 @@ from gradeloom.plans.registry import query
 from gradeloom.plans.views import SQL_ENTITIES, SQL_RESULTS, SQL_VERDICTS, with_ctes
 from gradeloom.session import fresh_dir
 from gradeloom.sources import csv_dataset, exports, paging, records
-from gradeloom.sources.keyed_table import results_table, translation_cache
+from gradeloom.sources.keyed_table import KeyedTable, results_table, translation_cache
 from gradeloom.sources.paged_json import register_paged_json
 from gradeloom.streaming import grade_stream, heartbeat, paged_stream
 
@@ -53,7 +53,7 @@ def c8(spark, sf):
     results = views.results(spark, sf, indexed=True).select(
         "event_id", "row_index", "score", "eval_run_id", F.col("event_id").alias("result_id"))
     side = _run_view(spark, sf).select(F.col("id").alias("eval_run_id"), "status", "config_name", "dataset_name")
-    return exports.enrich_results(results, side, keys_from=views.results(spark, sf)).drop("result_id")
+    return exports.enrich_results(results, side).drop("result_id")
 
 
 _DATE = "strftime({0}, '%Y-%m-%d %H:%M:%S') || CASE WHEN microsecond({0}) % 1000000 = 0 THEN '' ELSE strftime({0}, '.%f') END"
@@ -90,7 +90,7 @@ FROM v_results r JOIN run_view v ON v.id = r.eval_run_id JOIN detail ON row_id =
 @query("a7_run_export", with_ctes(_EXPORT_SQL, SQL_RESULTS, SQL_VERDICTS, SQL_ENTITIES, _RUN_VIEW, _EXPORT_DETAIL))
 def a7(spark, sf):
     results = views.results(spark, sf, indexed=True, details=True).withColumn("result_id", F.col("event_id"))
-    return exports.run_export(results, _run_view(spark, sf), keys_from=views.results(spark, sf, details=True))
+    return exports.run_export(results, _run_view(spark, sf), names_from=views.results(spark, sf, details=True))
 
 
 @query("s4_canonical_json", """
@@ -302,6 +302,30 @@ def d11(spark, sf):
     return discover.field_paths(_record_texts(spark, sf), "text")
 
 
+# Orders by customer as one list, and one more element whose paths no other has: at the end of long lists.
+_LONG = """
+WITH lists AS (SELECT o_custkey AS k, list(json_object('order', o_orderkey) ORDER BY o_orderkey) AS l FROM orders GROUP BY 1),
+payload AS (SELECT json_object('rows', list_append(l, json_object('late', [json_object('n', len(l))]))) AS j FROM lists),
+tree AS (SELECT DISTINCT regexp_replace(t.fullkey, '\\[\\d+\\]', '[]', 'g') AS path, t.type FROM payload p, json_tree(p.j) t)"""
+
+
+def _long_lists(spark, sf):
+    orders = views.table(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("l"))
+    plain = F.transform("l", lambda o: F.concat(F.lit('{"order": '), o.cast("string"), F.lit("}")))
+    last = F.concat(F.lit('{"late": [{"n": '), F.size("l").cast("string"), F.lit("}]}"))
+    return orders.select(F.concat(F.lit('{"rows": ['), F.array_join(F.array_append(plain, last), ", "), F.lit("]}")).alias("text"))
+
+
+@query("d10_long_lists", _LONG + "SELECT DISTINCT path FROM tree WHERE type = 'ARRAY'")
+def d10_long(spark, sf):
+    return discover.array_paths(_long_lists(spark, sf), "text")
+
+
+@query("d11_long_lists", _LONG + "SELECT DISTINCT substr(path, 3) AS path FROM tree WHERE type <> 'OBJECT'")
+def d11_long(spark, sf):
+    return discover.field_paths(_long_lists(spark, sf), "text")
+
+
 # --- streams over the given tables -------------------------------------------------------
 
 
@@ -310,6 +334,18 @@ def _event_stream(spark, sf):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
+def _late_event_stream(spark, sf):
+    """All events in five files, one for each trigger: rows up to five days late, the first file twice."""
+    inbox, events = fresh_dir(spark, "inbox"), views.table(spark, sf, "events")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
+    first, last = events.agg(F.min(seconds), F.max(seconds)).first()
+    late = F.pmod(F.xxhash64("event_id"), F.lit(5 * 86_400))
+    part = F.floor((seconds + late - first) * 4 / (last - first + 5 * 86_400 + 1))
+    for i in (0, 1, 2, 3, 0):
+        events.filter(part == i).coalesce(1).write.mode("append").parquet(inbox)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+
+
 def _stream_store(spark, sf, progress=None):
     """Outputs arrive as a stream, are graded and upserted (each row of the run once)."""
     kind = F.col("event_type")
@@ -356,18 +392,19 @@ def t2(spark, sf):
     return grade_stream.progress_view(grade_stream.latest_progress(spark, path), totals)
 
 
-@query("t3_silent_runs", """
+# A run fails when its deadline and the longest delay of a heartbeat (two hours) have passed.
+_SILENT = """
 SELECT eval_run_id, 'failed' AS status, last_heartbeat, last_heartbeat + INTERVAL 30 MINUTE AS failed_at
 FROM (SELECT user_id AS eval_run_id, min(ts) AS last_heartbeat
   FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following FROM events)
-  WHERE following > ts + INTERVAL 30 MINUTE
-    OR (following IS NULL AND ts + INTERVAL 30 MINUTE <= (SELECT date_trunc('milliseconds', max(ts)) FROM events))
-  GROUP BY user_id)""")
-def t3(spark, sf):
-    beats = _event_stream(spark, sf).select(
-        F.col("user_id").alias("eval_run_id"), "ts", F.lit(False).alias("ended"))
+  WHERE following > ts + INTERVAL 30 MINUTE OR following IS NULL GROUP BY user_id)
+WHERE last_heartbeat + INTERVAL 30 MINUTE <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL {late} FROM events)"""
+
+
+def _silent_runs(spark, events, watermark):
+    beats = events.select(F.col("user_id").alias("eval_run_id"), "ts", F.lit(False).alias("ended"))
     target = fresh_dir(spark, "silent")
-    silent = heartbeat.failed_runs(beats)
+    silent = heartbeat.failed_runs(beats, watermark=watermark)
     silent.writeStream.format("parquet").option("path", target).option(
         "checkpointLocation", fresh_dir(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     failed = spark.read.schema(silent.schema).parquet(target)
@@ -376,6 +413,16 @@ def t3(spark, sf):
         F.col("failed_at").cast("timestamp_ntz").alias("failed_at"))
 
 
+@query("t3_silent_runs", _SILENT.format(late="2 HOUR"))
+def t3(spark, sf):
+    return _silent_runs(spark, _event_stream(spark, sf), "2 hours")
+
+
+@query("t3_late_heartbeats", _SILENT.format(late="6 DAY"))
+def t3_late(spark, sf):
+    return _silent_runs(spark, _late_event_stream(spark, sf), "6 days")
+
+
 @query("t4_paged_import", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer")
 def t4(spark, sf):
     register_paged_json(spark, "customer_feed", _customer_pages(sf))
@@ -397,18 +444,19 @@ def t4(spark, sf):
     return spark.read.schema("c_custkey string, c_name string").parquet(target).drop("batch")
 
 
+def _streamed_summary(spark, sf, events):
+    stream = views.shape_results(events).withColumn("row_index", F.col("event_id"))
+    table = KeyedTable(fresh_dir(spark, "results"), stream.schema, ("eval_run_id", "row_index"))
+    target = fresh_dir(spark, "summary")
+    grade_stream.start_summary(stream, table, target, fresh_dir(spark, "checkpoint")).awaitTermination()
+    return grade_stream.latest_summary(spark, target)
+
+
 @query("t5_stream_summary", with_ctes(_SUMMARY, SQL_RESULTS))
 def t5(spark, sf):
-    target = fresh_dir(spark, "summary")
-    stream = views.shape_results(_event_stream(spark, sf)).withColumn(
-        "created_at", F.col("created_at").cast("timestamp")).withColumn("row_index", F.col("event_id"))
-    running = grade_stream.streaming_summary(stream, watermark="1 hour")
+    return _streamed_summary(spark, sf, _event_stream(spark, sf))
 
-    def land(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    running.writeStream.outputMode("update").foreachBatch(land).option(
-        "checkpointLocation", fresh_dir(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    landed = spark.read.parquet(target)
-    fields = [c for c in landed.columns if c not in ("eval_run_id", "batch")]
-    return landed.groupBy("eval_run_id").agg(F.max_by(F.struct(*fields), "batch").alias("s")).select("eval_run_id", "s.*")
+@query("t5_late_results", with_ctes(_SUMMARY, SQL_RESULTS))
+def t5_late(spark, sf):
+    return _streamed_summary(spark, sf, _late_event_stream(spark, sf))

@@ -324,7 +324,7 @@ def s8(spark, sf):
         F.when(kind != "signup", F.col("value") / 50).alias("score"),
         F.when(kind != "click", F.concat(F.lit("because "), F.col("user_id").cast("string"))).alias("reasoning"))))
     return views.table(spark, sf, "events").select(
-        "event_id", graders.parse_judge_reply(reply).alias("r")).select("event_id", "r.*")
+        "event_id", graders.parse_judge_reply(reply).alias("r")).select("event_id", "r.score", "r.reasoning")
 
 
 def stub_judge(request: dict) -> inference.Reply:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.functions.json_text import bool_text, canonical_json, datetime_text
+from gradeloom.functions.json_text import bool_text, canonical_json, datetime_text, quoted
 from gradeloom.functions.numbers import float_text
 from gradeloom.functions.text import grader_key
 from gradeloom.operators.joins import lookup_join
@@ -27,16 +26,9 @@ RESULT_COLUMNS = (
 GRADER_COLUMNS = ("score", "passed", "reasoning", "details_json")
 
 
-def enrich_results(
-    results: DataFrame, runs: DataFrame, *, keys_from: DataFrame | None = None
-) -> DataFrame:
-    """Results with the columns of their run; a run that owns most rows is spread.
-
-    ``keys_from`` is the plain results table when ``results`` is already a join.
-    """
-    return lookup_join(
-        results, runs, ["eval_run_id"], "inner", spread_by=["result_id"], keys_from=keys_from
-    )
+def enrich_results(results: DataFrame, runs: DataFrame) -> DataFrame:
+    """Results with the columns of their run."""
+    return lookup_join(results, runs, ["eval_run_id"], "inner", spread_by=["result_id"])
 
 
 def grader_names(results: DataFrame) -> list[str]:
@@ -52,16 +44,17 @@ def key_collisions(names: DataFrame, column: str = "grader") -> DataFrame:
 
 
 def run_export(
-    results: DataFrame, runs: DataFrame, names: list[str] | None = None,
-    *, keys_from: DataFrame | None = None,
-) -> DataFrame:
+    results: DataFrame, runs: DataFrame, names: list[str] | None = None, *, names_from: DataFrame | None = None
+) -> DataFrame:
     """One text row per result.
 
     ``runs`` is a run view with a ``summary`` struct; ``results`` carry
-    ``result_id`` and the verdict map. Names come from the results unless given.
-    Columns come from map lookups, so no pivot shuffles the rows.
+    ``result_id`` and the verdict map. The columns are those of ``names``, else of all names
+    in ``names_from`` (the plain results table when ``results`` is already a join); the
+    whole map is in ``comparer_details_json`` either way. Columns come from map lookups, so
+    no pivot shuffles the rows.
     """
-    names = sorted(names) if names is not None else grader_names(results if keys_from is None else keys_from)
+    names = sorted(names) if names is not None else grader_names(results if names_from is None else names_from)
     summary_type = runs.schema["summary"].dataType
     details_type = results.schema["details"].dataType
     verdict_type = details_type.valueType
@@ -76,19 +69,24 @@ def run_export(
         datetime_text(F.col("completed_at")).alias("run_completed_at"),
         canonical_json(F.col("summary"), summary_type).alias("run_summary_json"),
     )
-    rows = enrich_results(results, run_side, keys_from=keys_from)
+    rows = enrich_results(results, run_side)
     style = {"null_keys": ("passed",), "raw_keys": ("details_json",)}
-    # One lookup and one JSON text per grader; the whole map is put together from them.
     verdicts = {name: f"_verdict{i}" for i, name in enumerate(names)}
     rows = rows.select("*", *[F.col("details")[n].alias(c) for n, c in verdicts.items()])
     rows = rows.select(
         "*", *[canonical_json(F.col(c), verdict_type, **style).alias(f"{c}_json") for c in verdicts.values()]
     )
-    labelled = [
-        F.concat(F.lit(json.dumps(n, ensure_ascii=False) + ": "), F.col(f"{c}_json")) for n, c in verdicts.items()
-    ]
+    # Names with a column have their text already; all others are written from the map.
+    made_texts = F.create_map(*[x for n, c in verdicts.items() for x in (F.lit(n), F.col(f"{c}_json"))]) if verdicts else None
+    keys = F.array_sort(F.map_keys("details"))
+
+    def entry(name: Column) -> Column:
+        text = canonical_json(F.col("details")[name], verdict_type, **style)
+        text = text if made_texts is None else F.coalesce(made_texts[name], text)
+        return F.concat(quoted(name), F.lit(": "), text)
+
     whole = F.when(
-        F.col("details").isNotNull(), F.concat(F.lit("{"), F.concat_ws(", ", *labelled), F.lit("}"))
+        F.col("details").isNotNull(), F.concat(F.lit("{"), F.concat_ws(", ", F.transform(keys, entry)), F.lit("}"))
     )
     usage = F.when(
         F.col("input_tokens").isNotNull() | F.col("output_tokens").isNotNull(),

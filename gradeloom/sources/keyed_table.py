@@ -30,7 +30,9 @@ class KeyedTable:
         return [f for f in self.schema.fieldNames() if f not in (*self.keys, *self.first)]
 
     def upsert(self, rows: DataFrame, batch: int, order: str | None = None) -> None:
-        """Write one batch; repeats of a key inside it resolve by ``order``."""
+        """Write one batch, numbered from 0; repeats of a key inside it resolve by ``order``."""
+        if batch < 0:
+            raise ValueError("batches are numbered from 0; -1 holds the compacted base")
         columns = self.schema.fieldNames()
         if order is not None:
             rows = last_write(rows, list(self.keys), F.col(order), self.payload, list(self.first))
@@ -49,8 +51,12 @@ class KeyedTable:
         return merged.select(*self.schema.fieldNames())
 
     def compact(self, spark: SparkSession, target: str) -> KeyedTable:
-        """Write the current rows as batch 0 of a new folder and return that table."""
-        self.current(spark).write.mode("errorifexists").parquet(f"{target}/batch=0")
+        """Write the current rows as the base of a new folder and return that table.
+
+        The base has a slot of its own below all batches, so a stream that starts anew
+        with batch 0 adds to it and does not replace it.
+        """
+        self.current(spark).write.mode("errorifexists").parquet(f"{target}/batch=-1")
         return KeyedTable(target, self.schema, self.keys, self.first)
 
 

@@ -123,7 +123,8 @@ class Pager:
         if self.mode == "none":
             return None
         if self.mode == "next_token":
-            return lookup(payload, str(self.config.get("response_token_path", "next_token"))) or None
+            token = lookup(payload, str(self.config.get("response_token_path", "next_token")))
+            return None if token == "" else token
         more = None
         if self.config.get("has_more_path"):
             more = lookup(payload, str(self.config["has_more_path"]))

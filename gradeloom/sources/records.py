@@ -16,8 +16,9 @@ REQUIRED_COLUMNS = ("input", "expected_output")
 def extract_records(df: DataFrame, payload: Value, path: str | None, keep: list[str]) -> DataFrame:
     """One row per element of the list at ``path``: ``keep``, ``record_index``, ``record``.
 
-    A path that is missing in a payload yields no rows; a value of another kind
-    is an error (found while planning when the schema already says so).
+    A path that is missing in a payload yields no rows; a value of another kind and
+    payload text that is no JSON are errors (found while planning when the schema
+    already says so).
     """
     if not path:
         raise ValueError("records_path must not be empty")
@@ -26,14 +27,27 @@ def extract_records(df: DataFrame, payload: Value, path: str | None, keep: list[
         return df.select(*keep, F.lit(0).alias("record_index"), F.lit(None).cast("string").alias("record")).limit(0)
     if not found.is_list:
         raise ValueError("records_path must resolve to a list")
-    return df.select(*keep, F.posexplode(found.col).alias("record_index", "record"))
+    return df.select(*keep, F.posexplode(_checked(payload, found)).alias("record_index", "record"))
+
+
+def _checked(payload: Value, found: Value) -> Column:
+    """The list of a payload that was read from text; where there is none, the text is looked at."""
+    if payload.raw is None:
+        return found.col
+    text, _ = payload.raw
+    problem = F.when(text.isNotNull() & F.get_json_object(text, "$").isNull(), "payload is no JSON")
+    if found.raw is not None:
+        here = F.get_json_object(*found.raw)
+        problem = F.coalesce(problem, F.when(here.isNotNull() & ~here.startswith("["), "records_path must resolve to a list"))
+    stopped = F.when(problem.isNotNull(), F.raise_error(problem)).cast(found.type)
+    return F.coalesce(found.col, stopped)
 
 
 def extract_json_records(df: DataFrame, column: str, path: str, keep: list[str]) -> DataFrame:
     """The same for payload text without a schema; records stay JSON text.
 
-    A payload whose value at ``path`` is no list stops the job, as reading it
-    would lose data silently.
+    A payload that is no JSON or whose value at ``path`` is no list stops the job, as
+    reading it would lose data silently.
     """
     steps = path_steps(path)
     if None in steps:
@@ -41,9 +55,10 @@ def extract_json_records(df: DataFrame, column: str, path: str, keep: list[str])
     where = "$" + "".join(f"[{s}]" if isinstance(s, int) else f"['{s}']" for s in steps)
     text = F.get_json_object(F.col(column), where)
     items = F.from_json(text, "array<string>")
-    checked = F.when(
-        text.isNotNull() & ~text.startswith("["), F.raise_error(F.lit("records_path must resolve to a list")).cast("array<string>")
-    ).otherwise(items)
+    problem = F.when(text.isNotNull() & ~text.startswith("["), "records_path must resolve to a list").when(
+        text.isNull() & F.col(column).isNotNull() & F.get_json_object(F.col(column), "$").isNull(), "payload is no JSON"
+    )
+    checked = F.when(problem.isNotNull(), F.raise_error(problem).cast("array<string>")).otherwise(items)
     return df.select(*keep, F.posexplode(checked).alias("record_index", "record"))
 
 

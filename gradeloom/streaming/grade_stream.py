@@ -69,6 +69,38 @@ def progress_view(progress: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+def start_summary(
+    results: DataFrame, table: KeyedTable, target: str, checkpoint: str, *, available_now: bool = True
+) -> StreamingQuery:
+    """Summarise arriving results run by run, however late or often a row comes.
+
+    Each batch is upserted by run and row (the last write counts), then the runs that it
+    touches are summarised from the table and written as ``target/batch=N``; read them
+    with ``latest_summary``. A replayed batch replaces its own folders.
+    """
+
+    def commit(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        table.upsert(batch.dropDuplicates(list(table.keys)), batch_id)
+        written = spark.read.schema(table.schema).parquet(f"{table.path}/batch={batch_id}")
+        touched = written.select("eval_run_id").distinct()
+        current = table.current(spark).join(touched, "eval_run_id", "left_semi")
+        run_summary(current).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    writer = results.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def latest_summary(spark: SparkSession, target: str) -> DataFrame:
+    """The newest summary of each run."""
+    landed = spark.read.parquet(target)
+    fields = [c for c in landed.columns if c not in ("eval_run_id", "batch")]
+    newest = landed.groupBy("eval_run_id").agg(F.max_by(F.struct(*fields), "batch").alias("s"))
+    return newest.select("eval_run_id", "s.*")
+
+
 def deduplicated(results: DataFrame, *, watermark: str, time: str = "created_at") -> DataFrame:
     """Drop repeated (run, row) results that arrive within the watermark."""
     return results.withWatermark(time, watermark).dropDuplicatesWithinWatermark(
@@ -77,7 +109,9 @@ def deduplicated(results: DataFrame, *, watermark: str, time: str = "created_at"
 
 
 def streaming_summary(results: DataFrame, *, watermark: str, time: str = "created_at") -> DataFrame:
-    """Running summary of every run over deduplicated results (update mode).
+    """Running summary with bounded state, over deduplicated results (update mode).
+
+    Rows later than ``watermark`` are left out; ``start_summary`` leaves out none.
 
     Counts combine before the shuffle, so a run that sends most rows costs each
     task one row. The exact score rounding applies to the running mean.

@@ -79,11 +79,13 @@ def _watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
         yield pd.DataFrame({"eval_run_id": [key[0]], "last_at": [spans[0][1]], "failed_at": [deadline]})
 
 
-def failed_runs(heartbeats: DataFrame, *, watermark: str = "0 seconds") -> DataFrame:
+def failed_runs(heartbeats: DataFrame, *, watermark: str) -> DataFrame:
     """Stream of runs that fell silent, from ``(eval_run_id, ts, ended)``.
 
-    A run whose deadline lies beyond the newest event stays open until newer
-    events move the watermark.
+    ``watermark`` is how late a heartbeat may arrive behind the newest one; choose it
+    longer than the slowest delivery, as later ones are not seen and a run may then be
+    reported although it went on. A run is reported when its deadline and this delay have
+    passed; until then it stays open.
     """
     kind = heartbeats.schema["eval_run_id"].dataType.simpleString()
     beats = heartbeats.select(

@@ -251,13 +251,15 @@ def test_python_grader(spark, source, score, error):
 
 
 def test_judge_replies(spark):
-    replies = ['{"score": 0.9, "reasoning": "fine"}', '{"score": "0.4"}', "{}", "junk", '{"score": 1.4}', "[1]", '{"score": "high"}']
+    replies = ['{"score": 0.9, "reasoning": "fine"}', '{"score": "0.4"}', "{}", "junk", '{"score": 1.4}', "[1]", '{"score": "high"}', '{"score": null}', "null"]
     df = spark.createDataFrame([(r,) for r in replies], "r string")
     got = [tuple(r[0]) for r in df.select(graders.parse_judge_reply(F.col("r"))).collect()]
     prefix = "Failed to parse grader response: "
     assert got == [
-        (0.9, "fine"), (0.4, ""), (0.0, ""), (0.0, prefix + "junk"), (1.4, ""), (0.0, prefix + "[1]"),
-        (0.0, prefix + '{"score": "high"}')]
+        (0.9, "fine", None), (0.4, "", None), (0.0, "", None), (0.0, prefix + "junk", None), (1.4, "", None),
+        (None, None, "'list' object has no attribute 'get'"), (0.0, prefix + '{"score": "high"}', None),
+        (None, None, "float() argument must be a string or a real number, not 'NoneType'"),
+        (None, None, "'NoneType' object has no attribute 'get'")]
 
 
 def test_prompt_grader_uses_the_default_model_and_reports_failures(spark):

@@ -72,7 +72,12 @@ def test_upserts(spark, tmp_path):
     assert state(table) == want
     table.upsert(second, 1, "at")  # replay
     assert state(table) == want
-    assert state(table.compact(spark, str(tmp_path / "t2"))) == want
+    compacted = table.compact(spark, str(tmp_path / "t2"))
+    assert state(compacted) == want
+    compacted.upsert(batch(spark, [("s", 0, "f", "newer", 1)]), 0, "at")  # a fresh stream starts at 0
+    assert state(compacted) == [*want[:2], ("s", 0, "e", "newer")]
+    with pytest.raises(ValueError, match="numbered from 0"):
+        compacted.upsert(first, -1, "at")
 
 
 # --- export ---------------------------------------------------------------------------
@@ -208,11 +213,12 @@ def test_unknown_mode_stops_the_job(spark):
 
 def test_paths(spark):
     body = {"data": {"items": [{"q": 1, "tags": ["x"]}] * 5 + [{"late": []}], "none": {}}, "n": None}
-    df = spark.createDataFrame([(json.dumps(body),), ("broken",), ('[{"a": {}}]',)], "b string")
-    assert [r["path"] for r in discover.array_paths(df, "b").collect()] == ["$", "$.data.items", "$.data.items[].tags"]
-    everything = [r["path"] for r in discover.array_paths(df, "b", sample=None).collect()]
-    assert "$.data.items[].late" in everything
-    fields = [r["path"] for r in discover.field_paths(df, "b").collect()]
+    df = spark.createDataFrame([(json.dumps(body),), (None,), ('[{"a": {}}]',)], "b string")
+    assert [r["path"] for r in discover.array_paths(df, "b", sample=5).collect()] == ["$", "$.data.items", "$.data.items[].tags"]
+    assert "$.data.items[].late" in [r["path"] for r in discover.array_paths(df, "b").collect()]
+    with pytest.raises(Exception, match="Expecting value"):
+        discover.array_paths(spark.createDataFrame([("broken",)], "b string"), "b").collect()
+    fields = [r["path"] for r in discover.field_paths(df, "b", sample=5).collect()]
     assert fields == ["$", "$[].a", "data.items", "data.items[].q", "data.items[].tags", "data.items[].tags[]", "data.none", "n"]
 
 

@@ -86,7 +86,7 @@ def watcher(spark, tmp_path):
     def step(name, rows):
         feed(spark, inbox, name, [(k, minute(m), e) for k, m, e in rows], BEATS)
         stream = spark.readStream.schema(BEATS).option("recursiveFileLookup", "true").parquet(inbox)
-        heartbeat.failed_runs(stream).writeStream.format("parquet").option("path", out).option(
+        heartbeat.failed_runs(stream, watermark="0 seconds").writeStream.format("parquet").option("path", out).option(
             "checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
         fields = "eval_run_id long, status string, last_heartbeat timestamp, failed_at timestamp, error_message string"
         rows = spark.read.schema(fields).parquet(out).collect()
