@@ -169,52 +169,112 @@ class _Reader(DataSourceReader):
                 return
 
 
+def item_count(payload: object, path: str | None) -> int:
+    """Items of a page: of the list at ``path``, else 1 for a payload that holds any."""
+    found = lookup(payload, path) if path else payload
+    return len(found) if isinstance(found, list) else int(_holds_items(found))
+
+
+def with_items(payload: object, path: str | None, first: int, last: int | None) -> object:
+    """The payload with only items ``first`` to ``last`` of the list at ``path``."""
+    steps = list(path_steps(path)) if path else []
+
+    def cut(here: object, depth: int) -> object:
+        if depth == len(steps):
+            return here[first:last] if isinstance(here, list) else here if first == 0 else None
+        step = steps[depth]
+        if isinstance(here, list) and isinstance(step, int) and step < len(here):
+            return [cut(x, depth + 1) if i == step else x for i, x in enumerate(here)]
+        if isinstance(here, dict) and step in here:
+            return {**here, step: cut(here[step], depth + 1)}
+        return here
+
+    return cut(payload, 0)
+
+
 class _Range(InputPartition):
-    def __init__(self, first: int, last: int) -> None:
-        self.first, self.last = first, last
+    """Pages ``first`` to ``last``; of the first one ``skip`` items were read before, of the last one ``upto`` count."""
+
+    def __init__(self, first: int, last: int, skip: int, upto: int | None) -> None:
+        self.first, self.last, self.skip, self.upto = first, last, skip, upto
 
 
 class _PageStreamReader(DataSourceStreamReader):
-    """Numbered pages: the offset is the count of pages, read by many tasks.
+    """Numbered pages, read by many tasks.
 
-    The driver only asks whether a page has items, doubling the distance and then
-    halving it, so a thousand new pages cost about twenty small probes.
+    The offset is the number of pages that are complete and the number of items of the
+    page after them. That page stays open: it is asked for again and gives the items
+    that were added. A page is complete when the response says that more follow, or,
+    without such a flag, when it has ``page_size`` items or a later page exists.
+
+    The driver only asks whether pages exist, doubling the distance and then halving it,
+    so a thousand new pages cost about twenty small probes. A page with the content of an
+    earlier one does not exist: some sources answer any number.
     """
 
+    MOST_PROBES = 200
+
     def __init__(self, pager: Pager, fetch: Fetch, per_task: int) -> None:
         self.pager, self.fetch, self.per_task = pager, fetch, per_task
         self.known = 0
 
-    def _exists(self, index: int) -> bool:
-        params, body = self.pager.request(self.pager.jump(index))
-        payload = self.fetch(params, body)
-        return _holds_items(lookup(payload, self.pager.records_path))
+    def _probe(self, index: int, seen: dict[int, object]) -> tuple[int, bool | None]:
+        """Items of a page (0: it does not exist) and what its flag says."""
+        if len(seen) > self.MOST_PROBES:
+            raise RuntimeError("the source does not say where its pages end")
+        if index not in seen:
+            seen[index] = self.fetch(*self.pager.request(self.pager.jump(index)))
+        payload = seen[index]
+        if any(payload == other for i, other in seen.items() if i < index):
+            return 0, None
+        flag = self.pager.config.get("has_more_path")
+        more = lookup(payload, str(flag)) if flag else None
+        return item_count(payload, self.pager.records_path), more if isinstance(more, bool) else None
 
     def initialOffset(self) -> dict:  # noqa: N802 - Spark's name
-        return {"pages": 0}
+        return {"pages": 0, "open": 0}
 
     def latestOffset(self) -> dict:  # noqa: N802
+        seen: dict[int, object] = {}
+
+        def leads_on(index: int) -> bool:
+            items, more = self._probe(index, seen)
+            return items > 0 and more is not False
+
         low, step = self.known, 1
-        while self._exists(low + step - 1):
+        while leads_on(low + step - 1):
             low, step = low + step, step * 2
-        high = low + step - 1  # the page after low + step - 1 pages does not exist
+        high = low + step - 1  # pages below low lead on, page high does not
         while low < high:
-            middle = (low + high + 1) // 2
-            if self._exists(middle - 1):
-                low = middle
-            else:
-                high = middle - 1
+            middle = (low + high) // 2
+            low, high = (middle + 1, high) if leads_on(middle) else (low, middle)
+        items, _ = self._probe(low, seen)
+        if not items and low:  # the page before may still fill up
+            before, more = self._probe(low - 1, seen)
+            full = more is True or (self.pager.size is not None and before >= self.pager.size)
+            low, items = (low, 0) if full else (low - 1, before)
         self.known = low
-        return {"pages": low}
+        return {"pages": low, "open": items}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        firsts = range(start["pages"], end["pages"], self.per_task)
-        return [_Range(i, min(i + self.per_task, end["pages"])) for i in firsts]
+        first, last = start["pages"], end["pages"] + (end.get("open", 0) > 0)
+        parts = []
+        for i in range(first, last, self.per_task):
+            stop = min(i + self.per_task, last)
+            skip = start.get("open", 0) if i == first else 0
+            parts.append(_Range(i, stop, skip, end["open"] if stop > end["pages"] else None))
+        return parts
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         for index in range(partition.first, partition.last):
-            row, _ = self.pager.read(self.fetch, index, self.pager.jump(index))
-            yield row
+            (number, position, more, request, payload), _ = self.pager.read(self.fetch, index, self.pager.jump(index))
+            skip = partition.skip if index == partition.first else 0
+            upto = partition.upto if index == partition.last - 1 else None
+            if skip or upto is not None:
+                payload = json.dumps(
+                    with_items(json.loads(payload), self.pager.records_path, skip, upto), ensure_ascii=False
+                )
+            yield number, position, more, request, payload
 
     def commit(self, end: dict) -> None:
         self.known = max(self.known, end["pages"])
@@ -222,28 +282,38 @@ class _PageStreamReader(DataSourceStreamReader):
 
 class _ChainStreamReader(SimpleDataSourceStreamReader):
     """Follows tokens: each page names the next one, so a trigger reads a bounded few
-    (``pages_per_trigger``) in order. The offset is the next token; a restart goes on there."""
+    (``pages_per_trigger``) in order. The offset is the page to ask for and how many of its
+    items were read. A page that names no next one stays open and is asked for again."""
 
     def __init__(self, pager: Pager, fetch: Fetch, limit: int) -> None:
         self.pager, self.fetch, self.limit = pager, fetch, limit
 
     def initialOffset(self) -> dict:  # noqa: N802 - Spark's name
-        return {"index": 0, "position": self.pager.start(), "done": False}
-
-    def _walk(self, offset: dict, end: int | None) -> tuple[list[tuple], dict]:
-        rows, index, position, done = [], offset["index"], offset["position"], offset["done"]
-        while not done and (len(rows) < self.limit if end is None else index < end):
+        return {"index": 0, "position": self.pager.start(), "open": 0}
+
+    def _walk(self, offset: dict, end: dict | None) -> tuple[list[tuple], dict]:
+        rows, index, position, skip = [], offset["index"], offset["position"], offset["open"]
+        path = self.pager.records_path
+        while len(rows) < self.limit if end is None else index <= end["index"]:
+            upto = end["open"] if end is not None and index == end["index"] else None
+            if upto is not None and upto <= skip:
+                break
             row, after = self.pager.read(self.fetch, index, position)
-            rows.append(row)
-            index, position, done = index + 1, after, after is None
-        return rows, {"index": index, "position": position, "done": done}
+            payload = json.loads(row[4])
+            items = item_count(payload, path) if upto is None else upto
+            if items > skip:
+                rows.append((*row[:4], json.dumps(with_items(payload, path, skip, upto), ensure_ascii=False)))
+            if after is None or upto is not None:
+                return rows, {"index": index, "position": position, "open": max(items, skip)}
+            index, position, skip = index + 1, after, 0
+        return rows, {"index": index, "position": position, "open": skip}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         rows, after = self._walk(start, None)
         return iter(rows), after
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return iter(self._walk(start, end["index"])[0])
+        return iter(self._walk(start, end)[0])
 
 
 def register_paged_json(spark: SparkSession, name: str, fetch: Fetch) -> None:

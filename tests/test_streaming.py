@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import time
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from gradeloom.operators import graders
 from gradeloom.session import cut_lineage, fresh_dir, shared_dir
 from gradeloom.sources.keyed_table import KeyedTable
-from gradeloom.sources.paged_json import Pager, _PageStreamReader, register_paged_json
+from gradeloom.sources.paged_json import Pager, _ChainStreamReader, _PageStreamReader, register_paged_json
 from gradeloom.sources.records import extract_json_records
 from gradeloom.streaming import grade_stream, heartbeat, paged_stream
 
@@ -163,10 +164,72 @@ def test_page_count_probes_are_few(pages):
 
     def fetch(params, body):
         asked.append(params["page"])
-        return {"items": [1] if params["page"] <= pages else []}
+        return {"items": [params["page"]] if params["page"] <= pages else []}
 
-    reader = _PageStreamReader(Pager({"mode": "page"}), fetch, 10)
-    assert reader.latestOffset() == {"pages": pages}
-    assert len(asked) <= 2 * max(pages, 1).bit_length() + 2
-    parts = reader.partitions({"pages": 0}, {"pages": pages})
+    reader = _PageStreamReader(Pager({"mode": "page", "records_path": "$.items"}), fetch, 10)
+    # Without a flag or a page size the last page may still grow.
+    assert reader.latestOffset() == {"pages": max(pages - 1, 0), "open": min(pages, 1)}
+    assert len(asked) <= 2 * max(pages, 1).bit_length() + 3
+    parts = reader.partitions({"pages": 0, "open": 0}, {"pages": max(pages - 1, 0), "open": min(pages, 1)})
     assert [i for p in parts for i in range(p.first, p.last)] == list(range(pages))
+
+
+def read_new(reader, start):
+    end = reader.latestOffset()
+    rows = [row for part in reader.partitions(start, end) for row in reader.read(part)]
+    reader.commit(end)
+    return [x for row in rows for x in json.loads(row[4])["items"]], end
+
+
+@pytest.mark.parametrize("config", [{}, {"page_size": 2}, {"page_size": 2, "has_more_path": "$.more"}])
+def test_a_page_that_fills_up_loses_nothing(config):
+    items = [1, 2, 3]
+
+    def fetch(params, body):
+        at = (params["page"] - 1) * 2
+        return {"items": items[at : at + 2], "more": at + 2 < len(items)}
+
+    reader = _PageStreamReader(Pager({"mode": "page", "config": json.dumps(config), "records_path": "$.items"}), fetch, 1)
+    got, at = read_new(reader, reader.initialOffset())
+    assert got == [1, 2, 3]
+    for new in ([4], [5], [], [6, 7, 8, 9]):
+        items += new
+        got, at = read_new(reader, at)
+        assert got == new
+    again = _PageStreamReader(reader.pager, fetch, 2)  # a restart goes on at the offset
+    items += [10, 11]
+    assert read_new(again, at)[0] == [10, 11]
+
+
+def test_flags_and_repeated_pages_end_the_probing():
+    def clamped(params, body):
+        return {"items": ["first", "second", "last"][min(params["page"], 3) - 1 :][:1], "more": params["page"] < 3}
+
+    for config, complete in (({"has_more_path": "$.more"}, 2), ({}, 2)):
+        pager = Pager({"mode": "page", "config": json.dumps(config), "records_path": "$.items"})
+        assert _PageStreamReader(pager, clamped, 1).latestOffset() == {"pages": complete, "open": 1}
+
+
+def test_a_chain_goes_on_when_a_token_appears():
+    pages = {None: (["a"], "t1"), "t1": (["b"], None)}
+
+    def fetch(params, body):
+        items, token = pages[params.get("page_token")]
+        return {"items": items, "next_token": token}
+
+    reader = _ChainStreamReader(Pager({"mode": "next_token", "records_path": "$.items"}), fetch, 10)
+
+    def step(start):
+        rows, end = reader.read(start)
+        rows = list(rows)
+        assert list(reader.readBetweenOffsets(start, end)) == rows
+        return [x for row in rows for x in json.loads(row[4])["items"]], end
+
+    got, at = step(reader.initialOffset())
+    assert got == ["a", "b"]
+    assert step(at) == ([], at)
+    pages["t1"] = (["b", "c"], None)
+    got, at = step(at)
+    assert got == ["c"]
+    pages.update({"t1": (["b", "c"], 0), 0: (["d"], None)})
+    assert step(at)[0] == ["d"]
