@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradeloom.functions.json_text import quoted
 from gradeloom.functions.text import format_name
 from gradeloom.operators.joins import lookup_join
 from gradeloom.session import cut_lineage
@@ -86,24 +87,35 @@ def request_column(
     reasoning_effort: Column | None = None,
     format_type: Column | None = None,
     format_label: Column | None = None,
+    response_format: Column | None = None,
+    reasoning: Column | None = None,
 ) -> Column:
     """One request as JSON text; keys without a value are left out.
 
-    The same text is the input of an offline batch service.
+    ``response_format`` and ``reasoning`` are JSON objects as text and go into the request
+    as a whole, the format with a cleaned ``name``; ``format_type`` with ``format_label``
+    and ``reasoning_effort`` are short forms of them. The same text is the input of an
+    offline batch service.
     """
-    effort = F.lit(None).cast("string") if reasoning_effort is None else reasoning_effort
+    none = F.lit(None).cast("string")
+    effort = none if reasoning_effort is None else reasoning_effort
+    whole = none if reasoning is None else reasoning
+    thought = F.coalesce(
+        F.try_variant_get(F.parse_json(whole), "$", "map<string,variant>"),
+        F.when(effort.isNotNull(), F.create_map(F.lit("effort"), F.parse_json(quoted(effort)))),
+    )
     heat = F.lit(0.7) if temperature is None else temperature
     options = F.create_map().cast("map<string,string>") if tool_options is None else tool_options
     messages = F.array(
         F.struct(F.lit("system").alias("role"), system_prompt.alias("content")),
         F.struct(F.lit("user").alias("role"), user_input.alias("content")),
     )
-    reasons = model.isin(*REASONING_MODELS) | effort.isNotNull()
+    reasons = model.isin(*REASONING_MODELS) | thought.isNotNull()
     parts = [
         model.alias("model"),
         messages.alias("input"),
         F.when(~reasons, heat).alias("temperature"),
-        F.when(effort.isNotNull(), F.struct(effort.alias("effort"))).alias("reasoning"),
+        thought.alias("reasoning"),
     ]
     if max_tokens is not None:
         parts.append(max_tokens.alias("max_output_tokens"))
@@ -113,8 +125,17 @@ def request_column(
         choice = options["tool_choice"]
         parts.append(F.when(used, specs).alias("tools"))
         parts.append(F.when(used & (choice != "auto") & (choice != ""), choice).alias("tool_choice"))
-    if format_type is not None:
-        label = F.lit(None).cast("string") if format_label is None else format_name(format_label)
+    if response_format is not None:
+        fields = F.try_variant_get(F.parse_json(response_format), "$", "map<string,variant>")
+        named = F.transform_values(
+            fields,
+            lambda k, v: F.when(
+                k == "name", F.parse_json(quoted(format_name(F.try_variant_get(v, "$", "string"))))
+            ).otherwise(v),
+        )
+        parts.append(F.when(fields.isNotNull(), F.struct(named.alias("format"))).alias("text"))
+    elif format_type is not None:
+        label = none if format_label is None else format_name(format_label)
         shape = F.struct(format_type.alias("type"), label.alias("name"))
         parts.append(F.when(format_type.isNotNull(), F.struct(shape.alias("format"))).alias("text"))
     return F.to_json(F.struct(*parts))

@@ -145,6 +145,23 @@ def a5(spark, sf):
         F.get_json_object("record", "$.c_name").alias("c_name"))
 
 
+@query("a5d_token_history", """
+SELECT c AS custkey, CASE WHEN n > 1 THEN l[n - 1] END AS token, CASE WHEN n > 1 THEN n - 2 END AS left_over,
+  CASE WHEN n > 2 THEN l[n - 2] END AS before
+FROM (SELECT o_custkey AS c, list(CAST(o_orderkey AS VARCHAR) ORDER BY o_orderkey) AS l, count(*) AS n FROM orders GROUP BY 1)""")
+def a5d(spark, sf):
+    """Each customer pages through its orders by token; the history is what it saw before the last page."""
+    orders = views.table(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("l"))
+    tokens = F.transform("l", lambda o: o.cast("string"))
+    seen = F.slice(tokens, F.lit(1), F.size("l") - 1)
+    history = F.aggregate(seen, F.array().cast("array<string>"), paging.next_history)
+    back = orders.select("o_custkey", paging.previous_token(history).alias("b"))
+    again = back.select("*", paging.previous_token(F.col("b.history")).alias("bb"))
+    return again.select(
+        F.col("o_custkey").alias("custkey"), F.col("b.token").alias("token"),
+        F.when(F.col("b").isNotNull(), F.size("b.history").cast("long")).alias("left_over"), F.col("bb.token").alias("before"))
+
+
 # --- upserts ------------------------------------------------------------------------
 
 

@@ -457,6 +457,27 @@ def j4(spark, sf):
         at("$.reasoning.effort").alias("effort"))
 
 
+@query("j4_whole_format", """
+SELECT p_partkey, 'json_schema' AS kind, regexp_replace(p_name, '[^a-zA-Z0-9_-]', '_', 'g') AS name, 'true' AS strict,
+  'integer' AS size_type, CAST(p_size AS VARCHAR) AS most, CASE WHEN p_size % 2 = 0 THEN 'high' END AS effort,
+  CASE WHEN p_size % 2 = 0 THEN 'auto' END AS summary FROM part""")
+def j4_whole(spark, sf):
+    shape = F.to_json(F.struct(
+        F.lit("json_schema").alias("type"), F.col("p_name").alias("name"), F.lit(True).alias("strict"),
+        F.struct(F.struct(F.struct(F.lit("integer").alias("type"), F.col("p_size").alias("maximum")).alias("size")).alias(
+            "properties")).alias("schema")))
+    request = inference.request_column(
+        model=F.lit("plain-model"), system_prompt=F.lit("sys"), user_input=F.col("p_type"), response_format=shape,
+        reasoning=F.when(F.col("p_size") % 2 == 0, F.lit('{"effort": "high", "summary": "auto"}')))
+    part = views.table(spark, sf, "part").select("p_partkey", request.alias("request"))
+    at = lambda path: F.get_json_object("request", path)
+    return part.select(
+        "p_partkey", at("$.text.format.type").alias("kind"), at("$.text.format.name").alias("name"),
+        at("$.text.format.strict").alias("strict"), at("$.text.format.schema.properties.size.type").alias("size_type"),
+        at("$.text.format.schema.properties.size.maximum").alias("most"), at("$.reasoning.effort").alias("effort"),
+        at("$.reasoning.summary").alias("summary"))
+
+
 @query("s12_reply_text", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
   CASE WHEN l_linenumber % 3 = 0 THEN '' WHEN l_linenumber % 3 = 1 THEN l_returnflag ELSE l_returnflag || chr(10) || l_linestatus END AS reply

@@ -129,6 +129,17 @@ def previous_position(mode: Column, position: Column, start: Column, size: Colum
     return F.when(position > start, earlier)
 
 
+def next_history(history: Column, token: Column) -> Column:
+    """Tokens of the pages before the next one: the current page's is added."""
+    return F.array_append(history, token)
+
+
+def previous_token(history: Column) -> Column:
+    """``struct(token, history)`` of the page before, popped from the history; NULL on the first page."""
+    kept = F.slice(history, F.lit(1), F.greatest(F.size(history) - 1, F.lit(0)))
+    return F.when(F.size(history) > 0, F.struct(F.element_at(history, -1).alias("token"), kept.alias("history")))
+
+
 def planned_pages(sources: DataFrame, first: str, step: str, pages: str) -> DataFrame:
     """One row per page of each source (``page_index``, ``position``)."""
     listed = sources.filter(F.col(pages) > 0).select(
