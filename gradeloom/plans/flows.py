@@ -116,6 +116,20 @@ def a1(spark, sf):
     return csv_dataset.check_dataset(csv_dataset.read_dataset(spark, path))
 
 
+@query("a10_overwrite_rows", """
+SELECT CAST(p_partkey AS VARCHAR) AS part, p_name AS input, p_type AS expected_output, (SELECT count(*) FROM part) AS n_rows FROM part""")
+def a10(spark, sf):
+    """A dataset of customers is replaced by one of parts, which has other columns."""
+    path, columns = fresh_dir(spark, "dataset"), ["part", "input", "expected_output"]
+    old = views.table(spark, sf, "customer").select(
+        F.col("c_name").alias("input"), F.col("c_mktsegment").alias("expected_output"), "c_custkey")
+    csv_dataset.write_dataset(old, path, ["input", "expected_output", "c_custkey"])
+    new = views.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("part"), F.col("p_name").alias("input"), F.col("p_type").alias("expected_output"))
+    count = csv_dataset.overwrite_rows(new, path, columns)
+    return csv_dataset.read_dataset(spark, path).withColumn("n_rows", F.lit(count).cast("long"))
+
+
 def _customer_pages(sf):
     def fetch(params, body):
         """One page of the customer table, as a remote service would answer it."""

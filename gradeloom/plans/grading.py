@@ -108,6 +108,26 @@ def g7(spark, sf):
     return _verdicts(views.samples(spark, sf), definitions, _SAMPLE_ITEM, ["conv_id", "turn"])
 
 
+@graders.register_grader("query_length_ratio")
+def _length_ratio(definition, context, slot):
+    """An added grader type: shorter by longer length of output and expectation."""
+    a, b = F.char_length(F.trim(F.col(context.actual))), F.char_length(F.trim(F.col(context.expected)))
+    ratio = F.when(F.greatest(a, b) == 0, 1.0).otherwise(F.least(a, b) / F.greatest(a, b))
+    verdict = graders.verdict_struct(definition, F.coalesce(ratio, F.lit(0.0)))
+    return graders.Grader(definition["name"], float(definition.get("weight", 1.0)), lambda df: df, verdict)
+
+
+@query("j1_grader_registry", """
+SELECT event_id, CASE WHEN n > 8 THEN 8.0 / n ELSE n / 8::DOUBLE END AS score, (CASE WHEN n > 8 THEN 8.0 / n ELSE n / 8::DOUBLE END) >= 0.9 AS passed
+FROM (SELECT event_id, length(event_type) AS n FROM events)""")
+def j1(spark, sf):
+    """Events graded by a type that is not built in, found by its name."""
+    rows = views.table(spark, sf, "events").select(
+        "event_id", F.col("event_type").alias("actual_output"), F.lit("purchase").alias("expected_output"))
+    built = graders.build_graders([{"type": "query_length_ratio", "name": "ratio", "threshold": 0.9}], graders.Context())
+    return graders.grade(rows, built).select("event_id", "score", "passed")
+
+
 @query("g8_pattern_match", "SELECT doc_id, " + _graded_sql(
     {"mail": r"regexp_matches(text, '[a-z]+@[a-z]+\.[a-z]+')", "lang": "contains(text, lang)"},
     {"mail": 1.0, "lang": 0.5}, {"mail": 0.7, "lang": 0.7}) + " FROM documents")
