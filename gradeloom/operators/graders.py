@@ -314,20 +314,26 @@ def json_field(definition: dict, context: Context, slot: str) -> Grader:
             value = F.get_json_object(output, path)
             parsed = F.try_parse_json(output).isNotNull()
             return df.withColumn(slot, _found(parsed, value.isNotNull(), value))
-        # A document's own field comes first; when it is a plain value, the JVM reads it.
+        # A document's own field comes first; when it is a plain value, the JVM reads it. A
+        # document without the name in its text (and without escapes, which could spell it)
+        # has no such field. Only what is left crosses to Python.
         quoted = name.replace("\\", "\\\\").replace("'", "\\'")
-        own = F.try_variant_get(F.try_parse_json(output), f"$['{quoted}']", "variant")
-        df = df.withColumn(slot, own)
+        doc, searched = f"{slot}_doc", f"{slot}_search"
+        df = df.withColumn(doc, F.try_parse_json(output))
+        df = df.withColumn(slot, F.try_variant_get(F.col(doc), f"$['{quoted}']", "variant"))
         kind = F.schema_of_variant(F.col(slot))
         text = F.try_variant_get(F.col(slot), "$", "string")
         plain = F.when(kind.isin("STRING", "BIGINT"), text).when(kind == "BOOLEAN", F.initcap(text)).when(
             kind == "VOID", "None"
         )
-        searched = f"{slot}_search"
         df = df.withColumn(slot, plain)
-        df = df.withColumn(searched, once(_field_search(name))(F.when(F.col(slot).isNull(), output)))
-        native = _found(F.lit(True), F.lit(True), F.col(slot))
-        return df.withColumn(slot, F.when(F.col(slot).isNotNull(), native).otherwise(F.col(searched))).drop(searched)
+        absent = F.col(doc).isNotNull() & ~F.contains(output, F.lit(name)) & ~F.contains(output, F.lit("\\"))
+        df = df.withColumn(doc, F.coalesce(absent, F.lit(False)))
+        asked = F.when(F.col(slot).isNull() & ~F.col(doc), output)
+        df = df.withColumn(searched, once(_field_search(name))(asked))
+        native = _found(F.lit(True), F.col(slot).isNotNull(), F.col(slot))
+        known = F.col(slot).isNotNull() | F.col(doc)
+        return df.withColumn(slot, F.when(known, native).otherwise(F.col(searched))).drop(searched, doc)
 
     found = F.col(slot)
 
