@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.functions.text import list_as_text, matches_any, search_pattern
-from gradeloom.operators.ordinals import with_ordinal
+from gradeloom.operators.ordinals import number_sorted
 
 # Fixed values shared by run monitoring and listing.
 ACTIVE_STATUSES = ("pending", "running", "finalizing")
@@ -73,23 +73,32 @@ def page(df: DataFrame, number: int = 1, size: int = DEFAULT_PAGE_SIZE) -> DataF
     """One page, newest first.
 
     A page near the front is a top-k; a deep page would pull everything before
-    it into one task, so it is cut out by position instead.
+    it into one task, so it is cut out by position instead, with the same rows. To walk
+    through many pages use ``page_after``, which is a top-k at any depth.
     """
     if not 1 <= size <= MAX_PAGE_SIZE or number < 1:
         raise ValueError(f"page starts at 1 and page_size lies in 1..{MAX_PAGE_SIZE}")
     start = (number - 1) * size
     if start + size <= 10_000:
         return newest_first(df).offset(start).limit(size)
-    hour = F.unix_date(F.to_date("created_at")) * 24 + F.hour("created_at")
-    placed = with_ordinal(
-        df, [], [F.desc("created_at"), F.desc("id")], "_position",
-        cell=F.coalesce(-hour.cast("long"), F.lit(1 << 62)),  # NULL sorts last here
-    )
+    placed = number_sorted(df, [F.desc("created_at"), F.desc("id")], "_position")
     return newest_first(
         placed.filter((F.col("_position") >= start) & (F.col("_position") < start + size))
     ).drop("_position")
 
 
+def page_after(df: DataFrame, created_at: Column, id_: Column, size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
+    """The page that follows the row with ``created_at`` and ``id_``, newest first.
+
+    Rows without a time come last, as in ``newest_first``.
+    """
+    if not 1 <= size <= MAX_PAGE_SIZE:
+        raise ValueError(f"page_size lies in 1..{MAX_PAGE_SIZE}")
+    older = F.col("created_at").isNull() & created_at.isNotNull() | (F.col("created_at") < created_at)
+    same = F.col("created_at").eqNullSafe(created_at) & (F.col("id") < id_)
+    return newest_first(df.filter(F.coalesce(older, F.lit(False)) | F.coalesce(same, F.lit(False)))).limit(size)
+
+
 def page_counts(total: Column, size: Column) -> Column:
     """Number of pages, at least one."""
     return F.greatest(F.ceil(total / size), F.lit(1)).cast("long")

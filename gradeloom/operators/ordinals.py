@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeloom.session import cut_lineage
+
 # Width of one cell in units of an integer order column: the most rows a task
 # sees of one group when (group, order) is unique.
 CELL_WIDTH = 1 << 20
@@ -91,6 +93,25 @@ def with_neighbour(
     )
 
 
+def number_sorted(df: DataFrame, order: list[Column], name: str = "row_index") -> DataFrame:
+    """Add the 0-based position of each row of the whole table in the given order.
+
+    Spark samples the order columns and cuts the table into ranges, whatever the values
+    look like: sparse or hashed ids and one value for all rows are spread alike as long as
+    all order columns together tell rows apart. The ranges are written once, so every part
+    of the plan sees the same cuts; one count for each range is carried across.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    marked = cut_lineage(ranged.withColumn("_mark", F.monotonically_increasing_id()))
+    # The id holds the range above bit 33 and the place in the range below.
+    marked = marked.withColumn("_range", F.shiftright("_mark", 33))
+    counts = marked.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.col("_mark").bitwiseAND(F.lit((1 << 33) - 1))
+    return marked.join(offsets, "_range").select(*df.columns, (F.col("_before") + inside).cast("long").alias(name))
+
+
 def enumerate_rows(df: DataFrame, name: str = "row_index") -> DataFrame:
     """Number rows 0..n-1 in the order Spark reads them.
 

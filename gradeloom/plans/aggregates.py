@@ -177,7 +177,7 @@ def b11(spark, sf):
 @query("e4_row_enumeration",
        "SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS row_index FROM events")
 def e4(spark, sf):
-    return ordinals.with_ordinal(views.table(spark, sf, "events").select("event_id"), [], "event_id")
+    return ordinals.number_sorted(views.table(spark, sf, "events").select("event_id"), [F.col("event_id")])
 
 
 @query("e4_row_enumeration_per_run", with_ctes(
@@ -192,7 +192,7 @@ FROM (SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 50)
       FROM (SELECT min(doc_id) AS doc_id FROM documents GROUP BY text)) GROUP BY 1""")
 def e5(spark, sf):
     unique = merge.first_seen(views.table(spark, sf, "documents"), "text", "doc_id").select("doc_id")
-    placed = ordinals.with_ordinal(unique, [], "doc_id", "place")
+    placed = ordinals.number_sorted(unique, [F.col("doc_id")], "place")
     return placed.groupBy(F.floor(F.col("place") / 50).alias("batch")).agg(
         F.count(F.lit(1)).alias("texts"),
         F.min("doc_id").alias("first_doc"),

@@ -7,7 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gradeloom.operators import joins, merge
-from gradeloom.operators.ordinals import enumerate_rows, id_cell, with_neighbour, with_ordinal
+from gradeloom.operators import browse
+from gradeloom.operators.ordinals import enumerate_rows, id_cell, number_sorted, with_neighbour, with_ordinal
 
 
 @pytest.fixture
@@ -38,6 +39,27 @@ def test_ordinals_of_the_whole_table(skewed):
     assert [r["pos"] for r in got.collect()] == list(range(3000))
 
 
+def test_positions_of_hashed_ids_and_equal_times(spark):
+    hashed = spark.range(2000).select(F.xxhash64("id").alias("id"), F.lit(None).cast("timestamp").alias("created_at"))
+    want = sorted(r["id"] for r in hashed.collect())
+    got = {r["id"]: r["n"] for r in number_sorted(hashed, [F.col("created_at"), F.col("id")], "n").collect()}
+    assert [got[i] for i in want] == list(range(2000))
+    loaded = spark.range(12_000).select("id", F.lit("2024-01-01").cast("timestamp").alias("created_at")).repartition(4)
+    assert [r["id"] for r in browse.page(loaded, 110, 100).collect()] == list(range(1099, 999, -1))
+
+
+def test_pages_by_cursor(spark):
+    at = F.when(F.col("id") % 5 != 0, F.timestamp_seconds(F.col("id") % 3))
+    rows = spark.range(60).select("id", at.alias("created_at"))
+    want, got = [r["id"] for r in browse.newest_first(rows).collect()], []
+    page = browse.newest_first(rows).limit(7).collect()
+    while page:
+        got += [r["id"] for r in page]
+        last = page[-1]
+        page = browse.page_after(rows, F.lit(last["created_at"]), F.lit(last["id"]), 7).collect()
+    assert got == want
+
+
 @pytest.mark.parametrize("width", [1, 100, 1 << 20])
 @pytest.mark.parametrize("following", [False, True])
 def test_neighbours_cross_cells(skewed, width, following):
