@@ -6,8 +6,9 @@ which two similar sets differ touch fewer groups than each of them lists, so one
 group is equal in both (see ``Keys``). A root's documents, in parts of bounded size if
 they are many, become signature trees: a node holds the OR of the token bitmaps below it
 and their range of sizes. Two trees are traversed together; a pair of nodes goes when the
-largest overlap that it can have is too small. Pairs of documents that are left are
-compared exactly.
+largest overlap that it can have is too small. The trees are traversed twice: first with
+the bitmaps alone, which leaves documents out of a root where no other can be similar
+enough, then with the sets of those that are left, whose pairs are compared exactly.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm import streams
@@ -29,6 +30,7 @@ from gradeloom.session import cut_lineage
 # A root with more shingles or documents than this is compared in parts of about this size.
 PART_SHINGLES = 200_000
 PART_DOCS = 400
+PART_MAPS = 2000  # documents of a part while only bitmaps are compared
 LEAF = 16  # documents of a leaf
 FANOUT = 8  # children of a node
 
@@ -98,22 +100,24 @@ def _describe(width: int, keys: Keys) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in batches:
-            sizes, listed, s1, s2 = [], [], [], []
+            sizes, listed, maps, s1, s2 = [], [], [], [], []
             for found in shingle_sets(batch["body"], width, table):
                 sizes.append(len(found))
                 s1.append(mix(found, 21).sum(dtype=np.uint64))
                 s2.append(mix(found, 22).sum(dtype=np.uint64))
                 listed.append(keys.of(found))
+                maps.append(bitmap(found).tobytes())
             hashes = [pa.array(np.array(s, np.uint64).view(np.int64)) for s in (s1, s2)]
-            columns = [batch["doc"], batch["fp"], pa.array(sizes, pa.int32()), *hashes, _list_array(listed)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "fp", "n", "s1", "s2", "keys"])
+            columns = [batch["doc"], batch["fp"], pa.array(sizes, pa.int32()), *hashes]
+            columns += [_list_array(listed), pa.array(maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "fp", "n", "s1", "s2", "keys", "map"])
 
     return run
 
 
 def describe(rows: DataFrame, width: int, keys: Keys) -> DataFrame:
-    """``doc, fp`` (hash of the text), ``n`` (size of the set), ``s1, s2`` (its hash), ``keys`` for each row."""
-    schema = "doc long, fp long, n int, s1 long, s2 long, keys array<long>"
+    """Of each row: ``doc, fp`` (hash of the text), ``n`` (size of the set), ``s1, s2`` (its hash), ``keys, map``."""
+    schema = "doc long, fp long, n int, s1 long, s2 long, keys array<long>, map binary"
     return rows.select("doc", F.xxhash64("body").alias("fp"), "body").mapInArrow(_describe(width, keys), schema)
 
 
@@ -167,28 +171,34 @@ def meeting(reps: DataFrame) -> DataFrame:
 # --- signature trees ----------------------------------------------------------------
 
 
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """Token bitmap of a set: a power of two of 64-bit words, about two bits for a shingle."""
+    words = 2 ** min(9, max(2, math.ceil(math.log2(max(1, len(found) / 32)))))
+    h = mix(found, 31)
+    out = np.zeros(words, np.uint64)
+    np.bitwise_or.at(out, (h % np.uint64(words)).astype(np.int64), np.uint64(1) << (h >> np.uint64(58)))
+    return out
+
+
 class SignatureTree:
     """Documents by size; each level holds OR-combined bitmaps, size ranges and hidden tokens.
 
-    A document's hidden tokens are those that share a bit with another of its tokens.
+    A document's hidden tokens are those that share a bit with another of its tokens. A
+    bitmap narrower than the widest is repeated, so a token has its bit in it anyway.
     """
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        self.order = np.array(sorted(range(len(sets)), key=lambda i: len(sets[i])), np.int64)
-        sizes = np.array([len(sets[i]) for i in self.order], np.int64)
-        words = bits // 64
-        maps = np.zeros((len(sets), words), np.uint64)
-        for row, i in enumerate(self.order):
-            h = mix(sets[i], 31)
-            np.bitwise_or.at(maps[row], (h % np.uint64(words)).astype(np.int64), np.uint64(1) << (h >> np.uint64(58)))
-        hidden = sizes - np.bitwise_count(maps).sum(axis=1)
-        self.levels = [(maps, sizes, sizes, hidden)]
+    def __init__(self, maps: list[np.ndarray], sizes: list[int]):
+        self.order = np.array(sorted(range(len(maps)), key=lambda i: sizes[i]), np.int64)
+        size = np.array(sizes, np.int64)[self.order]
+        hidden = size - np.array([int(np.bitwise_count(m).sum()) for m in maps], np.int64)[self.order]
+        width = max(map(len, maps))
+        self.levels = [(np.stack([np.tile(maps[i], width // len(maps[i])) for i in self.order]), size, size, hidden)]
         step = LEAF
         while len(self.levels[-1][0]) > 1:
-            maps, low, high, hidden = self.levels[-1]
-            at = np.arange(0, len(maps), step)
+            level, low, high, hidden = self.levels[-1]
+            at = np.arange(0, len(level), step)
             self.levels.append(
-                (np.bitwise_or.reduceat(maps, at), low[at], np.maximum.reduceat(high, at), np.maximum.reduceat(hidden, at))
+                (np.bitwise_or.reduceat(level, at), low[at], np.maximum.reduceat(high, at), np.maximum.reduceat(hidden, at))
             )
             step = FANOUT
 
@@ -202,7 +212,11 @@ def _possible(a: tuple, b: tuple, x: np.ndarray, y: np.ndarray, above: int, belo
     keep = np.zeros(len(x), bool)
     for i in range(0, len(x), 4096):
         p, q = x[i : i + 4096], y[i : i + 4096]
-        shared = np.bitwise_count(a[0][p] & b[0][q]).sum(axis=1, dtype=np.int64)
+        p_maps, q_maps = a[0][p], b[0][q]
+        if p_maps.shape[1] != q_maps.shape[1]:
+            width = max(p_maps.shape[1], q_maps.shape[1])
+            p_maps, q_maps = (np.tile(m, (1, width // m.shape[1])) for m in (p_maps, q_maps))
+        shared = np.bitwise_count(p_maps & q_maps).sum(axis=1, dtype=np.int64)
         most = np.minimum(np.minimum(a[2][p], b[2][q]), shared + np.minimum(a[3][p], b[3][q]))
         fits = (a[2][p] * below >= b[1][q] * above) & (b[2][q] * below >= a[1][p] * above)
         keep[i : i + 4096] = fits & (most * (above + below) >= (a[1][p] + b[1][q]) * above)
@@ -263,10 +277,8 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, above:
     sets = left + (right or [])
     if not left or right == []:
         return
-    bits = 64 * 2 ** math.ceil(math.log2(max(1, 4 * max(map(len, sets)) / 64)))
-    bits = min(max(bits, 256), 2**15)
-    a = SignatureTree(left, bits)
-    b = a if right is None else SignatureTree(right, bits)
+    a = SignatureTree([bitmap(x) for x in left], [len(x) for x in left])
+    b = a if right is None else SignatureTree([bitmap(x) for x in right], [len(x) for x in right])
     joined = _Union(len(sets))
     shift = 0 if right is None else len(left)
     for x, y in traverse(a, b, above, below):
@@ -316,6 +328,36 @@ def _units(columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
+def _sides(unit: pa.Table) -> tuple[list[int], list[int]]:
+    """Rows of the two parts of a unit, the same list twice if it is one part."""
+    part = unit["part"].to_pylist()
+    part1, part2 = unit["part1"][0].as_py(), unit["part2"][0].as_py()
+    a = [i for i, p in enumerate(part) if p == part1]
+    return a, a if part1 == part2 else [i for i, p in enumerate(part) if p == part2]
+
+
+def _hopeful(above: int, below: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents of a unit that some other one can be similar enough to, by their bitmaps."""
+        for unit in streams.groups(batches, UNIT):
+            maps = [np.frombuffer(m, np.uint64) for m in unit["map"].to_pylist()]
+            sizes = unit["n"].to_pylist()
+            a, b = _sides(unit)
+            if not a or not b:
+                continue
+            left = SignatureTree([maps[i] for i in a], [sizes[i] for i in a])
+            right = left if a is b else SignatureTree([maps[i] for i in b], [sizes[i] for i in b])
+            some = np.zeros(len(maps), bool)
+            for x, y in traverse(left, right, above, below):
+                some[np.array(a)[left.order[x]]] = True
+                some[np.array(b)[right.order[y]]] = True
+            yield pa.RecordBatch.from_arrays(
+                [c.combine_chunks() for c in unit.filter(pa.array(some)).select(["root", "doc", "n"]).columns], ["root", "doc", "n"]
+            )
+
+    return run
+
+
 def _compare(above: int, below: int, spanning: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, int, int]] = []
@@ -328,16 +370,9 @@ def _compare(above: int, below: int, spanning: bool) -> Callable:
         for unit in streams.groups(batches, UNIT):
             docs = unit["doc"].to_pylist()
             sets = [np.frombuffer(s, np.uint64) for s in unit["shingles"].to_pylist()]
-            part1, part2 = unit["part1"][0].as_py(), unit["part2"][0].as_py()
-            if part1 == part2:
-                a = list(range(len(docs)))
-                found = similar_pairs(sets, None, above, below, spanning)
-                b = a
-            else:
-                part = unit["part"].to_pylist()
-                a = [i for i, p in enumerate(part) if p == part1]
-                b = [i for i, p in enumerate(part) if p == part2]
-                found = similar_pairs([sets[i] for i in a], [sets[i] for i in b], above, below, spanning)
+            a, b = _sides(unit)
+            right = None if a is b else [sets[i] for i in b]
+            found = similar_pairs([sets[i] for i in a], right, above, below, spanning)
             for x, y, common in found:
                 i, j = a[x], b[y]
                 rows.append((docs[i], docs[j], common, len(sets[i]) + len(sets[j]) - common))
@@ -348,22 +383,33 @@ def _compare(above: int, below: int, spanning: bool) -> Callable:
     return run
 
 
+def in_parts(members: DataFrame, parts: Column) -> DataFrame:
+    """Add ``part`` of each member and ``parts`` of its root (an aggregate over ``n`` and rows)."""
+    counted = cut_lineage(members.groupBy("root").agg(F.ceil(parts).cast("int").alias("parts")))
+    placed = members.join(counted, "root")
+    return placed.withColumn("part", F.pmod(F.xxhash64("doc", "root"), F.col("parts")).cast("int"))
+
+
 def links(rows: DataFrame, reps: DataFrame, width: int, above: int, below: int, spanning: bool = True) -> DataFrame:
     """Links between representatives: ``u, v, common, either``, all of them or enough to connect them.
 
-    ``reps`` has ``doc, n, keys``; ``rows`` has their texts.
+    ``reps`` is an aggregate of equal sets that gives ``doc`` and the first of other columns;
+    ``rows`` has the texts.
     """
-    pairs = cut_lineage(meeting(reps))
-    sizes = reps.select("doc", "n")
+    pairs = cut_lineage(meeting(reps("keys").where(F.size("keys") > 0)))
     members = pairs.unionByName(pairs.select("root", F.col("root").alias("doc")).distinct())
-    members = cut_lineage(members.join(sizes, "doc"))
-    parts = members.groupBy("root").agg(
-        F.ceil(F.greatest(F.sum("n") / PART_SHINGLES, F.count("*") / PART_DOCS)).cast("int").alias("parts")
+    members = cut_lineage(members.join(reps("map", "n"), "doc"))
+    placed = in_parts(members, F.count("*") / PART_MAPS)
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    units = placed.select("*", other.alias("other"))
+    units = units.select(
+        "root", F.least("part", "other").alias("part1"), F.greatest("part", "other").alias("part2"), "part", "doc", "n", "map"
     )
-    places = members.join(cut_lineage(parts), "root").select(
-        "doc", F.struct("root", F.pmod(F.xxhash64("doc", "root"), F.col("parts")).cast("int").alias("part"), "parts").alias("place")
-    )
-    places = places.groupBy("doc").agg(F.collect_list("place").alias("places"))  # at most as many as a set has keys
+    units = units.repartition(*UNIT).sortWithinPartitions(*UNIT, "doc")
+    hopeful = units.mapInArrow(_hopeful(above, below), "root long, doc long, n int")
+    hopeful = cut_lineage(hopeful.groupBy("root", "doc").agg(F.max("n").alias("n")))
+    placed = in_parts(hopeful, F.greatest(F.sum("n") / PART_SHINGLES, F.count("*") / PART_DOCS))
+    places = placed.groupBy("doc").agg(F.collect_list(F.struct("root", "part", "parts")).alias("places"))  # a set's keys at most
     texts = rows.join(places.hint("shuffle_hash"), "doc").select("doc", "body", "places")
     units = texts.mapInArrow(_deal(width), "root long, part1 int, part2 int, part int, doc long, shingles binary")
     units = units.repartition(*UNIT).sortWithinPartitions(*UNIT, "doc")
@@ -374,8 +420,17 @@ def grouped(rows: DataFrame, width: int, above: int, below: int) -> DataFrame:
     """``doc, fp, n, root`` for each row: the smallest document that links lead to."""
     found = cut_lineage(describe(rows, width, Keys(above, below)))
     same = found.where("n > 0").groupBy("s1", "s2", "n")
-    reps = cut_lineage(same.agg(F.min("doc").alias("doc"), F.first("keys").alias("keys")))
-    linked = cut_lineage(links(rows, reps.where(F.size("keys") > 0), width, above, below).select("u", "v"))
+
+    def representatives(*columns: str) -> DataFrame:
+        return same.agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in columns if c != "n"])
+
+    linked = cut_lineage(links(rows, representatives, width, above, below).select("u", "v"))
+    reps = cut_lineage(representatives().select("s1", "s2", "doc"))
+    # A document with several texts links their representatives.
+    several = found.where("n > 0").groupBy("doc").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).where("a <> b")
+    texts = found.select("doc", "s1", "s2").join(several.select("doc"), "doc")
+    again = texts.join(reps.select("s1", "s2", F.col("doc").alias("rep")), ["s1", "s2"])
+    linked = linked.unionByName(again.select(F.col("rep").alias("u"), F.col("doc").alias("v")))
     roots = components(linked)
     classes = reps.select("s1", "s2", "doc").join(roots.withColumnRenamed("v", "doc"), "doc", "left")
     classes = cut_lineage(classes.select("s1", "s2", F.coalesce("root", "doc").alias("root")))
@@ -397,8 +452,8 @@ def join_components(
     distinct shingles of ``width`` words; all its words if there are fewer; nothing for a
     null, empty or blank text, which is linked with nothing. Documents are linked when the
     Jaccard coefficient of their sets is at least ``threshold`` (a fraction); repeated texts
-    are linked. Rows that repeat an id with another text are texts of their own, known by
-    the same id. A null id is a document with the smallest id. An empty table gives no rows.
+    are linked. Rows that repeat an id are one document with the links of all its texts. A
+    null id is a document with the smallest id. An empty table gives no rows.
 
     Returns for each row the id, ``n_shingles`` and ``component_id``, the smallest id that
     links lead to, its own included.
@@ -418,10 +473,10 @@ def keep_one(
 ) -> DataFrame:
     """One row of ``docs`` of each group, with all its columns: the one with the smallest id.
 
-    Of rows with this id and the same group one stays.
+    Of several rows with this id one stays. Documents without shingles stay.
     """
     found = grouped(documents(docs, id_col, text_col), width, *threshold)
-    # Two texts with one id and without links are groups of their own.
+    # Texts without shingles are linked with nothing, also not with another text of their id.
     kept = found.groupBy("root", F.when(F.col("n") == 0, F.col("fp")).alias("empty")).agg(F.min(F.struct("doc", "fp")).alias("row"))
     kept = cut_lineage(kept.select("row.doc", "row.fp").distinct())
     names = [f"c{i}" for i in range(len(docs.columns))]  # no column of the caller clashes with the keys
