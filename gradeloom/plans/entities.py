@@ -602,15 +602,17 @@ def k2(spark, sf):
 SELECT kind, id, name, parent FROM (
   SELECT 'source' AS kind, 'copy-' || s_suppkey AS id, s_name || ' copy' AS name, NULL AS parent FROM supplier
   UNION ALL
-  SELECT 'preset', 'copy-' || p_partkey, p_name, 'copy-' || s_suppkey FROM part JOIN supplier ON s_suppkey = p_partkey % 200)""")
+  SELECT 'preset', 'copy-' || p_partkey, p_name, 'copy-' || s_suppkey
+  FROM part JOIN supplier ON s_suppkey = (SELECT min(s_suppkey) FROM supplier) + p_partkey % (SELECT count(*) FROM supplier))""")
 def k3(spark, sf):
     def copy_id(column):
         return F.concat(F.lit("copy-"), F.col(column).cast("string"))
 
     sources = views.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    first, count = sources.agg(F.min("id"), F.count("id")).first()
     presets = views.table(spark, sf, "part").select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("name"),
-        (F.col("p_partkey") % 200).alias("source_id"))
+        (F.col("p_partkey") % count + first).alias("source_id"))
     parents = maintenance.duplicate_parents(sources, copy_id("id"))
     children = maintenance.duplicate_children(presets, sources, "source_id", copy_id("id"), copy_id("id"))
     return parents.select(
