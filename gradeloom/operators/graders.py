@@ -123,7 +123,8 @@ def verdict_struct(
     details: Column | None = None,
     raised: Column | None = None,
 ) -> Column:
-    """Verdict of one grader. ``raised`` marks rows on which the grader itself failed:
+    """Verdict of one grader, with its name, threshold and (a judge's) model; ``details`` is a
+    JSON object of its own keys. ``raised`` marks rows on which the grader itself failed:
     they carry no score and do not pass."""
     limit = threshold_of(definition)
     raised = F.lit(False) if raised is None else F.coalesce(raised, F.lit(False))
@@ -136,6 +137,9 @@ def verdict_struct(
         (none if error is None else error).cast("string").alias("error"),
         (none if reasoning is None else reasoning).cast("string").alias("reasoning"),
         (none if details is None else details).cast("string").alias("details_json"),
+        F.lit(definition.get("name") or definition.get("type", "prompt")).alias("grader_name"),
+        F.lit(None if limit is None else float(limit)).cast("double").alias("threshold"),
+        (F.lit(definition.get("model")) if definition.get("type", "prompt") == "prompt" else none).cast("string").alias("model"),
     )
 
 

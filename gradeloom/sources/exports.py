@@ -70,7 +70,8 @@ def run_export(
         canonical_json(F.col("summary"), summary_type).alias("run_summary_json"),
     )
     rows = enrich_results(results, run_side)
-    style = {"null_keys": ("passed",), "raw_keys": ("details_json",)}
+    # A grader's own keys stand beside its score, threshold and name.
+    style = {"null_keys": ("passed", "threshold"), "merge_key": "details_json"}
     verdicts = {name: f"_verdict{i}" for i, name in enumerate(names)}
     rows = rows.select("*", *[F.col("details")[n].alias(c) for n, c in verdicts.items()])
     rows = rows.select(

@@ -8,7 +8,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from gradeloom.operators import discover, translate
+from gradeloom.operators import discover, graders, translate
 from gradeloom.sources import csv_dataset, exports, paging
 from gradeloom.sources.keyed_table import KeyedTable
 from gradeloom.sources.paged_json import Pager, register_paged_json
@@ -112,10 +112,38 @@ def test_run_export_columns(spark):
     assert one["grader_custom_clarity_score"] == "0.5" and one["grader_custom_clarity_reasoning"] == "clear"
     assert one["grader_llm_judge_passed"] == ""
     assert json.loads(one["grader_llm_judge_details_json"]) == {"passed": None, "score": 1.0, "weight": 1.0}
-    assert json.loads(one["comparer_details_json"])["custom:clarity"]["details_json"] == {"a": 1}
+    assert json.loads(one["comparer_details_json"])["custom:clarity"] == {
+        "a": 1, "passed": True, "reasoning": "clear", "score": 0.5, "weight": 1.0}
     assert two["error"] == "API error" and two["grader_llm_judge_score"] == "" and two["comparer_details_json"] == ""
 
 
+def test_export_of_graded_rows_has_whole_details(spark):
+    rows = spark.createDataFrame([(1, 0, '{"k": "a"}', "a"), (1, 1, "junk", "a")], "eval_run_id long, row_index int, actual_output string, expected_output string")
+    built = graders.build_graders([
+        {"type": "exact_match", "name": "same", "threshold": None},
+        {"type": "json_field", "name": "field", "field_name": "k"},
+        {"type": "python", "name": "user", "source_code": "def grade(sample, item):\n    return 0.5", "weight": 2.0},
+    ], graders.Context())
+    graded = graders.grade(rows, built)
+    results = graded.select(
+        "*", F.col("row_index").alias("result_id"), F.lit("in").alias("input_data"), F.lit(1).alias("latency_ms"),
+        F.lit(1).alias("input_tokens"), F.lit(1).alias("output_tokens"), F.lit("2024-05-01").cast("timestamp_ntz").alias("created_at"))
+    if "error" not in results.columns:
+        results = results.withColumn("error", F.lit(None).cast("string"))
+    at = [F.lit("2024-05-01").cast("timestamp_ntz").alias(c) for c in ("created_at", "started_at", "completed_at")]
+    runs = spark.range(1, 2).select("id", F.lit("completed").alias("status"), F.lit("c").alias("config_name"),
+        F.lit("d").alias("dataset_name"), F.struct(F.lit(1.0).alias("accuracy")).alias("summary"), *at)
+    one, two = exports.run_export(results, runs, ["field"]).orderBy("row_index").collect()
+    whole = json.loads(one["comparer_details_json"])
+    assert list(whole) == ["field", "same", "user"]  # all verdicts, whatever columns were asked for
+    assert whole["field"] == {"extracted_value": "a", "field_name": "k", "grader_name": "field", "passed": True, "score": 1.0,
+        "threshold": 0.7, "weight": 1.0}
+    assert json.loads(one["grader_field_details_json"]) == whole["field"]
+    assert whole["same"]["threshold"] is None and whole["same"]["passed"] is None and whole["same"]["grader_name"] == "same"
+    assert whole["user"]["score"] == 0.5 and whole["user"]["weight"] == 2.0
+    assert "Failed to parse" in json.loads(two["comparer_details_json"])["field"]["error"]
+
+
 def test_export_file_reads_back(spark, tmp_path):
     df = export_frame(spark)
     exports.write_export(df.coalesce(1), str(tmp_path / "e"))
