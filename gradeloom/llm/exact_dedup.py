@@ -199,7 +199,8 @@ def check_bytes(rows: DataFrame, members: DataFrame) -> DataFrame:
     texts = rows.select("doc", F.xxhash64("body").alias("fp"), normalised(F.col("body")).alias("norm")).join(
         members.hint("shuffle_hash"), ["doc", "fp"]
     )
-    texts = texts.withColumn("part", F.pmod(F.xxhash64("doc", "fp"), copies))
+    # Written once: the members and the rows that stay are both read from it.
+    texts = cut_lineage(texts.withColumn("part", F.pmod(F.xxhash64("doc", "fp"), copies)))
     stays = (F.col("doc") == F.col("keep_doc")) & (F.col("fp") == F.col("keep_fp"))
     kept = texts.where(stays).dropDuplicates(["sha"]).select(
         "sha", F.col("norm").alias("keep_norm"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("part")
