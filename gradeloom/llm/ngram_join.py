@@ -25,6 +25,7 @@ from gradeloom.llm import streams
 from gradeloom.llm.common import document_columns, documents, outer_id
 from gradeloom.llm.components import components
 from gradeloom.llm.shingles import WordHashes, mix, shingle_sets
+from gradeloom.llm.word_tokens import release_memory
 from gradeloom.session import cut_lineage
 
 # A root with more shingles or documents than this is compared in parts of about this size.
@@ -111,6 +112,8 @@ def _describe(width: int, keys: Keys) -> Callable:
             columns = [batch["doc"], batch["fp"], pa.array(sizes, pa.int32()), *hashes]
             columns += [_list_array(listed), pa.array(maps, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc", "fp", "n", "s1", "s2", "keys", "map"])
+        table.forget()
+        release_memory()
 
     return run
 
@@ -318,6 +321,8 @@ def _deal(width: int) -> Callable:
                     yield _units(columns)
                     columns, held = [[] for _ in range(6)], 0
             yield _units(columns)
+        table.forget()
+        release_memory()
 
     return run
 
@@ -379,6 +384,7 @@ def _compare(above: int, below: int, spanning: bool) -> Callable:
             if len(rows) > 10_000:
                 yield flush()
         yield flush()
+        release_memory()
 
     return run
 

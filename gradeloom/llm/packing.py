@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm.common import documents, outer_id
-from gradeloom.llm.word_tokens import slices, word_encoder
+from gradeloom.llm.word_tokens import release_memory, slices, word_encoder
 from gradeloom.session import cut_lineage
 
 WINDOWS = 32  # open windows of a partition
@@ -113,8 +113,10 @@ def _pack(tokenizer: str, size: int, windows: int, with_ids: bool) -> Callable:
                 for i, doc in enumerate(batch["doc"].slice(begin, end - begin).to_pylist()):
                     state.add(doc, np.append(ids[at[i] : at[i + 1]], np.uint32(END_ID)))
                 yield batch_of()
+        encoder.forget()
         state.finish()
         yield batch_of()
+        release_memory()
 
     return run
 

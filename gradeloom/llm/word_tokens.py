@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import zlib
@@ -14,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 4_000_000  # text that is encoded at once
-KNOWN_WORDS = 600_000  # parts of words that a worker remembers; beyond it starts anew
+KNOWN_WORDS = 400_000  # parts of words that a task remembers; beyond it starts anew
 
 
 class WordTable:
@@ -108,7 +110,7 @@ class WordEncoder(WordTable):
 
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
-    """The encoder of this worker, with the words that it knows from earlier partitions."""
+    """The encoder of this worker; a task forgets the words when it ends, as workers live on."""
     return WordEncoder(path)
 
 
@@ -125,6 +127,15 @@ class WordHasher(WordTable):
         return [[zlib.crc32(p.encode()) % self.buckets for p in self._PART.findall(word)] for word in parts]
 
 
+def release_memory() -> None:
+    """Give memory of finished work back: a Python worker lives on between tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Cut an array of texts into ranges of about ``most`` bytes, one text at least."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
