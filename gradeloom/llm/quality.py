@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm.common import documents, outer_id
-from gradeloom.llm.word_tokens import WordHasher, slices
+from gradeloom.llm.word_tokens import WordHasher, release_memory, slices
 from gradeloom.session import cut_lineage
 
 BUCKETS = 2**14  # rows of the table of word vectors
@@ -47,6 +47,8 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
             part = batch.slice(begin, end - begin)
             words, starts = hasher.encode(part["body"])
             yield part, words.astype(np.int64), starts
+    hasher.forget()
+    release_memory()
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +196,11 @@ def train(rows: DataFrame, labels: DataFrame, id_col: str, sample_rows: int) ->
     pooled = cut_lineage(rows.mapInArrow(_pooled(vectors), "doc long, fp long, pooled array<float>"))
     known = labels.select(F.col(id_col).cast("long").alias("doc"), F.col("quality").cast("int").alias("quality"))
     known = known.where(F.col("doc").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).distinct()
-    sample = pooled.join(known, "doc").orderBy(F.xxhash64("doc"), "fp", "quality").limit(sample_rows)
+    known = cut_lineage(known)
+    # So small a share goes to the sort that each task has few rows to send.
+    share = min(1.0, 1.2 * sample_rows / max(1, known.count()))
+    drawn = known.where(F.pmod(F.xxhash64("doc"), F.lit(2**31)) < F.lit(int(share * 2**31)))
+    sample = pooled.join(drawn, "doc").orderBy(F.xxhash64("doc"), "fp", "quality").limit(sample_rows)
     sample = sample.select("quality", "pooled").toArrow()
     x = sample["pooled"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
     return vectors, fit(x, sample["quality"].to_numpy()), pooled
@@ -212,7 +218,7 @@ def classify(
 
     Learns from ``labels`` (id and ``quality`` 0 or 1; other values and null ids are left
     out; contradicting labels of an id both count) of rows that are not held out, at most
-    ``sample_rows`` of them, taken in the order of a hash of the id. Only the text is an
+    ``sample_rows`` of them, drawn by a hash of the id. Only the text is an
     input. Null and empty texts have the pooled vector 0 and get its score. Without labels
     of both kinds, or with fewer than ten, every score is the smoothed share of label 1.
     Repeated rows and ids are scored on their own, a null id stays null, an empty table
@@ -240,6 +246,8 @@ def _good(vectors: np.ndarray, network: Network, text_col: str, threshold: float
                 words, starts = hasher.encode(body.slice(begin, end - begin))
                 good = network.score(pool(words.astype(np.int64), starts, vectors)) >= threshold
                 yield batch.slice(begin, end - begin).filter(pa.array(good))
+        hasher.forget()
+        release_memory()
 
     return run
 
