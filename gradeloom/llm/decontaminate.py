@@ -1,8 +1,8 @@
 """Benchmark passages in documents, with DataFrame functions only.
 
-A window is as many words of a document as a benchmark item has. Windows that share no
-shingle with an item have similarity 0, so only those that share one are looked at, each
-aligned with the item at a shared shingle. A window gets a SimHash over its shingles,
+A window is as many words of a document as a benchmark item has. Every window with enough
+shingles that occur in items of its size to reach the similarity at all is looked at,
+wherever the shingles stand in the item. A window gets a SimHash over its shingles,
 weighted by how often they occur. Fingerprints within the radius meet in one of eight
 blocks: 23 differing bits over eight blocks leave a block with at most two, and an item is
 listed under all values of a block that differ in at most two bits. What meets is compared
@@ -85,31 +85,49 @@ def item_table(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return items.select("item", "n_words", "found", counted("found").alias("tagged"))
 
 
+def near_starts(at: Column, size: Column, n_words: Column) -> Column:
+    """Starts of all windows that can be 0.8 similar to an item, by the places ``at`` of its shingles (sorted)."""
+    width = F.least(n_words, F.lit(SHINGLE))
+    item, window = n_words - width + 1, F.greatest(F.least(n_words, size) - width + 1, F.lit(1))
+    # common / (item + window - common) >= 4 / 5, and each common shingle has a place of its own.
+    least = F.floor((4 * (item + window) + 8) / 9).cast("int")
+    last = F.greatest(size - n_words, F.lit(0))
+
+    def held(i: Column) -> Column:
+        """Starts of the windows that hold the places i to i + least - 1."""
+        low, high = F.greatest(F.get(at, i + least - 1) - window + 1, F.lit(0)), F.least(F.get(at, i), last)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.expr("array()").cast("array<int>"))
+
+    found = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - least), held)))
+    return F.when(F.size(at) >= least, found).otherwise(F.expr("array()").cast("array<int>"))
+
+
 def windows(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """Aligned windows that share a shingle with an item: ``doc, fp, n_words, start, found``."""
+    """Windows with enough shingles of items of their size: ``doc, fp, n_words, start, found``."""
     widths = [r.k for r in items.select(F.least("n_words", F.lit(SHINGLE)).alias("k")).distinct().collect()]  # 5 at most
-    keys = items.select("n_words", F.posexplode("found").alias("item_at", "shingle")).distinct()
+    keys = items.select("n_words", F.explode("found").alias("shingle")).distinct()
     if keys.count() <= BROADCAST_SHINGLES:
         keys = F.broadcast(keys)
     texts = rows.select("doc", F.xxhash64("body").alias("fp"), "body")
     words = texts.select("doc", "fp", word_hashes(F.col("body")).alias("words"))
-    hits = texts.select("doc", "fp", F.lit(0).alias("size"), F.lit(0).alias("n_words"), F.lit(0).alias("shift")).where("false")
+    hits = texts.select("doc", "fp", F.lit(0).alias("size"), F.lit(0).alias("n_words"), F.lit(0).alias("at")).where("false")
     for k in widths:
         # Only the hash of a shingle and its place go through the join, no text and no array.
         # The outer form keeps Spark from computing the array a second time to look for empty ones.
         listed = words.select("doc", "fp", F.size("words").alias("size"), short_shingles("words", k).alias("found"))
         at = listed.select("doc", "fp", "size", F.posexplode_outer("found").alias("at", "shingle"))
         same = keys.where(F.least("n_words", F.lit(SHINGLE)) == k) if len(widths) > 1 else keys
-        met = at.join(same, "shingle").select("doc", "fp", "size", "n_words", (F.col("at") - F.col("item_at")).alias("shift"))
-        hits = hits.unionByName(met)
-    start = F.greatest(F.lit(0), F.least("shift", F.col("size") - F.col("n_words")))
-    found = hits.select("doc", "fp", F.struct("n_words", start.alias("start")).alias("window")).distinct()
-    found = found.groupBy("doc", "fp").agg(F.collect_list("window").alias("windows"))
+        hits = hits.unionByName(at.join(same, "shingle").select("doc", "fp", "size", "n_words", "at"))
+    found = hits.groupBy("doc", "fp", "size", "n_words").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    found = found.select("doc", "fp", "n_words", near_starts(F.col("at"), F.col("size"), F.col("n_words")).alias("starts"))
+    found = found.where(F.size("starts") > 0)
+    found = found.groupBy("doc", "fp").agg(F.collect_list(F.struct("n_words", "starts")).alias("windows"))
     # The texts of the few documents with a window, for the words of the windows.
     cut = texts.join(found.hint("shuffle_hash"), ["doc", "fp"]).distinct()
     cut = cut.select("doc", "fp", word_hashes(F.col("body")).alias("words"), "windows")
     cut = cut.select("doc", "fp", "words", F.explode("windows").alias("window"))
-    cut = cut.select("doc", "fp", "window.n_words", "window.start", F.expr("slice(words, window.start + 1, window.n_words)").alias("words"))
+    cut = cut.select("doc", "fp", "words", "window.n_words", F.explode("window.starts").alias("start"))
+    cut = cut.select("doc", "fp", "n_words", "start", F.expr("slice(words, start + 1, n_words)").alias("words"))
     return cut.select("doc", "fp", "n_words", "start", shingles("words").alias("found"))
 
 

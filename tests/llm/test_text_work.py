@@ -250,6 +250,30 @@ def test_passages(spark, docs_of, odd_rows):
     assert clean == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_passages_with_moved_parts(spark, docs_of):
+    rng = random.Random(14)
+
+    def prose(n):
+        return [f"w{rng.randrange(4000)}" for _ in range(n)]
+
+    items = [(i, prose(n)) for i, n in enumerate([59, 59, 90, 120, 40])]
+    items.append((9, ["again"] * 10 + prose(50)))
+    rows = []
+    for k, (_, w) in enumerate(items):
+        for j in range(12):
+            cut = len(w) // 2 if j < 3 else rng.randrange(1, len(w))
+            moved = w[cut:] + w[:cut]
+            if j > 7:
+                a, b = sorted(rng.sample(range(1, len(w)), 2))
+                moved = w[b:] + w[a:b] + w[:a]
+            rows.append((100 * k + j, " ".join([*prose(rng.choice([0, 35, 80])), *moved, *prose(rng.choice([0, 3, 60]))])))
+    items = [(i, " ".join(w)) for i, w in items]
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_passages(docs_of(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = plain.passages(rows, items)
+    assert got.keys() == want.keys() and len(want) > 30
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_passages_without_rows(spark, docs_of, odd_rows):
     none = spark.createDataFrame([], "item_id long, text string")
     items = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
