@@ -2,8 +2,13 @@
 
 Fixed values: the wording of well-known public licences and of the usual notices,
 as (licence, name of the template, text). Names and years of holders are left out.
+Long texts are files of the folder ``licence_texts``.
 """
 
+from pathlib import Path
+
+_TEXTS = Path(__file__).resolve().parent / "licence_texts"
+
 TEMPLATES = [
     ("MIT", "notice", "Released under the MIT License."),
     ("MIT", "notice by", "Licensed under the MIT License."),
@@ -98,6 +103,24 @@ TEMPLATES = [
         THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
         ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     ),
+    (
+        "BSD-3-Clause",
+        "text",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+        that the following conditions are met: 1. Redistributions of source code must retain the above copyright
+        notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must
+        reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution. 3. Neither the name of the
+        copyright holder nor the names of its contributors may be used to endorse or promote products derived from
+        this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE
+        COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+        LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+        IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+        SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+        GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+        THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+        ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
     (
         "Zlib",
         "text",
@@ -117,4 +140,5 @@ TEMPLATES = [
         publish, use, compile, sell, or distribute this software, either in source code form or as a compiled
         binary, for any purpose, commercial or non-commercial, and by any means.""",
     ),
+    *[(name, "text", (_TEXTS / f"{name}.txt").read_text()) for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0")],
 ]

@@ -196,4 +196,4 @@ def op9_ngram_jaccard(spark, sf_dir):
 
 @query("op10_license_scan")
 def op10_license_scan(spark, sf_dir):
-    return licences.scan(table(spark, sf_dir, "documents"))
+    return licences.scan(table(spark, sf_dir, "documents"), anywhere=True)

@@ -341,3 +341,28 @@ def test_licences(docs_of, odd_rows):
         want = Counter((d, *m) for d, t in rows for m in plain_matches(t or "", licences.TEMPLATES, threshold))
         assert got == want and len(want) > 30
     assert licences.scan(docs_of([])).collect() == []
+
+
+def test_licences_at_any_place(docs_of):
+    texts = {(licence, name): " ".join(text.split()) for licence, name, text in licences.TEMPLATES}
+    mit = texts["MIT", "text"]
+    parts = [mit[: mit.index("The above")], mit[mit.index("The above") : mit.index("THE SOFTWARE")], mit[mit.index("THE SOFTWARE") :]]
+    prose = "\n\n".join(" ".join(f"w{i}x{k}" for k in range(60)) for i in range(12))
+    apache = texts["Apache-2.0", "file header"]
+    header = "\n".join("# " + apache[i : i + 70] for i in range(0, len(apache), 70))
+    full = dict.fromkeys(["Apache-2.0", "GPL-2.0", "GPL-3.0", "BSD-3-Clause"])
+    rows = [
+        (1, prose + "\n\n" + "\n\n".join(parts) + "\n\n" + prose),
+        (2, header.replace("# Licensed", "# x\n# Licensed") + "\n" + prose.replace("\n\n", "\n")),
+        (3, prose + " This tool is great. Licensed under the MIT License. See the manual \u0130 for more. " + prose),
+        (4, prose),
+        *[(10 + k, prose + " " + texts[licence, "text"] + " " + prose) for k, licence in enumerate(full)],
+    ]
+    found = licences.scan(docs_of(rows), anywhere=True).collect()
+    assert {(10 + k, licence, "text") for k, licence in enumerate(full)} <= {(r.doc_id, r.licence, r.template) for r in found}
+    found = [r for r in found if r.segment == "passage" and r.doc_id < 10]
+    want = [(1, "MIT", "text"), (2, "Apache-2.0", "file header"), (3, "MIT", "notice by")]
+    assert sorted((r.doc_id, r.licence, r.template) for r in found) == want
+    by_doc = {r.doc_id: (dict(rows)[r.doc_id][r.start : r.stop], r.dice) for r in found}
+    assert by_doc[3] == ("Licensed under the MIT License", 1.0)
+    assert licences.words(by_doc[1][0]) == licences.words(mit) and by_doc[1][1] == 1.0
