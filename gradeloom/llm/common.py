@@ -40,5 +40,10 @@ def key128(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
 
 
+def row_key() -> Column:
+    """Key of a row: the hash of id and text. Equal rows have the same key."""
+    return F.xxhash64("doc", "body").alias("key")
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import NULL_ID, documents, outer_id
+from gradeloom.llm.common import NULL_ID, document_columns, documents, outer_id, row_key
 
 SHINGLE = 5
 BLOCKS, BLOCK_BITS, BLOCK_ERRORS = 8, 8, 2
@@ -194,7 +194,20 @@ def find_passages(
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
-    """Rows of ``docs``, with all their columns, whose id is not found by ``find_passages``."""
-    found = find_passages(docs, benchmark, id_col, text_col, **names).select(F.col(id_col).alias("_found")).distinct()
-    return docs.join(found, docs[id_col].cast("long").eqNullSafe(found["_found"]), "left_anti")
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False, **names: str
+) -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose id is not found by ``find_passages``.
+
+    With ``by_row`` each id and text is a document of its own: only rows whose own text holds
+    an item are dropped, whatever other rows have their id or a null id.
+    """
+    if not by_row:
+        found = find_passages(docs, benchmark, id_col, text_col, **names).select(F.col(id_col).alias("_found")).distinct()
+        return docs.join(found, docs[id_col].cast("long").eqNullSafe(found["_found"]), "left_anti")
+    columns = [f"c{i}" for i in range(len(docs.columns))]  # no column of the caller clashes with the keys
+    keys = document_columns(columns[docs.columns.index(id_col)], columns[docs.columns.index(text_col)])
+    rows = docs.toDF(*columns).select(*keys, *columns)
+    rows = rows.select(row_key(), "body", *columns)
+    found = find_passages(rows.select("key", "body"), benchmark, "key", "body", **names).select("key").distinct()
+    return rows.join(found, "key", "left_anti").select(*columns).toDF(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm import streams
-from gradeloom.llm.common import document_columns, documents, outer_id
+from gradeloom.llm.common import document_columns, documents, outer_id, row_key
 from gradeloom.llm.components import components
 from gradeloom.llm.shingles import WordHashes, mix, shingle_sets
 from gradeloom.llm.word_tokens import release_memory
@@ -476,19 +476,26 @@ def keep_one(
     threshold: tuple[int, int] = (4, 5),
     id_col: str = "doc_id",
     text_col: str = "text",
+    by_row: bool = False,
 ) -> DataFrame:
     """One row of ``docs`` of each group, with all its columns: the one with the smallest id.
 
-    Of several rows with this id one stays. Documents without shingles stay.
+    Of several rows with this id one stays. Documents without shingles stay. With ``by_row``
+    each id and text is a document of its own: rows are linked by similar texts only, not by
+    a repeated or null id.
     """
-    found = grouped(documents(docs, id_col, text_col), width, *threshold)
-    # Texts without shingles are linked with nothing, also not with another text of their id.
-    kept = found.groupBy("root", F.when(F.col("n") == 0, F.col("fp")).alias("empty")).agg(F.min(F.struct("doc", "fp")).alias("row"))
-    kept = cut_lineage(kept.select("row.doc", "row.fp").distinct())
     names = [f"c{i}" for i in range(len(docs.columns))]  # no column of the caller clashes with the keys
     rows = docs.toDF(*names).select(
         *document_columns(names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]), *names
     )
-    rows = rows.withColumn("fp", F.xxhash64("body")).drop("body")
+    rows = rows.select(F.col("doc").alias("id"), row_key().alias("doc") if by_row else F.col("doc"), "body", *names)
+    found = grouped(rows.select("doc", "body"), width, *threshold)
+    if by_row:
+        found = found.join(rows.select("doc", "id").distinct(), "doc")
+    first = F.min(F.struct(F.col("id") if by_row else F.col("doc").alias("id"), "doc", "fp"))
+    # Texts without shingles are linked with nothing, also not with another text of their id.
+    kept = found.groupBy("root", F.when(F.col("n") == 0, F.col("fp")).alias("empty")).agg(first.alias("row"))
+    kept = cut_lineage(kept.select("row.doc", "row.fp").distinct())
+    rows = rows.withColumn("fp", F.xxhash64("body")).drop("body", "id")
     rows = rows.join(kept.hint("shuffle_hash"), ["doc", "fp"]).dropDuplicates(["doc", "fp"])
     return rows.select(*names).toDF(*docs.columns)

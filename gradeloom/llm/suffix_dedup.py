@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm.anchors import SPREAD, WINDOW, ByteHash, anchor_rows, scramble
-from gradeloom.llm.common import documents, outer_id
+from gradeloom.llm.common import documents, outer_id, row_key
 from gradeloom.session import cut_lineage
 
 # Distances that one row stands for, by round after the first (there all of an anchor's).
@@ -39,11 +39,6 @@ SORTED = ["r1", "r2", "hull", "key", "place"]
 SETTLED = f"kind string, {ROW}, bytes binary"
 
 
-def row_key() -> Column:
-    """Key of a row: the hash of id and text. Equal rows have the same strings and the same spans."""
-    return F.xxhash64("doc", "body").alias("key")
-
-
 def packed(anchor: np.ndarray, far: np.ndarray, near: np.ndarray) -> np.ndarray:
     """Place of a row: anchor and largest and smallest distance of a window start before it."""
     return anchor << 16 | far << 8 | near

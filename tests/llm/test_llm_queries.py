@@ -86,3 +86,23 @@ def test_pipeline(spark, sf, tmp_path):
     pieces = pack(spark, uncontaminated, sf).collect()
     check_packed(rows_of(uncontaminated), pieces, 4096)
     assert sum(p.length for p in corpus_pipeline.run(spark, sf).collect()) == sum(p.length for p in pieces)
+
+
+def test_pipeline_stages_keep_clean_rows_of_repeated_ids(spark, sf):
+    """Null and repeated ids link nothing; copies and contaminated rows go alone."""
+
+    def own(k):
+        return " ".join(f"w{k}x{i}" for i in range(60))
+
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    rows = [(None, own(1)), (None, own(2)), (None, None), (7, own(3)), (7, own(4)), (7, own(4)), (8, own(4) + " more"), (9, own(5)), (None, own(5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc", F.lit(1)).withColumn("key", F.lit("k")).repartition(3)
+    one = corpus_pipeline.distinct_documents(spark, docs, sf)
+    assert one.columns == docs.columns
+    want = [(None, own(1)), (None, own(2)), (None, None), (7, own(3)), (7, own(4)), (None, own(5))]
+    assert sorted(((r.doc_id, r.text) for r in one.collect()), key=str) == sorted(want, key=str)
+    leaks = [(None, own(6) + " " + item), (7, item), (10, item)]
+    mixed = docs.unionByName(spark.createDataFrame(leaks, "doc_id long, text string").withColumn("doc", F.lit(2)).withColumn("key", F.lit("l")))
+    clean = corpus_pipeline.without_benchmark(spark, mixed, sf)
+    assert clean.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted(rows, key=str)
