@@ -26,7 +26,7 @@ CLOSES_PARAGRAPH = frozenset(
 BLOCKS = CLOSES_PARAGRAPH | frozenset("html body li dt dd legend option optgroup caption tr thead tbody tfoot".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir table blockquote pre figure fieldset".split())
 HIDDEN = frozenset(
-    "head title style script template object iframe noframes noembed audio video canvas svg math datalist "
+    "head title style script template object iframe noframes noembed audio video canvas datalist "
     "area base link meta param rp".split()
 )
 # A start tag of the key ends an open element of the value, unless one of the third closes it in.
@@ -45,6 +45,18 @@ IMPLIED_ENDS = {
     "body": ("head", "html"),
 }
 IMPLIED_ENDS = {tag: (frozenset(a.split()), frozenset(b.split())) for tag, (a, b) in IMPLIED_ENDS.items()}
+# Roots of foreign markup, and their elements that hold HTML again.
+FOREIGN = frozenset("svg math".split())
+INTEGRATION = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+# Elements of them without text on the page.
+HIDDEN_FOREIGN = frozenset("title desc metadata defs symbol clippath mask marker pattern style script annotation annotation-xml".split())
+# HTML start tags that end foreign markup.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed font h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta "
+    "nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+# Other texts of svg are not drawn.
+SVG_TEXT = frozenset("text foreignobject".split())
 # No end tag or implied end reaches out of these.
 SCOPES = frozenset("html table td th caption object template".split())
 # Parts of a table end at their table only.
@@ -77,6 +89,9 @@ class Tree(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "html":
             return
+        if tag in BREAKOUT:
+            self._leave_foreign()
+        foreign = self._foreign()
         if tag in CLOSES_PARAGRAPH:
             self._end({"p"}, SCOPES | {"button"})
         if tag in IMPLIED_ENDS:
@@ -87,14 +102,38 @@ class Tree(HTMLParser):
         if self.open[-1].tag == "head" and tag not in HIDDEN | {"noscript"}:
             self.open.pop()
         node = Node(tag, {k: v or "" for k, v in attrs})
+        if foreign and tag in HIDDEN_FOREIGN:
+            node.attrs["hidden"] = ""
+        if foreign and tag == "text":
+            node.children.append(" ")  # has a place of its own
         self.open[-1].children.append(node)
         if tag not in VOID and len(self.open) < DEEPEST:
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)  # a slash closes void elements only
+        """A slash closes void elements, and those of svg and math."""
+        before = len(self.open)
+        foreign = tag in FOREIGN or self._foreign()
+        self.handle_starttag(tag, attrs)
+        if foreign and tag not in VOID and len(self.open) > before and self.open[-1].tag == tag:
+            self.open.pop()
+
+    def _leave_foreign(self) -> None:
+        while self._foreign():
+            self.open.pop()
+
+    def _foreign(self) -> bool:
+        """Whether the open elements are in svg or math, and not in HTML inside of them."""
+        for node in reversed(self.open):
+            if node.tag in FOREIGN:
+                return True
+            if node.tag in INTEGRATION:
+                return False
+        return False
 
     def handle_endtag(self, tag: str) -> None:
+        if tag in ("br", "p"):
+            self._leave_foreign()
         if tag == "br":
             self.open[-1].children.append(Node("br", {}))
         elif tag not in ("html", "body"):
@@ -115,7 +154,12 @@ class Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag == "head" and data.strip():
             self.open.pop()
-        self.open[-1].children.append(data)
+        if self._drawn():
+            self.open[-1].children.append(data)
+
+    def _drawn(self) -> bool:
+        """Whether text is not just in svg, outside of its text elements."""
+        return next((n.tag != "svg" for n in reversed(self.open) if n.tag == "svg" or n.tag in SVG_TEXT), True)
 
 
 def hidden(node: Node) -> bool:
@@ -315,7 +359,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     """Visible text of every page: the id and ``text``.
 
     Hidden are elements that browsers do not show (head, script, style, template, embedded
-    content), those with ``hidden``, ``display:none`` or ``visibility:hidden`` of their own,
+    content, svg apart from its text elements), those with ``hidden``, ``display:none`` or ``visibility:hidden`` of their own,
     and closed dialogs; style sheets and scripts are not applied. White space runs are one
     space except in ``pre`` and ``textarea``. A null, empty or textless page has an empty
     text; broken markup never fails. Repeated pages and ids are rendered on their own, a

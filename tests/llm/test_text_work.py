@@ -200,6 +200,22 @@ def test_page_text(html, text):
     assert html_text.page_text(html) == text
 
 
+FOREIGN = [
+    ('<p>Icon <svg class="i"/> all this text</p>after', "Icon all this text\n\nafter"),
+    ("a <math/> b<svg><path d='x'/><g/></svg> c", "a b c"),
+    ("<svg><title>t</title>no<text>one</text><text>two<tspan>s</tspan></text><defs><text>no</text></defs></svg> z", "one twos z"),
+    ("<svg><foreignObject><p>in</p></foreignObject></svg>out", "in\n\nout"),
+    ("let <math><mi>x</mi><mo>=</mo><mn>2</mn><mspace/><annotation>no</annotation></math> be", "let x=2 be"),
+    ("<svg><g><p>broken out</p>next", "broken out\n\nnext"),
+    ("<div/>x<span/>y", "xy"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), FOREIGN)
+def test_svg_and_math(html, text):
+    assert html_text.page_text(html) == text
+
+
 def test_pages(spark):
     rows = [(i, h) for i, (h, _) in enumerate(HTML)] + [(None, None), (7, HTML[7][0]), (99, "<div>" * 5000 + "deep" + "</p>" * 50)]
     df = spark.createDataFrame(rows, "page_id long, html string").withColumn("doc", F.lit(1)).withColumn("text", F.lit("x"))
