@@ -8,7 +8,8 @@ keep an empty line around them, list items get marks and indents, table cells ar
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -62,8 +63,8 @@ SCOPES = frozenset("html table td th caption object template".split())
 # Parts of a table end at their table only.
 TABLE_PARTS = frozenset("table caption colgroup thead tbody tfoot tr td th".split())
 TABLE_SCOPES = frozenset("html table object template".split())
-# Elements nested deeper are siblings of the deepest ones, so that a page cannot exhaust the stack.
-DEEPEST = 150
+# Indents do not grow beyond this width, so a page's text stays linear in the page.
+WIDEST_INDENT = 300
 # Cells up to this width are padded; longer ones are not, so a table's text stays linear in the page.
 WIDEST = 80
 
@@ -85,6 +86,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each tag
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "html":
@@ -100,14 +102,15 @@ class Tree(HTMLParser):
             while self._end(ends, fence):
                 pass
         if self.open[-1].tag == "head" and tag not in HIDDEN | {"noscript"}:
-            self.open.pop()
+            self._close(len(self.open) - 1)
         node = Node(tag, {k: v or "" for k, v in attrs})
         if foreign and tag in HIDDEN_FOREIGN:
             node.attrs["hidden"] = ""
         if foreign and tag == "text":
             node.children.append(" ")  # has a place of its own
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEEPEST:
+        if tag not in VOID:
+            self.places[tag].append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -116,20 +119,23 @@ class Tree(HTMLParser):
         foreign = tag in FOREIGN or self._foreign()
         self.handle_starttag(tag, attrs)
         if foreign and tag not in VOID and len(self.open) > before and self.open[-1].tag == tag:
-            self.open.pop()
+            self._close(len(self.open) - 1)
+
+    def _close(self, size: int) -> None:
+        """Close all open elements but the first ``size``."""
+        while len(self.open) > size:
+            self.places[self.open.pop().tag].pop()
+
+    def _innermost(self, tags: set[str] | frozenset[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
 
     def _leave_foreign(self) -> None:
         while self._foreign():
-            self.open.pop()
+            self._close(self._innermost(FOREIGN))
 
     def _foreign(self) -> bool:
         """Whether the open elements are in svg or math, and not in HTML inside of them."""
-        for node in reversed(self.open):
-            if node.tag in FOREIGN:
-                return True
-            if node.tag in INTEGRATION:
-                return False
-        return False
+        return self._innermost(FOREIGN) > self._innermost(INTEGRATION)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("br", "p"):
@@ -143,23 +149,21 @@ class Tree(HTMLParser):
 
     def _end(self, tags: set[str] | frozenset[str], fence: frozenset[str]) -> bool:
         """Close the innermost open element of ``tags`` with all inside it, if no fence is in between."""
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                del self.open[i:]
-                return True
-            if self.open[i].tag in fence:
-                return False
-        return False
+        place = self._innermost(tags)
+        if not place or place < self._innermost(fence):
+            return False
+        self._close(place)
+        return True
 
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag == "head" and data.strip():
-            self.open.pop()
+            self._close(len(self.open) - 1)
         if self._drawn():
             self.open[-1].children.append(data)
 
     def _drawn(self) -> bool:
         """Whether text is not just in svg, outside of its text elements."""
-        return next((n.tag != "svg" for n in reversed(self.open) if n.tag == "svg" or n.tag in SVG_TEXT), True)
+        return not self.places.get("svg") or self.places["svg"][-1] < self._innermost(SVG_TEXT)
 
 
 def hidden(node: Node) -> bool:
@@ -228,7 +232,24 @@ class Layout:
             self.end_line()
 
 
-def lay_out(node: Node, out: Layout, indent: str = "", pre: bool = False) -> None:
+def finish(task: Generator) -> object:
+    """Run a generator that yields the tasks whose results it needs, with a stack of its own."""
+    stack, result = [task], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(result))
+            result = None
+        except StopIteration as done:
+            stack.pop()
+            result = done.value
+    return result
+
+
+def deeper(indent: str, width: int) -> str:
+    return indent if len(indent) >= WIDEST_INDENT else indent + " " * width
+
+
+def lay_out(node: Node, out: Layout, indent: str = "", pre: bool = False) -> Generator:
     number = _start(node)
     for child in node.children:
         if isinstance(child, str):
@@ -245,21 +266,21 @@ def lay_out(node: Node, out: Layout, indent: str = "", pre: bool = False) -> Non
             out.end_line()
             out.gap = out.gap or (tag in SPACED and not (tag in ("ul", "ol") and node.tag == "li"))
         if tag == "table":
-            out.rows(table_lines(child), indent)
+            out.rows((yield table_lines(child)), indent)
         elif tag == "li":
             out.mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            lay_out(child, out, indent + " " * len(out.mark), pre)
+            yield lay_out(child, out, deeper(indent, len(out.mark)), pre)
             out.mark = ""
         elif tag in ("dd", "blockquote"):
-            lay_out(child, out, indent + "  ", pre)
+            yield lay_out(child, out, deeper(indent, 2), pre)
         elif tag == "input":
             out.text(child.attrs.get("value", ""), indent)
         elif tag in ("td", "th"):  # outside of a table
             out.text(" ", indent)
-            lay_out(child, out, indent, pre)
+            yield lay_out(child, out, indent, pre)
         else:
-            lay_out(child, out, indent, pre or tag in ("pre", "textarea"))
+            yield lay_out(child, out, indent, pre or tag in ("pre", "textarea"))
         if block:
             out.end_line()
             out.gap = out.gap or (tag in SPACED and not (tag in ("ul", "ol") and node.tag == "li"))
@@ -275,7 +296,7 @@ def _span(cell: Node) -> int:
     return max(1, min(100, int(value))) if re.fullmatch(r"[0-9]{1,4}", value) else 1
 
 
-def table_lines(table: Node) -> list[str]:
+def table_lines(table: Node) -> Generator:
     """Rows of a table with cells aligned by column, a bar between cells."""
     before: list[str] = []
     rows: list[list[tuple[list[str], int]]] = []
@@ -296,9 +317,9 @@ def table_lines(table: Node) -> list[str]:
             elif child.tag in ("td", "th"):
                 if node.tag != "tr" or child is _first_cell(node):
                     rows.append([])
-                rows[-1].append((text_lines(child), _span(child)))
+                rows[-1].append(((yield text_lines(child)), _span(child)))
             else:  # captions and what does not belong into a table
-                before += text_lines(_wrapped(child))
+                before += yield text_lines(_wrapped(child))
         stack.extend(reversed(inside))
     widths: dict[int, int] = {}
     for row in rows:
@@ -330,9 +351,9 @@ def _wrapped(node: Node) -> Node:
     return around
 
 
-def text_lines(node: Node) -> list[str]:
+def text_lines(node: Node) -> Generator:
     out = Layout()
-    lay_out(node, out)
+    yield lay_out(node, out)
     out.end_line()
     while out.lines and not out.lines[-1]:
         out.lines.pop()
@@ -346,7 +367,7 @@ def page_text(html: str) -> str:
     broken = re.search(r"<[/!?a-zA-Z]", html[(last := html.rfind(">") + 1) :])
     tree.feed(html[: last + broken.start()] if broken else html)
     tree.close()
-    return "\n".join(text_lines(tree.root))
+    return "\n".join(finish(text_lines(tree.root)))
 
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -216,6 +216,14 @@ def test_svg_and_math(html, text):
     assert html_text.page_text(html) == text
 
 
+@pytest.mark.parametrize("opening", ["<div>", "<font>", "<span>", "<blockquote>", "<table><tr><td>"])
+def test_deep_pages(opening):
+    inner = "<script>var x</script><style>p{}</style><p hidden>no</p><ul><li>a<li>b</ul><pre>c\n  d</pre><table><tr><td>e<td>f</table>g"
+    got = [line.strip() for line in html_text.page_text(opening * 3000 + inner).split("\n") if line]
+    assert got == ["- a", "- b", "c", "d", "e | f", "g"]
+    assert html_text.page_text("<div><b>" + "<i>" * 300 + "<u>x</u></i></i>" + "</i>" * 298 + "</b>y</div>z") == "xy\nz"
+
+
 def test_pages(spark):
     rows = [(i, h) for i, (h, _) in enumerate(HTML)] + [(None, None), (7, HTML[7][0]), (99, "<div>" * 5000 + "deep" + "</p>" * 50)]
     df = spark.createDataFrame(rows, "page_id long, html string").withColumn("doc", F.lit(1)).withColumn("text", F.lit("x"))
