@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import decontaminate, exact_dedup, html_text, licences, line_dedup, ngram_join, packing, quality, suffix_dedup, token_counts
+from gradeloom.llm import (
+    decontaminate,
+    embedding_groups,
+    exact_dedup,
+    html_text,
+    licences,
+    line_dedup,
+    ngram_join,
+    packing,
+    periodic_runs,
+    quality,
+    suffix_dedup,
+    term_ranking,
+    token_counts,
+)
 from gradeloom.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,3 +211,93 @@ def op9_ngram_jaccard(spark, sf_dir):
 @query("op10_license_scan")
 def op10_license_scan(spark, sf_dir):
     return licences.scan(table(spark, sf_dir, "documents"), anywhere=True)
+
+
+@query(
+    "op11_embedding_groups",
+    """
+    WITH RECURSIVE vec AS MATERIALIZED (
+        SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v,
+            coalesce(len(embedding) > 0 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])
+                AND list_sum([x * x FOR x IN CAST(embedding AS DOUBLE[])]) > 0, false) AS usable
+        FROM embeddings
+    ), link AS MATERIALIZED (
+        SELECT a.vec_id AS a, b.vec_id AS b
+        FROM vec a JOIN vec b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND a.usable AND b.usable
+        WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+    ), reach AS (
+        SELECT vec_id AS a, vec_id AS b FROM vec
+        UNION
+        SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+    ), component AS (
+        SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+    )
+    SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+    FROM component
+    """,
+)
+def op11_embedding_groups(spark, sf_dir):
+    return embedding_groups.near_copies(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents of which about a tenth, by a hash of the id, turn periodic at some word."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n, g = F.size(words), F.floor(h / 10)
+    a = F.pmod(g, n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+    repeated = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    periodic = F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(repeated, F.lit(1), n - a)), " ")
+    return docs.select("doc_id", F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), periodic).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    found = periodic_runs.find_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), -r["start"], -r["period"])))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select("doc_id", "runs", "text", best.alias("best"), listed.alias("listed")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.col2")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.col3")).alias("period"),
+        F.floor(F.lit(1000) * F.col("best.length") / -F.col("best.col3")).alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+TERMS_SQL = rf"regexp_extract_all(translate(text, {SQL_UPPER_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op13_term_ranking",
+    f"""
+    WITH term AS (
+        SELECT doc_id, unnest({TERMS_SQL}) AS t FROM documents
+    ), tf AS MATERIALIZED (
+        SELECT doc_id, t, count(*) AS tf FROM term GROUP BY ALL
+    ), doc AS MATERIALIZED (
+        SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id
+    ), total AS (
+        SELECT count(*) AS N_docs, CAST(sum(n) AS BIGINT) AS L FROM doc
+    ), weight AS (
+        SELECT t, CAST(floor(1000 * ln(CAST(2 * N_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+        FROM tf, total GROUP BY t, N_docs
+    ), item AS (
+        SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest({TERMS_SQL}) AS t FROM benchmark)
+    ), scored AS (
+        SELECT item_id, doc_id,
+            CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * N_docs) // L)))) AS BIGINT) AS score
+        FROM item JOIN tf USING (t) JOIN weight USING (t) JOIN doc USING (doc_id), total
+        GROUP BY item_id, doc_id
+    )
+    SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+    WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER best <= 50
+    """,
+)
+def op13_term_ranking(spark, sf_dir):
+    return term_ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=50)

@@ -16,13 +16,13 @@ from gradeloom.llm.queries import LLM_CHECK_SQL, LLM_QUERIES
 @pytest.fixture(scope="module")
 def con(sf):
     connection = duckdb.connect()
-    for name in ("documents", "benchmark"):
+    for name in ("documents", "benchmark", "embeddings"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     return connection
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in LLM_QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in LLM_QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(LLM_CHECK_SQL))
