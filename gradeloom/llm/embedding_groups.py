@@ -139,7 +139,7 @@ class _Block:
     """One side of a unit: directions in single and double precision and what counting needs."""
 
     def __init__(self, rows: pa.Table):
-        self.key = rows["key"].to_numpy()
+        self.key, self.vertex = rows["key"].to_numpy(), rows["vertex"].to_numpy()
         self.exact = unit(_matrix(rows["vec"].combine_chunks())) if rows.num_rows else np.zeros((0, 1))
         self.rough = self.exact.astype(np.float32)
         self.weight, self.home, self.ball = (rows[c].to_numpy() for c in ("weight", "home", "ball"))
@@ -198,7 +198,7 @@ def _compare(threshold: float):
                     for one, other, m, n in ((a, b, i, j), (b, a, j, i)):
                         counts = one.at_home[m] | ~twice
                         np.add.at(one.links, m[counts], other.weight[n[counts]])
-                    for u, v in _spanning(a.key[i], b.key[j]):
+                    for u, v in _spanning(a.vertex[i], b.vertex[j]):
                         u, v = find(u), find(v)
                         if u != v:
                             parent[max(u, v)] = min(u, v)
@@ -287,7 +287,7 @@ def _units(placed: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("other", F.explode(F.transform(other, lambda p: p["at"])))
     part1, part2 = F.least("part", "other").alias("part1"), F.greatest("part", "other").alias("part2")
-    return rows.select("dim", "cell", part1, part2, "part", "key", "vec", "weight", "home", "cells", "ball")
+    return rows.select("dim", "cell", part1, part2, "part", "key", "vertex", "vec", "weight", "home", "cells", "ball")
 
 
 def near_copies(
@@ -336,23 +336,26 @@ def near_copies(
     layouts = fit(classes, counted, threshold, spread, sample_rows)
     spots = classes.select("key", "dim", "vec").mapInArrow(_place(layouts), "key long, home int, cells array<int>, ball int")
     placed = cut_lineage(classes.join(spots, "key"))
-    units = _units(placed).repartition(*UNIT).sortWithinPartitions(*UNIT)
+    # A row for each pivot. In the links a ball is one vertex, its smallest key.
+    balls = placed.where("ball >= 0").groupBy("dim", "ball")
+    balls = cut_lineage(balls.agg(F.sum("weight").alias("in_ball"), F.min("key").alias("vertex"), F.min("least").alias("of_ball")))
+    vertices = placed.join(F.broadcast(balls), ["dim", "ball"], "left").withColumn("vertex", F.coalesce("vertex", "key"))
+    units = _units(vertices).repartition(*UNIT).sortWithinPartitions(*UNIT)
     found = cut_lineage(units.mapInArrow(_compare(threshold), "key long, links long, to long"))
 
-    balls = placed.where("ball >= 0").groupBy("dim", "ball").agg(F.sum("weight").alias("in_ball"), F.min("key").alias("first"))
-    balls = cut_lineage(balls)  # a row for each pivot
-    in_balls = placed.where("ball >= 0").join(F.broadcast(balls), ["dim", "ball"])
-    links = found.where("to IS NOT NULL").select(F.col("key").alias("u"), F.col("to").alias("v"))
-    links = links.unionByName(in_balls.select(F.col("key").alias("u"), F.col("first").alias("v")))
-    below = components(links).select(F.col("v").alias("key"), F.col("root").alias("top"))
-    roots = cut_lineage(below.unionByName(below.select(F.col("top").alias("key"), "top").distinct()))
-    least = classes.join(roots, "key").groupBy("top").agg(F.min("least").alias("root"))
-    roots = roots.join(least, "top").select("key", "root")
-    outside = found.unionByName(in_balls.select("key", (F.col("in_ball") - F.col("weight")).alias("links"), F.lit(None).cast("long").alias("to")))
-    outside = outside.groupBy("key").agg(F.sum("links").alias("links"))
-    summed = classes.select("key", "weight", "least").join(outside, "key", "left").join(roots, "key", "left")
-    n_links = (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
-    summed = cut_lineage(summed.select("key", n_links, F.coalesce("root", "least").alias("root")))
+    below = components(found.where("to IS NOT NULL").select(F.col("key").alias("u"), F.col("to").alias("v")))
+    below = below.select(F.col("v").alias("key"), F.col("root").alias("top"))
+    tops = cut_lineage(below.unionByName(below.select(F.col("top").alias("key"), "top").distinct()))
+    least = placed.select("key", "least").unionByName(balls.select(F.col("vertex").alias("key"), F.col("of_ball").alias("least")))
+    least = least.join(tops, "key").groupBy("top").agg(F.min("least").alias("root"))
+    roots = cut_lineage(tops.join(least, "top").select("key", "root"))
+    balls = balls.join(roots.withColumnRenamed("key", "vertex"), "vertex", "left")
+    balls = balls.select("dim", "ball", "in_ball", F.coalesce("root", "of_ball").alias("ball_root"))
+    links = found.where("links > 0").groupBy("key").agg(F.sum("links").alias("links"))
+    summed = placed.select("key", "dim", "ball", "weight", "least").join(links, "key", "left").join(roots, "key", "left")
+    summed = summed.join(F.broadcast(balls), ["dim", "ball"], "left")
+    n_links = (F.coalesce("in_ball", "weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    summed = cut_lineage(summed.select("key", n_links, F.coalesce("ball_root", "root", "least").alias("root")))
     joined = rows.select("doc", F.when(F.col("vec").isNotNull(), F.col("key")).alias("key")).join(summed, "key", "left")
     joined = joined.select("doc", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "doc").alias("root"))
     return joined.select(*answer, (F.col("doc") == F.col("root")).alias("kept"))

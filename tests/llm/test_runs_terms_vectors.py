@@ -214,15 +214,14 @@ def plain_groups(rows, threshold):
     def usable(v):
         return bool(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)
 
+    units = [None] * len(rows)
+    for i, (_, v) in enumerate(rows):
+        if usable(v):
+            x = np.array(v, float) / np.abs(v).max()
+            units[i] = x / math.sqrt(x @ x)
     links = []
-    for i, (_, a) in enumerate(rows):
-        for j in range(i):
-            b = rows[j][1]
-            if usable(a) and usable(b) and len(a) == len(b):
-                x, y = np.array(a, float), np.array(b, float)
-                x, y = x / np.abs(x).max(), y / np.abs(y).max()
-                if x @ y / math.sqrt((x @ x) * (y @ y)) >= threshold:
-                    links.append((i, j))
+    for i, x in enumerate(units):
+        links += [(i, j) for j in range(i) if x is not None and units[j] is not None and len(x) == len(units[j]) and x @ units[j] >= threshold]
     degree = Counter(i for link in links for i in link)
     group = plain.components(len(rows), links)
     least = {}
