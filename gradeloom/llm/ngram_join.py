@@ -46,8 +46,9 @@ class Keys:
     listed in the next one too. Below, where a set has at most one shingle more than the
     other, a set is listed as a whole and without each of its shingles.
 
-    A set could have too few non-empty groups; with the number of groups chosen here that
-    is rarer than two shingles with the same hash.
+    That needs more non-empty groups than differing shingles in one of the two sets. A set
+    that has too few also lists so many of its first shingles in the order of their hashes;
+    of two such sets the first common shingle is among those of both.
     """
 
     def __init__(self, above: int, below: int):
@@ -86,6 +87,8 @@ class Keys:
                 order = np.argsort(group, kind="stable")
                 group = group[order]
                 starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+                if len(starts) <= self.differing(n):
+                    out.append(mix(found[: self.differing(n) + 1], 15))
                 sums = np.add.reduceat(value[order], starts) + group[starts]
                 out.append(mix(sums[: self.differing(n) + 1], 100 + scheme))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
