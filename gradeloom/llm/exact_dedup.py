@@ -116,20 +116,20 @@ def normalised(text: Column) -> Column:
 
 
 def digests(rows: DataFrame) -> DataFrame:
-    """One row for each distinct (id, text): ``doc, fp, n_chars, sha, h``."""
+    """One row for each distinct (id, text): ``doc, fp, n_chars, sha, h`` and ``repeats``, its rows."""
     found = rows.select(
         "doc",
         F.xxhash64("body").alias("fp"),
         F.char_length("body").cast("long").alias("n_chars"),
         F.unhex(F.sha2(normalised(F.col("body")), 256)).alias("sha"),
     )
-    return found.groupBy("doc", "fp", "n_chars", "sha").agg(F.xxhash64("sha").alias("h"))
+    return found.groupBy("doc", "fp", "n_chars", "sha").agg(F.xxhash64("sha").alias("h"), F.count("*").alias("repeats"))
 
 
 def groups(found: DataFrame) -> DataFrame:
     """Copies as one row: ``sha, h, n`` and ``best``, the row that stays."""
     rank = F.struct(F.col("n_chars"), F.bitwise_not("doc").alias("order"), F.col("doc"), F.col("fp"))
-    return found.groupBy("sha", "h").agg(F.count("*").alias("n"), F.max(rank).alias("best"))
+    return found.groupBy("sha", "h").agg(F.sum("repeats").alias("n"), F.max(rank).alias("best"))
 
 
 @dataclass
@@ -218,10 +218,10 @@ def resolve(docs: DataFrame, in_snapshot: Column, id_col: str = "doc_id", text_c
     Texts are equal when they are identical without white space; a null text is empty
     and all empty texts are equal. Of a group the row with the most code points in its
     text stays, then the one with the smallest id (a null id is the smallest). Rows that
-    repeat id and text are one row. Rows that repeat the id with another text are rows of
-    their own. An empty table gives no rows.
+    repeat an id, with the same or another text, are rows of their own; of rows that repeat
+    id and text one can stay. An empty table gives no rows.
 
-    Returns ``doc_id`` (named as ``id_col``), ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+    Returns for each row ``doc_id`` (named as ``id_col``), ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
     """
     rows = documents(docs, id_col, text_col)
     found = cut_lineage(digests(rows))
@@ -231,13 +231,15 @@ def resolve(docs: DataFrame, in_snapshot: Column, id_col: str = "doc_id", text_c
     merged = merge_batch(batch, snapshot).select(
         "sha", "n", F.col("best.doc").alias("keep_doc"), F.col("best.fp").alias("keep_fp")
     )
-    resolved = cut_lineage(found.select("doc", "fp", "sha").join(merged, "sha"))
+    resolved = cut_lineage(found.select("doc", "fp", "sha", "repeats").join(merged, "sha"))
     members = check_bytes(rows, resolved.where("n > 1"))
     everything = resolved.where("n = 1").unionByName(members.select(*resolved.columns))
+    stays = (F.col("doc") == F.col("keep_doc")) & (F.col("fp") == F.col("keep_fp"))
+    everything = everything.select("*", F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("repeat"))
     return everything.select(
         outer_id().alias(id_col),
         outer_id("keep_doc").alias("keep_id"),
         F.col("n").alias("group_size"),
-        ((F.col("doc") == F.col("keep_doc")) & (F.col("fp") == F.col("keep_fp"))).alias("kept"),
+        (stays & (F.col("repeat") == 1)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
