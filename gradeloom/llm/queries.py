@@ -77,7 +77,7 @@ def op1_line_dedup(spark, sf_dir):
     )
     SELECT doc_id, first_value(doc_id) OVER best AS keep_id,
         count(*) OVER (PARTITION BY text_sha256) AS group_size,
-        doc_id = first_value(doc_id) OVER best AS kept, text_sha256
+        row_number() OVER best = 1 AS kept, text_sha256
     FROM rows WINDOW best AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id)
     """,
 )
@@ -143,9 +143,10 @@ WORDS_SQL = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+')
     ), doc_shingle AS (
         SELECT doc_id, k, i, w[i : i + k - 1] AS s
         FROM (SELECT d.*, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc d, (SELECT DISTINCT k FROM item))
+    ), pair AS (
+        SELECT DISTINCT doc_id, item_id, n, k FROM doc_shingle JOIN item_shingle USING (k, s)
     ), aligned AS (
-        SELECT DISTINCT doc_id, item_id, n, k, greatest(0, least(d.i - t.i, len(w) - n)) AS start
-        FROM doc_shingle d JOIN item_shingle t USING (k, s) JOIN doc USING (doc_id)
+        SELECT p.*, unnest(range(0, greatest(len(w) - n, 0) + 1)) AS start FROM pair p JOIN doc USING (doc_id)
     ), pair_shingle AS (
         SELECT a.doc_id, item_id, n, start, w[j : j + least(k, len(part)) - 1] AS s FROM (
             SELECT a.*, d.w[start + 1 : start + n] AS part, d.w,

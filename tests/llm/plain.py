@@ -95,7 +95,8 @@ def repeats(texts, width=200):
 
 
 def passages(rows, items, width=5):
-    """Ids with a window of an item's length whose weighted shingles are 0.8 similar or more: {(id, item): similarity}."""
+    """Windows of an item's length whose weighted shingles are 0.8 similar or more, the best and first of each
+    document and item: {(id, item): (similarity, start, words)}."""
 
     def counted(w):
         return Counter(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1)))
@@ -113,6 +114,6 @@ def passages(rows, items, width=5):
             for start in range(max(1, len(w) - len(x) + 1)):
                 a, b = counted(w[start : start + len(x)]), counted(x)
                 share = sum((a & b).values()) / sum((a | b).values())
-                if share >= 0.8:
-                    best[doc, item] = max(best.get((doc, item), 0), share)
+                if share >= 0.8 and share > best.get((doc, item), (0,))[0]:
+                    best[doc, item] = (share, start, len(x))
     return best
