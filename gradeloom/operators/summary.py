@@ -54,6 +54,29 @@ def run_summary(results: DataFrame, keys: list[str] | None = None) -> DataFrame:
     ).withColumn("avg_score", _stored_score())
 
 
+def summary_of_sums(sums: DataFrame, score: Column) -> DataFrame:
+    """The same summary from sums of each run: counts, ``latency``, tokens and the rows that report them.
+
+    ``score`` is the sum of the finite scores; ``not_finite`` other scores make the mean NaN.
+    """
+    judged = F.col("passed") + F.col("failed")
+    mean = F.when(F.col("not_finite") > 0, float("nan")).when(F.col("scored") > 0, score / F.col("scored"))
+    return sums.select(
+        "eval_run_id",
+        "total",
+        judged.alias("judged"),
+        "passed",
+        "failed",
+        "unjudged",
+        "errors",
+        (F.col("passed") / F.greatest(judged + F.col("errors"), F.lit(1))).alias("accuracy"),
+        mean.alias("avg_score"),
+        _whole_mean(F.col("latency"), F.col("total")).alias("avg_latency_ms"),
+        _whole_mean(F.col("input_tokens"), F.col("input_rows")).alias("avg_input_tokens"),
+        _whole_mean(F.col("output_tokens"), F.col("output_rows")).alias("avg_output_tokens"),
+    ).withColumn("avg_score", _stored_score())
+
+
 SUMMARY_ZEROS = {
     "total": 0, "judged": 0, "passed": 0, "failed": 0, "unjudged": 0, "errors": 0,
     "accuracy": 0.0, "avg_score": 0.0, "avg_latency_ms": 0,

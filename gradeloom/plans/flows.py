@@ -17,9 +17,9 @@ from gradeloom.plans.registry import query
 from gradeloom.plans.views import SQL_ENTITIES, SQL_RESULTS, SQL_VERDICTS, with_ctes
 from gradeloom.session import cut_lineage, fresh_dir
 from gradeloom.sources import csv_dataset, exports, paging, records
-from gradeloom.sources.keyed_table import KeyedTable, results_table, translation_cache
+from gradeloom.sources.keyed_table import results_table, translation_cache
 from gradeloom.sources.paged_json import register_paged_json
-from gradeloom.streaming import grade_stream, heartbeat, paged_stream
+from gradeloom.streaming import grade_stream, heartbeat, paged_stream, running
 
 # --- fan-out and export -----------------------------------------------------------
 
@@ -377,7 +377,7 @@ def _late_event_stream(spark, sf):
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
 
 
-def _stream_store(spark, sf, progress=None):
+def _stream_store(spark, sf):
     """Outputs arrive as a stream, are graded and upserted (each row of the run once)."""
     kind = F.col("event_type")
     outputs = _event_stream(spark, sf).select(
@@ -396,9 +396,8 @@ def _stream_store(spark, sf, progress=None):
 
     schema = grade(outputs).schema
     table = results_table(fresh_dir(spark, "stream"), schema)
-    grade_stream.start_grading(
-        outputs, grade, table, fresh_dir(spark, "checkpoint"), progress_path=progress).awaitTermination()
-    return table.current(spark)
+    grade_stream.start_grading(outputs, grade, table, fresh_dir(spark, "checkpoint"), order="created_at").awaitTermination()
+    return table
 
 
 _STREAMED = """graded AS (SELECT user_id % 20 AS eval_run_id, event_id AS row_index,
@@ -411,16 +410,16 @@ _STREAMED = """graded AS (SELECT user_id % 20 AS eval_run_id, event_id AS row_in
 @query("t1_stream_grading", with_ctes(
     "SELECT eval_run_id, row_index, error, score, passed FROM graded", _STREAMED))
 def t1(spark, sf):
-    return _stream_store(spark, sf).select("eval_run_id", "row_index", "error", "score", "passed")
+    return _stream_store(spark, sf).current(spark).select("eval_run_id", "row_index", "error", "score", "passed")
 
 
 @query("t2_run_progress", """
 SELECT user_id % 20 AS eval_run_id, count(*) AS progress, count(*) AS total_rows, CAST(100 AS BIGINT) AS percent FROM events GROUP BY 1""")
 def t2(spark, sf):
     path = fresh_dir(spark, "progress")
-    _stream_store(spark, sf, path)
+    running.start_progress(spark, _stream_store(spark, sf), path, fresh_dir(spark, "checkpoint")).awaitTermination()
     totals = views.results(spark, sf).groupBy("eval_run_id").agg(F.count(F.lit(1)).alias("total_rows"))
-    return grade_stream.progress_view(grade_stream.latest_progress(spark, path), totals)
+    return grade_stream.progress_view(running.latest_progress(spark, path), totals)
 
 
 # A run fails when its deadline and the longest delay of a heartbeat (two hours) have passed.
@@ -466,21 +465,20 @@ def t4(spark, sf):
             F.get_json_object("record", "$.c_name").alias("c_name"))
 
     options = {**_PAGING, "records_path": "$.items"}
-    running = paged_stream.start_import(
+    importing = paged_stream.start_import(
         spark, "customer_feed", options, to_rows, target, fresh_dir(spark, "checkpoint"), interval="0 seconds")
     try:
-        running.processAllAvailable()
+        importing.processAllAvailable()
     finally:
-        running.stop()
+        importing.stop()
     return spark.read.schema("c_custkey string, c_name string").parquet(target).drop("batch")
 
 
 def _streamed_summary(spark, sf, events):
     stream = views.shape_results(events).withColumn("row_index", F.col("event_id"))
-    table = KeyedTable(fresh_dir(spark, "results"), stream.schema, ("eval_run_id", "row_index"))
     target = fresh_dir(spark, "summary")
-    grade_stream.start_summary(stream, table, target, fresh_dir(spark, "checkpoint")).awaitTermination()
-    return grade_stream.latest_summary(spark, target)
+    running.start_summary(stream, target, fresh_dir(spark, "checkpoint"), order="created_at").awaitTermination()
+    return running.latest_summary(spark, target)
 
 
 @query("t5_stream_summary", with_ctes(_SUMMARY, SQL_RESULTS))

@@ -1,4 +1,4 @@
-"""Incremental grading into a keyed table, run progress and running summaries."""
+"""Incremental grading into a keyed table, its progress, and summaries over deduplicated streams."""
 
 from __future__ import annotations
 
@@ -18,26 +18,19 @@ def start_grading(
     table: KeyedTable,
     checkpoint: str,
     *,
-    order: str | None = None,
+    order: str,
     available_now: bool = True,
-    progress_path: str | None = None,
 ) -> StreamingQuery:
     """Grade arriving outputs and upsert them by run and row.
 
-    A batch that is replayed after a failure replaces its own partition of the
-    table, so nothing counts twice. ``run_progress`` counts what is committed when
-    somebody asks; ``progress_path`` also writes it after every batch, behind the
-    results, at the price of reading the table's keys each time.
+    Of repeats inside a batch the one with the largest ``order`` counts, between batches the
+    later one. A batch that is replayed after a failure replaces its own partition of the
+    table, so nothing counts twice. ``run_progress`` counts what is committed when somebody
+    asks; ``running.start_progress`` counts along.
     """
 
     def commit(batch: DataFrame, batch_id: int) -> None:
         table.upsert(grade(batch), batch_id, order)
-        if progress_path is not None:
-            spark = batch.sparkSession
-            written = spark.read.schema(table.schema).parquet(f"{table.path}/batch={batch_id}")
-            touched = written.select("eval_run_id").distinct()
-            done = run_progress(spark, table).join(touched, "eval_run_id", "left_semi")
-            done.write.mode("overwrite").parquet(f"{progress_path}/batch={batch_id}")
 
     writer = outputs.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     if available_now:
@@ -51,12 +44,6 @@ def run_progress(spark: SparkSession, table: KeyedTable) -> DataFrame:
     return keys.groupBy("eval_run_id").agg(F.count(F.lit(1)).alias("progress"))
 
 
-def latest_progress(spark: SparkSession, progress_path: str) -> DataFrame:
-    """Committed rows per run, from the newest progress entry of each run."""
-    rows = spark.read.schema("eval_run_id long, progress long, batch long").parquet(progress_path)
-    return rows.groupBy("eval_run_id").agg(F.max_by("progress", "batch").alias("progress"))
-
-
 def progress_view(progress: DataFrame, runs: DataFrame) -> DataFrame:
     """Progress with the total and the percentage of each run."""
     joined = runs.select("eval_run_id", "total_rows").join(progress, "eval_run_id", "left")
@@ -69,38 +56,6 @@ def progress_view(progress: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def start_summary(
-    results: DataFrame, table: KeyedTable, target: str, checkpoint: str, *, available_now: bool = True
-) -> StreamingQuery:
-    """Summarise arriving results run by run, however late or often a row comes.
-
-    Each batch is upserted by run and row (the last write counts), then the runs that it
-    touches are summarised from the table and written as ``target/batch=N``; read them
-    with ``latest_summary``. A replayed batch replaces its own folders.
-    """
-
-    def commit(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        table.upsert(batch.dropDuplicates(list(table.keys)), batch_id)
-        written = spark.read.schema(table.schema).parquet(f"{table.path}/batch={batch_id}")
-        touched = written.select("eval_run_id").distinct()
-        current = table.current(spark).join(touched, "eval_run_id", "left_semi")
-        run_summary(current).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-
-    writer = results.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
-    if available_now:
-        writer = writer.trigger(availableNow=True)
-    return writer.start()
-
-
-def latest_summary(spark: SparkSession, target: str) -> DataFrame:
-    """The newest summary of each run."""
-    landed = spark.read.parquet(target)
-    fields = [c for c in landed.columns if c not in ("eval_run_id", "batch")]
-    newest = landed.groupBy("eval_run_id").agg(F.max_by(F.struct(*fields), "batch").alias("s"))
-    return newest.select("eval_run_id", "s.*")
-
-
 def deduplicated(results: DataFrame, *, watermark: str, time: str = "created_at") -> DataFrame:
     """Drop repeated (run, row) results that arrive within the watermark."""
     return results.withWatermark(time, watermark).dropDuplicatesWithinWatermark(
@@ -111,7 +66,7 @@ def deduplicated(results: DataFrame, *, watermark: str, time: str = "created_at"
 def streaming_summary(results: DataFrame, *, watermark: str, time: str = "created_at") -> DataFrame:
     """Running summary with bounded state, over deduplicated results (update mode).
 
-    Rows later than ``watermark`` are left out; ``start_summary`` leaves out none.
+    Rows later than ``watermark`` are left out; ``running.start_summary`` leaves out none.
 
     Counts combine before the shuffle, so a run that sends most rows costs each
     task one row. The exact score rounding applies to the running mean.

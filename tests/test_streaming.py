@@ -2,17 +2,19 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.operators import graders
+from gradeloom.operators.summary import run_summary
 from gradeloom.session import cut_lineage, fresh_dir, shared_dir
 from gradeloom.sources.keyed_table import KeyedTable
 from gradeloom.sources.paged_json import Pager, _ChainStreamReader, _PageStreamReader, register_paged_json
 from gradeloom.sources.records import extract_json_records
-from gradeloom.streaming import grade_stream, heartbeat, paged_stream
+from gradeloom.streaming import grade_stream, heartbeat, paged_stream, running
 
 OUTPUTS = "id string, eval_run_id long, row_index int, expected_output string, actual_output string, error string, at int"
 
@@ -35,7 +37,8 @@ def test_grading_survives_a_restart_and_replays(spark, tmp_path):
 
     def step():
         grade_stream.start_grading(
-            stream, grade, table, str(tmp_path / "ck"), order="at", progress_path=progress).awaitTermination()
+            stream, grade, table, str(tmp_path / "ck"), order="at").awaitTermination()
+        running.start_progress(spark, table, progress, str(tmp_path / "ck2")).awaitTermination()
         return {(r["eval_run_id"], r["row_index"]): (r["id"], r["passed"]) for r in table.current(spark).collect()}
 
     assert step() == {(1, 0): ("i1", True), (1, 1): ("i2", False)}
@@ -43,10 +46,10 @@ def test_grading_survives_a_restart_and_replays(spark, tmp_path):
     feed(spark, inbox, "b", [("i3", 1, 1, "x", "x", None, 1), ("i4", 2, 0, "x", None, "boom", 1), ("i5", 2, 0, "x", "x", None, 2)], OUTPUTS)
     assert step() == {(1, 0): ("i1", True), (1, 1): ("i2", True), (2, 0): ("i4", True)}
     assert step() == {(1, 0): ("i1", True), (1, 1): ("i2", True), (2, 0): ("i4", True)}  # nothing new
-    done = {r["eval_run_id"]: r["progress"] for r in grade_stream.latest_progress(spark, progress).collect()}
+    done = {r["eval_run_id"]: r["progress"] for r in running.latest_progress(spark, progress).collect()}
     assert done == {1: 2, 2: 1}
     runs = spark.createDataFrame([(1, 3), (2, 1), (3, 0)], "eval_run_id long, total_rows long")
-    view = grade_stream.progress_view(grade_stream.latest_progress(spark, progress), runs).collect()
+    view = grade_stream.progress_view(running.latest_progress(spark, progress), runs).collect()
     assert sorted((r["eval_run_id"], r["percent"]) for r in view) == [(1, 67), (2, 100), (3, 0)]
 
 
@@ -73,6 +76,82 @@ def test_running_summary_ignores_repeats(spark, tmp_path):
     assert step() == {(1, 3, 2 / 3), (2, 1, 1.0)}
 
 
+RESULTS = "eval_run_id long, row_index long, at int, score double, passed boolean, error string, latency_ms int, input_tokens int, output_tokens long"
+
+
+def summaries(df):
+    return sorted(str(r.asDict()) for r in df.collect())
+
+
+def test_summaries_follow_every_change(spark, tmp_path):
+    """Rows that come again, late, several times in a file or in another order, over many small batches."""
+    rng = random.Random(11)
+
+    def result(run, row, at):
+        score = rng.choice([None, 0.1, 1 / 3, rng.random(), 2.0**-70, 1e9])
+        error = rng.choice([None, None, "", "boom"])
+        passed = rng.choice([True, False, None])
+        return (run, row, at, score, passed, error, *(rng.choice([None, rng.randint(0, 9999)]) for _ in range(3)))
+
+    files = []
+    for k in range(8):
+        rows = [result(rng.choice([1, 2, None]), rng.choice([0, 1, 1023, 1024, rng.randint(-5000, 5000)]), i) for i in range(30)]
+        files.append(rng.sample(rows, len(rows)))
+    files.append(files[0])
+    inbox, target, late = str(tmp_path / "in"), str(tmp_path / "sums"), {}
+    for k, rows in enumerate(files):
+        feed(spark, inbox, f"f{k}", rows, RESULTS)
+        if k in (0, 3, 8):
+            stream = spark.readStream.schema(RESULTS).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(inbox)
+            running.start_summary(stream, target, str(tmp_path / "ck"), order="at").awaitTermination()
+        for r in sorted(rows, key=lambda r: r[2]):
+            late[r[:2]] = r
+        if k in (0, 3, 8):
+            want = run_summary(spark.createDataFrame(list(late.values()), RESULTS))
+            assert summaries(running.latest_summary(spark, target)) == summaries(want)
+    running.compact(spark, target, str(tmp_path / "compacted"))
+    assert summaries(running.latest_summary(spark, str(tmp_path / "compacted"))) == summaries(want)
+
+
+def test_the_later_write_of_a_file_counts(spark, tmp_path):
+    for name, rows in (("a", [(1, 0, 1, 0.0, False), (1, 0, 2, 1.0, True)]), ("b", [(1, 0, 2, 1.0, True), (1, 0, 1, 0.0, False)])):
+        feed(spark, str(tmp_path / name), "f", [(*r, None, 1, 1, 1) for r in rows], RESULTS)
+        stream = spark.readStream.schema(RESULTS).option("recursiveFileLookup", "true").parquet(str(tmp_path / name))
+        running.start_summary(stream, str(tmp_path / f"{name}-sums"), str(tmp_path / f"{name}-ck"), order="at").awaitTermination()
+        (found,) = running.latest_summary(spark, str(tmp_path / f"{name}-sums")).collect()
+        assert (found["total"], found["passed"], found["failed"], found["avg_score"]) == (1, 1, 0, 1.0)
+
+
+def test_scores_that_are_no_numbers_can_be_replaced(spark, tmp_path):
+    inbox, target = str(tmp_path / "in"), str(tmp_path / "sums")
+    found = []
+    for k, score in enumerate((float("nan"), float("inf"), 0.5)):
+        feed(spark, inbox, f"f{k}", [(1, 0, 1, score, None, None, 1, 1, 1), (1, 1 + k, 1, 0.25, None, None, 1, 1, 1)], RESULTS)
+        stream = spark.readStream.schema(RESULTS).option("recursiveFileLookup", "true").parquet(inbox)
+        running.start_summary(stream, target, str(tmp_path / "ck"), order="at").awaitTermination()
+        found.append(running.latest_summary(spark, target).first()["avg_score"])
+    assert [str(x) for x in found] == ["nan", "nan", "0.3125"]
+
+
+def test_a_batch_touches_the_state_of_its_rows_only(spark, tmp_path):
+    inbox = str(tmp_path / "in")
+    many = [(1, i, 1, 1.0, True, None, 1, 1, 1) for i in range(20 * running.BLOCK_ROWS)]
+    feed(spark, inbox, "a", many, RESULTS)
+    stream = spark.readStream.schema(RESULTS).option("recursiveFileLookup", "true").parquet(inbox)
+
+    def step():
+        query = running.start_summary(stream, str(tmp_path / "sums"), str(tmp_path / "ck"), order="at")
+        query.awaitTermination()
+        (state,) = query.lastProgress["stateOperators"]
+        return state["numRowsUpdated"], state["numRowsTotal"]
+
+    assert step() == (20, 20)
+    feed(spark, inbox, "b", [(1, 7, 1, 0.0, False, None, 1, 1, 1), (1, 5000, 1, 0.0, False, None, 1, 1, 1)], RESULTS)
+    assert step() == (2, 20)
+    (found,) = running.latest_summary(spark, str(tmp_path / "sums")).collect()
+    assert (found["total"], found["failed"]) == (len(many), 2)
+
+
 BEATS = "eval_run_id long, ts timestamp, ended boolean"
 
 
