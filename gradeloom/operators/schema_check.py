@@ -1,8 +1,9 @@
-"""JSON Schema checks compiled to columns over VARIANT.
+"""JSON Schema checks of text columns: parse messages, violations, the first one by path.
 
-Every keyword becomes one entry of a violation array, so validation runs inside
-the JVM without a Python worker. Supported keywords are listed in ``KEYWORDS``;
-another keyword is an error when the check is built, never silently skipped.
+Schemas compile to columns over VARIANT (``schema_rules``), without a Python worker. A schema
+that refers to itself has no fixed depth; its documents are walked in Arrow batches
+(``schema_walk``). Known keywords that neither supports are an error when the check is built;
+formats are annotations, and unknown keywords hold, as the standard has it.
 """
 
 from __future__ import annotations
@@ -10,234 +11,92 @@ from __future__ import annotations
 import json
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KEYWORDS = (
-    "type required properties additionalProperties enum const minimum maximum exclusiveMinimum "
-    "exclusiveMaximum minLength maxLength pattern items minItems maxItems"
-).split()
-ANNOTATIONS = "$schema $id title description default examples".split()
+from gradeloom.operators import schema_walk
+from gradeloom.operators.schema_rules import VIOLATION, Compiler, Place, Stages, check_schema, is_recursive
 
 # Fixed values of the parse-failure message.
 PARSE_PREFIX = "The model output was not valid JSON, so the JSON schema grader could not validate it. "
 FAILED = "JSON schema validation failed"
 PREVIEW_LIMIT = 160
 
-VIOLATION = "struct<path:string,schema_path:string,message:string>"
 
+def violations(schema: dict, value: Column) -> Column:
+    """Array of ``struct(path, schema_path, n, message)`` for a VARIANT column, with NULLs
+    for rules that hold (drop them after ``explode``)."""
+    check_schema(schema)
+    if is_recursive(schema):
+        return _walked(schema)(F.to_json(value))
+    return Compiler(schema).every(schema, Place(value, "$"))
 
-def _py(value: object) -> str:
-    return repr(value)
-
-
-def _part(key: str) -> str:
-    quoted = key.replace("\\", "\\\\").replace("'", "\\'")
-    return f"['{quoted}']"
-
-
-class _Node:
-    """One place in the document: its VARIANT column and its display path."""
-
-    def __init__(self, value: Column, path: Column) -> None:
-        self.value, self.path = value, path
-        self.object = F.try_variant_get(value, "$", "map<string,variant>")
-        self.array = F.try_variant_get(value, "$", "array<variant>")
-        # For scalars the schema text is just the type, e.g. DECIMAL(2,1).
-        self.kind = F.substring_index(F.schema_of_variant(value), "(", 1)
-        self.text = F.try_variant_get(value, "$", "string")
-        self.number = F.try_variant_get(value, "$", "double")
-
-    def is_number(self) -> Column:
-        return self.kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
-
-    def is_string(self) -> Column:
-        return self.kind == "STRING"
-
-    def matches(self, name: str) -> Column:
-        return {
-            "object": self.object.isNotNull(),
-            "array": self.array.isNotNull(),
-            "string": self.is_string(),
-            "number": self.is_number(),
-            "integer": self.is_number() & (self.number == F.floor(self.number)),
-            "boolean": self.kind == "BOOLEAN",
-            "null": self.kind == "VOID",
-        }[name]
-
-    def shown(self) -> Column:
-        """The value as it appears in a message."""
-        return (
-            F.when(self.is_string(), F.concat(F.lit("'"), self.text, F.lit("'")))
-            .when(self.kind == "VOID", "None")
-            .when(self.kind == "BOOLEAN", F.initcap(self.text))
-            .otherwise(F.to_json(self.value))
-        )
-
-
-def _checks(
-    schema: dict, value: Column, path: Column, rule: str, given: Column | None = None
-) -> tuple[list[Column], list[Column]]:
-    """Rules as nullable violation structs, and as arrays of them (for lists).
-
-    ``given`` limits the rules to documents where the place exists.
-    """
-    unknown = [k for k in schema if k not in KEYWORDS and k not in ANNOTATIONS]
-    if unknown:
-        raise ValueError(f"unsupported JSON schema keywords: {', '.join(sorted(unknown))}")
-    node = _Node(value, path)
-    single: list[Column] = []
-    listed: list[Column] = []
-
-    def check(keyword: str, broken: Column, message: Column) -> None:
-        entry = F.struct(
-            node.path.alias("path"),
-            F.lit(f"{rule}.{keyword}").alias("schema_path"),
-            message.alias("message"),
-        )
-        hit = broken if given is None else given & broken
-        single.append(F.when(F.coalesce(hit, F.lit(False)), entry))
-
-    def about(suffix: str) -> Column:
-        return F.concat(node.shown(), F.lit(suffix))
-
-    def child(key: str) -> Column:
-        """A key's value; NULL only when the key is absent."""
-        return F.try_variant_get(value, f"${_part(key)}", "variant")
 
-    if "type" in schema:
-        names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-        hit = node.matches(names[0])
-        for name in names[1:]:
-            hit = hit | node.matches(name)
-        check("type", ~hit, about(f" is not of type {', '.join(map(_py, names))}"))
-    for key in schema.get("required", []):
-        lacking = node.object.isNotNull() & child(key).isNull()
-        check("required", lacking, F.lit(f"{key!r} is a required property"))
-    properties = schema.get("properties", {})
-    extra_rule = schema.get("additionalProperties", True)
-    if extra_rule is not True:
-        named = F.array(*[F.lit(k) for k in properties]).cast("array<string>")
-        extras = F.sort_array(F.array_except(F.map_keys(node.object), named))
-        if extra_rule is False:
-            quoted = F.concat(F.lit("'"), F.array_join(extras, "', '"), F.lit("'"))
-            verb = F.when(F.size(extras) == 1, " was").otherwise(" were")
-            words = F.lit("Additional properties are not allowed (")
-            check("additionalProperties", F.size(extras) > 0, F.concat(words, quoted, verb, F.lit(" unexpected)")))
-        else:
-            below = F.transform(
-                extras,
-                lambda k: _every(
-                    extra_rule, node.object[k], F.concat(node.path, F.lit("."), k),
-                    f"{rule}.additionalProperties",
-                ),
-            )
-            listed.append(F.flatten(below))
-    if "enum" in schema:
-        allowed = [F.to_json(F.parse_json(F.lit(json.dumps(v)))) for v in schema["enum"]]
-        check("enum", ~F.to_json(node.value).isin(*allowed), about(f" is not one of {schema['enum']!r}"))
-    if "const" in schema:
-        only = F.to_json(F.parse_json(F.lit(json.dumps(schema["const"]))))
-        check("const", F.to_json(node.value) != only, F.lit(f"{schema['const']!r} was expected"))
-    limits = {
-        "minimum": (lambda n, x: n < x, " is less than the minimum of "),
-        "maximum": (lambda n, x: n > x, " is greater than the maximum of "),
-        "exclusiveMinimum": (lambda n, x: n <= x, " is less than or equal to the minimum of "),
-        "exclusiveMaximum": (lambda n, x: n >= x, " is greater than or equal to the maximum of "),
-    }
-    for keyword, (outside, words) in limits.items():
-        if keyword in schema:
-            bound = schema[keyword]
-            broken = node.is_number() & outside(node.number, F.lit(float(bound)))
-            check(keyword, broken, about(f"{words}{bound!r}"))
-    sizes = [("Length", node.is_string(), F.length(node.text)), ("Items", node.array.isNotNull(), F.size(node.array))]
-    for suffix, applies, size in sizes:
-        if f"min{suffix}" in schema:
-            check(f"min{suffix}", applies & (size < schema[f"min{suffix}"]), about(" is too short"))
-        if f"max{suffix}" in schema:
-            check(f"max{suffix}", applies & (size > schema[f"max{suffix}"]), about(" is too long"))
-    if "pattern" in schema:
-        wanted = schema["pattern"]
-        check("pattern", node.is_string() & ~node.text.rlike(wanted), about(f" does not match {wanted!r}"))
-    for key, inner in properties.items():
-        below = child(key)
-        ones, many = _checks(
-            inner, below, F.concat(node.path, F.lit(f".{key}")), f"{rule}.properties.{key}", below.isNotNull()
-        )
-        single += ones
-        listed += [F.when(below.isNotNull(), m) for m in many]
-    if "items" in schema:
-        each = F.transform(
-            node.array,
-            lambda item, i: _every(
-                schema["items"], item,
-                F.concat(node.path, F.lit("["), i.cast("string"), F.lit("]")), f"{rule}.items",
-            ),
-        )
-        listed.append(F.flatten(each))
-    return single, listed
+def _walked(schema: dict):
+    """Violations of JSON text under a recursive schema."""
 
+    @F.arrow_udf(f"array<{VIOLATION}>")
+    def walk(texts: pa.Array) -> pa.Array:
+        check = schema_walk.Walk(schema)
+        found = [None if t is None else check.violations(json.loads(t)) for t in texts.to_pylist()]
+        kind = [("path", pa.string()), ("schema_path", pa.string()), ("n", pa.int32()), ("message", pa.string())]
+        return pa.array(found, pa.list_(pa.struct(kind)))
 
-def _every(schema: dict, value: Column, path: Column, rule: str) -> Column:
-    """All violations as one array; rules that hold leave a NULL in it."""
-    single, listed = _checks(schema, value, path, rule)
-    empty = F.array().cast(f"array<{VIOLATION}>")
-    own = F.array(*single).cast(f"array<{VIOLATION}>") if single else empty
-    return F.concat(own, *[F.coalesce(m.cast(f"array<{VIOLATION}>"), empty) for m in listed])
+    return walk
 
 
-def violations(schema: dict, value: Column) -> Column:
-    """Array of ``struct(path, schema_path, message)`` for a VARIANT column, with NULLs
-    for rules that hold (drop them after ``explode``)."""
-    return _every(schema, value, F.lit("$"), "$")
-
-
-def first_violation(schema: dict, value: Column) -> Column:
-    """The violation with the smallest path, then rule; NULL for a valid document.
+def _add_first(df: DataFrame, schema: dict, doc: str, out: str) -> tuple[DataFrame, list[str]]:
+    """Add the violation with the smallest path, then rule; NULL for a valid document. Also the columns on the way.
 
     ``least`` skips NULL, so nothing but the checks themselves is evaluated.
     """
-    single, listed = _checks(schema, value, F.lit("$"), "$")
+    if is_recursive(schema):
+        return df.withColumn(out, F.array_min(_walked(schema)(F.to_json(doc)))), []
+    stages = Stages(f"{out}_")
+    single, listed = Compiler(schema).wrong(schema, Place(F.col(doc), "$", stages))
     found = [c.cast(VIOLATION) for c in single]
     found += [F.array_min(m.cast(f"array<{VIOLATION}>")) for m in listed]
-    return F.least(*found, F.lit(None).cast(VIOLATION), F.lit(None).cast(VIOLATION))
+    none = F.lit(None).cast(VIOLATION)
+    return stages.apply(df).withColumn(out, F.least(*found, none, none)), stages.names()
+
 
+_EXPLAINED = T.StructType([T.StructField("message", T.StringType()), T.StructField("document", T.StringType())])
 
-_EXPLAINED = T.StructType(
-    [T.StructField("message", T.StringType()), T.StructField("document", T.StringType())]
-)
 
+def _explanation(text: str) -> tuple[str | None, str | None]:
+    try:
+        return None, json.dumps(json.loads(text), ensure_ascii=False)
+    except json.JSONDecodeError as exc:
+        where = f"JSON parsing failed at line {exc.lineno}, column {exc.colno}: {exc.msg}."
+    words = " ".join(text.split())
+    if not words:
+        return f"{PARSE_PREFIX}{where} The response was empty or whitespace only. Output preview: (empty response)", None
+    head = words if len(words) <= PREVIEW_LIMIT else words[:PREVIEW_LIMIT].rstrip() + "..."
+    token = re.search(r"\S", text).group()
+    first = f" The first non-whitespace character was {token!r}."
+    return f"{PARSE_PREFIX}{where}{first} Output preview: {head!r}", None
 
-@F.pandas_udf(_EXPLAINED)
-def explain_unparsed(texts: pd.Series) -> pd.DataFrame:
+
+@F.arrow_udf(_EXPLAINED)
+def explain_unparsed(texts: pa.Array) -> pa.Array:
     """Why a text is no JSON. NULL input (text that parsed) costs nothing.
 
     Text that only Spark's stricter parser refuses (a repeated key) comes back
     as an equal document instead.
     """
-
-    def one(text: str | None) -> tuple[str | None, str | None]:
-        if text is None:
-            return None, None
-        try:
-            return None, json.dumps(json.loads(text), ensure_ascii=False)
-        except json.JSONDecodeError as exc:
-            where = f"JSON parsing failed at line {exc.lineno}, column {exc.colno}: {exc.msg}."
-        words = " ".join(text.split())
-        if not words:
-            return f"{PARSE_PREFIX}{where} The response was empty or whitespace only. Output preview: (empty response)", None
-        head = words if len(words) <= PREVIEW_LIMIT else words[:PREVIEW_LIMIT].rstrip() + "..."
-        token = re.search(r"\S", text).group()
-        first = f" The first non-whitespace character was {token!r}."
-        return f"{PARSE_PREFIX}{where}{first} Output preview: {head!r}", None
-
-    return pd.DataFrame([one(t) for t in texts], columns=["message", "document"])
+    kind = pa.struct([("message", pa.string()), ("document", pa.string())])
+    if texts.null_count == len(texts):
+        return pa.nulls(len(texts), kind)
+    found = {i: _explanation(t) for i, t in enumerate(texts.to_pylist()) if t is not None}
+    columns = [pa.array([found[i][k] if i in found else None for i in range(len(texts))], pa.string()) for k in range(2)]
+    return pa.StructArray.from_arrays(columns, fields=list(kind))
 
 
 def validate(df: DataFrame, column: str, schema: dict, out: str) -> DataFrame:
     """Add struct ``out`` (valid, error, first violation by path) for JSON text in ``column``."""
+    check_schema(schema)
     doc, broken, found = f"_{out}_doc", f"_{out}_broken", f"_{out}_found"
     text = F.coalesce(F.col(column), F.lit(""))
     df = df.withColumn(doc, F.try_parse_json(text))
@@ -245,7 +104,7 @@ def validate(df: DataFrame, column: str, schema: dict, out: str) -> DataFrame:
     explain = explain_unparsed.asNondeterministic()
     df = df.withColumn(broken, explain(F.when(F.col(doc).isNull(), text)))
     df = df.withColumn(doc, F.coalesce(F.col(doc), F.try_parse_json(F.col(broken)["document"])))
-    df = df.withColumn(found, first_violation(schema, F.col(doc)))
+    df, staged = _add_first(df, schema, doc, found)
     unparsed = F.col(doc).isNull()
     first = F.col(found)
     return df.withColumn(
@@ -257,7 +116,7 @@ def validate(df: DataFrame, column: str, schema: dict, out: str) -> DataFrame:
             F.when(~unparsed, first["path"]).alias("validation_path"),
             F.when(~unparsed, first["schema_path"]).alias("schema_path"),
         ),
-    ).drop(doc, broken, found)
+    ).drop(doc, broken, found, *staged)
 
 
 def violation_counts(df: DataFrame, column: str, schema: dict) -> DataFrame:

@@ -229,6 +229,99 @@ def g3(spark, sf):
         ).alias("violation"))
 
 
+_LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+
+
+def _first_faults(rows, schema):
+    checked = schema_check.validate(rows, "actual_output", schema, "check")
+    fault = F.concat_ws(" ", "check.validation_path", "check.schema_path", "check.validation_message")
+    return checked.select(*_LINE, F.when(F.col("check.validation_message").isNotNull(), fault).alias("violation"))
+
+
+def _faults_sql(*faults, unparsed="l_linenumber = 4"):
+    """The first of the faults of a line, each as a condition and a text."""
+    listed = ", ".join(f"CASE WHEN {condition} THEN {text} END" for condition, text in faults)
+    return f"""SELECT {", ".join(_LINE)}, CASE WHEN NOT ({unparsed}) THEN list_min(list_filter([{listed}], lambda x: x IS NOT NULL)) END
+      AS violation FROM (SELECT *, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS qty FROM lineitem)"""
+
+
+_NONE_HOLDS = "is not valid under any of the given schemas"
+
+
+@query("g3_any_of", _faults_sql(
+    ("l_linenumber = 3 AND l_linestatus = 'F'", f"""'$ $.anyOf {{"qty":' || qty || ',"status":"F"}} {_NONE_HOLDS}'"""),
+    ("l_quantity > 10 AND l_quantity < 40", f"'$.qty $.properties.qty.anyOf ' || qty || ' {_NONE_HOLDS}'"),
+    ("l_linenumber = 2", f"""'$.tags $.properties.tags.anyOf ["ok","lengthy"] {_NONE_HOLDS}'""")))
+def g3_any_of(spark, sf):
+    return _first_faults(_outputs(spark, sf), {
+        "anyOf": [{"required": ["id"]}, {"properties": {"status": {"const": "O"}}}],
+        "properties": {
+            "qty": {"anyOf": [{"maximum": 10}, {"minimum": 40}]},
+            "tags": {"anyOf": [{"maxItems": 2, "items": {"maxLength": 4}}, {"minItems": 3}]},
+        },
+    })
+
+
+@query("g3_one_of", _faults_sql(
+    ("l_quantity % 2 <> 0 AND l_quantity % 3 <> 0", f"'$.qty $.properties.qty.oneOf ' || qty || ' {_NONE_HOLDS}'"),
+    ("l_quantity % 6 = 0", "'$.qty $.properties.qty.oneOf ' || qty || ' is valid under each of {''multipleOf'': 3}, {''multipleOf'': 2}'")))
+def g3_one_of(spark, sf):
+    return _first_faults(_outputs(spark, sf), {"properties": {"qty": {"oneOf": [{"multipleOf": 2}, {"multipleOf": 3}]}}})
+
+
+@query("g3_all_of", _faults_sql(
+    ("l_linenumber = 3", "'$ $.allOf[0].required ''id'' is a required property'"),
+    ("l_linenumber NOT IN (3, 7)", "'$ $.allOf[0].required ''more'' is a required property'"),
+    ("l_quantity < 5", "'$.qty $.allOf[1].properties.qty.allOf[0].minimum ' || qty || ' is less than the minimum of 5'"),
+    ("l_quantity > 40", "'$.qty $.allOf[1].properties.qty.allOf[1].maximum ' || qty || ' is greater than the maximum of 40'"),
+    ("l_linestatus = 'F'", "'$.status $.allOf[2].properties.status.const ''O'' was expected'")))
+def g3_all_of(spark, sf):
+    return _first_faults(_outputs(spark, sf), {"allOf": [
+        {"required": ["id", "more"]},
+        {"properties": {"qty": {"allOf": [{"minimum": 5}, {"maximum": 40}]}}},
+        {"properties": {"status": {"const": "O"}}},
+    ]})
+
+
+@query("g3_not", _faults_sql(
+    ("l_linestatus = 'F'", "'$.status $.properties.status.not ''F'' should not be valid under {''const'': ''F''}'"),
+    ("l_linenumber = 5", """'$.tags $.properties.tags.not ["a","b","c"] should not be valid under {''contains'': {''const'': ''a''}}'""")))
+def g3_not(spark, sf):
+    return _first_faults(_outputs(spark, sf), {
+        "properties": {"status": {"not": {"const": "F"}}, "tags": {"not": {"contains": {"const": "a"}}}}})
+
+
+@query("g3_ref", _faults_sql(
+    ("l_quantity > 45", "'$.qty $.properties.qty.maximum ' || qty || ' is greater than the maximum of 45'"),
+    ("l_linestatus = 'F'", "'$.status $.properties.status.enum ''F'' is not one of [''O'', ''P'']'"),
+    ("l_linenumber = 2", "'$.tags[1] $.properties.tags.items.maxLength ''lengthy'' is too long'")))
+def g3_ref(spark, sf):
+    return _first_faults(_outputs(spark, sf), {
+        "$defs": {
+            "code": {"enum": ["O", "P"]}, "amount": {"type": "number", "maximum": 45},
+            "list": {"items": {"$ref": "#/$defs/word"}}, "word": {"maxLength": 4},
+        },
+        "properties": {"status": {"$ref": "#/$defs/code"}, "qty": {"$ref": "#/$defs/amount"}, "tags": {"$ref": "#/$defs/list"}},
+    })
+
+
+@query("g3_recursive", _faults_sql(
+    ("l_partkey % 10 = 9", "'$.kids[0].kids[0].v $.properties.kids.items.properties.kids.items.properties.v.not -9 should not be valid under {''const'': -9}'"),
+    ("l_quantity > 45", "'$.kids[0].v $.properties.kids.items.properties.v.maximum ' || qty || ' is greater than the maximum of 45'"),
+    unparsed="false"))
+def g3_recursive(spark, sf):
+    """Trees of line number, quantity and part, checked by a schema that refers to itself."""
+    line = views.table(spark, sf, "lineitem")
+    leaf = F.struct((-(F.col("l_partkey") % 10)).alias("v"))
+    branch = F.struct(F.col("l_quantity").alias("v"), F.array(leaf).alias("kids"))
+    tree = F.struct(F.col("l_linenumber").alias("v"), F.array(branch).alias("kids"))
+    node = {
+        "properties": {"v": {"maximum": 45, "not": {"const": -9}}, "kids": {"type": "array", "items": {"$ref": "#/$defs/node"}}},
+        "required": ["v"],
+    }
+    return _first_faults(line.select(*_LINE, F.to_json(tree).alias("actual_output")), {"$defs": {"node": node}, "$ref": "#/$defs/node"})
+
+
 @query("g3_violation_counts", """
 SELECT path, schema_path, count(*) AS violations FROM (
   SELECT '$' AS path, '$.additionalProperties' AS schema_path FROM lineitem WHERE l_linenumber = 7

@@ -22,7 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from gradeloom.operators.summary import has_error, summary_of_sums
 from gradeloom.sources.keyed_table import KeyedTable
 
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 4096
 UNIT = 2.0**60  # a score of 1
 
 # What a row adds to the sums of its run, and the bits in which its state keeps the yes and no of them.

@@ -183,7 +183,7 @@ SCHEMA = {
         ('{"reply": "ok", "n": 0}', "$.n", "$.properties.n.minimum", "0 is less than the minimum of 1"),
         ('{"reply": "ok", "n": 10}', "$.n", "$.properties.n.exclusiveMaximum", "10 is greater than or equal to the maximum of 10"),
         ('{"reply": "ok", "kind": "y"}', "$.kind", "$.properties.kind.enum", "'y' is not one of ['x', 1, None]"),
-        ('{"reply": "ok", "list": []}', "$.list", "$.properties.list.minItems", "[] is too short"),
+        ('{"reply": "ok", "list": []}', "$.list", "$.properties.list.minItems", "[] should be non-empty"),
         ('{"reply": "ok", "list": [1, "a"]}', "$.list[1]", "$.properties.list.items.type", "'a' is not of type 'number', 'null'"),
         ("[1]", "$", "$.type", "[1] is not of type 'object'"),
         ('{"reply": "ok", "reply": 5}', "$.reply", "$.properties.reply.type", "5 is not of type 'string'"),
@@ -210,8 +210,10 @@ def test_schema_grader_parse_failures(spark):
 def test_schema_must_be_known(spark):
     with pytest.raises(ValueError, match="requires a schema"):
         graders.build_graders([{"type": "json_schema", "name": "j"}], graders.Context())
-    with pytest.raises(ValueError, match="unsupported JSON schema keywords: oneOf"):
-        schema_check.violations({"oneOf": []}, F.try_parse_json(F.lit("{}")))
+    with pytest.raises(ValueError, match="unsupported JSON schema keywords: unevaluatedItems"):
+        schema_check.violations({"anyOf": [{"unevaluatedItems": False}]}, F.try_parse_json(F.lit("{}")))
+    with pytest.raises(ValueError, match="unknown JSON schema reference"):
+        schema_check.violations({"$ref": "#/$defs/none"}, F.try_parse_json(F.lit("{}")))
 
 
 def test_nested_additional_properties_schema(spark):

@@ -95,7 +95,7 @@ def test_summaries_follow_every_change(spark, tmp_path):
 
     files = []
     for k in range(8):
-        rows = [result(rng.choice([1, 2, None]), rng.choice([0, 1, 1023, 1024, rng.randint(-5000, 5000)]), i) for i in range(30)]
+        rows = [result(rng.choice([1, 2, None]), rng.choice([0, 1, 4095, 4096, rng.randint(-9000, 9000)]), i) for i in range(30)]
         files.append(rng.sample(rows, len(rows)))
     files.append(files[0])
     inbox, target, late = str(tmp_path / "in"), str(tmp_path / "sums"), {}
@@ -135,7 +135,7 @@ def test_scores_that_are_no_numbers_can_be_replaced(spark, tmp_path):
 
 def test_a_batch_touches_the_state_of_its_rows_only(spark, tmp_path):
     inbox = str(tmp_path / "in")
-    many = [(1, i, 1, 1.0, True, None, 1, 1, 1) for i in range(20 * running.BLOCK_ROWS)]
+    many = [(1, i, 1, 1.0, True, None, 1, 1, 1) for i in range(5 * running.BLOCK_ROWS)]
     feed(spark, inbox, "a", many, RESULTS)
     stream = spark.readStream.schema(RESULTS).option("recursiveFileLookup", "true").parquet(inbox)
 
@@ -145,9 +145,9 @@ def test_a_batch_touches_the_state_of_its_rows_only(spark, tmp_path):
         (state,) = query.lastProgress["stateOperators"]
         return state["numRowsUpdated"], state["numRowsTotal"]
 
-    assert step() == (20, 20)
+    assert step() == (5, 5)
     feed(spark, inbox, "b", [(1, 7, 1, 0.0, False, None, 1, 1, 1), (1, 5000, 1, 0.0, False, None, 1, 1, 1)], RESULTS)
-    assert step() == (2, 20)
+    assert step() == (2, 5)
     (found,) = running.latest_summary(spark, str(tmp_path / "sums")).collect()
     assert (found["total"], found["failed"]) == (len(many), 2)
 
