@@ -189,6 +189,26 @@ def test_a_gap_inside_one_batch_counts(watcher):
     assert got == [(1, 40.0)]
 
 
+def test_closed_runs_leave_the_state(spark, tmp_path):
+    inbox = str(tmp_path / "in")
+
+    def step(name, rows):
+        feed(spark, inbox, name, [(k, minute(m), e) for k, m, e in rows], BEATS)
+        stream = spark.readStream.schema(BEATS).option("recursiveFileLookup", "true").parquet(inbox)
+        query = heartbeat.failed_runs(stream, watermark="0 seconds", remember_days=1 / 24).writeStream.format("parquet").option(
+            "path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        failed = spark.read.schema("eval_run_id long").parquet(str(tmp_path / "out")).collect()
+        return sorted(r[0] for r in failed), query.lastProgress["stateOperators"][-1]["numRowsTotal"]
+
+    assert step("a", [(1, 0, False), (2, 0, False), (2, 20, True), (3, 40, False)]) == ([1], 3)
+    # Closed runs are remembered for an hour after their last heartbeat: run 1 speaks up again, run 2 does not.
+    assert step("b", [(1, 50, False), (3, 60, False)]) == ([1], 3)
+    assert step("c", [(3, 85, False)]) == ([1], 2)
+    assert step("d", [(3, 111, False)]) == ([1], 1)
+    assert step("e", [(1, 112, False), (9, 112, False)]) == ([1], 3)
+
+
 def test_spans_from_many_partitions_meet(spark, watcher, tmp_path):
     rows = [(7, m, False) for m in range(0, 300, 10)] + [(8, m, False) for m in (0, 200)]
     assert watcher("a", rows) == [(8, 30.0)]
