@@ -352,11 +352,12 @@ def g3a(spark, sf):
 
 
 @query("g4_semantic_similarity", """
-SELECT a.vec_id, s AS near_score, s >= 0.8 AS near_passed, CAST(NULL AS VARCHAR) AS near_error, s AS score, s >= 0.8 AS passed
+SELECT a.vec_id, s AS near_score, coalesce(s, 0.0) >= 0.8 AS near_passed, CASE WHEN s IS NULL THEN 'no embedding' END AS near_error,
+  coalesce(s, 0.0) AS score, coalesce(s, 0.0) >= 0.8 AS passed
 FROM (SELECT a.vec_id, CAST(printf('%.4f', list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])
     / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]))
        * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))) AS DOUBLE) AS s
-  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) a""")
+  FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1) a""")
 def g4(spark, sf):
     definitions = [{"type": "semantic_similarity", "name": "near", "vectors": ("expected", "actual")}]
     return _verdicts(views.vector_pairs(spark, sf), definitions, graders.Context(), ["vec_id"], "error")

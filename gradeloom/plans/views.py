@@ -188,28 +188,25 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user turn with the directly following assistant turn of its conversation."""
+    """Every turn with the text of the turn that follows it; nothing (an empty text) is expected after the last."""
     turns = table(spark, sf_dir, "conversations")
-    paired = with_neighbour(
-        turns, ["conv_id"], ["turn"], ["role", "text"], "next", cell=id_cell("turn"), following=True
-    )
-    return paired.filter((F.col("role") == "user") & (F.col("next.role") == "assistant")).select(
+    paired = with_neighbour(turns, ["conv_id"], ["turn"], ["text"], "next", cell=id_cell("turn"), following=True)
+    expected = F.coalesce("next.text", F.lit(""))
+    return paired.select(
         "conv_id",
         "turn",
         F.col("text").alias("input"),
-        F.col("next.text").alias("expected_output"),
-        F.when(F.col("turn") % 4 == 0, F.col("next.text"))
-        .otherwise(F.lower("next.text"))
-        .alias("actual_output"),
+        expected.alias("expected_output"),
+        F.when(F.col("turn") % 4 == 0, expected).otherwise(F.lower(expected)).alias("actual_output"),
     )
 
 
 def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vector ``i`` as expected and ``i + 1`` as actual; ids are unique, so no key is hot."""
+    """Vector ``i`` as expected and ``i + 1`` as actual, null after the last; ids are unique, so no key is hot."""
     vectors = table(spark, sf_dir, "embeddings")
     left = vectors.select("vec_id", F.col("embedding").alias("expected"))
     right = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("actual"))
-    return left.join(right, "vec_id")
+    return left.join(right, "vec_id", "left")
 
 
 # --- the same views for the checks -------------------------------------------
@@ -285,9 +282,8 @@ SQL_SAMPLES = """
 v_samples AS (
   SELECT conv_id, turn, text AS input, next_text AS expected_output,
     CASE WHEN turn % 4 = 0 THEN next_text ELSE lower(next_text) END AS actual_output
-  FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
-        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-  WHERE role = 'user' AND next_role = 'assistant')"""
+  FROM (SELECT conv_id, turn, text, coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS next_text
+        FROM conversations))"""
 
 
 def with_ctes(body: str, *ctes: str) -> str:
