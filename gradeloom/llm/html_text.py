@@ -63,13 +63,19 @@ SCOPES = frozenset("html table td th caption object template".split())
 # Parts of a table end at their table only.
 TABLE_PARTS = frozenset("table caption colgroup thead tbody tfoot tr td th".split())
 TABLE_SCOPES = frozenset("html table object template".split())
+TABLE_ROWS = frozenset("thead tbody tfoot tr".split())
+# Other values are those of the element around.
+VISIBILITY = {"visible": True, "initial": True, "hidden": False, "collapse": False}
 # Indents do not grow beyond this width, so a page's text stays linear in the page.
 WIDEST_INDENT = 300
 # Cells up to this width are padded; longer ones are not, so a table's text stays linear in the page.
 WIDEST = 80
+# Tables inside this many others are not aligned by column: a line is copied that often at most.
+ALIGNED_TABLES = 16
 
 _GAPS = re.compile(r"[ \t\n\r\f]+")
-_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important\s*)?(?=;|$)", re.I)
+_NUMBER = re.compile(r"\s*([+-]?[0-9]{1,9})(?![0-9])")
 
 
 class Node:
@@ -166,17 +172,34 @@ class Tree(HTMLParser):
         return not self.places.get("svg") or self.places["svg"][-1] < self._innermost(SVG_TEXT)
 
 
-def hidden(node: Node) -> bool:
+def declared(node: Node, name: str) -> str:
+    """Value of a property in the element's own style: the last important one, else the last."""
+    found, strong = "", False
+    for prop, value, important in _DECLARED.findall(node.attrs.get("style", "")):
+        if prop.lower() == name and (important or not strong):
+            found, strong = value.lower(), bool(important)
+    return found
+
+
+def cut(node: Node) -> bool:
+    """Whether the element goes with all inside it."""
     attrs = node.attrs
     return (
         node.tag in HIDDEN
         or "hidden" in attrs
         or (node.tag == "input" and attrs.get("type", "").lower() == "hidden")
         or (node.tag == "dialog" and "open" not in attrs)
-        or ("style" in attrs and _UNSEEN.search(attrs["style"]) is not None)
+        or declared(node, "display") == "none"
+        or (node.tag in TABLE_ROWS and declared(node, "visibility") == "collapse")
     )
 
 
+def drawn(node: Node, around: bool) -> bool:
+    """Whether the element's own text is drawn; elements inside it may say otherwise."""
+    value = declared(node, "visibility")
+    return around if value not in VISIBILITY else VISIBILITY[value]
+
+
 class Layout:
     """Lines of text; ``gap`` is an empty line that the next text asks for."""
 
@@ -249,46 +272,65 @@ def deeper(indent: str, width: int) -> str:
     return indent if len(indent) >= WIDEST_INDENT else indent + " " * width
 
 
-def lay_out(node: Node, out: Layout, indent: str = "", pre: bool = False) -> Generator:
-    number = _start(node)
+def lay_out(node: Node, out: Layout, indent: str = "", pre: bool = False, seen: bool = True, tables: int = 0) -> Generator:
+    """Lay out what is in ``node``, whose own text is ``seen`` or not, inside of ``tables`` tables."""
+    number, step = _numbers(node)
+    cells = False  # whether the next cell stands beside another
     for child in node.children:
         if isinstance(child, str):
-            out.kept(child, indent) if pre else out.text(child, indent)
+            if seen:
+                out.kept(child, indent) if pre else out.text(child, indent)
             continue
         tag = child.tag
-        if hidden(child):
+        if cut(child):
             continue
+        here = drawn(child, seen)
         if tag == "br":
-            out.end_line(bool(out.lines) and not out.gap)
+            out.end_line(here and bool(out.lines) and not out.gap)
             continue
         block = tag in BLOCKS
         if block:
             out.end_line()
             out.gap = out.gap or (tag in SPACED and not (tag in ("ul", "ol") and node.tag == "li"))
-        if tag == "table":
-            out.rows((yield table_lines(child)), indent)
+        if tag == "table" and tables < ALIGNED_TABLES:
+            out.rows((yield table_lines(child, here, tables + 1)), indent)
+        elif tag == "tr":
+            cells = False
+            yield lay_out(child, out, indent, pre, here, tables)
         elif tag == "li":
-            out.mark = f"{number}. " if node.tag == "ol" else "- "
-            number += 1
-            yield lay_out(child, out, deeper(indent, len(out.mark)), pre)
+            number = _whole(child, "value", number)
+            mark = f"{number}. " if node.tag == "ol" else "- "
+            out.mark = mark if here else ""
+            number += step
+            yield lay_out(child, out, deeper(indent, len(mark)), pre, here, tables)
             out.mark = ""
         elif tag in ("dd", "blockquote"):
-            yield lay_out(child, out, deeper(indent, 2), pre)
+            yield lay_out(child, out, deeper(indent, 2), pre, here, tables)
         elif tag == "input":
-            out.text(child.attrs.get("value", ""), indent)
-        elif tag in ("td", "th"):  # outside of a table
-            out.text(" ", indent)
-            yield lay_out(child, out, indent, pre)
+            if here:
+                out.text(child.attrs.get("value", ""), indent)
+        elif tag in ("td", "th"):  # without columns
+            out.text(" | " if cells and here else " ", indent)
+            cells = cells or tables >= ALIGNED_TABLES
+            yield lay_out(child, out, indent, pre, here, tables)
         else:
-            yield lay_out(child, out, indent, pre or tag in ("pre", "textarea"))
+            yield lay_out(child, out, indent, pre or tag in ("pre", "textarea"), here, tables)
         if block:
             out.end_line()
             out.gap = out.gap or (tag in SPACED and not (tag in ("ul", "ol") and node.tag == "li"))
 
 
-def _start(node: Node) -> int:
-    start = node.attrs.get("start", "1")
-    return int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1
+def _whole(node: Node, name: str, default: int) -> int:
+    found = _NUMBER.match(node.attrs.get(name, ""))
+    return int(found[1]) if found else default
+
+
+def _numbers(node: Node) -> tuple[int, int]:
+    """First number of a list's items, and the step to the next."""
+    if node.tag != "ol" or "reversed" not in node.attrs:
+        return _whole(node, "start", 1), 1
+    items = sum(not isinstance(c, str) and c.tag == "li" and not cut(c) for c in node.children)
+    return _whole(node, "start", items), -1
 
 
 def _span(cell: Node) -> int:
@@ -296,31 +338,35 @@ def _span(cell: Node) -> int:
     return max(1, min(100, int(value))) if re.fullmatch(r"[0-9]{1,4}", value) else 1
 
 
-def table_lines(table: Node) -> Generator:
-    """Rows of a table with cells aligned by column, a bar between cells."""
+def table_lines(table: Node, seen: bool, tables: int) -> Generator:
+    """Rows of a table with cells aligned by column, a bar between cells; all else comes before them."""
     before: list[str] = []
     rows: list[list[tuple[list[str], int]]] = []
-    stack = [table]
-    while stack:
-        node = stack.pop()
-        inside = []
-        for child in node.children:
+    row: list[tuple[list[str], int]] | None = None  # that cells go to; without one they begin one
+    open_parts = [(iter(table.children), seen)]
+    while open_parts:
+        children, shown = open_parts[-1]
+        for child in children:
             if isinstance(child, str):
-                if child.strip(" \t\n\r\f"):
+                if shown and child.strip(" \t\n\r\f"):
                     before.append(_GAPS.sub(" ", child).strip(" "))
-            elif hidden(child):
+            elif cut(child):
                 continue
-            elif child.tag in ("thead", "tbody", "tfoot", "colgroup"):
-                inside.append(child)
-            elif child.tag == "tr":
-                inside.append(child)
+            elif child.tag in TABLE_ROWS or child.tag == "colgroup":
+                row = None
+                if child.tag == "tr":
+                    rows.append(row := [])
+                open_parts.append((iter(child.children), drawn(child, shown)))
+                break
             elif child.tag in ("td", "th"):
-                if node.tag != "tr" or child is _first_cell(node):
-                    rows.append([])
-                rows[-1].append(((yield text_lines(child)), _span(child)))
+                if row is None:
+                    rows.append(row := [])
+                row.append(((yield text_lines(child, drawn(child, shown), tables)), _span(child)))
             else:  # captions and what does not belong into a table
-                before += yield text_lines(_wrapped(child))
-        stack.extend(reversed(inside))
+                before += yield text_lines(_wrapped(child), shown, tables)
+        else:
+            open_parts.pop()
+            row = None
     widths: dict[int, int] = {}
     for row in rows:
         column = 0
@@ -341,19 +387,15 @@ def table_lines(table: Node) -> Generator:
     return out
 
 
-def _first_cell(row: Node) -> Node | None:
-    return next((c for c in row.children if not isinstance(c, str) and c.tag in ("td", "th") and not hidden(c)), None)
-
-
 def _wrapped(node: Node) -> Node:
     around = Node("div", {})
     around.children.append(node)
     return around
 
 
-def text_lines(node: Node) -> Generator:
+def text_lines(node: Node, seen: bool = True, tables: int = 0) -> Generator:
     out = Layout()
-    yield lay_out(node, out)
+    yield lay_out(node, out, "", False, seen, tables)
     out.end_line()
     while out.lines and not out.lines[-1]:
         out.lines.pop()
@@ -380,9 +422,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     """Visible text of every page: the id and ``text``.
 
     Hidden are elements that browsers do not show (head, script, style, template, embedded
-    content, svg apart from its text elements), those with ``hidden``, ``display:none`` or ``visibility:hidden`` of their own,
-    and closed dialogs; style sheets and scripts are not applied. White space runs are one
-    space except in ``pre`` and ``textarea``. A null, empty or textless page has an empty
+    content, svg apart from its text elements), those with ``hidden`` or ``display:none`` of their own,
+    and closed dialogs, each with all inside it; ``visibility`` holds for the elements inside until
+    one of them says otherwise. Style sheets and scripts are not applied. White space runs are one
+    space except in ``pre`` and ``textarea``. A table inside of 16 others keeps its rows and the
+    bars between cells, but they are not aligned. A null, empty or textless page has an empty
     text; broken markup never fails. Repeated pages and ids are rendered on their own, a
     null id stays null, an empty table gives no rows.
     """

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -191,6 +193,13 @@ HTML = [
     ("</p></table></b>text<td>x</td>", "text x"),
     ("a &am", "a &am"),
     ("cut off <a href='", "cut off"),
+    ("<div style='visibility:hidden'>no<span style='visibility:visible'>yes</span><p>no</div>", "yes"),
+    ("<div style='display:none'>no<span style='visibility:visible;display:block'>no</span></div>x", "x"),
+    ("<p style='visibility:hidden !important; visibility:visible'>no<p style='display:none;display:block'>yes", "yes"),
+    ("<ol reversed><li>a<li hidden>no<li>b</ol><ol><li value=7>c<li>d</ol>", "2. a\n1. b\n\n7. c\n8. d"),
+    ("<ul style='visibility:hidden'><li>no<li><b style='visibility:visible'>yes</ul>", "  yes"),
+    ("<table><tr><td>a<td style='visibility:hidden'>no<td>c<tr style='visibility:collapse'><td>no</table>", "a |  | c"),
+    ("<table><tr><td>a</tr><td>b<td>c</table>", "a\nb | c"),
     ("<select><option>a<option>b</select><input value=v><input type=hidden value=w>", "a\nb\nv"),
 ]
 
@@ -224,6 +233,50 @@ def test_deep_pages(opening):
     assert html_text.page_text("<div><b>" + "<i>" * 300 + "<u>x</u></i></i>" + "</i>" * 298 + "</b>y</div>z") == "xy\nz"
 
 
+def test_many_nested_tables():
+    for cell in ("<table><tr><td>x", "<table><tr><td>x<td>y", "<table><caption>x<tr><td>y<td><ul><li>"):
+        began = time.monotonic()
+        text = html_text.page_text(cell * 10_000)
+        assert time.monotonic() - began < 5
+        assert text.count("x") == 10_000 and len(text) < 20_000_000
+
+
+def shown_words(node, seen=True):
+    """Words of a made-up tree that are on the page, by the rules of its own attributes alone."""
+    tag, rule, inside = node
+    if rule in ("hidden", "style='display:none'"):
+        return []
+    seen = {"style='visibility:hidden'": False, "style='visibility:visible'": True}.get(rule, seen)
+    return [w for part in inside for w in (([part] if seen else []) if isinstance(part, str) else shown_words(part, seen))]
+
+
+def markup(node):
+    tag, rule, inside = node
+    return f"<{tag} {rule}>" + " ".join(p if isinstance(p, str) else markup(p) for p in inside) + f"</{tag}>"
+
+
+def test_visible_words_of_any_tree():
+    rng = random.Random(8)
+    rules = ["", "", "", "hidden", "style='display:none'", "style='visibility:hidden'", "style='visibility:visible'", "style='visibility:inherit'"]
+    inner = {"ul": ["li"], "ol": ["li"], "table": ["tr"], "tr": ["td", "th"]}
+
+    def tree(tag, depth, tables):
+        free = ["div", "span", "section", "blockquote", "ul", "ol", "b"] + (["table"] if tables else [])
+        n = rng.randrange(4) if depth else 0
+        kids = [tree(rng.choice(inner.get(tag, free)), depth - 1, tables) for _ in range(n)]
+        if tag not in inner:
+            kids += [f"w{rng.randrange(10**9)}" for _ in range(rng.randrange(3))]
+            rng.shuffle(kids)
+        return tag, rng.choice(rules), kids
+
+    for k in range(400):
+        page = tree("div", 7, tables=k % 2 == 1)
+        got = re.findall(r"w[0-9]+", html_text.page_text(markup(page)))
+        want = shown_words(page)
+        # Lines of cells stand beside each other, so only their words are compared.
+        assert (Counter(got) == Counter(want)) if k % 2 else (got == want)
+
+
 def test_pages(spark):
     rows = [(i, h) for i, (h, _) in enumerate(HTML)] + [(None, None), (7, HTML[7][0]), (99, "<div>" * 5000 + "deep" + "</p>" * 50)]
     df = spark.createDataFrame(rows, "page_id long, html string").withColumn("doc", F.lit(1)).withColumn("text", F.lit("x"))
