@@ -190,20 +190,26 @@ def held_out(id_: str = "doc") -> Column:
     return F.crc32(F.coalesce(outer_id(id_).cast("string"), F.lit(""))) % 5 == 0
 
 
-def train(rows: DataFrame, labels: DataFrame, id_col: str, sample_rows: int) -> tuple[np.ndarray, Network, DataFrame]:
-    """Word vectors, network and pooled vectors (``doc, fp, pooled``) of ``rows`` (``doc, body, fp``)."""
-    vectors = word_vectors(rows)
-    pooled = cut_lineage(rows.mapInArrow(_pooled(vectors), "doc long, fp long, pooled array<float>"))
+def drawn_labels(labels: DataFrame, id_col: str, sample_rows: int) -> DataFrame:
+    """``doc, quality`` of about ``1.2 * sample_rows`` labels that are not held out, drawn by a hash of the id."""
     known = labels.select(F.col(id_col).cast("long").alias("doc"), F.col("quality").cast("int").alias("quality"))
     known = known.where(F.col("doc").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).distinct()
     known = cut_lineage(known)
-    # So small a share goes to the sort that each task has few rows to send.
     share = min(1.0, 1.2 * sample_rows / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("doc"), F.lit(2**31)) < F.lit(int(share * 2**31)))
+    return known.where(F.pmod(F.xxhash64("doc"), F.lit(2**31)) < F.lit(int(share * 2**31)))
+
+
+def pooled_texts(rows: DataFrame, vectors: np.ndarray) -> DataFrame:
+    """Pooled vectors (``doc, fp, pooled``) of ``rows`` (``doc, body, fp``)."""
+    return rows.mapInArrow(_pooled(vectors), "doc long, fp long, pooled array<float>")
+
+
+def learn(pooled: DataFrame, drawn: DataFrame, sample_rows: int) -> Network:
+    """Network fitted on the pooled vectors of at most ``sample_rows`` drawn labels."""
     sample = pooled.join(drawn, "doc").orderBy(F.xxhash64("doc"), "fp", "quality").limit(sample_rows)
     sample = sample.select("quality", "pooled").toArrow()
     x = sample["pooled"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
-    return vectors, fit(x, sample["quality"].to_numpy()), pooled
+    return fit(x, sample["quality"].to_numpy())
 
 
 def classify(
@@ -227,7 +233,8 @@ def classify(
     Returns the id, ``held_out``, ``score`` and ``predicted`` (1 at ``threshold`` or above).
     """
     rows = documents(docs, id_col, text_col).withColumn("fp", F.xxhash64("body"))
-    _, network, pooled = train(rows, labels, id_col, sample_rows)
+    pooled = cut_lineage(pooled_texts(rows, word_vectors(rows)))
+    network = learn(pooled, drawn_labels(labels, id_col, sample_rows), sample_rows)
     found = pooled.mapInArrow(_scores(network), "doc long, fp long, score double")
     return found.select(
         outer_id().alias(id_col),
@@ -262,10 +269,15 @@ def keep_good(
 ) -> DataFrame:
     """Rows of ``docs``, with all their columns, that ``classify`` predicts as 1.
 
-    The rows are scored where they are read, so no text is shuffled.
+    The rows are scored where they are read, so no text is shuffled; the network is fitted
+    on the rows with a drawn label, no other row is pooled twice.
     """
     rows = documents(docs, id_col, text_col).withColumn("fp", F.xxhash64("body"))
-    vectors, network, _ = train(rows, labels, id_col, sample_rows)
+    vectors = word_vectors(rows)
+    drawn = drawn_labels(labels, id_col, sample_rows)
+    # The draw bounds the ids that every task gets: about 1.2 * sample_rows, whatever the tables.
+    chosen = rows.join(F.broadcast(drawn.select("doc")), "doc", "left_semi").select(*rows.columns)
+    network = learn(pooled_texts(chosen, vectors), drawn, sample_rows)
     named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots cannot be handed over
     text = f"c{docs.columns.index(text_col)}"
     return named.mapInArrow(_good(vectors, network, text, threshold), named.schema).toDF(*docs.columns)

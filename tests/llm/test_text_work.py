@@ -164,6 +164,35 @@ def test_quality_odd_rows(spark, docs_of, odd_rows):
     assert kept.schema == df.schema and kept.count() == sum(r.predicted for r in scored)
 
 
+def test_word_vectors_are_sums_over_all_neighbours(spark, docs_of):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.choice([0, 1, 2, 3, 60]))) for _ in range(50)] + [None, "w1", "w1"]
+    rows = docs_of(list(enumerate(texts))).select(F.coalesce("text", F.lit("")).alias("body"))
+    places, signs = quality.index_vectors()
+    sums = np.zeros((quality.BUCKETS, quality.DIMENSIONS))
+    hasher = quality.WordHasher(quality.BUCKETS)
+    for text in texts:
+        words, _ = hasher.encode(pa.array([text or ""]))
+        for i, word in enumerate(words):
+            for j in range(max(0, i - quality.REACH), min(len(words), i + quality.REACH + 1)):
+                if j != i:
+                    for place, sign in zip(places[words[j]], signs[words[j]]):
+                        sums[word, place] += sign
+    length = np.linalg.norm(sums, axis=1, keepdims=True)
+    want = sums / np.where(length > 0, length, 1)
+    assert (length > 0).sum() >= 30
+    np.testing.assert_allclose(quality.word_vectors(rows.repartition(5)), want, atol=1e-6)
+
+
+def test_kept_rows_are_those_predicted(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    for sample_rows in (quality.SAMPLE_ROWS, 40):  # all labels, and a draw of them
+        scored = quality.classify(docs, labels, sample_rows=sample_rows)
+        kept = quality.keep_good(docs, labels, sample_rows=sample_rows)
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in scored.collect() if r.predicted)
+
+
 def test_pooling_and_fit():
     vectors = np.random.default_rng(1).normal(size=(quality.BUCKETS, quality.DIMENSIONS)).astype(np.float32)
     words, starts = np.array([1, 2, 3, 3, 9]), np.array([0, 0, 3, 5, 5])
