@@ -1,34 +1,103 @@
 """Numbering and neighbour lookups inside groups that may be very large.
 
 A plain ``row_number()`` or ``lag()`` sends a whole group to one task. The
-functions here cut every group into *cells* along its order column, work inside
+functions here cut large groups into *cells* along their order columns, work inside
 the cells, and carry one small row per cell across (a count, or the edge row).
-The cell is a pure function of the row, so both branches of the plan agree on it
-even when a lost executor makes Spark compute one of them again.
+The cuts are quantiles of the group's own rows, so cells fit whatever the ids or times
+look like; groups of ordinary size are not cut and carry nothing. Cuts are written once:
+both branches of the plan agree on them even when a lost executor makes Spark compute
+one of them again.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.session import cut_lineage
 
-# Width of one cell in units of an integer order column: the most rows a task
-# sees of one group when (group, order) is unique.
-CELL_WIDTH = 1 << 20
+# Rows of a group that one task should see.
+CELL_ROWS = 1 << 20
+# Cuts of a group at most: beyond CUTS * CELL_ROWS rows its cells grow.
+CUTS = 1023
+# Cuts are looked up in blocks of this size.
+BLOCK = 32
 
 # Rows without an order value come first, as they do in a sort.
 _FIRST_CELL = -(1 << 62)
 
 
-def _with_cell(df: DataFrame, cell: Column) -> DataFrame:
-    return df.withColumn("_cell", F.coalesce(cell.cast("long"), F.lit(_FIRST_CELL)))
+def id_cell(column: str, width: int = CELL_ROWS) -> Column:
+    """Cell of an integer order column by its value alone, for ids that are dense."""
+    return F.floor(F.col(column) / F.lit(width)).cast("long")
+
 
+def _known(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
 
-def id_cell(column: str, width: int = CELL_WIDTH) -> Column:
-    """Cell of an integer order column."""
-    return F.floor(F.col(column) / F.lit(width)).cast("long")
+
+def _cuts(df: DataFrame, keys: list[str], column: str, target_rows: int) -> DataFrame:
+    """``_cuts`` of the groups with more than ``target_rows`` rows, a multiple of ``target_rows`` apart."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > target_rows)
+    hot = cut_lineage(counts)
+    if hot.isEmpty():
+        return hot
+    steps = [k / (CUTS + 1) for k in range(1, CUTS + 1)]
+    sketch = df.join(hot, keys, "left_semi").groupBy(*keys).agg(
+        F.percentile_approx(column, steps, 10 * (CUTS + 1)).alias("_steps"))
+    pieces = F.least(F.ceil(F.col("_n") / target_rows), F.lit(CUTS + 1))
+    at = lambda i: F.floor(i * pieces / F.lit(CUTS + 1))
+    chosen = F.filter("_steps", lambda x, i: at(i + 1) > at(i))
+    return cut_lineage(sketch.join(hot, keys).select(*keys, F.array_distinct(chosen).alias("_cuts")))
+
+
+def _place(cuts: Column, value: Column) -> Column:
+    """0 for NULL, 2k + 3 for the k-th cut itself (k from 0), 2k + 2 between: grows with the value."""
+    ends = F.filter(cuts, lambda c, i: (i % BLOCK == BLOCK - 1) & (c < value))
+    whole = F.size(ends) * BLOCK
+    rest = F.filter(F.slice(cuts, whole + 1, BLOCK), lambda c: c < value)
+    below = whole + F.size(rest)
+    on_cut = F.get(cuts, below) == value
+    place = F.lit(2) + 2 * below + F.coalesce(on_cut, F.lit(False)).cast("int")
+    return F.when(value.isNull(), 0).otherwise(place).cast("long")
+
+
+def _fitted(df: DataFrame, keys: list[str], order: list[str], target_rows: int) -> DataFrame:
+    """``df`` with ``_cell``, which grows along ``order`` in groups that are cut and is NULL in all others.
+
+    Values that fill cells of their own (equal times) are cut again along the second order column.
+    """
+    cuts = _cuts(df.filter(_known(keys)), keys, order[0], target_rows)
+    if cuts.isEmpty():
+        return df.withColumn("_cell", F.lit(None).cast("long"))
+    celled = df.join(cuts, keys, "left")
+    place = F.when(F.col("_cuts").isNotNull(), _place(F.col("_cuts"), F.col(order[0])))
+    celled = celled.withColumn("_cell", place).drop("_cuts")
+    if len(order) == 1:
+        return celled
+    one_value = (F.col("_cell") == 0) | (F.col("_cell") % 2 == 1)
+    inner = _cuts(celled.filter(one_value), [*keys, "_cell"], order[1], target_rows)
+    if not inner.isEmpty():
+        celled = celled.join(inner, [*keys, "_cell"], "left")
+        within = F.when(F.col("_cuts").isNotNull(), _place(F.col("_cuts"), F.col(order[1]))).otherwise(0)
+    else:
+        within = F.lit(0)
+    return celled.withColumn("_cell", F.col("_cell") * (2 * CUTS + 4) + within).select(*df.columns, "_cell")
+
+
+def _with_cell(
+    df: DataFrame, keys: list[str], order: list[str] | None, cell: Column | None, target_rows: int
+) -> DataFrame:
+    if cell is not None:
+        return df.withColumn("_cell", F.coalesce(cell.cast("long"), F.lit(_FIRST_CELL)))
+    if order is None:
+        raise ValueError("cells need names of order columns, or an expression of their own")
+    celled = _fitted(df, keys, order, target_rows)
+    # Rows without a key have no neighbours: they are dealt out.
+    spread = F.pmod(F.xxhash64(*order), F.lit(CUTS)).cast("long")
+    return celled.withColumn("_cell", F.when(_known(keys), F.col("_cell")).otherwise(spread))
 
 
 def with_ordinal(
@@ -38,25 +107,30 @@ def with_ordinal(
     name: str = "row_index",
     *,
     cell: Column | None = None,
+    target_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Add the 0-based position of each row in its group, ordered by ``order``.
 
-    ``cell`` must grow along ``order``; the default suits one integer id that is
-    not too sparse (a cell should hold many rows, as one row per cell is carried
-    across). Rows with a NULL group key stay, without a position. Rows shuffle
-    once, by (group, cell).
+    Groups with more than ``target_rows`` rows are cut at quantiles of the order column (a
+    number, date or time). An expression ``cell``, which must grow along ``order``, replaces
+    the cuts where the right ones are known. Rows with a NULL group key stay, without a
+    position. Without keys the whole table is numbered over ranges that Spark samples.
     """
     sort = order if isinstance(order, list) else [F.col(order)]
-    celled = _with_cell(df, cell if cell is not None else id_cell(order))
+    if not keys and cell is None:
+        return number_sorted(df, sort, name)
+    celled = _with_cell(df, keys, [order] if isinstance(order, str) else None, cell, target_rows)
     group = [*keys, "_cell"]
-    counts = celled.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    carried = celled.filter(_known(group))
+    counts = carried.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    offsets = counts.withColumn("_before", F.sum("_n").over(before)).drop("_n")
     inside = F.row_number().over(Window.partitionBy(*group).orderBy(*sort))
+    position = (F.coalesce("_before", F.lit(0)) + F.col("_inside") - 1).cast("long")
     return (
         celled.withColumn("_inside", inside)
         .join(offsets, group, "left")
-        .select(*df.columns, (F.col("_before") + F.col("_inside") - 1).cast("long").alias(name))
+        .select(*df.columns, F.when(_known(keys), position).alias(name))
     )
 
 
@@ -67,21 +141,23 @@ def with_neighbour(
     columns: list[str],
     name: str,
     *,
-    cell: Column,
+    cell: Column | None = None,
     following: bool = False,
+    target_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Add struct ``name`` with ``columns`` of the previous (or next) row of the group.
 
-    ``order`` must be unique inside a group and ``cell`` must grow with it; group
-    keys must not be NULL.
+    ``order`` must be unique inside a group; group keys must not be NULL. Large groups are
+    cut as in ``with_ordinal``, along the first order column and, where one value of it
+    (equal times, or none) has too many rows, along the second.
     """
-    celled = _with_cell(df, cell)
+    celled = _with_cell(df, keys, order, cell, target_rows)
     group = [*keys, "_cell"]
     position = F.struct(*order)
     payload = F.struct(*columns)
     shift = F.lead if following else F.lag
     edge = F.min_by if following else F.max_by
-    edges = celled.groupBy(*group).agg(edge(payload, position).alias("_edge"))
+    edges = celled.filter(_known(group)).groupBy(*group).agg(edge(payload, position).alias("_edge"))
     across = edges.withColumn(
         "_outside", shift("_edge").over(Window.partitionBy(*keys).orderBy("_cell"))
     ).drop("_edge")

@@ -38,13 +38,10 @@ def latest_run(runs: DataFrame, key: str = "scheduled_by_id") -> DataFrame:
 def previous_completed(runs: DataFrame, columns: list[str], key: str = "scheduled_by_id") -> DataFrame:
     """Completed scheduled runs with struct ``previous`` of the one finished before.
 
-    Days cut a busy schedule into pieces; order is completion time, then id.
+    A busy schedule is cut into pieces of its own; order is completion time, then id.
     """
     done = runs.filter((F.col("status") == "completed") & F.col(key).isNotNull())
-    return with_neighbour(
-        done, [key], ["completed_at", "id"], columns, "previous",
-        cell=F.unix_date(F.to_date("completed_at")),
-    )
+    return with_neighbour(done, [key], ["completed_at", "id"], columns, "previous")
 
 
 def delta_text(

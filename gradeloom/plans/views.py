@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.operators.ordinals import id_cell, with_neighbour, with_ordinal
+from gradeloom.operators.ordinals import with_neighbour, with_ordinal
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -190,7 +190,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn with the text of the turn that follows it; nothing (an empty text) is expected after the last."""
     turns = table(spark, sf_dir, "conversations")
-    paired = with_neighbour(turns, ["conv_id"], ["turn"], ["text"], "next", cell=id_cell("turn"), following=True)
+    paired = with_neighbour(turns, ["conv_id"], ["turn"], ["text"], "next", following=True)
     expected = F.coalesce("next.text", F.lit(""))
     return paired.select(
         "conv_id",

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gradeloom.operators import joins, merge
-from gradeloom.operators import browse
+from gradeloom.operators import browse, ordinals
 from gradeloom.operators.ordinals import enumerate_rows, id_cell, number_sorted, with_neighbour, with_ordinal
 
 
@@ -70,6 +70,49 @@ def test_neighbours_cross_cells(skewed, width, following):
         want.select("id", F.col("n").alias("v")).collect(), key=str)
 
 
+def busy(spark, kind):
+    """4,000 rows, most of one key: hashed ids, few times, one time for all, or no time."""
+    at = {
+        "hashed": F.timestamp_seconds(F.pmod(F.xxhash64("id"), F.lit(10**6))),
+        "few": F.timestamp_seconds(F.col("id") % 3),
+        "one": F.timestamp_seconds(F.lit(7)),
+        "none": F.when(F.col("id") % 4 == 0, F.timestamp_seconds("id")),
+    }[kind]
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id") % 50).cast("long").alias("k"),
+        at.alias("at"), F.xxhash64("id").alias("id"))
+    return rows.repartition(5)
+
+
+@pytest.mark.parametrize("kind", ["hashed", "few", "one", "none"])
+@pytest.mark.parametrize("following", [False, True])
+def test_neighbours_in_cells_that_fit(spark, kind, following):
+    rows = busy(spark, kind)
+    shift = F.lead if following else F.lag
+    want = rows.withColumn("n", shift("id").over(Window.partitionBy("k").orderBy("at", "id")))
+    got = with_neighbour(rows, ["k"], ["at", "id"], ["id"], "n", following=following, target_rows=100)
+    assert sorted(got.select("k", "id", "n.id").collect(), key=str) == sorted(want.select("k", "id", "n").collect(), key=str)
+
+
+@pytest.mark.parametrize("target_rows", [1, 100, 10_000])
+def test_ordinals_in_cells_that_fit(spark, target_rows):
+    rows = busy(spark, "hashed").unionByName(spark.sql("SELECT CAST(NULL AS LONG) k, timestamp '2024-01-01' at, 5L id"))
+    place = F.row_number().over(Window.partitionBy("k").orderBy("id")) - 1
+    want = rows.withColumn("pos", F.when(F.col("k").isNotNull(), place.cast("long")))
+    got = with_ordinal(rows, ["k"], "id", "pos", target_rows=target_rows)
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+
+
+@pytest.mark.parametrize("kind", ["hashed", "few", "one", "none"])
+def test_cells_hold_about_the_target(spark, kind):
+    rows = busy(spark, kind)
+    cells = ordinals._fitted(rows, ["k"], ["at", "id"], 100).groupBy("k", "_cell").count().collect()
+    hot = [r["count"] for r in cells if r["k"] == 0]
+    assert all(r["_cell"] is None for r in cells if r["k"] != 0)
+    # No cell is far beyond the target, and what is carried grows with rows / target only.
+    assert max(hot) <= 250 and sum(hot) >= 2800 and len(hot) <= 3 * 2 * sum(hot) / 100
+
+
 def test_rows_read_from_files_are_numbered_in_order(spark, skewed, tmp_path):
     skewed.repartitionByRange(5, "id").sortWithinPartitions("id").write.parquet(str(tmp_path / "t"))
     got = enumerate_rows(spark.read.parquet(str(tmp_path / "t")))
