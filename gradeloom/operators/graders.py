@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +64,15 @@ class Context:
         return {name: F.col(column) for name, column in self.item.items()}
 
 
+@dataclass(frozen=True)
+class FieldSearch:
+    """First field ``name`` anywhere in the JSON text of ``column``; the finding goes to ``slot``."""
+
+    column: str
+    name: str
+    slot: str
+
+
 @dataclass(frozen=True)
 class Grader:
     """A named verdict: ``prepare`` adds helper columns, ``verdict`` reads them."""
@@ -73,6 +83,7 @@ class Grader:
     verdict: Column
     helpers: tuple[str, ...] = ()
     joins: bool = False  # prepare() reads the frame twice
+    search: FieldSearch | None = None  # done for all graders in one pass
 
 
 Builder = Callable[[dict, Context, str], Grader]
@@ -269,37 +280,88 @@ def semantic_similarity(definition: dict, context: Context, slot: str) -> Grader
 # --- JSON graders -----------------------------------------------------------------
 
 
-def find_field(document: object, name: str) -> tuple[bool, object]:
-    """First field called ``name``: a mapping's own keys, then depth first."""
-    stack = [document]
-    while stack:
+def find_fields(document: object, names: list[str]) -> dict[str, object]:
+    """First field of each name, in one walk: a mapping's own keys, then depth first."""
+    wanted, found, stack = set(names), {}, [document]
+    while stack and wanted:
         here = stack.pop()
         if isinstance(here, dict):
-            if name in here:
-                return True, here[name]
+            for name in wanted & here.keys():
+                found[name] = here[name]
+            wanted -= found.keys()
             stack.extend(reversed(list(here.values())))
         elif isinstance(here, list):
             stack.extend(reversed(here))
-    return False, None
+    return found
 
 
 def _found(parsed: Column, found: Column, value: Column) -> Column:
     return F.struct(parsed.alias("parsed"), found.alias("found"), value.alias("value"))
 
 
-def _field_search(name: str) -> Callable[[Column], Column]:
-    @F.pandas_udf("struct<parsed:boolean,found:boolean,value:string>")
-    def search(texts: pd.Series) -> pd.DataFrame:
-        def one(text: str | None) -> tuple[bool, bool, str | None]:
+def _walk(names: list[str]) -> Callable[[Column, Column], Column]:
+    """Findings of those ``names`` that a row asks for, one walk a document."""
+
+    @F.arrow_udf("struct<parsed:boolean,found:array<boolean>,value:array<string>>")
+    def walk(texts: pa.Array, asked: pa.Array) -> pa.Array:
+        parsed, found, value = [], [], []
+        for text, wanted in zip(texts.to_pylist(), asked.to_pylist(), strict=True):
+            here = {}
             try:
-                found, value = find_field(json.loads(text), name)
+                here = find_fields(json.loads(text), [n for n, ask in zip(names, wanted, strict=True) if ask])
+                parsed.append(True)
             except (TypeError, ValueError, RecursionError):
-                return False, False, None
-            return True, found, str(value) if found else None
+                parsed.append(False)
+            found.append([n in here for n in names])
+            value.append([str(here[n]) if n in here else None for n in names])
+        parts = [pa.array(parsed), pa.array(found, pa.list_(pa.bool_())), pa.array(value, pa.list_(pa.string()))]
+        return pa.StructArray.from_arrays(parts, ["parsed", "found", "value"])
+
+    return walk
 
-        return pd.DataFrame([one(t) for t in texts], columns=["parsed", "found", "value"])
 
-    return search
+def _own_field(doc: Column, name: str) -> Column:
+    """Text of a document's own field of that name when it is a plain value, else NULL."""
+    quoted = name.replace("\\", "\\\\").replace("'", "\\'")
+    field_ = F.try_variant_get(doc, f"$['{quoted}']", "variant")
+    kind = F.schema_of_variant(field_)
+    text = F.try_variant_get(field_, "$", "string")
+    return F.when(kind.isin("STRING", "BIGINT"), text).when(kind == "BOOLEAN", F.initcap(text)).when(kind == "VOID", "None")
+
+
+def search_fields(df: DataFrame, searches: list[FieldSearch]) -> DataFrame:
+    """Add the finding (``parsed``, ``found``, ``value``) of every search.
+
+    A document's own field comes first; when it is a plain value, the JVM reads it. A
+    document without the name in its text (and without escapes, which could spell it) has
+    no such field. What is left of all searches in a column crosses to Python once.
+    """
+    for column in dict.fromkeys(s.column for s in searches):
+        names = list(dict.fromkeys(s.name for s in searches if s.column == column))
+        output, doc, walked = F.col(column), "_doc", "_walked"
+        own, absent = [f"_own{i}" for i in range(len(names))], [f"_absent{i}" for i in range(len(names))]
+        out = df.withColumn(doc, F.try_parse_json(output))
+        escaped = F.contains(output, F.lit("\\"))
+        lacks = [F.col(doc).isNotNull() & ~F.contains(output, F.lit(n)) & ~escaped for n in names]
+        out = out.select(
+            *df.columns,
+            *[_own_field(F.col(doc), n).alias(o) for n, o in zip(names, own, strict=True)],
+            *[F.coalesce(lack, F.lit(False)).alias(a) for lack, a in zip(lacks, absent, strict=True)],
+        )
+        asked = F.array(*[F.col(o).isNull() & ~F.col(a) for o, a in zip(own, absent, strict=True)])
+        text = F.when(F.array_contains(asked, True), output)
+        out = out.withColumn(walked, once(_walk(names))(text, asked))
+        slots = []
+        for s in searches:
+            if s.column == column:
+                i = names.index(s.name)
+                native = _found(F.lit(True), F.col(own[i]).isNotNull(), F.col(own[i]))
+                found = F.coalesce(F.get(F.col(walked)["found"], i), F.lit(False))
+                rest = _found(F.col(walked)["parsed"], found, F.get(F.col(walked)["value"], i))
+                known = F.col(own[i]).isNotNull() | F.col(absent[i])
+                slots.append(F.when(known, native).otherwise(rest).alias(s.slot))
+        df = out.select(*df.columns, *slots)
+    return df
 
 
 @register_grader("json_field")
@@ -313,31 +375,11 @@ def json_field(definition: dict, context: Context, slot: str) -> Grader:
     path = definition.get("path")
 
     def prepare(df: DataFrame) -> DataFrame:
-        output = F.col(context.actual)
-        if path:
-            value = F.get_json_object(output, path)
-            parsed = F.try_parse_json(output).isNotNull()
-            return df.withColumn(slot, _found(parsed, value.isNotNull(), value))
-        # A document's own field comes first; when it is a plain value, the JVM reads it. A
-        # document without the name in its text (and without escapes, which could spell it)
-        # has no such field. Only what is left crosses to Python.
-        quoted = name.replace("\\", "\\\\").replace("'", "\\'")
-        doc, searched = f"{slot}_doc", f"{slot}_search"
-        df = df.withColumn(doc, F.try_parse_json(output))
-        df = df.withColumn(slot, F.try_variant_get(F.col(doc), f"$['{quoted}']", "variant"))
-        kind = F.schema_of_variant(F.col(slot))
-        text = F.try_variant_get(F.col(slot), "$", "string")
-        plain = F.when(kind.isin("STRING", "BIGINT"), text).when(kind == "BOOLEAN", F.initcap(text)).when(
-            kind == "VOID", "None"
-        )
-        df = df.withColumn(slot, plain)
-        absent = F.col(doc).isNotNull() & ~F.contains(output, F.lit(name)) & ~F.contains(output, F.lit("\\"))
-        df = df.withColumn(doc, F.coalesce(absent, F.lit(False)))
-        asked = F.when(F.col(slot).isNull() & ~F.col(doc), output)
-        df = df.withColumn(searched, once(_field_search(name))(asked))
-        native = _found(F.lit(True), F.col(slot).isNotNull(), F.col(slot))
-        known = F.col(slot).isNotNull() | F.col(doc)
-        return df.withColumn(slot, F.when(known, native).otherwise(F.col(searched))).drop(searched, doc)
+        if not path:
+            return df
+        value = F.get_json_object(F.col(context.actual), path)
+        parsed = F.try_parse_json(F.col(context.actual)).isNotNull()
+        return df.withColumn(slot, _found(parsed, value.isNotNull(), value))
 
     found = F.col(slot)
 
@@ -356,6 +398,7 @@ def json_field(definition: dict, context: Context, slot: str) -> Grader:
         prepare,
         verdict_struct(definition, _points(F.coalesce(same, F.lit(False))), error=error, details=details),
         (slot,),
+        search=None if path else FieldSearch(context.actual, name, slot),
     )
 
 
@@ -554,7 +597,10 @@ def grade(df: DataFrame, graders: list[Grader]) -> DataFrame:
         raise ValueError("at least one grader is required")
     out = df
     # Those that join come first, before any model call is part of the plan.
-    for grader in sorted(graders, key=lambda g: not g.joins):
+    for grader in [g for g in graders if g.joins]:
+        out = grader.prepare(out)
+    out = search_fields(out, [g.search for g in graders if g.search])
+    for grader in [g for g in graders if not g.joins]:
         out = grader.prepare(out)
     weights = {g.name: g.weight for g in graders}
     verdicts = [g.verdict.withField("weight", F.lit(weights[g.name])) for g in graders]

@@ -146,6 +146,36 @@ def test_json_field(spark, actual, expected, score, error):
     assert (got["score"], got["error"]) == (score, error)
 
 
+def test_json_fields_of_many_graders_take_one_python_pass(spark):
+    texts = [
+        '{"a": 1, "b": {"c": "x", "a": 2}}', '{"b": [{"c": {"z": null}}, {"a": true}], "c": 2.0}', '[[{"a": [1]}], {"c": "y"}]',
+        '{"\\u0061": "spelt"}', "no json", "", None, '{"k": {"a": {"a": "inner"}}}', '{"z": "a c"}', '"a"',
+    ]
+    names = ["a", "c", "z", "a"]
+    df = rows(spark, *[("x", t) for t in texts])
+    definitions = [{"type": "json_field", "name": f"g{i}", "field_name": n} for i, n in enumerate(names)]
+    graded = graders.grade(df, graders.build_graders(definitions, graders.Context()))
+    assert graded._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+    def first(node, name):
+        if isinstance(node, dict):
+            if name in node:
+                return [node[name]]
+            node = list(node.values())
+        return next((hit for part in node if (hit := first(part, name))), []) if isinstance(node, list) else []
+
+    for row in graded.collect():
+        for i, name in enumerate(names):
+            got = row["details"][f"g{i}"]
+            try:
+                hit = first(json.loads(row["actual_output"]), name)
+            except (TypeError, ValueError):
+                assert got["error"] == "Failed to parse actual output as JSON"
+                continue
+            assert got["error"] == (None if hit else f"Field '{name}' not found in response")
+            assert json.loads(got["details_json"]).get("extracted_value") == (str(hit[0]) if hit else None)
+
+
 def test_json_field_options(spark):
     df = rows(spark, ("Yes", '{"label": "yes "}'))
     def ask(**more):
