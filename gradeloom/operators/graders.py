@@ -280,16 +280,18 @@ def semantic_similarity(definition: dict, context: Context, slot: str) -> Grader
 # --- JSON graders -----------------------------------------------------------------
 
 
-def find_fields(document: object, names: list[str]) -> dict[str, object]:
+def find_fields(document: object, names: tuple[str, ...]) -> dict[str, object]:
     """First field of each name, in one walk: a mapping's own keys, then depth first."""
-    wanted, found, stack = set(names), {}, [document]
-    while stack and wanted:
+    found, stack = {}, [document]
+    while stack:
         here = stack.pop()
         if isinstance(here, dict):
-            for name in wanted & here.keys():
-                found[name] = here[name]
-            wanted -= found.keys()
-            stack.extend(reversed(list(here.values())))
+            for name in names:
+                if name in here and name not in found:
+                    found[name] = here[name]
+            if len(found) == len(names):
+                break
+            stack.extend(reversed(here.values()))
         elif isinstance(here, list):
             stack.extend(reversed(here))
     return found
@@ -300,32 +302,33 @@ def _found(parsed: Column, found: Column, value: Column) -> Column:
 
 
 def _walk(names: list[str]) -> Callable[[Column, Column], Column]:
-    """Findings of those ``names`` that a row asks for, one walk a document."""
+    """Values of those ``names`` that a row asks for (bits of ``asked``), one walk a document."""
+    values = [f"value{i}" for i in range(len(names))]
 
-    @F.arrow_udf("struct<parsed:boolean,found:array<boolean>,value:array<string>>")
+    @F.arrow_udf("struct<parsed:boolean," + ",".join(f"{v}:string" for v in values) + ">")
     def walk(texts: pa.Array, asked: pa.Array) -> pa.Array:
-        parsed, found, value = [], [], []
-        for text, wanted in zip(texts.to_pylist(), asked.to_pylist(), strict=True):
-            here = {}
-            try:
-                here = find_fields(json.loads(text), [n for n, ask in zip(names, wanted, strict=True) if ask])
-                parsed.append(True)
-            except (TypeError, ValueError, RecursionError):
-                parsed.append(False)
-            found.append([n in here for n in names])
-            value.append([str(here[n]) if n in here else None for n in names])
-        parts = [pa.array(parsed), pa.array(found, pa.list_(pa.bool_())), pa.array(value, pa.list_(pa.string()))]
-        return pa.StructArray.from_arrays(parts, ["parsed", "found", "value"])
+        parsed, columns, wanted = [], [[] for _ in names], {}
+        for text, bits in zip(texts.to_pylist(), asked.to_pylist(), strict=True):
+            if bits not in wanted:
+                wanted[bits] = tuple(n for i, n in enumerate(names) if bits[i] == "1")
+            found, fits = {}, text is not None
+            if fits:
+                try:
+                    found = find_fields(json.loads(text), wanted[bits])
+                except (ValueError, RecursionError):
+                    fits = False
+            parsed.append(fits)
+            for name, column in zip(names, columns, strict=True):
+                column.append(str(found[name]) if name in found else None)
+        parts = [pa.array(parsed, pa.bool_()), *[pa.array(c, pa.string()) for c in columns]]
+        return pa.StructArray.from_arrays(parts, ["parsed", *values])
 
     return walk
 
 
-def _own_field(doc: Column, name: str) -> Column:
-    """Text of a document's own field of that name when it is a plain value, else NULL."""
-    quoted = name.replace("\\", "\\\\").replace("'", "\\'")
-    field_ = F.try_variant_get(doc, f"$['{quoted}']", "variant")
-    kind = F.schema_of_variant(field_)
-    text = F.try_variant_get(field_, "$", "string")
+def _plain_text(value: Column) -> Column:
+    """Text of a plain VARIANT value, NULL for all others."""
+    kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
     return F.when(kind.isin("STRING", "BIGINT"), text).when(kind == "BOOLEAN", F.initcap(text)).when(kind == "VOID", "None")
 
 
@@ -341,25 +344,26 @@ def search_fields(df: DataFrame, searches: list[FieldSearch]) -> DataFrame:
         output, doc, walked = F.col(column), "_doc", "_walked"
         own, absent = [f"_own{i}" for i in range(len(names))], [f"_absent{i}" for i in range(len(names))]
         out = df.withColumn(doc, F.try_parse_json(output))
-        escaped = F.contains(output, F.lit("\\"))
-        lacks = [F.col(doc).isNotNull() & ~F.contains(output, F.lit(n)) & ~escaped for n in names]
+        fits, escaped = F.col(doc).isNotNull(), F.contains(output, F.lit("\\"))
+        quoted = [n.replace("\\", "\\\\").replace("'", "\\'") for n in names]
         out = out.select(
             *df.columns,
-            *[_own_field(F.col(doc), n).alias(o) for n, o in zip(names, own, strict=True)],
-            *[F.coalesce(lack, F.lit(False)).alias(a) for lack, a in zip(lacks, absent, strict=True)],
+            *[F.try_variant_get(F.col(doc), f"$['{q}']", "variant").alias(o) for q, o in zip(quoted, own, strict=True)],
+            *[(fits & ~escaped & ~F.contains(output, F.lit(n))).alias(a) for n, a in zip(names, absent, strict=True)],
         )
-        asked = F.array(*[F.col(o).isNull() & ~F.col(a) for o, a in zip(own, absent, strict=True)])
-        text = F.when(F.array_contains(asked, True), output)
-        out = out.withColumn(walked, once(_walk(names))(text, asked))
+        out = out.withColumns({o: _plain_text(F.col(o)) for o in own})
+        known = [F.col(o).isNotNull() | F.coalesce(F.col(a), F.lit(False)) for o, a in zip(own, absent, strict=True)]
+        bits = F.concat(*[F.when(k, "0").otherwise("1") for k in known])
+        text = F.when(F.contains(bits, F.lit("1")), output)
+        out = out.withColumn(walked, once(_walk(names))(text, bits))
         slots = []
         for s in searches:
             if s.column == column:
                 i = names.index(s.name)
                 native = _found(F.lit(True), F.col(own[i]).isNotNull(), F.col(own[i]))
-                found = F.coalesce(F.get(F.col(walked)["found"], i), F.lit(False))
-                rest = _found(F.col(walked)["parsed"], found, F.get(F.col(walked)["value"], i))
-                known = F.col(own[i]).isNotNull() | F.col(absent[i])
-                slots.append(F.when(known, native).otherwise(rest).alias(s.slot))
+                value = F.col(walked)[f"value{i}"]
+                rest = _found(F.col(walked)["parsed"], value.isNotNull(), value)
+                slots.append(F.when(known[i], native).otherwise(rest).alias(s.slot))
         df = out.select(*df.columns, *slots)
     return df
 
