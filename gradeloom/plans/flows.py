@@ -16,7 +16,7 @@ from gradeloom.plans.mappings import _ITEMS
 from gradeloom.plans.registry import query
 from gradeloom.plans.views import SQL_ENTITIES, SQL_RESULTS, SQL_VERDICTS, with_ctes
 from gradeloom.session import cut_lineage, fresh_dir
-from gradeloom.sources import csv_dataset, exports, paging, records
+from gradeloom.sources import csv_dataset, exports, paging, records, split_csv
 from gradeloom.sources.keyed_table import results_table, translation_cache
 from gradeloom.sources.paged_json import register_paged_json
 from gradeloom.streaming import grade_stream, heartbeat, paged_stream, running
@@ -116,6 +116,17 @@ def a1(spark, sf):
     return csv_dataset.check_dataset(csv_dataset.read_dataset(spark, path))
 
 
+@query("a1_split_files", """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, text AS input, lang AS expected_output, '' AS note FROM documents""")
+def a1_split(spark, sf):
+    """Texts with quotes and line breaks; every file is read by many tasks."""
+    docs = views.table(spark, sf, "documents").select(
+        "doc_id", F.col("text").alias("input"), F.col("lang").alias("expected_output"))
+    path = fresh_dir(spark, "dataset")
+    csv_dataset.write_dataset(docs, path, ["doc_id", "input", "expected_output", "note"])
+    return csv_dataset.check_dataset(split_csv.read_split_dataset(spark, path))
+
+
 @query("a10_overwrite_rows", """
 SELECT CAST(p_partkey AS VARCHAR) AS part, p_name AS input, p_type AS expected_output, (SELECT count(*) FROM part) AS n_rows FROM part""")
 def a10(spark, sf):

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import csv
 import json
+import random
 import sys
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from gradeloom.operators import discover, graders, translate
-from gradeloom.sources import csv_dataset, exports, paging
+from gradeloom.sources import csv_dataset, exports, paging, split_csv
 from gradeloom.sources.keyed_table import KeyedTable
 from gradeloom.sources.paged_json import Pager, register_paged_json
 
@@ -27,6 +28,40 @@ def test_csv_cells(spark, tmp_path):
         ('say "hi"', "yes", "plain"), ("two\nlines", "", ""), ("short", "row", ""), ("long", "row", "x"), ("  pad ", "é", "a,b")]
 
 
+def split_bytes(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+
+
+@pytest.fixture
+def small_splits(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    yield
+    for name, value in zip(names, before, strict=True):
+        spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize(("size", "broadcast_splits"), [(23, 10**6), (61, 0), (1000, 10**6), (1 << 20, 0)])
+def test_csv_files_in_splits(spark, tmp_path, small_splits, size, broadcast_splits):
+    rng = random.Random(size)
+    bits = ["a", "b c", ",", "\n", '"', "\r\n", "\n\n", "é", "", '5" disk', "x" * 20]
+    cells = [["".join(rng.choice(bits) for _ in range(rng.randrange(5))) for _ in range(3)] for _ in range(80)]
+    want = [(a, b, f"{i} {c}") for i, (a, b, c) in enumerate(cells)]
+    for name, ending, rows in (("one", "\n", want[:50]), ("two", "\r\n", want[50:])):
+        with open(tmp_path / f"{name}.csv", "w", encoding="utf-8", newline="") as f:
+            writer = csv.writer(f, lineterminator=ending)
+            writer.writerow(["input", "expected_output", "n"])
+            writer.writerows(rows)
+    odd = CSV_TEXT.replace("note", "n", 1) + 'un"quoted,"clo""sed",5" disk\nlast,"open\nrow'
+    (tmp_path / "three.csv").write_text(odd, encoding="utf-8")
+    want += [tuple(r) for r in csv_dataset.read_dataset(spark, str(tmp_path / "three.csv")).collect()]
+    split_bytes(spark, size)
+    got = split_csv.read_split_dataset(spark, str(tmp_path), broadcast_splits=broadcast_splits)
+    assert got.columns == ["input", "expected_output", "n"]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_required_columns(spark):
     with pytest.raises(ValueError, match="expected_output"):
         csv_dataset.check_dataset(spark.createDataFrame([("a",)], "input string"))
