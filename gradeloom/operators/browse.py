@@ -69,15 +69,19 @@ def newest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc("created_at"), F.desc("id"))
 
 
+def check_page(number: int, size: int) -> None:
+    if not 1 <= size <= MAX_PAGE_SIZE or number < 1:
+        raise ValueError(f"page starts at 1 and page_size lies in 1..{MAX_PAGE_SIZE}")
+
+
 def page(df: DataFrame, number: int = 1, size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
     """One page, newest first.
 
     A page near the front is a top-k; a deep page would pull everything before
     it into one task, so it is cut out by position instead, with the same rows. To walk
-    through many pages use ``page_after``, which is a top-k at any depth.
+    through many pages use ``page_after``, which is a top-k at any depth, or ``page_index``.
     """
-    if not 1 <= size <= MAX_PAGE_SIZE or number < 1:
-        raise ValueError(f"page starts at 1 and page_size lies in 1..{MAX_PAGE_SIZE}")
+    check_page(number, size)
     start = (number - 1) * size
     if start + size <= 10_000:
         return newest_first(df).offset(start).limit(size)

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import text
 from gradeloom.functions.numbers import clamp01
-from gradeloom.operators import browse, joins, maintenance, merge, trends
+from gradeloom.operators import browse, joins, maintenance, merge, page_index, trends
 from gradeloom.plans import views
 from gradeloom.plans.registry import query
 from gradeloom.plans.views import SQL_ENTITIES, with_ctes
+from gradeloom.session import fresh_dir
 
 _VIEW = """run_view AS (
   SELECT r.*, c.name AS config_name, d.name AS dataset_name FROM v_runs r
@@ -367,6 +368,14 @@ def f2_deep(spark, sf):
     return browse.page(views.runs(spark, sf).select("id", "status", "created_at"), 121, 100)
 
 
+@query("f2_indexed_page", _entity(
+    "SELECT id, status, created_at FROM v_runs ORDER BY created_at DESC, id DESC LIMIT 100 OFFSET 7000"))
+def f2_indexed(spark, sf):
+    path = fresh_dir(spark, "pages")
+    page_index.write_page_index(views.runs(spark, sf).select("id", "status", "created_at"), path)
+    return page_index.indexed_page(spark, path, 71, 100)
+
+
 @query("f3_recent_runs", _entity(
     "SELECT id, config_name, dataset_name FROM run_view ORDER BY created_at DESC, id DESC LIMIT 10", _VIEW))
 def f3(spark, sf):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gradeloom.operators import joins, merge
-from gradeloom.operators import browse, ordinals
+from gradeloom.operators import browse, ordinals, page_index
 from gradeloom.operators.ordinals import enumerate_rows, id_cell, number_sorted, with_neighbour, with_ordinal
 
 
@@ -48,6 +50,31 @@ def test_positions_of_hashed_ids_and_equal_times(spark):
     assert [r["id"] for r in browse.page(loaded, 110, 100).collect()] == list(range(1099, 999, -1))
 
 
+def test_pages_from_written_ranges(spark, tmp_path):
+    at = F.when(F.col("id") % 5 != 0, F.timestamp_seconds(F.xxhash64("id") % 50))
+    rows = spark.range(5000).select(F.xxhash64("id").alias("id"), at.alias("created_at"), F.lit("x").alias("v")).repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        page_index.write_page_index(rows, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = browse.newest_first(rows).collect()
+    places = [p.name for p in (tmp_path / "rows").iterdir() if p.name.startswith("_range")]
+    assert len(places) > 3
+    for number in (1, 2, 17, 49, 50, 51):
+        got = page_index.indexed_page(spark, str(tmp_path), number, 100)
+        assert got.collect() == want[(number - 1) * 100 : number * 100]
+        if got.isEmpty():
+            continue
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        filters = re.search(r"PartitionFilters: \[([^\]]*)\]", plan)[1]
+        assert 1 <= len(set(re.findall(r"\b[0-9]+\b", re.sub(r"#[0-9]+L?", "", filters)))) <= 2, filters  # of all ranges
+    with pytest.raises(ValueError):
+        page_index.indexed_page(spark, str(tmp_path), 0)
+    page_index.write_page_index(rows.limit(0), str(tmp_path))
+    assert page_index.indexed_page(spark, str(tmp_path)).collect() == []
+
+
 def test_pages_by_cursor(spark):
     at = F.when(F.col("id") % 5 != 0, F.timestamp_seconds(F.col("id") % 3))
     rows = spark.range(60).select("id", at.alias("created_at"))
