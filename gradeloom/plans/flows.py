@@ -141,16 +141,38 @@ def a10(spark, sf):
     return csv_dataset.read_dataset(spark, path).withColumn("n_rows", F.lit(count).cast("long"))
 
 
-def _customer_pages(sf):
+SERVED_ROWS = 10_000  # rows of a file of the stand-in for a remote service
+
+
+def _customer_pages(spark, sf):
+    """A stand-in for a remote service: pages of the customer table by key.
+
+    It keeps the table in files sorted by key, so that a page costs the files that hold it.
+    """
+    path = fresh_dir(spark, "served")
+    rows = views.table(spark, sf, "customer").select("c_custkey", "c_name").filter("c_custkey IS NOT NULL")
+    files = rows.count() // SERVED_ROWS + 1
+    rows.repartitionByRange(files, "c_custkey").sortWithinPartitions("c_custkey").write.parquet(path)
+    key = F.col("c_custkey")
+    written = spark.read.schema(rows.schema).parquet(path).groupBy(F.input_file_name().alias("file"))
+    held = written.agg(F.min(key).alias("low"), F.max(key).alias("high")).orderBy("low").collect()  # one row a file
+    names, lows, highs = ([r[c] for r in held] for c in ("file", "low", "high"))
+
     def fetch(params, body):
         """One page of the customer table, as a remote service would answer it."""
+        from bisect import bisect_left
+
         import pyarrow.dataset as ds
+        from pyarrow.fs import FileSystem
 
         start, size = params["offset"], params["limit"]
         key = ds.field("c_custkey")
-        page = ds.dataset(f"{sf}/customer.parquet").to_table(
-            columns=["c_custkey", "c_name"], filter=(key >= start) & (key < start + size))
-        return {"items": page.to_pylist(), "meta": {"more": page.num_rows == size}}
+        items = []
+        for name in names[bisect_left(highs, start) : bisect_left(lows, start + size)]:
+            store, file = FileSystem.from_uri(name)
+            page = ds.dataset(file, filesystem=store).to_table(filter=(key >= start) & (key < start + size))
+            items += page.to_pylist()
+        return {"items": items, "meta": {"more": len(items) == size}}
 
     return fetch
 
@@ -161,7 +183,7 @@ _PAGING = {"mode": "offset", "config": json.dumps({"page_size": 100, "has_more_p
 @query("a5_paged_source", """
 SELECT page_index, c_custkey, c_name FROM (SELECT c_custkey // 100 AS page_index, CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer)""")
 def a5(spark, sf):
-    register_paged_json(spark, "customer_pages", _customer_pages(sf))
+    register_paged_json(spark, "customer_pages", _customer_pages(spark, sf))
     pages = spark.read.format("customer_pages").options(**_PAGING, parallel_pages="8").load()
     kept = paging.cut_tail(cut_lineage(pages), [], F.col("has_more"))  # landed once, so no page is asked for twice
     found = records.extract_json_records(kept, "payload", "$.items", ["page_index"])
@@ -466,7 +488,7 @@ def t3_late(spark, sf):
 
 @query("t4_paged_import", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer")
 def t4(spark, sf):
-    register_paged_json(spark, "customer_feed", _customer_pages(sf))
+    register_paged_json(spark, "customer_feed", _customer_pages(spark, sf))
     target = fresh_dir(spark, "import")
 
     def to_rows(pages):

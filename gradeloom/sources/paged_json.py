@@ -9,10 +9,10 @@ the paging options), ``params`` and ``body`` (JSON), ``records_path``,
 ``page_size`` (override), ``parallel_pages``; for streams ``pages_per_task`` (page
 and offset mode) and ``pages_per_trigger`` (token mode).
 
-In page and offset mode the first ``parallel_pages`` pages are read by as many
-tasks (the last one goes on until the source says it is done, so no page is left
-out); ``paging.cut_tail`` drops pages read past the end. Token paging is a chain
-and runs in one task.
+In page and offset mode ``parallel_pages`` tasks read neighbouring pages. A few requests
+tell about where the pages end; the last task goes on until the source says it is done, so
+no page is left out, and ``paging.cut_tail`` drops pages read past the end. Token paging is
+a chain and runs in one task.
 """
 
 from __future__ import annotations
@@ -143,29 +143,58 @@ class Pager:
         return (index, where, after is not None, shown, text), after
 
 
+def first_end(leads_on: Callable[[int], bool], low: int, most: float = float("inf")) -> int:
+    """Number of the first page that does not lead on, from ``low`` on, by doubling the
+    distance up to ``most`` and then halving it."""
+    step = 1
+    while step <= most and leads_on(low + step - 1):
+        low, step = low + step, step * 2
+    high = low + step - 1  # pages below low lead on, page high does not
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (middle + 1, high) if leads_on(middle) else (low, middle)
+    return low
+
+
 class _Pages(InputPartition):
-    def __init__(self, first: int, chain: bool) -> None:
-        self.first, self.chain = first, chain
+    """Pages from ``first`` up to ``last``, or until the source says it is done."""
+
+    def __init__(self, first: int, last: int | None) -> None:
+        self.first, self.last = first, last
 
 
 class _Reader(DataSourceReader):
+    #: A source that leads on after so many pages is not asked for farther ones in advance.
+    MOST_PAGES = 1 << 40
+
     def __init__(self, pager: Pager, fetch: Fetch) -> None:
         self.pager, self.fetch = pager, fetch
 
+    def _leads_on(self, index: int) -> bool:
+        """Whether a page names a next one. One that cannot be read is taken as behind the end;
+        the task that gets there reads it again and fails, if it is not."""
+        position = self.pager.jump(index)
+        try:
+            return self.pager.following(position, self.fetch(*self.pager.request(position))) is not None
+        except Exception:
+            return False
+
     def partitions(self) -> list[InputPartition]:
-        if self.pager.mode not in ("page", "offset"):
-            return [_Pages(0, True)]
-        single = [_Pages(i, False) for i in range(self.pager.parallel - 1)]
-        return [*single, _Pages(max(self.pager.parallel - 1, 0), True)]
+        if self.pager.mode not in ("page", "offset") or self.pager.parallel <= 1:
+            return [_Pages(0, None)]
+        pages = first_end(self._leads_on, 0, self.MOST_PAGES) + 1
+        tasks = min(self.pager.parallel, pages)
+        cuts = [pages * k // tasks for k in range(tasks)]
+        return [_Pages(a, b) for a, b in zip(cuts, [*cuts[1:], None], strict=True)]
 
     def read(self, partition: _Pages) -> Iterator[tuple]:
         index = partition.first
         position = self.pager.jump(index) if index else self.pager.start()
-        while True:
+        while position is not None or index == partition.first:
             row, position = self.pager.read(self.fetch, index, position)
             yield row
             index += 1
-            if not partition.chain or position is None:
+            if index == partition.last:
                 return
 
 
@@ -241,13 +270,7 @@ class _PageStreamReader(DataSourceStreamReader):
             items, more = self._probe(index, seen)
             return items > 0 and more is not False
 
-        low, step = self.known, 1
-        while leads_on(low + step - 1):
-            low, step = low + step, step * 2
-        high = low + step - 1  # pages below low lead on, page high does not
-        while low < high:
-            middle = (low + high) // 2
-            low, high = (middle + 1, high) if leads_on(middle) else (low, middle)
+        low = first_end(leads_on, self.known)
         items, _ = self._probe(low, seen)
         if not items and low:  # the page before may still fill up
             before, more = self._probe(low - 1, seen)

@@ -154,7 +154,9 @@ def cut_tail(pages: DataFrame, keys: list[str], more: Column) -> DataFrame:
     Without ``keys`` all pages belong to one source.
     """
     if not keys:
-        return cut_tail(pages.withColumn("_all", F.lit(1)), ["_all"], more).drop("_all")
+        last = pages.filter(~more).agg(F.min("page_index").alias("_last"))  # one row
+        kept = pages.crossJoin(F.broadcast(last)).filter(F.col("_last").isNull() | (F.col("page_index") <= F.col("_last")))
+        return kept.drop("_last")
     stops = pages.filter(~more).groupBy(*keys).agg(F.min("page_index").alias("_last"))
     return lookup_join(pages, stops, keys, "left", spread_by=["page_index"]).filter(
         F.col("_last").isNull() | (F.col("page_index") <= F.col("_last"))

@@ -230,6 +230,49 @@ def test_page_mode_reads_every_page(spark, parallel):
     assert json.loads(texts[0]["request"])["params"] == {"page": 1}
 
 
+@pytest.mark.parametrize("fails_behind", [False, True])
+def test_parallel_tasks_share_the_pages(spark, fails_behind):
+    def numbered(params, body):
+        if fails_behind and params["page"] > 100:
+            raise OSError("no such page")
+        return {"items": [item(params["page"])], "more": params["page"] < 100}
+
+    pages = read(spark, numbered, mode="page", config='{"has_more_path": "$.more"}', parallel_pages="4")
+    rows = pages.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r["page_index"] for r in rows) == list(range(100))
+    counts = {t: sum(r["task"] == t for r in rows) for t in range(4)}
+    assert max(counts.values()) == 25
+
+
+def test_parallel_tasks_end_at_the_first_page_without_a_next(spark):
+    def in_rounds(params, body):  # numbers behind the end begin anew
+        return {"items": [item(params["page"])], "more": params["page"] % 10 != 0}
+
+    pages = read(spark, in_rounds, mode="page", config='{"has_more_path": "$.more"}', parallel_pages="3")
+    kept = paging.cut_tail(pages, [], F.col("has_more"))
+    assert sorted(r["page_index"] for r in kept.collect()) == list(range(10))
+
+
+def test_served_pages_read_the_files_that_hold_them(spark, tmp_path, monkeypatch):
+    import pyarrow.dataset as ds
+
+    from gradeloom.plans import flows
+
+    monkeypatch.setattr(flows, "SERVED_ROWS", 50)
+    keys = [*range(500), 7, None]
+    rows = spark.createDataFrame([(k, f"n{k}") for k in keys], "c_custkey long, c_name string")
+    rows.write.parquet(str(tmp_path / "customer.parquet"))
+    fetch = flows._customer_pages(spark, str(tmp_path))
+    opened, dataset = [], ds.dataset
+    monkeypatch.setattr(ds, "dataset", lambda *a, **k: opened.append(a) or dataset(*a, **k))
+    for start in range(0, 520, 20):
+        found = fetch({"offset": start, "limit": 20}, None)
+        wanted = sorted(k for k in keys if k is not None and start <= k < start + 20)
+        assert sorted(r["c_custkey"] for r in found["items"]) == wanted
+        assert found["meta"]["more"] == (len(wanted) == 20)
+    assert 25 <= len(opened) <= 50
+
+
 def test_offset_mode_in_the_body(spark):
     config = {"offset_param": "skip", "limit_param": "take", "page_size": 10, "has_more_path": "$.meta.more", "placement": "body"}
     pages = read(spark, pages_by_offset, mode="offset", config=json.dumps(config), body='{"scope": "all"}', parallel_pages="2")
