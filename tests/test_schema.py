@@ -143,3 +143,20 @@ def test_counts_of_a_recursive_schema(spark):
         ("$.kids[].v", "$.properties.kids.items.properties.v.type", 1),
         ("$.v", "$.properties.v.type", 1),
     ]
+
+
+def test_walk_judges_values_without_building_faults(monkeypatch):
+    from gradeloom.operators.schema_walk import Walk
+
+    node = {"properties": {"v": {"maximum": 45, "not": {"const": -9}}, "kids": {"type": "array", "items": {"$ref": "#"}}}, "required": ["v"]}
+    walk, listed = Walk(node), []
+    faults = Walk.faults
+    monkeypatch.setattr(Walk, "faults", lambda *a: listed.append(a) or faults(*a))
+    assert walk.violations({"v": 45, "kids": [{"v": 1, "kids": [{"v": 2}]}]}) == []
+    assert not listed
+    found = walk.violations({"v": 46, "kids": [{"kids": [{"v": -9}]}]})
+    assert [(f["path"], f["schema_path"]) for f in found] == [
+        ("$.v", "$.properties.v.maximum"),
+        ("$.kids[0]", "$.properties.kids.items.required"),
+        ("$.kids[0].kids[0].v", "$.properties.kids.items.properties.kids.items.properties.v.not"),
+    ]
