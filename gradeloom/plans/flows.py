@@ -398,16 +398,24 @@ def _event_stream(spark, sf):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
+INBOX_ROWS = 1_000_000  # rows of a file of the late events
+
+
 def _late_event_stream(spark, sf):
-    """All events in five files, one for each trigger: rows up to five days late, the first file twice."""
+    """All events in five parts, one for each trigger: rows up to five days late, the first part twice.
+
+    A part is as many files as its rows need, the same number for all parts.
+    """
     inbox, events = fresh_dir(spark, "inbox"), views.table(spark, sf, "events")
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
-    first, last = events.agg(F.min(seconds), F.max(seconds)).first()
+    first, last, rows = events.agg(F.min(seconds), F.max(seconds), F.count(F.lit(1))).first()
     late = F.pmod(F.xxhash64("event_id"), F.lit(5 * 86_400))
     part = F.floor((seconds + late - first) * 4 / (last - first + 5 * 86_400 + 1))
+    files = rows // (4 * INBOX_ROWS) + 1
     for i in (0, 1, 2, 3, 0):
-        events.filter(part == i).coalesce(1).write.mode("append").parquet(inbox)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+        mine = events.filter(part == i)
+        (mine.coalesce(1) if files == 1 else mine.repartition(files)).write.mode("append").parquet(inbox)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(inbox)
 
 
 def _stream_store(spark, sf):

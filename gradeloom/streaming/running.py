@@ -22,7 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from gradeloom.operators.summary import has_error, summary_of_sums
 from gradeloom.sources.keyed_table import KeyedTable
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16_384
 UNIT = 2.0**60  # a score of 1
 
 # What a row adds to the sums of its run, and the bits in which its state keeps the yes and no of them.
@@ -30,6 +30,7 @@ COUNTS = ("passed", "failed", "errors", "unjudged", "scored", "input_rows", "out
 AMOUNTS = ("latency", "input_tokens", "output_tokens")
 FIGURES = ["row", "flags", *AMOUNTS, "score"]
 SUMS = ["total", *COUNTS, *AMOUNTS]
+BITS = np.arange(len(COUNTS))
 
 
 def _figures(order: str) -> list[Column]:
@@ -59,26 +60,35 @@ def _figures(order: str) -> list[Column]:
 
 def _packed(frame: pd.DataFrame) -> np.ndarray:
     """A row of whole numbers for each result; the score by its bits."""
-    whole = frame[FIGURES[:-1]].to_numpy(np.int64)
-    return np.column_stack((whole, frame["score"].to_numpy(np.float64).view(np.int64)))
+    score = frame["score"].to_numpy(np.float64).view(np.int64)
+    return np.stack([*(frame[c].to_numpy(np.int64) for c in FIGURES[:-1]), score], axis=1)
+
+
+def _last(frame: pd.DataFrame) -> np.ndarray:
+    """The figures of each row; of repeats those that come last by ``place``, then by size."""
+    if frame["row"].nunique(dropna=False) < len(frame):
+        frame = frame.sort_values(["place", *FIGURES[1:]], na_position="first").drop_duplicates("row", keep="last")
+    return _packed(frame)
 
 
 def _sums(rows: np.ndarray) -> list[int]:
-    flags = rows[:, 1]
     scores = np.rint(np.ascontiguousarray(rows[:, -1]).view(np.float64) * UNIT)
-    counts = [int(np.count_nonzero(flags >> k & 1)) for k in range(len(COUNTS))]
-    return [len(rows), *counts, *rows[:, 2:-1].sum(axis=0).tolist(), sum(map(int, scores.tolist()))]
+    counts = (rows[:, 1:2] >> BITS & 1).sum(axis=0)
+    return [len(rows), *counts.tolist(), *rows[:, 2:-1].sum(axis=0).tolist(), sum(map(int, scores.tolist()))]
 
 
 def _change(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    frame = pd.concat(frames).sort_values(["place", *FIGURES[1:]], na_position="first")
-    new = _packed(frame.drop_duplicates("row", keep="last"))
-    held = np.frombuffer(state.get[0], np.int64) if state.exists else np.zeros(0, np.int64)
-    held = held.reshape(-1, len(FIGURES))
-    again = np.isin(held[:, 0], new[:, 0])
-    state.update((np.concatenate((held[~again], new)).tobytes(),))
-    change = [b - a for a, b in zip(_sums(held[again]), _sums(new), strict=True)]
-    yield pd.DataFrame({"eval_run_id": [key[0]], **{n: [c] for n, c in zip(SUMS, change, strict=False)}, "score": [Decimal(change[-1])]})
+    parts = list(frames)
+    new = _last(parts[0] if len(parts) == 1 else pd.concat(parts))
+    if state.exists:
+        held = np.frombuffer(state.get[0], np.int64).reshape(-1, len(FIGURES))
+        again = np.isin(held[:, 0], new[:, 0])
+        old, kept = _sums(held[again]), np.concatenate((held[~again], new))
+    else:
+        old, kept = [0] * (len(SUMS) + 1), new
+    state.update((kept.tobytes(),))
+    *sums, score = (b - a for a, b in zip(old, _sums(new), strict=True))
+    yield pd.DataFrame({"eval_run_id": [key[0]], "sums": [sums], "score": [Decimal(score)]})
 
 
 def changes(results: DataFrame, *, order: str) -> DataFrame:
@@ -88,10 +98,10 @@ def changes(results: DataFrame, *, order: str) -> DataFrame:
     the largest ``order`` counts, then the one with the largest figures.
     """
     kind = results.schema["eval_run_id"].dataType.simpleString()
-    sums = ", ".join(f"{s} long" for s in SUMS)
-    return results.select("eval_run_id", *_figures(order)).groupBy("eval_run_id", "block").applyInPandasWithState(
-        _change, f"eval_run_id {kind}, {sums}, score decimal(38,0)", "rows binary", "update", GroupStateTimeout.NoTimeout
+    changed = results.select("eval_run_id", *_figures(order)).groupBy("eval_run_id", "block").applyInPandasWithState(
+        _change, f"eval_run_id {kind}, sums array<long>, score decimal(38,0)", "rows binary", "update", GroupStateTimeout.NoTimeout
     )
+    return changed.select("eval_run_id", *[F.col("sums")[k].alias(s) for k, s in enumerate(SUMS)], "score")
 
 
 def _land(rows: DataFrame, target: str, checkpoint: str, mode: str, available_now: bool) -> StreamingQuery:

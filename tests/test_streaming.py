@@ -332,3 +332,42 @@ def test_a_chain_goes_on_when_a_token_appears():
     assert got == ["c"]
     pages.update({"t1": (["b", "c"], 0), 0: (["d"], None)})
     assert step(at)[0] == ["d"]
+
+
+def test_parts_of_late_events_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from gradeloom.plans import flows
+
+    inbox = tmp_path / "inbox"
+    monkeypatch.setattr(flows, "INBOX_ROWS", 100)
+    monkeypatch.setattr(flows, "fresh_dir", lambda *_: str(inbox))
+    rows = spark.range(1000).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, CAST(id AS INT)) AS ts", "id % 7 AS user_id",
+        "'view' AS event_type", "1.0D AS value", "'{}' AS props")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    stream = flows._late_event_stream(spark, str(tmp_path))
+    files = list(Path(inbox).glob("*.parquet"))
+    assert len(files) == 15  # five parts of three files
+    query = stream.select("event_id").writeStream.format("memory").queryName("late_parts").trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = spark.table("late_parts").groupBy("event_id").count().collect()
+    assert sorted(r["event_id"] for r in held) == list(range(1000))
+
+
+def test_state_change_takes_rows_that_repeat_nothing_unsorted(monkeypatch):
+    import pandas as pd
+
+    class State:
+        exists, kept = False, None
+
+        def update(self, value):
+            self.kept = value
+
+    frame = pd.DataFrame({"row": [2, 1], "place": [1, 2], "flags": [1, 2], "latency": [3, 4], "input_tokens": [5, 6], "output_tokens": [7, 8], "score": [0.5, 1.0]})
+    again = pd.concat([frame, frame.assign(place=0, latency=9)])
+    (sorted_,) = running._change((1, 0), iter([again]), State())
+    monkeypatch.setattr(pd.DataFrame, "sort_values", lambda *a, **k: pytest.fail("sorted"))
+    (plain,) = running._change((1, 0), iter([frame]), State())
+    assert plain["sums"][0] == sorted_["sums"][0] == [2, 1, 1, 0, 0, 0, 0, 0, 0, 7, 11, 15]
+    assert plain["score"][0] == sorted_["score"][0] == int(1.5 * 2**60)
