@@ -55,13 +55,24 @@ def comparison_totals(compared: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _digest(field: str) -> Column:
+    """What equal texts share: the length in bytes, and the text or, of a long one, its SHA-256."""
+    text = F.coalesce(F.col(field), F.lit("")).cast("string")
+    size = F.octet_length(text)
+    return F.struct(size, F.when(size > 64, F.sha2(text, 256)).otherwise(text))
+
+
 def changed_fields(original: DataFrame, translated: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
-    """Rows flagged ``changed`` when any field differs; NULL equals empty text."""
-    other = translated.select(*key, *[F.col(f).alias(f"_{f}") for f in fields])
-    differs = [
-        F.coalesce(F.col(f), F.lit("")) != F.coalesce(F.col(f"_{f}"), F.lit("")) for f in fields
+    """Rows flagged ``changed`` when any field differs; NULL equals empty text.
+
+    Long texts are compared by their SHA-256, so that none goes through the join.
+    """
+    sides = [
+        side.select(*key, *[_digest(f).alias(f"_{mark}{i}") for i, f in enumerate(fields)])
+        for mark, side in (("a", original), ("b", translated))
     ]
-    joined = original.select(*key, *fields).join(other, key)
+    joined = sides[0].join(sides[1], key)
+    differs = [F.col(f"_a{i}") != F.col(f"_b{i}") for i in range(len(fields))]
     flags = F.array(*[F.when(d, F.lit(f)) for d, f in zip(differs, fields, strict=True)])
     return joined.select(
         *key,

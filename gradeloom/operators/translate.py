@@ -54,6 +54,15 @@ def missing(unique: DataFrame, cache: DataFrame | None) -> DataFrame:
     return wanted.join(known, ["cache_key", "source_text"], "left_anti")
 
 
+def looked_up(unique: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``cached`` and ``missing`` from one join, which is written once."""
+    known = cache.select("cache_key", "source_text", "translated_text", F.lit(True).alias("_known"))
+    texts = unique.select("cache_key", "source_text")
+    found = cut_lineage(texts.join(known, ["cache_key", "source_text"], "left"))
+    hits = found.filter("_known").drop("_known")
+    return hits, found.filter("_known IS NULL AND source_text <> ''").select("cache_key", "source_text")
+
+
 def parse_reply(reply: Column, expected: Column) -> Column:
     """Translations of a reply, or NULL when it has another shape or length."""
     doc = F.try_parse_json(reply)
@@ -115,7 +124,8 @@ def apply_translations(
 ) -> DataFrame:
     """Replace each field by its translation.
 
-    Rows join by hash key; a text shared by most rows is spread over many tasks.
+    Rows join by hash key, without the text that is replaced; a text shared by most rows is
+    spread over many tasks.
     """
     out = df
     order = df.columns
@@ -123,13 +133,14 @@ def apply_translations(
         text = F.coalesce(F.col(name), F.lit(""))
         key = cache_key(F.lit(language_key(language)), text).alias("cache_key")
         side = known.select("cache_key", F.col("translated_text").alias("_translated"))
+        rest = [F.col(c) for c in out.columns if c != name]
         out = lookup_join(
-            out.select("*", key), side, ["cache_key"], "left",
+            out.select(*rest, (text == "").alias("_empty"), key), side, ["cache_key"], "left",
             spread_by=spread_by,
         )
         out = out.withColumn(
-            name, F.when(text == "", F.lit("")).otherwise(F.col("_translated"))
-        ).drop("_translated", "cache_key")
+            name, F.when(F.col("_empty"), F.lit("")).otherwise(F.col("_translated"))
+        ).drop("_translated", "_empty", "cache_key")
     return out.select(*order)
 
 
@@ -155,8 +166,9 @@ def translate_columns(
     if lacking := sorted(n for n in names if n not in df.columns):
         raise ValueError(f"Mapped rows must include {', '.join(lacking)}")
     unique = unique_texts(df, names, language)
-    fresh = cut_lineage(request_translations(missing(unique, cache), language.strip(), translator))
-    known = fresh if cache is None else cached(unique, cache).unionByName(fresh)
+    hits, misses = (None, missing(unique, None)) if cache is None else looked_up(unique, cache)
+    fresh = cut_lineage(request_translations(misses, language.strip(), translator))
+    known = fresh if hits is None else hits.unionByName(fresh)
     return apply_translations(df, names, known, language, spread_by), fresh
 
 

@@ -206,3 +206,44 @@ def test_append_fills_absent_cells(spark):
     new = spark.createDataFrame([(1, "x")], "expected_output int, extra string")
     rows = merge.append_rows(old, new, ["input", "expected_output"]).collect()
     assert sorted(tuple(r) for r in rows) == [("", "1"), ("a", "b")]
+
+
+def test_translation_reads_the_cache_once(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from gradeloom.functions.text import cache_key
+    from gradeloom.operators import compare, translate
+
+    read = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        read.add(1)
+        return f"c:{text}"
+
+    long = "long " * 40
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, ""), (4, None), (5, long), (6, "a")], "id int, text string")
+    known = spark.createDataFrame([("a",), ("other",)], "source_text string")
+    shown = F.udf(count, "string").asNondeterministic()
+    cache = known.select(cache_key(F.lit("dutch"), F.col("source_text")).alias("cache_key"), "source_text", shown("source_text").alias("translated_text"))
+
+    def translator(instruction, request):
+        return json.dumps({"translations": [t if t == "b" else t[:-1] + "!" for t in json.loads(request)["inputs"]]})
+
+    translated, fresh = translate.translate_columns(docs, ["text"], "Dutch", translator, spread_by=["id"], cache=cache)
+    texts = {r["id"]: r["text"] for r in translated.collect()}
+    assert texts == {1: "c:a", 2: "b", 3: "", 4: "", 5: long[:-1] + "!", 6: "c:a"}
+    assert sorted(r["source_text"] for r in fresh.collect()) == sorted(["b", long])
+    assert read.value == 2
+    found = compare.changed_fields(docs, translated, ["id"], ["text"])
+    assert {r["id"]: r["changed"] for r in found.collect()} == {1: True, 2: False, 3: False, 4: False, 5: True, 6: True}
+
+
+def test_comparison_joins_no_long_text(spark):
+    from gradeloom.operators import compare
+
+    rows = spark.createDataFrame([(1, "x" * 1000)], "id int, text string")
+    size = lambda df: len(max((str(v) for v in df.first().asDict().values()), key=len))
+    assert size(rows.select(compare._digest("text").alias("d"))) < 200
+    assert rows.select((compare._digest("text") == compare._digest("text")).alias("e")).first()["e"]
