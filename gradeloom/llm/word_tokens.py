@@ -10,6 +10,7 @@ import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,17 @@ class WordEncoder(WordTable):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.whole = self._keeps_plain_words()
+
+    def _keeps_plain_words(self) -> bool:
+        """Whether a word of small ASCII letters gets to the merges as it is, and nothing is cut or added after them."""
+        steps = self.tokenizer
+        if steps.truncation or steps.padding or any(t.content.isalpha() for t in steps.get_added_tokens_decoder().values()):
+            return False
+        words = [ascii_lowercase, ascii_lowercase[::-1], *ascii_lowercase, *("re", "ve", "ll")]
+        if steps.normalizer and any(steps.normalizer.normalize_str(w) != w for w in words):
+            return False
+        return not steps.pre_tokenizer or all([p for p, _ in steps.pre_tokenizer.pre_tokenize_str(w)] == [w] for w in words)
 
     def parts(self, words: pa.Array) -> list[pa.Array]:
         stems = pc.utf8_rtrim(words, ".,")
@@ -105,7 +117,11 @@ class WordEncoder(WordTable):
         return [pc.if_else(plain, pc.ascii_lower(stems), stems), pc.if_else(apart, tails, "")]
 
     def numbers(self, parts: list[str]) -> list[Sequence[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        plain = [self.whole and p.isascii() and p.isalpha() and p.islower() for p in parts]
+        rest = [p for p, known in zip(parts, plain, strict=True) if not known]
+        encoded = (x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))
+        merge = self.tokenizer.model.tokenize
+        return [[t.id for t in merge(p)] if known else next(encoded) for p, known in zip(parts, plain, strict=True)]
 
 
 @lru_cache(maxsize=2)

@@ -472,3 +472,42 @@ def test_licences_at_any_place(docs_of):
     by_doc = {r.doc_id: (dict(rows)[r.doc_id][r.start : r.stop], r.dice) for r in found}
     assert by_doc[3] == ("Licensed under the MIT License", 1.0)
     assert licences.words(by_doc[1][0]) == licences.words(mit) and by_doc[1][1] == 1.0
+
+
+def test_plain_words_go_to_the_merges_directly():
+    import public_tokenizers
+
+    from gradeloom.llm.word_tokens import WordEncoder
+
+    encoder = WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    parts = ["the", "thresten", "s", "re", "don't", "Été", "été", "a1", "x" * 300, "", "<|endoftext|>", "endoftext", "...", "ß", "K"]
+    want = [x.ids for x in encoder.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    asked = []
+    tokenizer = encoder.tokenizer
+
+    class Asked:
+        model = tokenizer.model
+
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.extend(texts)
+            return tokenizer.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    encoder.tokenizer = Asked()
+    assert [list(x) for x in encoder.numbers(parts)] == want
+    assert "thresten" not in asked and "don't" in asked
+
+
+def test_a_tokenizer_that_changes_plain_words_gets_them_whole(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    from gradeloom.llm.word_tokens import WordEncoder
+
+    told = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    told["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(told), encoding="utf-8")
+    encoder = WordEncoder(str(path))
+    assert not encoder.whole
+    assert encoder.numbers(["the"]) == [encoder.tokenizer.encode("the", add_special_tokens=False).ids]
