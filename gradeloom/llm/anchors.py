@@ -34,7 +34,7 @@ class ByteHash:
     """Hashes of any parts of a byte array, from sums of value * factor^place modulo 2^64."""
 
     def __init__(self, data: np.ndarray):
-        n = 1 << max(22, int(len(data)).bit_length())
+        n = 1 << max(18, int(len(data)).bit_length())
         self.back = _powers(n, pow(_ODD, -1, 2**64))
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_byte_values()[data] * _powers(n, _ODD)[: len(data)], out=self.sums[1:])

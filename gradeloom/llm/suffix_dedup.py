@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm.anchors import SPREAD, WINDOW, ByteHash, anchor_rows, scramble
 from gradeloom.llm.common import documents, outer_id, row_key
+from gradeloom.llm.word_tokens import release_memory, slices
 from gradeloom.session import cut_lineage
 
 # Distances that one row stands for, by round after the first (there all of an anchor's).
 ROUNDS = (32, 8, 1)
-SEGMENT = 1_000_000  # bytes that are hashed at once; longer texts are cut into overlapping segments
+SEGMENT = 250_000  # bytes that are hashed at once; longer texts are cut into overlapping segments
+MOST_BYTES = 2_000_000  # of text, compressed or not, that a task works on at once
 
 ROW = "r1 long, r2 long, hull long, key long, place long"
 SORTED = ["r1", "r2", "hull", "key", "place"]
@@ -67,6 +69,22 @@ def segments(texts: list[bytes]) -> Iterator[tuple[bytes, list[tuple[int, int, i
         yield b"".join(buffer), places
 
 
+def _bounded(run: Callable) -> Callable:
+    """``run`` over batches cut to a few MB of text; a worker gives memory back when its task ends."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            name = next(n for n in ("body", "packed", "bytes") if n in batch.schema.names)
+            for begin, end in slices(batch[name], MOST_BYTES):
+                yield batch.slice(begin, end - begin)
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(cut(batches))
+        release_memory()
+
+    return bounded
+
+
 def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values)
 
@@ -223,23 +241,23 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _joinable(rows: DataFrame) -> DataFrame:
     """Compressed texts, which go through a shuffle twice."""
-    return rows.select("doc", "body", row_key()).mapInArrow(_compressed, "doc long, key long, packed binary")
+    return rows.select("doc", "body", row_key()).mapInArrow(_bounded(_compressed), "doc long, key long, packed binary")
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """``key, place`` of all windows with an equal one elsewhere; ``rows`` has ``doc`` and ``body``."""
-    found = rows.select("body", row_key()).mapInArrow(_anchors, ROW)
+    found = rows.select("body", row_key()).mapInArrow(_bounded(_anchors), ROW)
     marks, units = settle(found)
     schema = f"{ROW}, bytes binary"
     grouped = units.select("key", F.struct(F.col("r1").alias("rank"), "place").alias("unit")).groupBy("key")
     listed = grouped.agg(F.collect_list("unit").alias("units"))  # one unit for SPREAD / 2 bytes of the text or so
     texts = _joinable(rows).join(listed.hint("shuffle_hash"), "key").dropDuplicates(["key"])
-    found = texts.select("key", "packed", "units").mapInArrow(_from_texts(ROUNDS[0]), schema)
+    found = texts.select("key", "packed", "units").mapInArrow(_bounded(_from_texts(ROUNDS[0])), schema)
     for size in (*ROUNDS[1:], None):
         more, units = settle(cut_lineage(found))
         marks = marks.unionByName(more)
         if size:
-            found = units.mapInArrow(_from_bytes(size), schema)
+            found = units.mapInArrow(_bounded(_from_bytes(size)), schema)
     return marks
 
 
@@ -268,7 +286,8 @@ def _cut(keep_text: bool) -> Callable:
                 sizes.append(len(text))
                 spans.append([{"begin": b, "end": e} for b, e in zip(begin, end, strict=True)])
                 digests.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest)
+                if keep_text:
+                    kept.append(rest)
             kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
             columns = [batch["doc"], pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(digests, pa.string())]
             names = ["doc", "n_bytes", "spans", "kept_sha256"]
@@ -293,5 +312,5 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = documents(docs, id_col, text_col)
     places = repeated_windows(rows).groupBy("key").agg(F.collect_list("place").alias("places"))
     joined = _joinable(rows).join(places.hint("shuffle_hash"), "key", "left").select("doc", "packed", "places")
-    found = joined.mapInArrow(_cut(keep_text), SPANS + (", kept binary" if keep_text else ""))
+    found = joined.mapInArrow(_bounded(_cut(keep_text)), SPANS + (", kept binary" if keep_text else ""))
     return found.select(outer_id().alias(id_col), *[c for c in found.columns if c != "doc"])

@@ -280,3 +280,22 @@ def test_components(spark):
     for v in range(1100):
         assert got.get(v, v) == least[group[v]]
     assert components(df.limit(0)).collect() == []
+
+
+def test_repeats_are_found_in_small_pieces_of_a_batch():
+    import pyarrow as pa
+
+    from gradeloom.llm import suffix_dedup
+
+    sizes = []
+
+    def run(batches):
+        for batch in batches:
+            sizes.append(sum(map(len, batch["body"].to_pylist())))
+            yield batch
+
+    texts = ["x" * 500_000] * 10 + ["", "y" * 5_000_000]
+    batch = pa.RecordBatch.from_pydict({"body": texts})
+    out = list(suffix_dedup._bounded(run)(iter([batch, batch.slice(0, 0)])))
+    assert [t for b in out for t in b["body"].to_pylist()] == texts
+    assert max(sizes[:-1]) <= suffix_dedup.MOST_BYTES and sizes[-1] == 5_000_000
