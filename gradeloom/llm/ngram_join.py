@@ -8,7 +8,9 @@ they are many, become signature trees: a node holds the OR of the token bitmaps
 and their range of sizes. Two trees are traversed together; a pair of nodes goes when the
 largest overlap that it can have is too small. The trees are traversed twice: first with
 the bitmaps alone, which leaves documents out of a root where no other can be similar
-enough, then with the sets of those that are left, whose pairs are compared exactly.
+enough, then with the sets of those that are left, whose pairs are compared exactly. Between
+the two, what can be similar is put together: documents that such pairs connect are one
+group, so a set travels once for its group, however many roots its document is in.
 """
 
 from __future__ import annotations
@@ -26,12 +28,14 @@ from gradeloom.llm.common import document_columns, documents, outer_id, row_key
 from gradeloom.llm.components import components
 from gradeloom.llm.shingles import WordHashes, mix, shingle_sets
 from gradeloom.llm.word_tokens import release_memory
-from gradeloom.session import cut_lineage
+from gradeloom.session import Scratch, cut_lineage
 
-# A root with more shingles or documents than this is compared in parts of about this size.
+# A group with more shingles or documents than this is compared in parts of about this size.
 PART_SHINGLES = 200_000
 PART_DOCS = 400
-PART_MAPS = 2000  # documents of a part while only bitmaps are compared
+PART_MAPS = 2000  # documents of a part of a root while only bitmaps are compared
+# Places of documents that may be broadcast (28 bytes each); texts meet more of them by a shuffle.
+BROADCAST_DOCS = 1_000_000
 LEAF = 16  # documents of a leaf
 FANOUT = 8  # children of a node
 
@@ -158,11 +162,11 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows("part", np.array([key]), np.array([root]), np.array([root]))
 
 
-def meeting(reps: DataFrame) -> DataFrame:
+def meeting(reps: DataFrame, scratch: Scratch) -> DataFrame:
     """Roots and their documents, ``root, doc`` with root < doc, for all keys that documents share."""
     listed = reps.select(F.explode("keys").alias("key"), "doc")
     ranged = listed.repartitionByRange("key", "doc").sortWithinPartitions("key", "doc")
-    streamed = cut_lineage(ranged.mapInArrow(_roots, "kind string, key long, root long, doc long"))
+    streamed = scratch.cut(ranged.mapInArrow(_roots, "kind string, key long, root long, doc long"))
     # Two rows a partition at most: the parts of a key that was cut are put under its first document.
     parts = streamed.where("kind = 'part'").groupBy("key").agg(F.min("root").alias("root"), F.collect_set("root").alias("roots"))
     joined = parts.select("key", "root", F.explode("roots").alias("part")).where("root <> part")
@@ -190,22 +194,23 @@ class SignatureTree:
     """Documents by size; each level holds OR-combined bitmaps, size ranges and hidden tokens.
 
     A document's hidden tokens are those that share a bit with another of its tokens. A
-    bitmap narrower than the widest is repeated, so a token has its bit in it anyway.
+    bitmap narrower than the widest is repeated, so a token has its bit in it anyway; a
+    level also holds the words after which a bitmap repeats, as a bit counts only once.
     """
 
     def __init__(self, maps: list[np.ndarray], sizes: list[int]):
         self.order = np.array(sorted(range(len(maps)), key=lambda i: sizes[i]), np.int64)
         size = np.array(sizes, np.int64)[self.order]
         hidden = size - np.array([int(np.bitwise_count(m).sum()) for m in maps], np.int64)[self.order]
-        width = max(map(len, maps))
-        self.levels = [(np.stack([np.tile(maps[i], width // len(maps[i])) for i in self.order]), size, size, hidden)]
+        widths = np.array([len(m) for m in maps], np.int64)[self.order]
+        width = int(widths.max())
+        tiled = np.stack([np.tile(maps[i], width // len(maps[i])) for i in self.order])
+        self.levels = [(tiled, size, size, hidden, widths)]
         step = LEAF
         while len(self.levels[-1][0]) > 1:
-            level, low, high, hidden = self.levels[-1]
+            level, low, *most = self.levels[-1]
             at = np.arange(0, len(level), step)
-            self.levels.append(
-                (np.bitwise_or.reduceat(level, at), low[at], np.maximum.reduceat(high, at), np.maximum.reduceat(hidden, at))
-            )
+            self.levels.append((np.bitwise_or.reduceat(level, at), low[at], *[np.maximum.reduceat(x, at) for x in most]))
             step = FANOUT
 
     def children(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,6 +228,7 @@ def _possible(a: tuple, b: tuple, x: np.ndarray, y: np.ndarray, above: int, belo
             width = max(p_maps.shape[1], q_maps.shape[1])
             p_maps, q_maps = (np.tile(m, (1, width // m.shape[1])) for m in (p_maps, q_maps))
         shared = np.bitwise_count(p_maps & q_maps).sum(axis=1, dtype=np.int64)
+        shared //= p_maps.shape[1] // np.maximum(a[4][p], b[4][q])
         most = np.minimum(np.minimum(a[2][p], b[2][q]), shared + np.minimum(a[3][p], b[3][q]))
         fits = (a[2][p] * below >= b[1][q] * above) & (b[2][q] * below >= a[1][p] * above)
         keep[i : i + 4096] = fits & (most * (above + below) >= (a[1][p] + b[1][q]) * above)
@@ -309,20 +315,21 @@ def _deal(width: int) -> Callable:
         table = WordHashes()
         for batch in batches:
             sets = shingle_sets(batch["body"], width, table)
+            places = (batch[c].to_pylist() for c in ("doc", "root", "part", "parts"))
             columns: list[list] = [[] for _ in range(6)]
             held = 0
-            for doc, places, found in zip(batch["doc"].to_pylist(), batch["places"].to_pylist(), sets, strict=True):
+            for doc, root, part, parts, found in zip(*places, sets, strict=True):
+                if not len(found):  # an empty text of an id with others is similar to nothing
+                    continue
                 value = found.tobytes()
-                for place in places:
-                    part, parts = place["part"], place["parts"]
-                    for other in range(parts):
-                        row = (place["root"], min(part, other), max(part, other), part, doc, value)
-                        for column, cell in zip(columns, row, strict=True):
-                            column.append(cell)
-                        held += len(value)
-                if held > 8_000_000:
-                    yield _units(columns)
-                    columns, held = [[] for _ in range(6)], 0
+                for other in range(parts):
+                    row = (root, min(part, other), max(part, other), part, doc, value)
+                    for column, cell in zip(columns, row, strict=True):
+                        column.append(cell)
+                    held += len(value)
+                    if held > 8_000_000:
+                        yield _units(columns)
+                        columns, held = [[] for _ in range(6)], 0
             yield _units(columns)
         table.forget()
         release_memory()
@@ -344,10 +351,30 @@ def _sides(unit: pa.Table) -> tuple[list[int], list[int]]:
     return a, a if part1 == part2 else [i for i, p in enumerate(part) if p == part2]
 
 
+def _connected(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> list[tuple[int, int]]:
+    """As many of the pairs of n places as connect what all of them connect."""
+    joined = _Union(n)
+    known = np.arange(n)  # what was connected when it was last looked up
+    looked = 0
+    kept = []
+    for x, y in pairs:
+        apart = known[x] != known[y]
+        for i, j in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
+            p, q = joined.find(i), joined.find(j)
+            if p != q:
+                joined.parent[p] = q
+                kept.append((i, j))
+        looked += int(apart.sum())
+        if looked > n:
+            known, looked = np.array([joined.find(i) for i in range(n)]), 0
+    return kept
+
+
 def _hopeful(above: int, below: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents of a unit that some other one can be similar enough to, by their bitmaps."""
+        """Pairs of documents that connect those of a unit that can be similar enough, by their bitmaps."""
         for unit in streams.groups(batches, UNIT):
+            docs = unit["doc"].to_numpy()
             maps = [np.frombuffer(m, np.uint64) for m in unit["map"].to_pylist()]
             sizes = unit["n"].to_pylist()
             a, b = _sides(unit)
@@ -355,13 +382,10 @@ def _hopeful(above: int, below: int) -> Callable:
                 continue
             left = SignatureTree([maps[i] for i in a], [sizes[i] for i in a])
             right = left if a is b else SignatureTree([maps[i] for i in b], [sizes[i] for i in b])
-            some = np.zeros(len(maps), bool)
-            for x, y in traverse(left, right, above, below):
-                some[np.array(a)[left.order[x]]] = True
-                some[np.array(b)[right.order[y]]] = True
-            yield pa.RecordBatch.from_arrays(
-                [c.combine_chunks() for c in unit.filter(pa.array(some)).select(["root", "doc", "n"]).columns], ["root", "doc", "n"]
-            )
+            p, q = np.array(a)[left.order], np.array(b)[right.order]
+            kept = _connected(((p[x], q[y]) for x, y in traverse(left, right, above, below)), len(maps))
+            ends = np.array(kept, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(docs[ends[:, k]]) for k in (0, 1)], ["u", "v"])
 
     return run
 
@@ -392,34 +416,45 @@ def _compare(above: int, below: int, spanning: bool) -> Callable:
     return run
 
 
-def in_parts(members: DataFrame, parts: Column) -> DataFrame:
-    """Add ``part`` of each member and ``parts`` of its root (an aggregate over ``n`` and rows)."""
-    counted = cut_lineage(members.groupBy("root").agg(F.ceil(parts).cast("int").alias("parts")))
+def in_parts(members: DataFrame, parts: Column, scratch: Scratch) -> DataFrame:
+    """Add ``part`` of each member and ``parts`` of its root (an aggregate over the columns and rows)."""
+    counted = scratch.cut(members.groupBy("root").agg(F.ceil(parts).cast("int").alias("parts")))
     placed = members.join(counted, "root")
     return placed.withColumn("part", F.pmod(F.xxhash64("doc", "root"), F.col("parts")).cast("int"))
 
 
-def links(rows: DataFrame, reps: DataFrame, width: int, above: int, below: int, spanning: bool = True) -> DataFrame:
+def with_roots(members: DataFrame) -> DataFrame:
+    """``root, doc`` of members and of the roots themselves."""
+    return members.select("root", "doc").unionByName(members.select("root", F.col("root").alias("doc")).distinct())
+
+
+def possible(reps: Callable[..., DataFrame], above: int, below: int, scratch: Scratch) -> DataFrame:
+    """Groups of representatives that bitmaps do not tell apart, ``root, doc``; similar ones are in one group."""
+    pairs = scratch.cut(meeting(reps("keys").where(F.size("keys") > 0), scratch))
+    # Bitmaps join last: only the rows that go to their units carry them.
+    placed = in_parts(with_roots(pairs), F.count("*") / PART_MAPS, scratch)
+    units = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    units = units.select("root", F.least("part", "other").alias("part1"), F.greatest("part", "other").alias("part2"), "part", "doc")
+    units = units.join(reps("map", "n").select("doc", "n", "map"), "doc").select(*UNIT, "part", "doc", "n", "map")
+    units = units.repartition(*UNIT).sortWithinPartitions(*UNIT, "doc")
+    hopeful = scratch.cut(units.mapInArrow(_hopeful(above, below), "u long, v long").distinct())
+    return with_roots(components(hopeful).select("root", F.col("v").alias("doc")))
+
+
+def links(
+    rows: DataFrame, reps: Callable[..., DataFrame], width: int, above: int, below: int, scratch: Scratch, spanning: bool = True
+) -> DataFrame:
     """Links between representatives: ``u, v, common, either``, all of them or enough to connect them.
 
     ``reps`` is an aggregate of equal sets that gives ``doc`` and the first of other columns;
     ``rows`` has the texts.
     """
-    pairs = cut_lineage(meeting(reps("keys").where(F.size("keys") > 0)))
-    members = pairs.unionByName(pairs.select("root", F.col("root").alias("doc")).distinct())
-    members = cut_lineage(members.join(reps("map", "n"), "doc"))
-    placed = in_parts(members, F.count("*") / PART_MAPS)
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    units = placed.select("*", other.alias("other"))
-    units = units.select(
-        "root", F.least("part", "other").alias("part1"), F.greatest("part", "other").alias("part2"), "part", "doc", "n", "map"
-    )
-    units = units.repartition(*UNIT).sortWithinPartitions(*UNIT, "doc")
-    hopeful = units.mapInArrow(_hopeful(above, below), "root long, doc long, n int")
-    hopeful = cut_lineage(hopeful.groupBy("root", "doc").agg(F.max("n").alias("n")))
-    placed = in_parts(hopeful, F.greatest(F.sum("n") / PART_SHINGLES, F.count("*") / PART_DOCS))
-    places = placed.groupBy("doc").agg(F.collect_list(F.struct("root", "part", "parts")).alias("places"))  # a set's keys at most
-    texts = rows.join(places.hint("shuffle_hash"), "doc").select("doc", "body", "places")
+    sizes = reps("n").groupBy("doc").agg(F.max("n").alias("n"))
+    groups = scratch.cut(possible(reps, above, below, scratch).join(sizes, "doc"))
+    parts = F.greatest(F.sum("n") / PART_SHINGLES, F.count("*") / PART_DOCS)
+    places = scratch.cut(in_parts(groups, parts, scratch).select("doc", "root", "part", "parts"))  # one for a document
+    met = F.broadcast(places) if places.count() <= BROADCAST_DOCS else places.hint("shuffle_hash")
+    texts = rows.join(met, "doc").select("doc", "body", "root", "part", "parts")
     units = texts.mapInArrow(_deal(width), "root long, part1 int, part2 int, part int, doc long, shingles binary")
     units = units.repartition(*UNIT).sortWithinPartitions(*UNIT, "doc")
     return units.mapInArrow(_compare(above, below, spanning), "u long, v long, common long, either long")
@@ -427,14 +462,17 @@ def links(rows: DataFrame, reps: DataFrame, width: int, above: int, below: int,
 
 def grouped(rows: DataFrame, width: int, above: int, below: int) -> DataFrame:
     """``doc, fp, n, root`` for each row: the smallest document that links lead to."""
-    found = cut_lineage(describe(rows, width, Keys(above, below)))
-    same = found.where("n > 0").groupBy("s1", "s2", "n")
+    scratch = Scratch()
+    described = scratch.cut(describe(rows, width, Keys(above, below)))
+    found = cut_lineage(described.drop("keys", "map"))
 
     def representatives(*columns: str) -> DataFrame:
+        same = described.where("n > 0").groupBy("s1", "s2", "n")
         return same.agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in columns if c != "n"])
 
-    linked = cut_lineage(links(rows, representatives, width, above, below).select("u", "v"))
+    linked = cut_lineage(links(rows, representatives, width, above, below, scratch).select("u", "v"))
     reps = cut_lineage(representatives().select("s1", "s2", "doc"))
+    scratch.drop()
     # A document with several texts links their representatives.
     several = found.where("n > 0").groupBy("doc").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).where("a <> b")
     texts = found.select("doc", "s1", "s2").join(several.select("doc"), "doc")

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import plain
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.llm import exact_dedup, line_dedup, ngram_join, suffix_dedup
 from gradeloom.llm.anchors import GRAM, SPREAD, WINDOW, ByteHash, anchor_rows
 from gradeloom.llm.components import components
+from gradeloom.session import Scratch, shared_dir
 
 
 def line_results(df, **rule):
@@ -299,3 +302,83 @@ def test_repeats_are_found_in_small_pieces_of_a_batch():
     out = list(suffix_dedup._bounded(run)(iter([batch, batch.slice(0, 0)])))
     assert [t for b in out for t in b["body"].to_pylist()] == texts
     assert max(sizes[:-1]) <= suffix_dedup.MOST_BYTES and sizes[-1] == 5_000_000
+
+
+def test_a_wide_bitmap_leaves_narrow_ones_apart():
+    rng = np.random.default_rng(21)
+    sets = [np.unique(rng.integers(0, 2**64, n, np.uint64)) for n in [1000] * 30 + [4000]]
+    tree = ngram_join.SignatureTree([ngram_join.bitmap(s) for s in sets], [len(s) for s in sets])
+    assert sum(len(x) for x, _ in ngram_join.traverse(tree, tree, 4, 5)) == 0
+    near = [*sets, sets[3][50:], sets[-1][50:]]
+    tree = ngram_join.SignatureTree([ngram_join.bitmap(s) for s in near], [len(s) for s in near])
+    pairs = {tuple(sorted((int(tree.order[i]), int(tree.order[j])))) for x, y in ngram_join.traverse(tree, tree, 4, 5) for i, j in zip(x, y, strict=True)}
+    assert pairs == {(3, 31), (30, 32)}
+
+
+def test_connecting_pairs_are_kept_only():
+    rng = np.random.default_rng(22)
+    for n in (2, 50, 300):
+        batches = [(rng.integers(0, n, 40), rng.integers(0, n, 40)) for _ in range(n // 20 + 1)]
+        all_pairs = [pair for x, y in batches for pair in zip(x.tolist(), y.tolist(), strict=True)]
+        kept = ngram_join._connected(iter(batches), n)
+        want = plain.components(n, all_pairs)
+        assert len(kept) == n - len(set(want)) and set(kept) <= set(all_pairs)
+        assert len(set(zip(want, plain.components(n, kept), strict=True))) == len(set(want))
+
+
+def test_a_set_travels_once_whatever_its_roots(docs_of, spark):
+    """Documents of many roots: all pairs share words, but each root is the first document of other words."""
+    rng = random.Random(23)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(i, " ".join(w if rng.random() > 0.01 else f"e{i}" for w in base)) for i in range(30)]
+    rows += [(100 + i, " ".join(f"o{rng.randrange(10**6)}" for _ in range(400))) for i in range(10)]
+    texts = docs_of(rows, clashing=False).select(F.col("doc_id").alias("doc"), F.col("text").alias("body"))
+    scratch = Scratch()
+    found = scratch.cut(ngram_join.describe(texts, 5, ngram_join.Keys(4, 5)))
+
+    def reps(*columns):
+        return found.groupBy("s1", "s2", "n").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in columns if c != "n"])
+
+    assert ngram_join.meeting(reps("keys"), scratch).count() > 60
+    groups = ngram_join.possible(reps, 4, 5, scratch)
+    assert sorted(map(tuple, groups.select("root", "doc").collect())) == [(0, i) for i in range(30)]
+    scratch.drop()
+
+
+def test_empty_texts_of_an_id_link_nothing(docs_of):
+    rng = random.Random(24)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    other = [w if i % 60 else f"e{i}" for i, w in enumerate(base)][:-12]
+    rows = [(1, " ".join(base)), (1, ""), (2, " ".join(other)), (2, ""), (2, " \n")]
+    assert near_results(docs_of(rows), 5, (85, 100)) == plain_near(rows, 5, (85, 100))
+    assert {r[2] for r in near_results(docs_of(rows), 5, (85, 100))} == {1, 2}
+
+
+def files_below(folder, pattern):
+    return {p for p in Path(folder).rglob(pattern) if p.is_file()}
+
+
+def test_the_join_leaves_no_keys_bitmaps_and_shuffle_files(docs_of, odd_rows, spark):
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    df = docs_of(odd_rows)
+    before = files_below(shared, "*.parquet")
+    ngram_join.join_components(df).collect()
+    names = {c for p in files_below(shared, "*.parquet") - before for c in pq.read_schema(p).names}
+    assert "doc" in names and not names & {"keys", "map", "kind", "part"}
+
+    (local,) = [spark._jsc.sc().env().blockManager().diskBlockManager().localDirsString()]
+    scratch = Scratch()
+    was = [files_below(d, "shuffle_*.data") for d in local]
+    rows = scratch.cut(df.repartition(7, "doc_id"))
+    assert [files_below(d, "shuffle_*.data") - w for d, w in zip(local, was, strict=True)] == [set()] * len(local)
+    assert rows.count() == len(odd_rows)
+    ((_, path),) = scratch.paths
+    assert files_below(path.removeprefix("file:"), "*.parquet")
+    scratch.drop()
+    assert not Path(path.removeprefix("file:")).exists()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_texts_meet_many_places_by_a_shuffle(docs_of, odd_rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BROADCAST_DOCS", 0)
+    assert near_results(docs_of(odd_rows), 5, (4, 5)) == plain_near(odd_rows, 5, (4, 5))
